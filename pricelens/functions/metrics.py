@@ -23,6 +23,19 @@ def money_sum(c) -> Column:
     return F.sum(col(c).cast(MONEY)).cast("double")
 
 
+FINE = "decimal(28,10)"
+
+
+def fine_sum(c) -> Column:
+    """Exact sum of a computed ratio (10 decimals kept), independent of row order."""
+    return F.sum(col(c).cast(FINE)).cast("double")
+
+
+def fine_mean(c) -> Column:
+    """Mean of the non-NULL values of a computed ratio, summed exactly."""
+    return F.try_divide(fine_sum(c), F.count(col(c)).cast("double"))
+
+
 def js_sum(c) -> Column:
     """A JavaScript reduce treats NULL as 0 (an empty/all-null group sums to 0)."""
     return F.coalesce(money_sum(c), F.lit(0.0))

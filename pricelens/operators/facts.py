@@ -65,6 +65,12 @@ class Window:
         return F.col(column).between(lo, hi)
 
 
+def newest(value: str) -> F.Column:
+    """The value on a group's newest line (latest date; ties -> highest invoice
+    number, then the larger non-NULL value), as an aggregate with map-side combine."""
+    return F.max_by(F.col(value), F.struct(F.col("invoice_date"), F.col("invoice_number"), F.col(value)))
+
+
 def enrich(t: Tables) -> DataFrame:
     """B1 without filters: sales ⟕ landed_costs ⟕ catalogue_prices on item_code.
 
@@ -167,12 +173,19 @@ def customer_sales(fact: DataFrame, window: Window, include_returns: bool = True
 
 def product_sales(fact: DataFrame, window: Window, include_returns: bool = True, include_samples: bool = True,
                   item_codes=None, min_revenue=None, max_revenue=None, min_quantity=None, min_transactions=None,
-                  sort_by: str | None = None, sort_order: str = "desc", limit: int | None = None) -> DataFrame:
-    """B3 ``getProductSales``: one row per item (NULL item group kept)."""
+                  sort_by: str | None = None, sort_order: str = "desc", limit: int | None = None,
+                  price_tier: str | None = None) -> DataFrame:
+    """B3 ``getProductSales``: one row per item (NULL item group kept).
+
+    ``price_tier`` (e.g. ``ie_base``) adds that catalogue column as ``catalogue_price``.
+    """
     df = base_filter(fact, window, include_returns, include_samples)
     if item_codes:
         df = df.filter(F.col("item_code").isin(*item_codes))
-    out = df.groupBy("item_code", "landed_cost_euro", F.col("ie_trade").alias("catalogue_price_trade")).agg(
+    keys = ["item_code", "landed_cost_euro", F.col("ie_trade").alias("catalogue_price_trade")]
+    if price_tier:
+        keys.append(F.col(price_tier).alias("catalogue_price"))
+    out = df.groupBy(*keys).agg(
         F.coalesce(F.max("item_description"), F.lit("Unknown")).alias("product_description"),
         M.money_sum("quantity").alias("total_quantity"),
         M.money_sum("line_total").alias("total_revenue"),

@@ -150,3 +150,69 @@ def avg2(total: str, count: str) -> str:
 
 def pct2(value: str, total: str) -> str:
     return r2(ratio0(value, total) + " * 100")
+
+
+WIN = "invoice_date BETWEEN '1995-01-01' AND '2001-08-01'"
+
+
+def fine_mean(x: str) -> str:
+    return f"CAST(SUM(CAST({x} AS DECIMAL(28,10))) AS DOUBLE) / COUNT({x})"
+
+
+def lines(returns: bool = True, samples: bool = True, docs=("INV", "CRN")) -> str:
+    """WHERE clause of the base filters over ``fact``."""
+    cond = ["document_type IN (" + ", ".join(f"'{d}'" for d in docs) + ")", WIN]
+    if not samples:
+        cond.append("is_sample = 0")
+    if not returns:
+        cond.append("is_return = 0")
+    return " AND ".join(cond)
+
+
+def b2(name: str, returns: bool = True, samples: bool = True) -> str:
+    return f"""{name} AS (
+  SELECT customer_code, customer_name, {msum('quantity')} AS total_quantity, {msum('line_total')} AS total_revenue,
+         {msum('line_cost')} AS total_cost, count(*) AS transaction_count, count(DISTINCT item_code) AS unique_products
+  FROM fact WHERE {lines(returns, samples)} AND customer_code IS NOT NULL
+  GROUP BY customer_code, customer_name)"""
+
+
+def b3(name: str, returns: bool = True, samples: bool = True, tier: str | None = None) -> str:
+    extra = f", {tier} AS catalogue_price" if tier else ""
+    extra_g = f", {tier}" if tier else ""
+    return f"""{name} AS (
+  SELECT item_code, landed_cost_euro, ie_trade AS catalogue_price_trade{extra},
+         coalesce(max(item_description), 'Unknown') AS product_description,
+         {msum('quantity')} AS total_quantity, {msum('line_total')} AS total_revenue,
+         {msum('line_cost')} AS total_cost, count(*) AS transaction_count,
+         count(DISTINCT customer_code) AS unique_customers
+  FROM fact WHERE {lines(returns, samples)}
+  GROUP BY item_code, landed_cost_euro, ie_trade{extra_g})"""
+
+
+def m1(name: str, src: str) -> str:
+    return f"""{name} AS (
+  SELECT customer_code, customer_name, total_revenue, total_cost,
+         {margin('total_revenue', 'total_cost')} AS gross_margin,
+         {margin_pct('total_revenue', 'total_cost')} AS margin_percent,
+         transaction_count, unique_products, {avg2('total_revenue', 'transaction_count')} AS avg_order_value,
+         total_quantity
+  FROM {src})"""
+
+
+def m2(name: str, src: str) -> str:
+    return f"""{name} AS (
+  SELECT item_code, product_description, total_quantity AS quantity_sold, total_revenue AS revenue,
+         total_cost AS cost, {margin('total_revenue', 'total_cost')} AS margin,
+         {margin_pct('total_revenue', 'total_cost')} AS margin_percent,
+         unique_customers, transaction_count, {avg2('total_quantity', 'transaction_count')} AS avg_order_quantity
+  FROM {src})"""
+
+
+def newest(value: str, keys: str, src: str, name: str) -> str:
+    """K20 pick: the value on the newest line per group (see operators.facts.newest)."""
+    return f"""{name} AS (
+  SELECT {keys}, {value} AS newest_value FROM (
+    SELECT {keys}, {value}, row_number() OVER (PARTITION BY {keys}
+      ORDER BY invoice_date DESC NULLS LAST, invoice_number DESC NULLS LAST, {value} DESC NULLS LAST) AS rn
+    FROM {src}) WHERE rn = 1)"""
