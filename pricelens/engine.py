@@ -13,18 +13,28 @@ from .sources import testdata
 class Engine:
     """Holds the cleaned tables; every analysis is a lazy DataFrame over them."""
 
-    def __init__(self, tables: Tables, as_of: str = "2001-08-01"):
+    def __init__(self, tables: Tables, as_of: str = "2001-08-01", raw=None):
+        """``raw`` is the raw tables or a zero-argument function producing them
+        (only the cleaning reports and the raw views read them)."""
         self.tables = tables
         self.as_of = as_of
+        self._raw = raw if raw is not None else tables.raw
+
+    @property
+    def raw(self) -> testdata.RawTables:
+        if callable(self._raw):
+            self._raw = self._raw()
+        return self._raw
 
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str, as_of: str = "2001-08-01") -> "Engine":
-        return cls(Tables.from_raw(testdata.load(spark, sf_dir)), as_of)
+        raw = testdata.load(spark, sf_dir)
+        return cls(Tables.from_raw(raw), as_of, raw)
 
     @classmethod
-    def from_silver(cls, spark: SparkSession, path: str, as_of: str = "2001-08-01") -> "Engine":
+    def from_silver(cls, spark: SparkSession, path: str, as_of: str = "2001-08-01", raw=None) -> "Engine":
         from .sources.sinks import read_silver
-        return cls(read_silver(spark, path), as_of)
+        return cls(read_silver(spark, path), as_of, raw)
 
     @cached_property
     def fact(self) -> DataFrame:
