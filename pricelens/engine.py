@@ -13,12 +13,15 @@ from .sources import testdata
 class Engine:
     """Holds the cleaned tables; every analysis is a lazy DataFrame over them."""
 
-    def __init__(self, tables: Tables, as_of: str = "2001-08-01", raw=None):
+    def __init__(self, tables: Tables, as_of: str = "2001-08-01", raw=None, fact: DataFrame | None = None):
         """``raw`` is the raw tables or a zero-argument function producing them
-        (only the cleaning reports and the raw views read them)."""
+        (only the cleaning reports and the raw views read them).  ``fact`` is a
+        materialised enriched fact; without it the fact is the B1 join."""
         self.tables = tables
         self.as_of = as_of
         self._raw = raw if raw is not None else tables.raw
+        if fact is not None:
+            self.__dict__["fact"] = fact
 
     @property
     def raw(self) -> testdata.RawTables:
@@ -34,7 +37,8 @@ class Engine:
     @classmethod
     def from_silver(cls, spark: SparkSession, path: str, as_of: str = "2001-08-01", raw=None) -> "Engine":
         from .sources.sinks import read_silver
-        return cls(read_silver(spark, path), as_of, raw)
+        tables, fact = read_silver(spark, path)
+        return cls(tables, as_of, raw, fact)
 
     @cached_property
     def fact(self) -> DataFrame:

@@ -69,9 +69,18 @@ def silver_path(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+_ENGINES: dict[tuple[str, str], Engine] = {}
+
+
 def engine_for(spark: SparkSession, sf_dir: str) -> Engine:
-    return Engine.from_silver(spark, silver_path(spark, sf_dir), as_of=AS_OF,
-                              raw=lambda: testdata.load(spark, sf_dir))
+    """One engine per (application, tables): its DataFrames are lazy and immutable,
+    so every query shares the same scans of the silver layer."""
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    path = silver_path(spark, sf_dir)
+    with _LOCK:
+        if key not in _ENGINES:
+            _ENGINES[key] = Engine.from_silver(spark, path, as_of=AS_OF, raw=lambda: testdata.load(spark, sf_dir))
+        return _ENGINES[key]
 
 
 def _load_all() -> None:

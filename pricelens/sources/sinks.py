@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.facts import Tables
+from ..operators.facts import Tables, enrich
 
 TABLES = ("sales", "landed_costs", "catalogue_prices", "customers", "pallets")
 
@@ -19,13 +19,27 @@ def write_silver(t: Tables, path: str, mode: str = "overwrite") -> None:
     or two year folders and its files are sorted by date for row-group skipping.
     ``overwrite`` replaces a table atomically per job commit.
     """
-    (t.sales.withColumn("invoice_year", F.substring("invoice_date", 1, 4))
-       .repartitionByRange("invoice_date").sortWithinPartitions("invoice_date")
-       .write.mode(mode).partitionBy("invoice_year").parquet(f"{path}/sales"))
     for name in TABLES[1:]:
         getattr(t, name).write.mode(mode).parquet(f"{path}/{name}")
+    # Sales are written already joined with their (deduplicated) dimensions: every
+    # analysis reads this enriched fact, so the join runs once per load, not per query.
+    dims = Tables(sales=t.sales, **{n: _read(t, path, n) for n in TABLES[1:]})
+    _write_dated(t.sales, f"{path}/sales", mode)
+    _write_dated(enrich(dims), f"{path}/fact", mode)
+
+
+def _read(t: Tables, path: str, name: str) -> DataFrame:
+    return t.sales.sparkSession.read.parquet(f"{path}/{name}")
+
+
+def _write_dated(df: DataFrame, path: str, mode: str) -> None:
+    (df.withColumn("invoice_year", F.substring("invoice_date", 1, 4))
+       .repartitionByRange("invoice_date").sortWithinPartitions("invoice_date")
+       .write.mode(mode).partitionBy("invoice_year").parquet(path))
 
 
-def read_silver(spark: SparkSession, path: str) -> Tables:
+def read_silver(spark: SparkSession, path: str) -> tuple[Tables, DataFrame]:
+    """The cleaned tables and the enriched fact written by ``write_silver``."""
     sales = spark.read.parquet(f"{path}/sales").drop("invoice_year")
-    return Tables(sales=sales, **{n: spark.read.parquet(f"{path}/{n}") for n in TABLES[1:]})
+    fact = spark.read.parquet(f"{path}/fact").drop("invoice_year")
+    return Tables(sales=sales, **{n: spark.read.parquet(f"{path}/{n}") for n in TABLES[1:]}), fact
