@@ -15,13 +15,14 @@ from ..functions.periods import period_key, season_key
 from .combine import side_by_side
 from .facts import Analysis, Window, base_filter
 
-_COST = F.when(F.coalesce(F.col("landed_cost_euro"), F.lit(0.0)) != 0,
-               F.col("quantity") * F.col("landed_cost_euro")).otherwise(F.lit(0.0))
+def _cost() -> F.Column:
+    return (F.when(F.coalesce(F.col("landed_cost_euro"), F.lit(0.0)) != 0,
+                   F.col("quantity") * F.col("landed_cost_euro")).otherwise(F.lit(0.0)))
 
 
 def _per_period(lines: DataFrame, group_by: str, week_mode: str = "iso") -> DataFrame:
     return (lines.groupBy(period_key("invoice_date", group_by, week_mode).alias("period"))
-            .agg(M.js_sum("line_total").alias("revenue"), M.js_sum(_COST).alias("cost"),
+            .agg(M.js_sum("line_total").alias("revenue"), M.js_sum(_cost()).alias("cost"),
                  F.count(F.lit(1)).alias("transaction_count"),
                  M.js_distinct_count("customer_code").alias("unique_customers"),
                  M.js_distinct_count("item_code").alias("unique_products")))
@@ -113,7 +114,7 @@ def growth(fact: DataFrame, window: Window, comparison_type: str = "previous_per
 
     def block(cond, p):
         return [M.js_sum(F.when(cond, F.col("line_total"))).alias(f"{p}_revenue"),
-                M.js_sum(F.when(cond, _COST)).alias(f"{p}_cost"),
+                M.js_sum(F.when(cond, _cost())).alias(f"{p}_cost"),
                 F.count(F.when(cond, 1)).alias(f"{p}_transactions"),
                 (F.countDistinct(F.when(cond, F.col("customer_code")))
                  + F.max(F.when(cond & F.col("customer_code").isNull(), 1).otherwise(0))).alias(f"{p}_customers")]
@@ -144,7 +145,7 @@ def forecast(fact: DataFrame, window: Window, group_by: str = "month", periods:
     """T5: flat forecast = mean per-period value x (mean of the last ``recent`` / mean of all)."""
     lines = base_filter(fact, window, include_returns=True, include_samples=False)
     per = (lines.groupBy(period_key("invoice_date", group_by).alias("period"))
-           .agg(M.js_sum("line_total").alias("revenue"), M.js_sum(_COST).alias("_cost"))
+           .agg(M.js_sum("line_total").alias("revenue"), M.js_sum(_cost()).alias("_cost"))
            .withColumn("margin", F.col("revenue") - F.col("_cost"))
            .withColumn("_from_end", F.row_number().over(W.orderBy(F.col("period").desc()))))
     stats = per.agg(F.count(F.lit(1)).alias("based_on_periods"), F.max("period").alias("_last"),
@@ -172,7 +173,7 @@ def margin_trend(fact: DataFrame, window: Window, group_by: str = "month", thres
     """Margin % per period; improving / declining when last - first moves by > threshold points."""
     lines = base_filter(fact, window, include_returns=True, include_samples=False)
     per = (lines.groupBy(period_key("invoice_date", group_by).alias("period"))
-           .agg(M.js_sum("line_total").alias("revenue"), M.js_sum(_COST).alias("cost"),
+           .agg(M.js_sum("line_total").alias("revenue"), M.js_sum(_cost()).alias("cost"),
                 F.count(F.lit(1)).alias("transaction_count")))
     periods = per.select("period", "revenue", "cost", (F.col("revenue") - F.col("cost")).alias("margin"),
                          M.margin_percent("revenue", "cost").alias("margin_percent"), "transaction_count")
