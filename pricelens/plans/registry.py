@@ -21,7 +21,7 @@ from ..engine import Engine
 from ..operators.facts import Tables, Window
 from ..session import checkpoint_dir
 from ..sources import testdata
-from ..sources.sinks import write_silver
+from ..sources.sinks import read_bronze, write_bronze, write_silver
 
 AS_OF = "2001-08-01"
 START, END = "1995-01-01", "2001-08-01"
@@ -50,7 +50,9 @@ _LOCK = threading.Lock()
 
 
 def silver_path(spark: SparkSession, sf_dir: str) -> str:
-    """Clean the fixture tables once per application and keep them as Parquet.
+    """Import the fixture tables once per application (bronze: the raw rows as
+    loaded, like the reference's raw database), clean them into the silver layer,
+    and keep both as Parquet.
 
     The silver copy lives under the cluster's shared ``spark.checkpoint.dir``, so
     it survives executor loss, and it cuts the lineage of the adapter and the
@@ -64,7 +66,9 @@ def silver_path(spark: SparkSession, sf_dir: str) -> str:
             if not base:  # only in tests / ad-hoc local sessions
                 base = tempfile.mkdtemp(prefix="pricelens-")
             path = f"{base.rstrip('/')}/pricelens-silver/{uuid.uuid4().hex}"
-            write_silver(Tables.from_raw(testdata.load(spark, sf_dir)), path)
+            raw = testdata.load(spark, sf_dir)
+            write_bronze(raw, f"{path}/bronze")
+            write_silver(Tables.from_raw(read_bronze(spark, f"{path}/bronze")), path)
             _SILVER[key] = path
     return path
 
@@ -79,13 +83,14 @@ def engine_for(spark: SparkSession, sf_dir: str) -> Engine:
     path = silver_path(spark, sf_dir)
     with _LOCK:
         if key not in _ENGINES:
-            _ENGINES[key] = Engine.from_silver(spark, path, as_of=AS_OF, raw=lambda: testdata.load(spark, sf_dir))
+            _ENGINES[key] = Engine.from_silver(spark, path, as_of=AS_OF,
+                                               raw=lambda: read_bronze(spark, f"{path}/bronze"))
         return _ENGINES[key]
 
 
 def _load_all() -> None:
     # Importing the modules registers their queries.
-    from . import queries_core, queries_customer_product, queries_discount, queries_trends, queries_quality, queries_views, queries_audit  # noqa: F401
+    from . import queries_core, queries_customer_product, queries_discount, queries_trends, queries_quality, queries_views, queries_audit, queries_extended  # noqa: F401
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,6 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.facts import Tables, enrich
+from .testdata import RawTables
+
+RAW_TABLES = ("sales_raw", "landed_costs", "catalogue_prices", "customer_product_keys", "pallet_sizes")
+
+
+def write_bronze(raw: RawTables, path: str, mode: str = "overwrite") -> None:
+    """Persist the imported, not yet cleaned tables (the raw database of the reference)."""
+    for name in RAW_TABLES:
+        getattr(raw, name).write.mode(mode).parquet(f"{path}/{name}")
+
+
+def read_bronze(spark: SparkSession, path: str) -> RawTables:
+    return RawTables(**{n: spark.read.parquet(f"{path}/{n}") for n in RAW_TABLES})
 
 TABLES = ("sales", "landed_costs", "catalogue_prices", "customers", "pallets")
 
