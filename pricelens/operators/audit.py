@@ -243,3 +243,22 @@ def month_over_month(t: Tables) -> DataFrame:
     m = t.sales.filter(F.col("invoice_date").isNotNull()).groupBy(F.substring("invoice_date", 1, 7).alias("month")).agg(
         M.money_sum("line_total").alias("total_revenue"))
     return m.withColumn("previous_revenue", F.lag("total_revenue").over(W.orderBy("month")))
+
+
+LINE_COLUMNS = ["invoice_number", "invoice_date", "customer_code", "item_code", "quantity", "unit_price", "line_total"]
+
+
+def row_samples(t: Tables, item_code: str, customer_code: str, n: int = 5) -> dict[str, DataFrame]:
+    """(a) lines with quantity <= 0, (b) lines with price <= 0 (first ``n`` of each,
+    in a total order), (c) the catalogue rows of one code, (d) blank pallet codes,
+    (e) name counts of one customer."""
+    order = [F.col(c).asc_nulls_last() for c in LINE_COLUMNS]
+    raw_pallets = t.raw.pallet_sizes if t.raw is not None else t.pallets
+    return {
+        "a": t.sales.filter(F.col("quantity") <= 0).select(*LINE_COLUMNS).orderBy(*order).limit(n),
+        "b": t.sales.filter(F.col("unit_price") <= 0).select(*LINE_COLUMNS).orderBy(*order).limit(n),
+        "c": t.catalogue_prices.filter(F.col("item_code") == item_code),
+        "d": raw_pallets.filter(F.col("item_code").isNull() | (F.trim("item_code") == "")).limit(n),
+        "e": t.sales.filter(F.col("customer_code") == customer_code).groupBy("customer_name")
+              .agg(F.count(F.lit(1)).alias("occurrences")),
+    }

@@ -124,5 +124,17 @@ SPECS = [
        WHERE invoice_date IS NOT NULL GROUP BY 1)""")),
 ]
 
+_LINE = "invoice_number, invoice_date, customer_code, item_code, quantity, unit_price, line_total"
+SPECS += [
+    ("a16a_non_positive_quantity_sample", lambda e: audit.row_samples(e.tables, ITEM, CUSTOMER)["a"],
+     _q(select=f"SELECT {_LINE} FROM sales WHERE quantity <= 0 ORDER BY {_LINE} LIMIT 5")),
+    ("a16b_non_positive_price_sample", lambda e: audit.row_samples(e.tables, ITEM, CUSTOMER)["b"],
+     _q(select=f"SELECT {_LINE} FROM sales WHERE unit_price <= 0 ORDER BY {_LINE} LIMIT 5")),
+    ("a16c_catalogue_rows_of_code", lambda e: audit.row_samples(e.tables, ITEM, CUSTOMER)["c"],
+     _q(select=f"SELECT * FROM catalogue_prices WHERE item_code = '{ITEM}'")),
+    ("a16e_name_counts_of_customer", lambda e: audit.row_samples(e.tables, ITEM, CUSTOMER)["e"],
+     _q(select=f"SELECT customer_name, count(*) AS occurrences FROM sales WHERE customer_code = '{CUSTOMER}' GROUP BY customer_name")),
+]
+
 for _name, _fn, _sql in SPECS:
     register(_name, _sql)(_fn)
