@@ -24,11 +24,12 @@ def g1_derived_catalogue_prices(e):
     return discount.derived_catalogue_prices(lines_)
 
 
-_G2 = (*_G1, """pr AS (SELECT l.*, CASE WHEN coalesce(ie_base, 0e0) <> 0 THEN ie_base ELSE dp.derived_price END AS price
+def g2_ctes(min_discount: float = 5, min_lines: int = 5):
+    return (*_G1, """pr AS (SELECT l.*, CASE WHEN coalesce(ie_base, 0e0) <> 0 THEN ie_base ELSE dp.derived_price END AS price
        FROM l LEFT JOIN dp ON l.item_code = dp.item_code),
 v AS (SELECT *, quantity * price AS potential, (quantity * price - line_total) / (quantity * price) * 100 AS disc
       FROM pr WHERE price IS NOT NULL AND price > 0 AND quantity <> 0),
-v2 AS (SELECT * FROM v WHERE disc >= 5)""", newest("customer_name", "customer_code", "v2", "nm"), f"""g AS (
+v2 AS (SELECT * FROM v WHERE disc >= """ + repr(float(min_discount)) + """e0)""", newest("customer_name", "customer_code", "v2", "nm"), f"""g AS (
   SELECT v2.customer_code AS dimension_key, nm.newest_value AS dimension_name,
          coalesce({msum('line_total')}, 0e0) AS revenue_with_discount, coalesce({msum('potential')}, 0e0) AS revenue_without_discount,
          coalesce({msum(_COST)}, 0e0) AS cost, {fine_mean('disc')} AS avg_discount_percent, count(*) AS transaction_count
@@ -40,7 +41,10 @@ items AS (
          CASE WHEN revenue_without_discount - cost > 0
               THEN ((revenue_without_discount - cost) - (revenue_with_discount - cost)) / (revenue_without_discount - cost) * 100
               ELSE 0e0 END AS margin_erosion_percent, transaction_count
-  FROM g WHERE transaction_count >= 5)""")
+  FROM g WHERE transaction_count >= {min_lines})""")
+
+
+_G2 = g2_ctes()
 
 
 @register("g2_discount_effectiveness", _q(*_G2, select="""
