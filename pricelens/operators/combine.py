@@ -1,8 +1,8 @@
-"""Combining single-row aggregates.
+"""Attaching single-row aggregates (totals, thresholds, KPIs) to other DataFrames.
 
-Several summaries are a handful of global aggregates over different filters.  Each
-is exactly one row, so joining them on a constant key is a 1 x 1 join: the size
-bound is structural, independent of the data volume.
+A one-row aggregate is attached as a scalar subquery: Spark computes it once and
+inlines the value, so there is no join at all (no nested-loop or cartesian
+product, no shuffle of the receiving side).
 """
 
 from __future__ import annotations
@@ -13,7 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def side_by_side(*single_rows: DataFrame) -> DataFrame:
-    """Put one-row DataFrames next to each other (columns must be distinct)."""
-    keyed = [d.withColumn("_one", F.lit(1)) for d in single_rows]
-    return reduce(lambda a, b: a.join(F.broadcast(b), "_one"), keyed).drop("_one")
+def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add every column of the single-row ``one_row`` to each row of ``df``."""
+    cols = one_row.columns
+    packed = one_row.select(F.struct(*[F.col(c) for c in cols]).alias("_s")).scalar()
+    return df.withColumn("_s", packed).select(*df.columns, *[F.col("_s")[c].alias(c) for c in cols])
+
+
+def side_by_side(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """``first`` (any number of rows) with the columns of the one-row ``others`` added."""
+    return reduce(attach, others, first)
