@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators.facts import Tables, Window, enrich
+from .operators.facts import Tables, DateWindow, enrich
 from .sources import testdata
 
 
@@ -44,5 +44,5 @@ class Engine:
     def fact(self) -> DataFrame:
         return enrich(self.tables)
 
-    def window(self, start: str | None = None, end: str | None = None) -> Window:
-        return Window(start, end, self.as_of)
+    def window(self, start: str | None = None, end: str | None = None) -> DateWindow:
+        return DateWindow(start, end, self.as_of)

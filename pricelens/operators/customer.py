@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from .combine import side_by_side
-from .facts import Analysis, Window, base_filter, customer_sales
+from .facts import Analysis, DateWindow, base_filter, customer_sales
 
 _RANK = ["customer_code", "customer_name"]
 
 
-def _purchase_dates(fact: DataFrame, window: Window) -> DataFrame:
+def _purchase_dates(fact: DataFrame, window: DateWindow) -> DataFrame:
     lines = base_filter(fact, window, include_returns=False, include_samples=False)
     return lines.groupBy("customer_code").agg(F.min("invoice_date").alias("first_purchase_date"),
                                              F.max("invoice_date").alias("last_purchase_date"))
@@ -29,7 +29,7 @@ def _ranked(df: DataFrame, order_col: str = "total_revenue") -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w))
 
 
-def lifetime_value(fact: DataFrame, window: Window, limit: int = 20, customer_code: str | None = None) -> Analysis:
+def lifetime_value(fact: DataFrame, window: DateWindow, limit: int = 20, customer_code: str | None = None) -> Analysis:
     """Top customers by revenue with first/last purchase, age, AOV and purchase frequency."""
     top = customer_sales(fact, window, include_returns=False, include_samples=False,
                          customer_codes=[customer_code] if customer_code else None,
@@ -57,7 +57,7 @@ def _segment(value: str, high: str, mid: str) -> F.Column:
             .otherwise("low"))
 
 
-def segmentation(fact: DataFrame, window: Window, limit: int = 20, population: int = 200) -> Analysis:
+def segmentation(fact: DataFrame, window: DateWindow, limit: int = 20, population: int = 200) -> Analysis:
     """Revenue and margin segments from the exact 33rd/67th positions of the top list."""
     top = (customer_sales(fact, window, include_returns=False, include_samples=False,
                           sort_by="revenue", limit=population)
@@ -92,7 +92,7 @@ def segmentation(fact: DataFrame, window: Window, limit: int = 20, population: i
     return Analysis(summary, items)
 
 
-def churn_risk(fact: DataFrame, window: Window, inactivity_days: int = 90, high_value: float = 10000,
+def churn_risk(fact: DataFrame, window: DateWindow, inactivity_days: int = 90, high_value: float = 10000,
                limit: int = 20, population: int = 200) -> Analysis:
     """Top customers silent for more than ``inactivity_days``; high risk above ``high_value``."""
     top = customer_sales(fact, window, include_returns=False, include_samples=False, sort_by="revenue",
@@ -121,7 +121,7 @@ def churn_risk(fact: DataFrame, window: Window, inactivity_days: int = 90, high_
     return Analysis(summary, items)
 
 
-def concentration(fact: DataFrame, window: Window, limit: int = 20, population: int = 500) -> Analysis:
+def concentration(fact: DataFrame, window: DateWindow, limit: int = 20, population: int = 500) -> Analysis:
     """U4: revenue share and running share of the top customers; customers needed for 80 %."""
     top = customer_sales(fact, window, include_returns=False, include_samples=False, sort_by="revenue",
                          limit=population).select(*_RANK, "total_revenue")

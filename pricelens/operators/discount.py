@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from .combine import side_by_side
-from .facts import Analysis, Window, base_filter, line_cost, newest
+from .facts import Analysis, DateWindow, base_filter, line_cost, newest
 
 OVERALL_NAME = {"discount": "All Transactions", "returns": "All", "rebates": "All"}
 
@@ -35,7 +35,7 @@ def derived_catalogue_prices(lines: DataFrame) -> DataFrame:
             .groupBy("item_code").agg(F.max("unit_price").alias("derived_price")))
 
 
-def discount_effectiveness(fact: DataFrame, window: Window, dim: str = "customer", min_discount: float = 5,
+def discount_effectiveness(fact: DataFrame, window: DateWindow, dim: str = "customer", min_discount: float = 5,
                            min_lines: int = 5, limit: int | None = 20) -> Analysis:
     """Revenue and margin given away by discounts, per dimension."""
     lines = base_filter(fact, window, include_returns=True, include_samples=False)
@@ -75,7 +75,7 @@ def discount_effectiveness(fact: DataFrame, window: Window, dim: str = "customer
     return Analysis(summary, ranked.limit(limit) if limit else ranked)
 
 
-def high_discounts(fact: DataFrame, window: Window, threshold: float = 20, limit: int | None = 20) -> Analysis:
+def high_discounts(fact: DataFrame, window: DateWindow, threshold: float = 20, limit: int | None = 20) -> Analysis:
     """Lines discounted at or above ``threshold`` (non-return, non-sample), largest first."""
     lines = base_filter(fact, window, include_returns=False, include_samples=False) \
         .filter(F.col("discount_percent") >= threshold)
@@ -93,7 +93,7 @@ def high_discounts(fact: DataFrame, window: Window, threshold: float = 20, limit
     return Analysis(summary, items)
 
 
-def returns(fact: DataFrame, window: Window, dim: str = "product", limit: int | None = 20) -> Analysis:
+def returns(fact: DataFrame, window: DateWindow, dim: str = "product", limit: int | None = 20) -> Analysis:
     """INV sales against returned value per dimension."""
     lines = base_filter(fact, window, include_returns=True, include_samples=True)
     is_sale = F.col("document_type") == "INV"
@@ -120,7 +120,7 @@ def returns(fact: DataFrame, window: Window, dim: str = "product", limit: int |
     return Analysis(summary, ranked)
 
 
-def rebates(fact: DataFrame, window: Window, dim: str = "customer", limit: int | None = 20) -> Analysis:
+def rebates(fact: DataFrame, window: DateWindow, dim: str = "customer", limit: int | None = 20) -> Analysis:
     """Non-return credit notes against INV sales per customer / month / overall."""
     if dim == "product":  # the reference has no product rebate key; it falls back to overall
         dim = "overall"
@@ -152,7 +152,7 @@ def rebates(fact: DataFrame, window: Window, dim: str = "customer", limit: int |
     return Analysis(summary, ranked)
 
 
-def credit_notes(fact: DataFrame, window: Window) -> DataFrame:
+def credit_notes(fact: DataFrame, window: DateWindow) -> DataFrame:
     """One-row credit-note overview (single pass of conditional aggregates)."""
     lines = base_filter(fact, window, include_returns=True, include_samples=False)
     inv = (F.col("document_type") == "INV") & (F.col("is_return") == 0)

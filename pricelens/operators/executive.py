@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from .combine import side_by_side
-from .facts import Window, base_filter, customer_sales, line_cost
+from .facts import DateWindow, base_filter, customer_sales, line_cost
 from .margin import customer_profitability, product_performance
 
 
-def dashboard(fact: DataFrame, window: Window, top_n: int = 10) -> DataFrame:
+def dashboard(fact: DataFrame, window: DateWindow, top_n: int = 10) -> DataFrame:
     """13 KPIs in one row.
 
     Line KPIs come from one pass over INV, non-return, non-sample lines.  The return
@@ -50,21 +50,21 @@ def dashboard(fact: DataFrame, window: Window, top_n: int = 10) -> DataFrame:
         M.average("_discount_sum", "transaction_count").alias("avg_discount_percent"))
 
 
-def negative_margin_customers(fact: DataFrame, window: Window, n: int = 10) -> DataFrame:
+def negative_margin_customers(fact: DataFrame, window: DateWindow, n: int = 10) -> DataFrame:
     """Worst customers by margin (returns on, margin % <= 0)."""
     return (customer_profitability(fact, window, include_returns=True, max_margin_percent=0,
                                    sort_by="margin", order="asc", limit=n)
             .select("customer_code", "customer_name", F.col("gross_margin").alias("margin")))
 
 
-def negative_margin_products(fact: DataFrame, window: Window, n: int = 10) -> DataFrame:
+def negative_margin_products(fact: DataFrame, window: DateWindow, n: int = 10) -> DataFrame:
     """Worst products by margin (margin % <= 0, at least one line)."""
     return (product_performance(fact, window, max_margin_percent=0, min_transactions=1,
                                 sort_by="margin", order="asc", limit=n)
             .select("item_code", "product_description", "margin"))
 
 
-def high_discount_lines(fact: DataFrame, window: Window, threshold: float = 20, n: int = 10) -> DataFrame:
+def high_discount_lines(fact: DataFrame, window: DateWindow, threshold: float = 20, n: int = 10) -> DataFrame:
     """INV non-return non-sample lines with discount above the threshold, largest first."""
     lines = base_filter(fact, window, include_returns=False, include_samples=False, document_types=("INV",))
     out = (lines.filter(F.col("discount_percent") > threshold)
@@ -74,7 +74,7 @@ def high_discount_lines(fact: DataFrame, window: Window, threshold: float = 20,
     return M.top(out, "discount_percent", "desc", n, "invoice_number", "item_code", "customer_code", "margin")
 
 
-def inactive_high_value(fact: DataFrame, window: Window, lifetime: Window | None = None,
+def inactive_high_value(fact: DataFrame, window: DateWindow, lifetime: DateWindow | None = None,
                         inactive_days: int = 90, min_revenue: float = 10000, n: int = 10) -> DataFrame:
     """E5: customers silent for more than ``inactive_days`` with revenue above ``min_revenue``.
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from .combine import side_by_side
-from .facts import Analysis, Window, base_filter, line_cost, newest, product_sales, customer_sales
+from .facts import Analysis, DateWindow, base_filter, line_cost, newest, product_sales, customer_sales
 from . import customer as customer_ops
 from . import discount as discount_ops
 from . import executive as executive_ops
@@ -24,7 +24,7 @@ from .trends import growth
 TIERS = ("ie_trade", "ie_high", "ie_mid", "ie_low", "ie_base", "ie_edm", "ie_anew")
 
 
-def _lines(fact: DataFrame, window: Window, returns: bool = False, samples: bool = False) -> DataFrame:
+def _lines(fact: DataFrame, window: DateWindow, returns: bool = False, samples: bool = False) -> DataFrame:
     return base_filter(fact, window, include_returns=returns, include_samples=samples)
 
 
@@ -36,7 +36,7 @@ def _margin_cols(rev: str = "revenue", cost: str = "cost") -> list:
     return [M.margin(rev, cost).alias("margin"), M.margin_percent(rev, cost).alias("margin_percent")]
 
 
-def margin_by_dimension(fact: DataFrame, window: Window, group_by: str = "customer", only_negative: bool = False,
+def margin_by_dimension(fact: DataFrame, window: DateWindow, group_by: str = "customer", only_negative: bool = False,
                         min_margin_percent=None, max_margin_percent=None) -> DataFrame:
     """Revenue, cost, margin per customer / product / month / customer_product."""
     keys = {"customer": ["customer_code", "customer_name"], "product": ["item_code"],
@@ -54,7 +54,7 @@ def margin_by_dimension(fact: DataFrame, window: Window, group_by: str = "custom
     return out
 
 
-def customer_product_matrix(fact: DataFrame, window: Window, customer_code=None, item_code=None) -> DataFrame:
+def customer_product_matrix(fact: DataFrame, window: DateWindow, customer_code=None, item_code=None) -> DataFrame:
     """One row per (customer, product) with margin, average price and average discount."""
     lines = _lines(fact, window)
     if customer_code:
@@ -85,7 +85,7 @@ def _tier_price() -> F.Column:
     return expr
 
 
-def price_tier_usage(fact: DataFrame, window: Window, tolerance: float = 0.01) -> DataFrame:
+def price_tier_usage(fact: DataFrame, window: DateWindow, tolerance: float = 0.01) -> DataFrame:
     """Lines, revenue and average price per (item, matched tier)."""
     lines = _lines(fact, window).withColumn("tier_matched", matched_tier(tolerance))
     return (lines.withColumn("_tier_price", _tier_price())
@@ -94,7 +94,7 @@ def price_tier_usage(fact: DataFrame, window: Window, tolerance: float = 0.01) -
                  M.js_mean("unit_price").alias("avg_actual_price"), F.max("_tier_price").alias("catalogue_price")))
 
 
-def price_position(fact: DataFrame, window: Window, item_code=None) -> DataFrame:
+def price_position(fact: DataFrame, window: DateWindow, item_code=None) -> DataFrame:
     """Spread of the average price each customer pays per item (two-level aggregate)."""
     lines = _lines(fact, window)
     if item_code:
@@ -111,14 +111,14 @@ def price_position(fact: DataFrame, window: Window, item_code=None) -> DataFrame
             .withColumn("price_spread", F.col("max_price") - F.col("min_price")))
 
 
-def lifetime_value_annual(fact: DataFrame, window: Window, limit: int = 20) -> DataFrame:
+def lifetime_value_annual(fact: DataFrame, window: DateWindow, limit: int = 20) -> DataFrame:
     """U1 plus ``estimated_annual_value`` = revenue / age days x 365."""
     items = customer_ops.lifetime_value(fact, window, limit=limit).items
     return items.withColumn("estimated_annual_value",
                             F.col("total_revenue") / F.col("customer_age_days") * 365)
 
 
-def churn_decline(fact: DataFrame, window: Window, inactivity_days: int = 90, decline_threshold: float = 30,
+def churn_decline(fact: DataFrame, window: DateWindow, inactivity_days: int = 90, decline_threshold: float = 30,
                   high_value: float = 10000) -> DataFrame:
     """Revenue in the first vs second half of the window; decline % = (prev - curr) / prev x 100.
 
@@ -146,7 +146,7 @@ def churn_decline(fact: DataFrame, window: Window, inactivity_days: int = 90, de
     return out.filter(F.col("risk_level") != "low")
 
 
-def herfindahl(fact: DataFrame, window: Window) -> DataFrame:
+def herfindahl(fact: DataFrame, window: DateWindow) -> DataFrame:
     """Herfindahl index of customer revenue shares, sum(share^2) = sum(r^2) / (sum r)^2, in one pass."""
     per = customer_sales(fact, window, include_returns=False, include_samples=False)
     r = F.col("total_revenue")
@@ -156,14 +156,14 @@ def herfindahl(fact: DataFrame, window: Window) -> DataFrame:
         F.try_divide(F.col("_sq"), F.col("total_revenue") * F.col("total_revenue")).alias("concentration_index"))
 
 
-def product_ranks(fact: DataFrame, window: Window, limit: int = 100) -> DataFrame:
+def product_ranks(fact: DataFrame, window: DateWindow, limit: int = 100) -> DataFrame:
     """M2 top products with revenue and margin ranks (ranks within the listed products)."""
     top = product_performance(fact, window, sort_by="revenue", limit=limit)
     return (top.withColumn("revenue_rank", F.rank().over(W.orderBy(F.col("revenue").desc_nulls_last())))
                .withColumn("margin_rank", F.rank().over(W.orderBy(F.col("margin").desc_nulls_last()))))
 
 
-def cannibalisation_switching(fact: DataFrame, window: Window, min_shared_customers: int = 5,
+def cannibalisation_switching(fact: DataFrame, window: DateWindow, min_shared_customers: int = 5,
                               products: int = 100) -> DataFrame:
     """D4 pairs with switching counts (A->B when the last A purchase precedes the first
     B purchase) and each product's revenue trend (second-half vs first-half growth %)."""
@@ -199,7 +199,7 @@ def cannibalisation_switching(fact: DataFrame, window: Window, min_shared_custom
                                                            "customers_switching_from_b_to_a"]))
 
 
-def cross_sell_lift(fact: DataFrame, window: Window, min_co_occurrence: int = 5) -> DataFrame:
+def cross_sell_lift(fact: DataFrame, window: DateWindow, min_co_occurrence: int = 5) -> DataFrame:
     """D3 pairs with basket lift = count_ab x N / (n_a x n_b) and customer-based confidence."""
     pairs = product_ops.cross_sell(fact, window, min_co_occurrence, limit=None).items
     baskets = product_ops._basket_items(fact, window)
@@ -215,7 +215,7 @@ def cross_sell_lift(fact: DataFrame, window: Window, min_co_occurrence: int = 5)
                     (F.col("co_occurrence_count") * F.col("_baskets") / (F.col("_na") * F.col("_nb"))).alias("lift"))
 
 
-def discount_volume_lift(fact: DataFrame, window: Window, group_by: str = "customer") -> DataFrame:
+def discount_volume_lift(fact: DataFrame, window: DateWindow, group_by: str = "customer") -> DataFrame:
     """X11: volumes on discounted (discount % > 0) vs undiscounted lines with a base price;
     volume lift % = (mean qty discounted - mean qty undiscounted) / mean qty undiscounted x 100."""
     lines = _lines(fact, window).filter(F.col("ie_base").isNotNull() & (F.col("ie_base") > 0) & (F.col("quantity") != 0))
@@ -232,7 +232,7 @@ def discount_volume_lift(fact: DataFrame, window: Window, group_by: str = "custo
     return g.withColumn("volume_lift_percent", F.when(wo_avg > 0, (w_avg - wo_avg) / wo_avg * 100))
 
 
-def sample_impact(fact: DataFrame, window: Window) -> DataFrame:
+def sample_impact(fact: DataFrame, window: DateWindow) -> DataFrame:
     """Samples given and paid business per customer; ROI = (paid margin - sample cost) / sample cost."""
     lines = _lines(fact, window, returns=False, samples=True).filter(F.col("customer_code").isNotNull())
     s = F.col("is_sample") == 1
@@ -251,7 +251,7 @@ def sample_impact(fact: DataFrame, window: Window) -> DataFrame:
                     F.when(cost != 0, (margin - cost) / cost).alias("estimated_roi"))
 
 
-def _orders(fact: DataFrame, window: Window, pallets: DataFrame) -> DataFrame:
+def _orders(fact: DataFrame, window: DateWindow, pallets: DataFrame) -> DataFrame:
     """Order = quantity per (invoice, item), for items with a positive pallet size."""
     lines = _lines(fact, window).filter(F.col("document_type") == "INV")
     orders = lines.groupBy("invoice_number", "customer_code", "customer_name", "item_code").agg(
@@ -260,7 +260,7 @@ def _orders(fact: DataFrame, window: Window, pallets: DataFrame) -> DataFrame:
     return orders.join(sizes, "item_code")
 
 
-def pallet_optimisation(fact: DataFrame, window: Window, pallets: DataFrame) -> DataFrame:
+def pallet_optimisation(fact: DataFrame, window: DateWindow, pallets: DataFrame) -> DataFrame:
     """Orders whose quantity is a whole multiple of the pallet size, per item."""
     o = _orders(fact, window, pallets)
     match = (F.col("order_quantity") > 0) & (F.pmod(F.col("order_quantity"), F.col("pallet_quantity")) == 0)
@@ -274,7 +274,7 @@ def pallet_optimisation(fact: DataFrame, window: Window, pallets: DataFrame) ->
             .withColumn("optimization_rate_percent", F.col("orders_matching_pallet") / F.col("total_orders") * 100))
 
 
-def order_efficiency(fact: DataFrame, window: Window, pallets: DataFrame) -> DataFrame:
+def order_efficiency(fact: DataFrame, window: DateWindow, pallets: DataFrame) -> DataFrame:
     """Per customer: average order size, lines per order, pallet equivalents,
     small (< 1 pallet) and optimal (whole multiple) orders, score = optimal / orders x 100."""
     o = _orders(fact, window, pallets)
@@ -292,7 +292,7 @@ def order_efficiency(fact: DataFrame, window: Window, pallets: DataFrame) -> Dat
             .drop("_orders"))
 
 
-def tier_performance_by_tier(fact: DataFrame, window: Window, tolerance: float = 0.01) -> DataFrame:
+def tier_performance_by_tier(fact: DataFrame, window: DateWindow, tolerance: float = 0.01) -> DataFrame:
     """Revenue, margin and distinct customers / products per matched price tier."""
     lines = _lines(fact, window).withColumn("price_tier", matched_tier(tolerance))
     g = lines.groupBy("price_tier").agg(
@@ -321,7 +321,7 @@ def orphan_status(t, fact: DataFrame | None = None) -> DataFrame:
     return g.withColumn("issue_type", issue).filter(F.col("issue_type").isNotNull())
 
 
-def margin_contribution(fact: DataFrame, window: Window, population: int = 500) -> DataFrame:
+def margin_contribution(fact: DataFrame, window: DateWindow, population: int = 500) -> DataFrame:
     """Margin and revenue share of the top customers by margin, with cumulative margin %.
 
     Shares are of the all-customer totals; the running sum covers the ``population`` cap."""
@@ -341,7 +341,7 @@ def margin_contribution(fact: DataFrame, window: Window, population: int = 500)
         (F.try_divide(running, F.col("_tm")) * 100).alias("cumulative_margin_percent"))
 
 
-def breakeven(fact: DataFrame, window: Window, target_margin_percent: float = 20) -> DataFrame:
+def breakeven(fact: DataFrame, window: DateWindow, target_margin_percent: float = 20) -> DataFrame:
     """Break-even price = landed cost; target price = cost / (1 - t); increase needed if below it."""
     p = product_sales(fact, window, include_returns=False, include_samples=False).filter(
         F.col("landed_cost_euro").isNotNull() & (F.col("landed_cost_euro") > 0))
@@ -356,7 +356,7 @@ def breakeven(fact: DataFrame, window: Window, target_margin_percent: float = 20
                     F.when(current > 0, inc / current * 100).alias("price_increase_percent"))
 
 
-def waterfall(fact: DataFrame, window: Window) -> DataFrame:
+def waterfall(fact: DataFrame, window: DateWindow) -> DataFrame:
     """List-price gross -> returns -> rebates -> net -> discounts -> cost of goods -> margin.
 
     Gross values INV lines at the base catalogue price where there is one (else at the
@@ -382,7 +382,7 @@ def waterfall(fact: DataFrame, window: Window) -> DataFrame:
                     .alias("gross_margin_percent"))
 
 
-def price_elasticity(fact: DataFrame, window: Window, item_code: str | None = None, min_lines: int = 3) -> DataFrame:
+def price_elasticity(fact: DataFrame, window: DateWindow, item_code: str | None = None, min_lines: int = 3) -> DataFrame:
     """Slope of ln(quantity) on ln(price) over qty > 0, price > 0 lines, per item.
 
     |e| > 1.05 elastic, < 0.95 inelastic, else unit elastic; ``correlation`` = corr(price, qty)."""
@@ -406,7 +406,7 @@ def price_elasticity(fact: DataFrame, window: Window, item_code: str | None = No
                         .when(e > 1.05, "elastic").when(e < 0.95, "inelastic").otherwise("unit_elastic")))
 
 
-def contribution_by_segment(fact: DataFrame, window: Window, customers: DataFrame,
+def contribution_by_segment(fact: DataFrame, window: DateWindow, customers: DataFrame,
                             segment_by: str = "customer_segment") -> DataFrame:
     """Contribution margin per segment (customer, product, buying group or region)."""
     lines = _lines(fact, window)
@@ -428,7 +428,7 @@ def contribution_by_segment(fact: DataFrame, window: Window, customers: DataFram
                     .alias("contribution_margin_ratio"))
 
 
-def ltv_prediction(fact: DataFrame, window: Window, limit: int = 20) -> DataFrame:
+def ltv_prediction(fact: DataFrame, window: DateWindow, limit: int = 20) -> DataFrame:
     """Next-12-month revenue = revenue / age x 365 x retention (low 1, medium 0.5,
     high 0.2 churn risk); margin at the historical rate; confidence = min(1, lines / 24)."""
     items = customer_ops.lifetime_value(fact, window, limit=limit).items
@@ -463,13 +463,13 @@ def wider_quality_report(t) -> DataFrame:
     return to_long(wide).unionByName(to_long(names))
 
 
-def dashboard_with_comparison(fact: DataFrame, window: Window) -> DataFrame:
+def dashboard_with_comparison(fact: DataFrame, window: DateWindow) -> DataFrame:
     """E1 plus revenue growth against the previous period of the same length (T4)."""
     g = growth(fact, window).summary.select(F.col("overall_growth_percent").alias("period_over_period_growth"))
     return side_by_side(executive_ops.dashboard(fact, window), g)
 
 
-def discount_impact(fact: DataFrame, window: Window, dim: str = "customer", min_discount: float = 0) -> DataFrame:
+def discount_impact(fact: DataFrame, window: DateWindow, dim: str = "customer", min_discount: float = 0) -> DataFrame:
     """Revenue before discount, discount given and margin with / without it, per dimension."""
     a = discount_ops.discount_effectiveness(fact, window, dim=dim, min_discount=min_discount, min_lines=1, limit=None)
     return a.items.select("dimension_key", "dimension_name", F.col("revenue_with_discount").alias("total_revenue"),
@@ -480,7 +480,7 @@ def discount_impact(fact: DataFrame, window: Window, dim: str = "customer", min_
                           "transaction_count")
 
 
-def problem_report_extra(fact: DataFrame, window: Window, n: int = 10) -> Analysis:
+def problem_report_extra(fact: DataFrame, window: DateWindow, n: int = 10) -> Analysis:
     """High-return-rate products (G4) and slow-moving stock (D1), top ``n`` each."""
     return Analysis(discount_ops.returns(fact, window, dim="product", limit=n).items,
                     product_ops.slow_movers(fact, window, limit=n).items)

@@ -44,7 +44,7 @@ class Tables:
 
 
 @dataclass(frozen=True)
-class Window:
+class DateWindow:
     """Inclusive date window on the text ``invoice_date``.
 
     ``as_of`` replaces "now" for every now-relative rule.  When either end is
@@ -94,7 +94,7 @@ def line_cost(fact_df: DataFrame | None = None) -> F.Column:
     return F.col("quantity") * F.coalesce(F.col("landed_cost_euro"), F.lit(0.0))
 
 
-def base_filter(fact: DataFrame, window: Window, include_returns: bool = True, include_samples: bool = True,
+def base_filter(fact: DataFrame, window: DateWindow, include_returns: bool = True, include_samples: bool = True,
                 document_types=("INV", "CRN")) -> DataFrame:
     df = fact.filter(F.col("document_type").isin(*document_types)).filter(window.predicate())
     if not include_samples:
@@ -109,7 +109,7 @@ TRANSACTION_COLUMNS = ["invoice_number", "invoice_date", "customer_code", "custo
                        "is_sample", "is_return", "landed_cost_euro"]
 
 
-def sales_transactions(fact: DataFrame, window: Window, include_returns: bool = True,
+def sales_transactions(fact: DataFrame, window: DateWindow, include_returns: bool = True,
                        include_samples: bool = True, document_types=("INV", "CRN"),
                        customer_code: str | None = None, customer_codes=None,
                        item_code: str | None = None, item_codes=None,
@@ -150,7 +150,7 @@ def _having(df: DataFrame, min_revenue=None, max_revenue=None, min_quantity=None
     return df
 
 
-def customer_sales(fact: DataFrame, window: Window, include_returns: bool = True, include_samples: bool = True,
+def customer_sales(fact: DataFrame, window: DateWindow, include_returns: bool = True, include_samples: bool = True,
                    customer_codes=None, min_revenue=None, max_revenue=None, min_transactions=None,
                    sort_by: str | None = None, sort_order: str = "desc", limit: int | None = None) -> DataFrame:
     """B2 ``getCustomerSales``: one row per (customer_code, customer_name)."""
@@ -171,7 +171,7 @@ def customer_sales(fact: DataFrame, window: Window, include_returns: bool = True
     return out
 
 
-def product_sales(fact: DataFrame, window: Window, include_returns: bool = True, include_samples: bool = True,
+def product_sales(fact: DataFrame, window: DateWindow, include_returns: bool = True, include_samples: bool = True,
                   item_codes=None, min_revenue=None, max_revenue=None, min_quantity=None, min_transactions=None,
                   sort_by: str | None = None, sort_order: str = "desc", limit: int | None = None,
                   price_tier: str | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
-from .facts import Window, customer_sales, product_sales
+from .facts import DateWindow, customer_sales, product_sales
 
 
 def _margin_band(df: DataFrame, min_margin_percent=None, max_margin_percent=None) -> DataFrame:
@@ -21,7 +21,7 @@ _CUSTOMER_SORT = {"margin": "gross_margin", "revenue": "total_revenue", "margin_
                   "quantity": "total_quantity"}
 
 
-def customer_profitability(fact: DataFrame, window: Window, include_returns: bool = False,
+def customer_profitability(fact: DataFrame, window: DateWindow, include_returns: bool = False,
                            sort_by: str = "margin", order: str = "desc", limit: int | None = 100,
                            min_margin_percent=None, max_margin_percent=None, min_revenue=None,
                            min_transactions=None) -> DataFrame:
@@ -43,7 +43,7 @@ _PRODUCT_SORT = {"revenue": "revenue", "margin": "margin", "quantity": "quantity
                  "margin_percent": "margin_percent"}
 
 
-def product_performance(fact: DataFrame, window: Window, sort_by: str = "revenue", order: str = "desc",
+def product_performance(fact: DataFrame, window: DateWindow, sort_by: str = "revenue", order: str = "desc",
                         limit: int | None = 100, min_margin_percent=None, max_margin_percent=None,
                         min_revenue=None, min_transactions=None, include_returns: bool = True,
                         include_samples: bool = True) -> DataFrame:

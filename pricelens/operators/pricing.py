@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from .combine import side_by_side
-from .facts import Analysis, Window, base_filter, newest, product_sales
+from .facts import Analysis, DateWindow, base_filter, newest, product_sales
 
 TIERS = ("ie_trade", "ie_high", "ie_mid", "ie_low", "ie_base", "ie_edm", "ie_anew")
 
 
-def price_variance(fact: DataFrame, window: Window, min_variance_percent: float = 5, limit: int = 20,
+def price_variance(fact: DataFrame, window: DateWindow, min_variance_percent: float = 5, limit: int = 20,
                    price_tier: str = "ie_trade", item_code: str | None = None) -> Analysis:
     """Top products by revenue vs their catalogue price (the chosen tier, K10)."""
     products = product_sales(fact, window, include_returns=True, include_samples=False,
@@ -33,7 +33,7 @@ def price_variance(fact: DataFrame, window: Window, min_variance_percent: float
     return Analysis(summary, items)
 
 
-def price_consistency(fact: DataFrame, window: Window, min_variance_percent: float = 5, limit: int | None = 20,
+def price_consistency(fact: DataFrame, window: DateWindow, min_variance_percent: float = 5, limit: int | None = 20,
                       customer_code: str | None = None, item_code: str | None = None,
                       min_lines: int = 3) -> Analysis:
     """R2: unit-price spread per item (per item and customer when a customer is given)."""
@@ -63,7 +63,7 @@ def price_consistency(fact: DataFrame, window: Window, min_variance_percent: flo
     return Analysis(summary, M.top(kept, "variation_percent", "desc", limit, *keys))
 
 
-def catalogue_compliance(fact: DataFrame, window: Window, tolerance: float = 0.01, limit: int | None = 20,
+def catalogue_compliance(fact: DataFrame, window: DateWindow, tolerance: float = 0.01, limit: int | None = 20,
                          customer_code: str | None = None, item_code: str | None = None) -> Analysis:
     """Share of lines priced within ``tolerance`` of the trade price, per item."""
     lines = base_filter(fact, window, include_returns=False, include_samples=False)
@@ -91,7 +91,7 @@ def catalogue_compliance(fact: DataFrame, window: Window, tolerance: float = 0.0
     return Analysis(summary, M.top(per_item, "compliance_percent", "asc", limit, "item_code"))
 
 
-def tier_performance(fact: DataFrame, window: Window, limit: int = 20, item_code: str | None = None) -> Analysis:
+def tier_performance(fact: DataFrame, window: DateWindow, limit: int = 20, item_code: str | None = None) -> Analysis:
     """Top products by revenue with catalogue price, actual price, revenue and margin."""
     products = product_sales(fact, window, include_returns=False, include_samples=False,
                              item_codes=[item_code] if item_code else None, sort_by="revenue", limit=limit)

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from .combine import side_by_side
-from .facts import Analysis, Window, base_filter, newest, product_sales
+from .facts import Analysis, DateWindow, base_filter, newest, product_sales
 
 
-def _lines(fact: DataFrame, window: Window) -> DataFrame:
+def _lines(fact: DataFrame, window: DateWindow) -> DataFrame:
     return base_filter(fact, window, include_returns=False, include_samples=False)
 
 
-def slow_movers(fact: DataFrame, window: Window, max_units_per_month: float = 2, limit: int = 20,
+def slow_movers(fact: DataFrame, window: DateWindow, max_units_per_month: float = 2, limit: int = 20,
                 population: int = 200, item_code: str | None = None) -> Analysis:
     """The least-transacted products whose monthly units stay under the threshold."""
     lo, hi = window.bounds()
@@ -41,7 +41,7 @@ def slow_movers(fact: DataFrame, window: Window, max_units_per_month: float = 2,
     return Analysis(summary, items)
 
 
-def product_mix(fact: DataFrame, window: Window, limit: int = 20, population: int = 500) -> Analysis:
+def product_mix(fact: DataFrame, window: DateWindow, limit: int = 20, population: int = 500) -> Analysis:
     """ABC classes from the running revenue share of the top products (A <= 80 %, B <= 95 %)."""
     products = product_sales(fact, window, include_returns=True, include_samples=False, sort_by="revenue",
                              limit=population)
@@ -69,7 +69,7 @@ def product_mix(fact: DataFrame, window: Window, limit: int = 20, population: in
     return Analysis(summary, items)
 
 
-def _basket_items(fact: DataFrame, window: Window) -> DataFrame:
+def _basket_items(fact: DataFrame, window: DateWindow) -> DataFrame:
     """Distinct (invoice, customer, item) triples: one row per item per basket."""
     return _lines(fact, window).select("invoice_number", "customer_code", "item_code").distinct()
 
@@ -93,7 +93,7 @@ def _pairs(baskets: DataFrame, min_support: int | None) -> DataFrame:
     return a.join(b, cond).select("invoice_number", "customer_code", "product_a_code", "product_b_code")
 
 
-def cross_sell(fact: DataFrame, window: Window, min_co_occurrence: int = 5, limit: int | None = 20) -> Analysis:
+def cross_sell(fact: DataFrame, window: DateWindow, min_co_occurrence: int = 5, limit: int | None = 20) -> Analysis:
     """D3: products bought together in the same basket (invoice, customer)."""
     lines = _lines(fact, window)
     per_item = lines.groupBy("item_code").agg(F.count(F.lit(1)).alias("lines"),
@@ -118,7 +118,7 @@ def cross_sell(fact: DataFrame, window: Window, min_co_occurrence: int = 5, limi
     return Analysis(summary, items)
 
 
-def cross_sell_total_pairs(fact: DataFrame, window: Window) -> DataFrame:
+def cross_sell_total_pairs(fact: DataFrame, window: DateWindow) -> DataFrame:
     """D3 ``totalPairs``: distinct co-occurring pairs before the support filter.
 
     This one needs every pair, so it is a separate, explicitly requested query.
@@ -127,7 +127,7 @@ def cross_sell_total_pairs(fact: DataFrame, window: Window) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("total_pairs")))
 
 
-def cannibalisation(fact: DataFrame, window: Window, min_shared_customers: int = 5, limit: int | None = 20,
+def cannibalisation(fact: DataFrame, window: DateWindow, min_shared_customers: int = 5, limit: int | None = 20,
                     products: int = 100) -> Analysis:
     """Pairs among the top-``products`` items by revenue that share customers.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from .combine import side_by_side
-from .facts import Analysis, Window, base_filter, product_sales
+from .facts import Analysis, DateWindow, base_filter, product_sales
 
 SEVERITY_RANK = {"high": 3, "medium": 2, "low": 1}
 
@@ -18,7 +18,7 @@ def _sev(value, high: float, medium: float, below: bool = False) -> F.Column:
     return F.when(value > high, "high").when(value > medium, "medium").otherwise("low")
 
 
-def anomalies(fact: DataFrame, window: Window, limit: int | None = 50, min_lines: int = 5) -> Analysis:
+def anomalies(fact: DataFrame, window: DateWindow, limit: int | None = 50, min_lines: int = 5) -> Analysis:
     """Q1: unusual price (|z| > 2.5), quantity (|z| > 3), discount (> 40 %) and below-cost lines.
 
     Per-item statistics are a partially aggregated ``groupBy`` joined back to the
@@ -84,7 +84,7 @@ ISSUES = [
 ]
 
 
-def quality_summary(fact: DataFrame, window: Window) -> Analysis:
+def quality_summary(fact: DataFrame, window: DateWindow) -> Analysis:
     """Q2: seven issue counters over all lines (returns and samples included); zero counts omitted."""
     lines = base_filter(fact, window, include_returns=True, include_samples=True)
     conds = {
@@ -114,7 +114,7 @@ def quality_summary(fact: DataFrame, window: Window) -> Analysis:
     return Analysis(summary, issues.orderBy(F.col("count").desc(), "issue_type"))
 
 
-def orphaned_products(fact: DataFrame, window: Window, limit: int | None = 50) -> Analysis:
+def orphaned_products(fact: DataFrame, window: DateWindow, limit: int | None = 50) -> Analysis:
     """Q3: sold items lacking a landed cost and/or a trade price, by revenue."""
     products = product_sales(fact, window, include_returns=False, include_samples=False)
     has_cost, has_cat = F.col("landed_cost_euro").isNotNull(), F.col("catalogue_price_trade").isNotNull()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..functions.periods import period_key, season_key
 from .combine import side_by_side
-from .facts import Analysis, Window, base_filter
+from .facts import Analysis, DateWindow, base_filter
 
 def _cost() -> F.Column:
     return (F.when(F.coalesce(F.col("landed_cost_euro"), F.lit(0.0)) != 0,
@@ -28,7 +28,7 @@ def _per_period(lines: DataFrame, group_by: str, week_mode: str = "iso") -> Data
                  M.js_distinct_count("item_code").alias("unique_products")))
 
 
-def sales_trend(fact: DataFrame, window: Window, group_by: str = "month", include_returns: bool = False,
+def sales_trend(fact: DataFrame, window: DateWindow, group_by: str = "month", include_returns: bool = False,
                 week_mode: str = "iso") -> Analysis:
     """Revenue, cost, margin and growth per period."""
     lines = base_filter(fact, window, include_returns=include_returns, include_samples=False)
@@ -55,7 +55,7 @@ def sales_trend(fact: DataFrame, window: Window, group_by: str = "month", includ
     return Analysis(summary, periods)
 
 
-def seasonality(fact: DataFrame, window: Window, group_by: str = "month", include_returns: bool = False) -> Analysis:
+def seasonality(fact: DataFrame, window: DateWindow, group_by: str = "month", include_returns: bool = False) -> Analysis:
     """Per-season line statistics and seasonality index.
 
     ``seasonality_index`` is the season's total over the mean season total;
@@ -84,7 +84,7 @@ def seasonality(fact: DataFrame, window: Window, group_by: str = "month", includ
     return Analysis(summary, items)
 
 
-def comparison_window(window: Window, comparison_type: str = "previous_period",
+def comparison_window(window: DateWindow, comparison_type: str = "previous_period",
                       comparison_start: str | None = None, comparison_end: str | None = None) -> tuple[F.Column, F.Column]:
     """T4 comparison bounds: the same length ending the day before, the same dates a year
     earlier, or explicit dates."""
@@ -102,12 +102,12 @@ _METRICS = [("Revenue", "revenue"), ("Margin", "margin"), ("Transactions", "tran
             ("Unique Customers", "customers"), ("Average Order Value", "aov")]
 
 
-def growth(fact: DataFrame, window: Window, comparison_type: str = "previous_period",
+def growth(fact: DataFrame, window: DateWindow, comparison_type: str = "previous_period",
            comparison_start: str | None = None, comparison_end: str | None = None) -> Analysis:
     """T4: five metrics for the current window against the comparison window (one pass)."""
     lo, hi = window.bounds()
     clo, chi = comparison_window(window, comparison_type, comparison_start, comparison_end)
-    lines = base_filter(fact, Window("0000-01-01", "9999-12-31", window.as_of), include_returns=True,
+    lines = base_filter(fact, DateWindow("0000-01-01", "9999-12-31", window.as_of), include_returns=True,
                         include_samples=False)
     d = F.col("invoice_date")
     cur, cmp_ = d.between(lo, hi), d.between(clo, chi)
@@ -140,7 +140,7 @@ def growth(fact: DataFrame, window: Window, comparison_type: str = "previous_per
     return Analysis(summary, metrics)
 
 
-def forecast(fact: DataFrame, window: Window, group_by: str = "month", periods: int = 3,
+def forecast(fact: DataFrame, window: DateWindow, group_by: str = "month", periods: int = 3,
              recent: int = 3) -> Analysis:
     """T5: flat forecast = mean per-period value x (mean of the last ``recent`` / mean of all)."""
     lines = base_filter(fact, window, include_returns=True, include_samples=False)
@@ -169,7 +169,7 @@ def forecast(fact: DataFrame, window: Window, group_by: str = "month", periods:
     return Analysis(summary, items)
 
 
-def margin_trend(fact: DataFrame, window: Window, group_by: str = "month", threshold: float = 2) -> Analysis:
+def margin_trend(fact: DataFrame, window: DateWindow, group_by: str = "month", threshold: float = 2) -> Analysis:
     """Margin % per period; improving / declining when last - first moves by > threshold points."""
     lines = base_filter(fact, window, include_returns=True, include_samples=False)
     per = (lines.groupBy(period_key("invoice_date", group_by).alias("period"))

@@ -155,3 +155,40 @@ FROM (SELECT count(CASE WHEN document_type = 'INV' AND is_return = 0 THEN 1 END)
       FROM l)"""))
 def g6_credit_notes(e):
     return discount.credit_notes(e.fact, WHOLE)
+
+
+# --- the same analyses along the calendar dimension ------------------------------------
+
+_G4_MONTH = (f"""l AS (SELECT * FROM fact WHERE {lines()} AND (document_type = 'INV' OR is_return = 1))""", f"""g AS (
+  SELECT substr(invoice_date, 1, 7) AS dimension_key, substr(invoice_date, 1, 7) AS dimension_name,
+         coalesce({msum("CASE WHEN document_type = 'INV' THEN line_total END")}, 0e0) AS sales_revenue,
+         abs(coalesce({msum('CASE WHEN is_return = 1 THEN line_total END')}, 0e0)) AS returns_value,
+         count(CASE WHEN document_type = 'INV' THEN 1 END) AS sales_count,
+         count(CASE WHEN is_return = 1 THEN 1 END) AS returns_count
+  FROM l GROUP BY 1),
+items AS (SELECT *, CASE WHEN sales_revenue > 0 THEN returns_value / sales_revenue * 100 ELSE 0e0 END AS return_rate_percent,
+                 sales_revenue - returns_value AS net_revenue FROM g WHERE sales_count > 0)""")
+
+
+@register("g4_returns_by_month", _q(*_G4_MONTH, select="""
+SELECT * FROM items ORDER BY return_rate_percent DESC NULLS LAST, dimension_key LIMIT 20"""))
+def g4_returns_by_month(e):
+    return discount.returns(e.fact, WHOLE, dim="month").items
+
+
+_G5_OVERALL = (f"""l AS (SELECT * FROM fact WHERE {lines()} AND (document_type = 'INV' OR (document_type = 'CRN' AND is_return = 0)))""",)
+
+
+@register("g5_rebates_overall", _q(*_G5_OVERALL, select=f"""
+SELECT dimension_key, dimension_name, rebates_given, rebate_count, total_sales,
+       CASE WHEN total_sales > 0 THEN rebates_given / total_sales * 100 ELSE 0e0 END AS rebate_percent,
+       total_sales - sales_cost AS margin_before_rebate, total_sales - sales_cost - rebates_given AS margin_after_rebate
+FROM (SELECT 'overall' AS dimension_key, 'All' AS dimension_name,
+             abs(coalesce({msum("CASE WHEN document_type = 'CRN' THEN line_total END")}, 0e0)) AS rebates_given,
+             count(CASE WHEN document_type = 'CRN' THEN 1 END) AS rebate_count,
+             count(CASE WHEN document_type = 'INV' THEN 1 END) AS sales_count,
+             coalesce({msum("CASE WHEN document_type = 'INV' THEN line_total END")}, 0e0) AS total_sales,
+             coalesce({msum(f"CASE WHEN document_type = 'INV' THEN {_COST} END")}, 0e0) AS sales_cost FROM l)
+WHERE sales_count > 0 AND rebate_count > 0"""))
+def g5_rebates_overall(e):
+    return discount.rebates(e.fact, WHOLE, dim="product").items  # product falls back to overall, as in the reference

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from ..operators import trends
-from ..operators.facts import Window
+from ..operators.facts import DateWindow
 from .oracle_base import lines, margin_pct, msum, with_base
 from .registry import AS_OF, WHOLE, register
 
-LAST_YEAR = Window("2000-08-02", "2001-08-01", AS_OF)
+LAST_YEAR = DateWindow("2000-08-02", "2001-08-01", AS_OF)
 
 
 def _q(*ctes: str, select: str) -> str:

@@ -18,14 +18,14 @@ import threading
 import uuid
 
 from ..engine import Engine
-from ..operators.facts import Tables, Window
+from ..operators.facts import Tables, DateWindow
 from ..session import checkpoint_dir
 from ..sources import testdata
 from ..sources.sinks import read_bronze, write_bronze, write_silver
 
 AS_OF = "2001-08-01"
 START, END = "1995-01-01", "2001-08-01"
-WHOLE = Window(START, END, AS_OF)
+WHOLE = DateWindow(START, END, AS_OF)
 
 
 @dataclass(frozen=True)
