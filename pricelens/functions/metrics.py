@@ -36,6 +36,25 @@ def fine_mean(c) -> Column:
     return F.try_divide(fine_sum(c), F.count(col(c)).cast("double"))
 
 
+def exact_mean(c) -> Column:
+    """Mean of the non-NULL values from an exact decimal sum (row-order independent)."""
+    return F.try_divide(fine_sum(c), F.count(col(c)).cast("double"))
+
+
+def exact_stddev_pop(c) -> Column:
+    """Population standard deviation from exact decimal moments.
+
+    ``sqrt((sum x^2 - (sum x)^2 / n) / n)``: both sums are exact, so the result does
+    not depend on how partial aggregates are merged (``stddev_pop`` does).
+    """
+    x = col(c)
+    n = F.count(x).cast("double")
+    s1 = fine_sum(x)
+    s2 = F.sum((x * x).cast(FINE)).cast("double")
+    var = F.try_divide(s2 - F.try_divide(s1 * s1, n), n)
+    return F.sqrt(F.greatest(var, F.lit(0.0)))
+
+
 def js_sum(c) -> Column:
     """A JavaScript reduce treats NULL as 0 (an empty/all-null group sums to 0)."""
     return F.coalesce(money_sum(c), F.lit(0.0))

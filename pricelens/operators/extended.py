@@ -65,7 +65,8 @@ def customer_product_matrix(fact: DataFrame, window: DateWindow, customer_code=N
         F.coalesce(newest("item_description"), F.lit("")).alias("product_description"),
         M.js_sum("quantity").alias("quantity_sold"), M.js_sum("line_total").alias("revenue"),
         M.js_sum(_cost()).alias("cost"), F.max("landed_cost_euro").alias("landed_cost"),
-        F.coalesce(M.fine_mean("discount_percent"), F.lit(0.0)).alias("avg_discount_percent"))
+        # A line's discount is reported to 2 dp; the mean is taken over those values.
+        F.coalesce(M.fine_mean(M.round_half_up("discount_percent")), F.lit(0.0)).alias("avg_discount_percent"))
     return g.select("*", *_margin_cols(), M.average_price("revenue", "quantity_sold").alias("avg_unit_price"))
 
 

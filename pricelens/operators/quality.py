@@ -28,8 +28,8 @@ def anomalies(fact: DataFrame, window: DateWindow, limit: int | None = 50, min_l
     p = F.coalesce(F.col("unit_price"), F.lit(0.0))
     q = F.coalesce(F.col("quantity"), F.lit(0.0))
     stats = (lines.groupBy("item_code")
-             .agg(F.count(F.lit(1)).alias("_n"), F.avg(p).alias("_pa"), F.stddev_pop(p).alias("_ps"),
-                  F.avg(q).alias("_qa"), F.stddev_pop(q).alias("_qs"))
+             .agg(F.count(F.lit(1)).alias("_n"), M.exact_mean(p).alias("_pa"), M.exact_stddev_pop(p).alias("_ps"),
+                  M.exact_mean(q).alias("_qa"), M.exact_stddev_pop(q).alias("_qs"))
              .filter(F.col("_n") >= min_lines))
     j = lines.join(stats, "item_code")
     lt = F.coalesce(F.col("line_total"), F.lit(0.0))

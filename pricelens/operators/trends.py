@@ -67,7 +67,7 @@ def seasonality(fact: DataFrame, window: DateWindow, group_by: str = "month", in
     per = (lines.groupBy(season_key("invoice_date", group_by).alias("period_key"))
            .agg(M.js_sum(v).alias("_total"), F.count(F.lit(1)).alias("transaction_count"),
                 F.min(v).alias("min_revenue"), F.max(v).alias("max_revenue"),
-                F.stddev_pop(v).alias("std_deviation")))
+                M.exact_stddev_pop(v).alias("std_deviation")))
     overall = per.agg((M.js_sum("_total") / F.greatest(F.lit(1), F.count(F.lit(1)))).alias("_avg_overall"))
     idx_ref = F.when(F.col("_avg_overall") > 0, F.col("avg_revenue") / F.col("_avg_overall")).otherwise(F.lit(1.0))
     idx = F.when(F.col("_avg_overall") > 0, F.col("_total") / F.col("_avg_overall")).otherwise(F.lit(1.0))

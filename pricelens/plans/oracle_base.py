@@ -216,3 +216,14 @@ def newest(value: str, keys: str, src: str, name: str) -> str:
     SELECT {keys}, {value}, row_number() OVER (PARTITION BY {keys}
       ORDER BY invoice_date DESC NULLS LAST, invoice_number DESC NULLS LAST, {value} DESC NULLS LAST) AS rn
     FROM {src}) WHERE rn = 1)"""
+
+
+def exact_mean(x: str) -> str:
+    return f"(CAST(SUM(CAST({x} AS DECIMAL(28,10))) AS DOUBLE) / CAST(COUNT({x}) AS DOUBLE))"
+
+
+def exact_std(x: str) -> str:
+    s1 = f"CAST(SUM(CAST({x} AS DECIMAL(28,10))) AS DOUBLE)"
+    s2 = f"CAST(SUM(CAST(({x}) * ({x}) AS DECIMAL(28,10))) AS DOUBLE)"
+    n = f"CAST(COUNT({x}) AS DOUBLE)"
+    return f"sqrt(greatest(({s2} - ({s1} * {s1}) / {n}) / {n}, 0e0))"

@@ -43,7 +43,7 @@ SELECT *, {sql_margin('revenue', 'cost')} AS margin, {margin_pct('revenue', 'cos
   SELECT l.customer_code, l.customer_name, l.item_code, coalesce(nd.newest_value, '') AS product_description,
          coalesce({msum('quantity')}, 0e0) AS quantity_sold, coalesce({msum('line_total')}, 0e0) AS revenue,
          coalesce({msum('line_cost')}, 0e0) AS cost, max(landed_cost_euro) AS landed_cost,
-         coalesce({fine_mean('discount_percent')}, 0e0) AS avg_discount_percent
+         coalesce({fine_mean(r2('discount_percent'))}, 0e0) AS avg_discount_percent
   FROM l JOIN nd ON l.customer_code IS NOT DISTINCT FROM nd.customer_code AND l.customer_name IS NOT DISTINCT FROM nd.customer_name
     AND l.item_code IS NOT DISTINCT FROM nd.item_code
   GROUP BY l.customer_code, l.customer_name, l.item_code, nd.newest_value)"""))

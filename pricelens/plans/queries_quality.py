@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators import quality
-from .oracle_base import b3, lines, margin_pct, with_base
+from .oracle_base import b3, exact_mean, exact_std, lines, margin_pct, with_base
 from .registry import WHOLE, register
 
 
@@ -12,8 +12,9 @@ def _q(*ctes: str, select: str) -> str:
 
 
 _Q1 = (f"""l AS (SELECT * FROM fact WHERE {lines(returns=False, samples=False)}),
-st AS (SELECT item_code, count(*) AS n, avg(coalesce(unit_price, 0e0)) AS pa, stddev_pop(coalesce(unit_price, 0e0)) AS ps,
-              avg(coalesce(quantity, 0e0)) AS qa, stddev_pop(coalesce(quantity, 0e0)) AS qs
+st AS (SELECT item_code, count(*) AS n, {exact_mean('coalesce(unit_price, 0e0)')} AS pa,
+              {exact_std('coalesce(unit_price, 0e0)')} AS ps,
+              {exact_mean('coalesce(quantity, 0e0)')} AS qa, {exact_std('coalesce(quantity, 0e0)')} AS qs
        FROM l GROUP BY item_code HAVING count(*) >= 5),
 j AS (SELECT l.*, st.pa, st.ps, st.qa, st.qs, coalesce(unit_price, 0e0) AS p, coalesce(quantity, 0e0) AS q,
              coalesce(line_total, 0e0) AS lt, coalesce(landed_cost_euro, 0e0) AS lc

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..operators import trends
 from ..operators.facts import DateWindow
-from .oracle_base import lines, margin_pct, msum, with_base
+from .oracle_base import exact_std, lines, margin_pct, msum, with_base
 from .registry import AS_OF, WHOLE, register
 
 LAST_YEAR = DateWindow("2000-08-02", "2001-08-01", AS_OF)
@@ -70,7 +70,7 @@ def t1_t2_sales_trend_quarterly(e):
 _T3 = (f"""per AS (
   SELECT strftime(CAST(invoice_date AS DATE), '%B') AS period_key, coalesce({msum('coalesce(line_total, 0e0)')}, 0e0) AS total,
          count(*) AS transaction_count, min(coalesce(line_total, 0e0)) AS min_revenue, max(coalesce(line_total, 0e0)) AS max_revenue,
-         stddev_pop(coalesce(line_total, 0e0)) AS std_deviation
+         {exact_std('coalesce(line_total, 0e0)')} AS std_deviation
   FROM fact WHERE {lines(returns=False, samples=False)} GROUP BY 1),
 ov AS (SELECT coalesce({msum('total')}, 0e0) / greatest(1, count(*)) AS avg_overall FROM per),
 pat AS (SELECT period_key, total / transaction_count AS avg_revenue, min_revenue, max_revenue, std_deviation, transaction_count,
