@@ -88,7 +88,7 @@ def m2_low_margin_products(e):
 
 # --- E1-E5 executive ------------------------------------------------------------------
 
-_E1 = _q(
+E1_PARTS = (
     b2("top_b", returns=False, samples=False),
     b2("neg_b", returns=True, samples=False), m1("neg_m", "neg_b"),
     f"""inv AS (SELECT * FROM fact WHERE {lines(returns=False, samples=False, docs=('INV',))}),
@@ -107,7 +107,7 @@ ret_kpi AS (
   SELECT coalesce({msum('CASE WHEN is_return = 1 THEN abs(line_total) END')}, 0e0) AS return_amount,
          coalesce({msum('CASE WHEN is_return = 0 THEN line_total END')}, 0e0) AS sales_amount
   FROM fact WHERE {lines(returns=True, samples=False)})""",
-    select=f"""
+    f"""
 SELECT total_revenue, total_cost, {sql_margin('total_revenue', 'total_cost')} AS gross_margin,
        CASE WHEN total_revenue = 0 THEN 0e0 ELSE {r2('(total_revenue - total_cost) / total_revenue * 100')} END
          AS gross_margin_percent,
@@ -118,6 +118,7 @@ SELECT total_revenue, total_cost, {sql_margin('total_revenue', 'total_cost')} AS
        {r2(ratio0('return_amount', 'sales_amount') + ' * 100')} AS return_rate_percent,
        {avg2('discount_sum', 'transaction_count')} AS avg_discount_percent
 FROM line_kpi, top_kpi, neg_kpi, ret_kpi""")
+_E1 = _q(*E1_PARTS[:-1], select=E1_PARTS[-1])
 
 
 @register("e1_executive_dashboard", _E1)

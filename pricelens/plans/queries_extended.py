@@ -341,9 +341,43 @@ def x22_ltv_prediction(e):
     return X.ltv_prediction(e.fact, WHOLE)
 
 
-# Builders without a SQL oracle (composites of already-checked operators); row-count checked only.
-for _name, _fn in [
-    ("x9_cannibalisation_switching", lambda e: X.cannibalisation_switching(e.fact, WHOLE)),
-    ("x24_dashboard_with_comparison", lambda e: X.dashboard_with_comparison(e.fact, LAST_YEAR)),
-]:
-    register(_name)(_fn)
+from .queries_customer_product import _D4  # noqa: E402
+
+_MID = "1998-04-17"  # midpoint of 1995-01-01..2001-08-01 (start + floor(days / 2))
+
+
+@register("x9_cannibalisation_switching", _q(*_D4, f"""sp AS (
+  SELECT customer_code, item_code, min(invoice_date) AS f, max(invoice_date) AS la FROM l GROUP BY customer_code, item_code),
+sw AS (SELECT s.product_a_code, s.product_b_code, count(CASE WHEN a.la < b.f THEN 1 END) AS a2b,
+              count(CASE WHEN b.la < a.f THEN 1 END) AS b2a
+       FROM sc s JOIN sp a ON a.item_code = s.product_a_code
+       JOIN sp b ON b.item_code = s.product_b_code AND a.customer_code IS NOT DISTINCT FROM b.customer_code
+       GROUP BY s.product_a_code, s.product_b_code),
+tr AS (SELECT item_code, CASE WHEN p > 0 THEN (c - p) / p * 100 ELSE 0e0 END AS trend FROM (
+         SELECT item_code, coalesce({msum(f"CASE WHEN invoice_date < '{_MID}' THEN line_total END")}, 0e0) AS p,
+                coalesce({msum(f"CASE WHEN invoice_date >= '{_MID}' THEN line_total END")}, 0e0) AS c
+         FROM l GROUP BY item_code))""", select="""
+SELECT sc.product_a_code, sc.product_a_description, sc.product_b_code, sc.product_b_description, sc.shared_customers,
+       coalesce(sw.a2b, 0) AS customers_switching_from_a_to_b, coalesce(sw.b2a, 0) AS customers_switching_from_b_to_a,
+       ta.trend AS product_a_revenue_trend, tb.trend AS product_b_revenue_trend
+FROM sc LEFT JOIN sw ON sc.product_a_code = sw.product_a_code AND sc.product_b_code = sw.product_b_code
+LEFT JOIN tr ta ON sc.product_a_code = ta.item_code LEFT JOIN tr tb ON sc.product_b_code = tb.item_code"""))
+def x9_cannibalisation_switching(e):
+    return X.cannibalisation_switching(e.fact, WHOLE)
+
+
+from .queries_core import E1_PARTS  # noqa: E402
+from .queries_trends import _T4  # noqa: E402
+
+_WIN_ALL = "invoice_date BETWEEN '1995-01-01' AND '2001-08-01'"
+_WIN_LAST_YEAR = "invoice_date BETWEEN '2000-08-02' AND '2001-08-01'"
+_E1_LY = [p.replace(_WIN_ALL, _WIN_LAST_YEAR) for p in E1_PARTS]
+
+
+@register("x24_dashboard_with_comparison", _q(*_E1_LY[:-1], *_T4, select=f"""
+SELECT e.*, g.period_over_period_growth FROM ({_E1_LY[-1]}) e,
+  (SELECT CASE WHEN cmp_revenue > 0 THEN (cur_revenue - cmp_revenue) / cmp_revenue * 100 ELSE 0e0 END
+          AS period_over_period_growth FROM agg) g"""))
+def x24_dashboard_with_comparison(e):
+    return X.dashboard_with_comparison(e.fact, LAST_YEAR)
+
