@@ -70,11 +70,22 @@ def product_mix(fact: DataFrame, window: DateWindow, limit: int = 20, population
 
 
 def _basket_items(fact: DataFrame, window: DateWindow) -> DataFrame:
-    """Distinct (invoice, customer, item) triples: one row per item per basket."""
-    return _lines(fact, window).select("invoice_number", "customer_code", "item_code").distinct()
+    """One row per item per basket (invoice, customer), with the item's line count in the
+    basket and its newest description key.  Every cross-sell input derives from this
+    one aggregate, so the lines are scanned and shuffled once."""
+    return (_lines(fact, window).groupBy("invoice_number", "customer_code", "item_code")
+            .agg(F.count(F.lit(1)).alias("_lines"),
+                 F.max(F.struct("invoice_date", "invoice_number", "item_description")).alias("_newest")))
 
 
-def _pairs(baskets: DataFrame, min_support: int | None) -> DataFrame:
+def _item_stats(baskets: DataFrame) -> DataFrame:
+    """Per item: lines, baskets containing it (support) and the newest description."""
+    return baskets.groupBy("item_code").agg(
+        F.sum("_lines").alias("lines"), F.count(F.lit(1)).alias("support"),
+        F.coalesce(F.max("_newest")["item_description"], F.lit("")).alias("desc"))
+
+
+def _pairs(baskets: DataFrame, min_support: int | None, stats: DataFrame | None = None) -> DataFrame:
     """Item pairs (a < b) that share a basket.
 
     Items bought in fewer than ``min_support`` baskets cannot reach that many
@@ -82,9 +93,11 @@ def _pairs(baskets: DataFrame, min_support: int | None) -> DataFrame:
     join is an equi-join on the basket; a very large basket is split across tasks by
     AQE's skew-join handling rather than landing whole in one task.
     """
+    baskets = baskets.select("invoice_number", "customer_code", "item_code")
     if min_support:
-        support = baskets.groupBy("item_code").agg(F.count(F.lit(1)).alias("_support"))
-        baskets = baskets.join(support.filter(F.col("_support") >= min_support).select("item_code"), "item_code")
+        if stats is None:
+            stats = baskets.groupBy("item_code").agg(F.count(F.lit(1)).alias("support"))
+        baskets = baskets.join(stats.filter(F.col("support") >= min_support).select("item_code"), "item_code")
     a = baskets.select("invoice_number", "customer_code", F.col("item_code").alias("product_a_code"))
     b = baskets.select(F.col("invoice_number").alias("_inv"), F.col("customer_code").alias("_cust"),
                        F.col("item_code").alias("product_b_code"))
@@ -95,10 +108,9 @@ def _pairs(baskets: DataFrame, min_support: int | None) -> DataFrame:
 
 def cross_sell(fact: DataFrame, window: DateWindow, min_co_occurrence: int = 5, limit: int | None = 20) -> Analysis:
     """D3: products bought together in the same basket (invoice, customer)."""
-    lines = _lines(fact, window)
-    per_item = lines.groupBy("item_code").agg(F.count(F.lit(1)).alias("lines"),
-                                              F.coalesce(newest("item_description"), F.lit("")).alias("desc"))
-    pairs = (_pairs(_basket_items(fact, window), min_co_occurrence)
+    baskets = _basket_items(fact, window)
+    per_item = _item_stats(baskets)
+    pairs = (_pairs(baskets, min_co_occurrence, per_item)
              .groupBy("product_a_code", "product_b_code")
              .agg(F.count(F.lit(1)).alias("co_occurrence_count"),
                   M.js_distinct_count("customer_code").alias("customers_buying_both"))
