@@ -12,33 +12,45 @@ from .margin import customer_profitability, product_performance
 
 
 def dashboard(fact: DataFrame, window: DateWindow, top_n: int = 10) -> DataFrame:
-    """13 KPIs in one row.
+    """13 KPIs in one row, from two passes over the non-sample lines.
 
-    Line KPIs come from one pass over INV, non-return, non-sample lines.  The return
-    rate uses document type CRN (K8) over all non-sample lines.  The negative-margin
-    customer KPIs cover every such customer (no cap, K7).
+    The line pass computes the INV, non-return KPIs and the return rate (document type
+    CRN, K8) with conditional aggregates.  The customer pass aggregates each customer
+    once, with and without returns, and feeds both the top-10 share (returns off) and
+    the negative-margin KPIs (returns on, every such customer: no cap, K7).
     """
-    inv = base_filter(fact, window, include_returns=False, include_samples=False, document_types=("INV",))
-    lines = inv.agg(
-        M.js_sum("line_total").alias("total_revenue"),
-        M.js_sum(line_cost()).alias("total_cost"),
-        F.count(F.lit(1)).alias("transaction_count"),
-        M.js_distinct_count("customer_code").alias("unique_customers"),
-        M.js_distinct_count("item_code").alias("unique_products"),
-        M.js_sum("discount_percent").alias("_discount_sum"))
-
-    top = (customer_sales(fact, window, include_returns=False, include_samples=False,
-                          sort_by="revenue", limit=top_n)
-           .agg(M.js_sum("total_revenue").alias("_top_revenue")))
-    negative = (customer_profitability(fact, window, include_returns=True, max_margin_percent=0, limit=None)
+    lines = base_filter(fact, window, include_returns=True, include_samples=False)
+    ret = F.col("is_return") == 1
+    inv = (F.col("document_type") == "INV") & ~ret
+
+    def on_inv(c):
+        return F.when(inv, c)
+
+    line_kpis = lines.agg(
+        M.js_sum(on_inv(F.col("line_total"))).alias("total_revenue"),
+        M.js_sum(on_inv(line_cost())).alias("total_cost"),
+        F.count(on_inv(F.lit(1))).alias("transaction_count"),
+        (F.countDistinct(on_inv(F.col("customer_code")))
+         + F.max(F.when(inv & F.col("customer_code").isNull(), 1).otherwise(0))).cast("long").alias("unique_customers"),
+        (F.countDistinct(on_inv(F.col("item_code")))
+         + F.max(F.when(inv & F.col("item_code").isNull(), 1).otherwise(0))).cast("long").alias("unique_products"),
+        M.js_sum(on_inv(F.col("discount_percent"))).alias("_discount_sum"),
+        M.js_sum(F.when(ret, F.abs("line_total"))).alias("_return_amount"),
+        M.js_sum(F.when(~ret, F.col("line_total"))).alias("_sales_amount"))
+
+    per_customer = (lines.filter(F.col("customer_code").isNotNull())
+                    .groupBy("customer_code", "customer_name")
+                    .agg(M.money_sum("line_total").alias("rev_all"), M.money_sum(line_cost()).alias("cost_all"),
+                         M.money_sum(F.when(~ret, F.col("line_total"))).alias("rev_noret"),
+                         F.count(F.when(~ret, 1)).alias("n_noret")))
+    top = (M.top(per_customer.filter(F.col("n_noret") > 0), "rev_noret", "desc", top_n,
+                 "customer_code", "customer_name")
+           .agg(M.js_sum("rev_noret").alias("_top_revenue")))
+    negative = (per_customer.filter(M.margin_percent("rev_all", "cost_all") <= 0)
                 .agg(F.count(F.lit(1)).alias("negative_margin_customers_count"),
-                     M.js_sum("gross_margin").alias("negative_margin_amount")))
-    all_lines = base_filter(fact, window, include_returns=True, include_samples=False)
-    returns = all_lines.agg(
-        M.js_sum(F.when(F.col("is_return") == 1, F.abs("line_total"))).alias("_return_amount"),
-        M.js_sum(F.when(F.col("is_return") == 0, F.col("line_total"))).alias("_sales_amount"))
+                     M.js_sum(M.margin("rev_all", "cost_all")).alias("negative_margin_amount")))
 
-    return side_by_side(lines, top, negative, returns).select(
+    return side_by_side(line_kpis, top, negative).select(
         "total_revenue", "total_cost",
         M.margin("total_revenue", "total_cost").alias("gross_margin"),
         M.margin_percent("total_revenue", "total_cost").alias("gross_margin_percent"),
