@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
-from .combine import side_by_side
 from .facts import Analysis, DateWindow, base_filter, line_cost, newest
 
 OVERALL_NAME = {"discount": "All Transactions", "returns": "All", "rebates": "All"}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators import executive, facts, margin, pricing
-from .oracle_base import (WIN, avg2, b2, b3, fine_mean, lines, m1, m2, margin as sql_margin, newest, r2, ratio0,
+from .oracle_base import (avg2, b2, b3, fine_mean, lines, m1, m2, margin as sql_margin, newest, r2, ratio0,
                           with_base, msum)
 from .registry import WHOLE, register
 

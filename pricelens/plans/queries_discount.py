@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators import discount
-from .oracle_base import WIN, fine_mean, lines, margin_pct, msum, newest, with_base
+from .oracle_base import fine_mean, lines, margin_pct, msum, newest, with_base
 from .registry import WHOLE, register
 
 
