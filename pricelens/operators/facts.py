@@ -185,13 +185,20 @@ def product_sales(fact: DataFrame, window: DateWindow, include_returns: bool = T
     keys = ["item_code", "landed_cost_euro", F.col("ie_trade").alias("catalogue_price_trade")]
     if price_tier:
         keys.append(F.col(price_tier).alias("catalogue_price"))
-    out = df.groupBy(*keys).agg(
-        F.coalesce(F.max("item_description"), F.lit("Unknown")).alias("product_description"),
+    # Numeric aggregates keep fixed-width buffers (hash aggregation with map-side
+    # combine); the text MAX(description) would force a sort-based aggregate over
+    # every line, so it is taken over the distinct (item, description) pairs instead.
+    numeric = df.groupBy(*keys).agg(
         M.money_sum("quantity").alias("total_quantity"),
         M.money_sum("line_total").alias("total_revenue"),
         M.money_sum(line_cost()).alias("total_cost"),
         F.count(F.lit(1)).alias("transaction_count"),
         F.countDistinct("customer_code").alias("unique_customers"))
+    desc = (df.select(F.col("item_code").alias("_item"), "item_description").distinct()
+            .groupBy("_item").agg(F.max("item_description").alias("_desc")))
+    out = (numeric.join(desc, F.col("item_code").eqNullSafe(F.col("_item")), "left")
+           .withColumn("product_description", F.coalesce(F.col("_desc"), F.lit("Unknown")))
+           .drop("_item", "_desc"))
     out = _having(out, min_revenue, max_revenue, min_quantity, min_transactions)
     if sort_by:
         out = M.top(out, _SORT_COLUMNS[sort_by], sort_order, limit, "item_code")
