@@ -106,8 +106,15 @@ def ratio_or_zero(num, den) -> Column:
 # --- C1-C6: financial helpers --------------------------------------------------------
 
 def margin(revenue, cost) -> Column:
-    """round(revenue - cost, 2), NULL as 0."""
-    return round_half_up(F.coalesce(col(revenue), F.lit(0.0)) - F.coalesce(col(cost), F.lit(0.0)))
+    """round(revenue - cost, 2), NULL as 0.
+
+    The subtraction is done on the decimal values (6 places, the precision of every
+    money sum), as decimal.js does, so a difference that is exactly half a cent
+    rounds up instead of depending on the binary error of a double subtraction.
+    """
+    r = F.coalesce(col(revenue), F.lit(0.0)).cast("decimal(38,6)")
+    c = F.coalesce(col(cost), F.lit(0.0)).cast("decimal(38,6)")
+    return F.round(r - c, 2).cast("double")
 
 
 def margin_percent(revenue, cost) -> Column:

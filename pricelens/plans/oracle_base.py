@@ -132,7 +132,8 @@ def r2(x: str, scale: int = 2) -> str:
 
 
 def margin(rev: str, cost: str) -> str:
-    return r2(f"(COALESCE({rev}, 0e0) - COALESCE({cost}, 0e0))")
+    return (f"CAST(ROUND(CAST(COALESCE({rev}, 0e0) AS DECIMAL(38,6)) - CAST(COALESCE({cost}, 0e0) AS DECIMAL(38,6)), 2)"
+            " AS DOUBLE)")
 
 
 def margin_pct(rev: str, cost: str) -> str:
