@@ -150,7 +150,7 @@ def canonical(records: DataFrame) -> DataFrame:
 
 _CONTROL = re.compile("|".join(re.escape(c) for c in ESCAPES))
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
-_BACK = {e[1]: c for c, e in ESCAPES.items()}
+_BACK = {e[1]: c for c, e in ESCAPES.items()} | {"c": ":"}  # a colon is escaped in role names only
 _ROLE_BACK = {v: k for k, v in ROLES.items()}
 _HEAD = re.compile(r"### ([^:]*): ")
 
@@ -168,7 +168,7 @@ def _head(role: str) -> str:
 
 
 def _role(name: str) -> str:
-    return unescape(name[1:].replace("\\c", ":")) if name[:1] == "=" else _ROLE_BACK[name]
+    return unescape(name[1:]) if name[:1] == "=" else _ROLE_BACK[name]
 
 
 class _Formatter:

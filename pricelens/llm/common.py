@@ -162,27 +162,32 @@ def sums_before(counts: DataFrame, key: str, value: str, within: list[str] | Non
 
 
 def components(edges: DataFrame, name: str, rounds: int = 64) -> DataFrame:
-    """(node, component) of every node of ``edges`` (u, v); a component's name is its least node.
-
-    Every round takes the least name among a node's neighbours and then follows that
-    name once (pointer jumping), so a path of n nodes needs about log n rounds.  A hot
-    node costs no task of its own: the minimum is combined before the shuffle, and the
-    look-ups are sort-merge joins on a unique key whose other side AQE may split.
-    Each round is written to the shared folder.
+    """(node, component) of every node of ``edges`` (u, v); a component's name is one of its nodes.
+
+    Rounds of contraction: every node is merged into the least of itself and its neighbours,
+    the edges are renamed and those that became equal or loops go, until none is left;
+    then the merges are followed back from the last round to the first.  A star, however
+    large, is gone after one round, a path of n nodes after about log n.  A hot node costs
+    no task of its own: minima are combined before the shuffle, and the look-ups are joins
+    on a unique key whose other side AQE may split.  Each round is written to the shared folder.
     """
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    both = written(both.where("u <> v").distinct(), f"{name}-edges")
-    state = written(both.groupBy(F.col("u").alias("node")).agg(
-        F.least(F.min("v"), F.col("u")).alias("component")), f"{name}-start")
+    merges = []
+    edges = written(edges.select("u", "v").distinct(), f"{name}-edges")
     for i in range(rounds):
-        near = both.join(state.select(F.col("node").alias("v"), "component"), "v") \
-            .groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near"))
-        hooked = state.join(near, "node").select(
-            "node", F.col("component").alias("was"), F.least("component", "near").alias("now"))
-        jump = hooked.select(F.col("node").alias("now"), F.col("now").alias("then"))
-        moved = written(hooked.join(jump, "now", "left").select(
-            "node", "was", F.least("now", F.coalesce("then", "now")).alias("component")), f"{name}-{i}")
-        state = moved.select("node", "component")
-        if moved.where("was <> component").isEmpty():
-            return state
-    raise RuntimeError(f"{name}: components not settled after {rounds} rounds")
+        near = edges.select(F.col("u").alias("node"), "v").union(edges.select("v", "u")).groupBy("node").agg(
+            F.min("v").alias("least"))
+        merge = written(near.select("node", F.least("node", "least").alias("into")), f"{name}-merge{i}")
+        merges.append(merge)
+        edges = written(
+            edges.join(merge.select(F.col("node").alias("u"), F.col("into").alias("a")), "u")
+            .join(merge.select(F.col("node").alias("v"), F.col("into").alias("b")), "v")
+            .where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), f"{name}-edges{i}")
+        if edges.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"{name}: components not settled after {rounds} rounds")
+    found = merges.pop().withColumnRenamed("into", "component")
+    for merge in reversed(merges):
+        later = found.select(F.col("node").alias("into"), "component")
+        found = merge.join(later, "into", "left").select("node", F.coalesce("component", "into").alias("component"))
+    return found

@@ -37,10 +37,13 @@ _MARKS = [f"i{k}" for k in range(IDENTITY)]
 
 def _runs(paragraph: Column) -> Column:
     """The paragraph's runs of SHINGLE words; of fewer words, but not none, there is one run."""
+    def runs(split):
+        starts = F.sequence(F.lit(1), F.greatest(F.size(split) - (SHINGLE - 1), F.lit(1)))
+        return F.when(F.size(split) > 0, F.transform(starts, lambda i: F.array_join(F.slice(split, i, SHINGLE), " ")))
+
+    # the words are bound to a variable: written out in the inner function they would be split for every run
     split = F.filter(F.split(paragraph, r"\s+"), lambda w: w != "")
-    n = F.size(split)
-    starts = F.sequence(F.lit(1), F.greatest(n - (SHINGLE - 1), F.lit(1)))
-    return F.when(n > 0, F.transform(starts, lambda i: F.array_join(F.slice(split, i, SHINGLE), " ")))
+    return F.element_at(F.transform(F.array(split), runs), 1)
 
 
 def sums(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:

@@ -1,9 +1,9 @@
 """Token-ID output as Arrow files of equal-length sequences.
 
 Documents are sorted over the whole cluster; each task encodes its range and writes one
-shard, an Arrow IPC file whose batches hold ``tokens`` (fixed_size_list<uint32>) and ``mask``
-(fixed_size_list<uint8>: 1 a token, 0 padding at the end of the shard).  All sequences
-have the same length, so sequence i of a mapped file is a slice without a copy
+shard, an Arrow IPC file whose batches hold ``tokens`` (fixed_size_list, uint16 where the
+vocabulary allows it, else uint32) and ``mask`` (fixed_size_list<uint8>, eight positions a byte, low
+bit first: 1 a token, 0 padding at the end of the shard).  All sequences have the same length, so sequence i of a mapped file is a slice without a copy
 (``sequence``).  A second Arrow file holds doc_id, start and n_tokens of the shard's
 documents.  A manifest, written by Spark, names the files of the attempts that succeeded:
 files of lost or repeated attempts are never read.  The readers start from the manifest.
@@ -38,9 +38,11 @@ from pyspark.sql import functions as F
 from . import common
 
 SEQUENCE, BATCH_SEQUENCES, END_ID = 2048, 512, 2
-REMEMBERED = 400_000
+REMEMBERED, GROUP_CHARS = 1_000_000, 1 << 20
 
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_SPACES = frozenset(map(chr, [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
+                              0x205F, 0x3000]))
 _RUN = re.compile(f"[{_SPACE}][{_SPACE}]")
 _CHUNK = re.compile(f"[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]?[^{_SPACE}]+")
 
@@ -58,33 +60,63 @@ class Encoder:
         self.whole = not (cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space")
                           and not kind.get("normalizer") and not kind.get("truncation") and not kind.get("padding"))
         self.added = [t["content"] for t in kind.get("added_tokens", [])]
+        self.line_end = int(self._ids("\n")[0]) if not self.whole else -1
         self.words: dict[str, bytes] = {}   # by the text after a space, or from a line end on
         self.chunks: dict[str, bytes] = {}  # by the chunk itself
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _joined(self, known: dict[str, bytes], parts: list[str], chunk) -> bytes:
-        try:
-            return b"".join(map(known.__getitem__, parts))
-        except KeyError:
-            new = list({p for p in parts if p not in known})
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(set(parts))
-            known.update(zip(new, self._ids([chunk(p) for p in new])))
-            return b"".join(map(known.__getitem__, parts))
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _remember(self, known: dict[str, bytes], chunks: dict[str, str]) -> None:
+        """Encode new chunks (by their key); those without a line end inside go in one call, a
+        line end, which is a token of its own there, between them."""
+        joined = []
+        for key, chunk in chunks.items():
+            if "\n" in chunk[1:] or chunk[:1] not in (" ", "\n") or len(chunk) < 2 or chunk[1] in _SPACES:
+                known[key] = self._ids(chunk).tobytes()
+            else:
+                joined.append(key)
+        if joined:
+            text = "".join(c if c[0] == "\n" else "\n" + c for c in map(chunks.__getitem__, joined))
+            ids = self._ids(text)
+            ends = np.append(np.flatnonzero(ids == self.line_end), len(ids))
+            if len(ends) != len(joined) + 1:
+                raise ValueError("a chunk was not encoded on its own")
+            raw, ends = ids.tobytes(), (ends * 4).tolist()
+            for key, start, end in zip(joined, ends, ends[1:]):
+                known[key] = raw[start if chunks[key][0] == "\n" else start + 4:end]
+
+    def _learn(self, known: dict[str, bytes], lists: list[list[str]], chunk) -> None:
+        """Make sure that all parts of the lists are known."""
+        every = set().union(*lists)
+        new = every - known.keys()
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = every
+        self._remember(known, {p: chunk(p) for p in new})
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        direct: dict[int, bytes] = {}
+        parts: list[tuple[list[str], list[str]]] = []  # chunks, then words
+        for i, text in enumerate(texts):
+            if not text:
+                parts.append(([], []))
+            elif self.whole or any(a in text for a in self.added):
+                direct[i] = self._ids(text).tobytes()
+                parts.append(([], []))
+            elif _RUN.search(text):
+                parts.append((_CHUNK.findall(text), []))
+            else:
+                first, *rest = text.replace("\n", " \n").split(" ")
+                parts.append(([first] if first else [], rest))
+        self._learn(self.chunks, [c for c, _ in parts], str)
+        self._learn(self.words, [w for _, w in parts], lambda p: p if p[:1] == "\n" else " " + p)
+        chunk, word = self.chunks.__getitem__, self.words.__getitem__
+        return [direct[i] if i in direct else b"".join(map(chunk, c)) + b"".join(map(word, w))
+                for i, (c, w) in enumerate(parts)]
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self.whole or any(a in text for a in self.added):
-            return self._ids([text])[0]
-        if _RUN.search(text):
-            return self._joined(self.chunks, _CHUNK.findall(text), str)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        out = self._joined(self.chunks, [first], str) if first else b""
-        return out + self._joined(self.words, rest, lambda p: p if p[:1] == "\n" else " " + p)
+        return self.encode_many([text])[0]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -97,26 +129,30 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _schema(sequence: int) -> pa.Schema:
-    return pa.schema([("tokens", pa.list_(pa.uint32(), sequence)), ("mask", pa.list_(pa.uint8(), sequence))],
-                     metadata={"sequence": str(sequence)})
+def _schema(sequence: int, kind: pa.DataType) -> pa.Schema:
+    if sequence % 8:
+        raise ValueError("the sequence length must be a multiple of 8")
+    return pa.schema([("tokens", pa.list_(kind, sequence)), ("mask", pa.list_(pa.uint8(), sequence // 8))])
 
 
 class Shard:
     """Writes ids as batches of equal-length sequences."""
 
-    def __init__(self, sink, sequence: int):
-        self.sequence, self.schema, self.pending, self.written = sequence, _schema(sequence), bytearray(), 0
+    def __init__(self, sink, sequence: int, vocabulary: int):
+        self.sequence, self.pending, self.written = sequence, bytearray(), 0
+        self.kind = np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
+        self.schema = _schema(sequence, pa.from_numpy_dtype(self.kind))
         self.file = ipc.new_file(sink, self.schema)
 
     def _batch(self, raw: bytes) -> None:
         n = len(raw) // 4
         room = -(-n // self.sequence) * self.sequence
-        tokens, mask = np.zeros(room, np.uint32), np.zeros(room, np.uint8)
+        tokens, mask = np.zeros(room, self.kind), np.zeros(room, np.uint8)
         tokens[:n], mask[:n] = np.frombuffer(raw, "<u4"), 1
+        mask = np.packbits(mask, bitorder="little")
         self.file.write_batch(pa.RecordBatch.from_arrays(
-            [pa.FixedSizeListArray.from_arrays(pa.array(x), self.sequence) for x in (tokens, mask)],
-            schema=self.schema))
+            [pa.FixedSizeListArray.from_arrays(pa.array(x), f.type.list_size)
+             for x, f in zip((tokens, mask), self.schema)], schema=self.schema))
 
     def add(self, raw: bytes) -> None:
         self.pending += raw
@@ -132,12 +168,25 @@ class Shard:
         self.file.close()
 
 
+def _groups(column: pa.Array) -> Iterator[list[str]]:
+    """The texts of a column in groups of about ``GROUP_CHARS`` characters."""
+    group, size = [], 0
+    for text in column:
+        group.append(text.as_py() or "")
+        size += len(group[-1])
+        if size >= GROUP_CHARS:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def _write_task(path: str, folder: str, sequence: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
     index_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context, encode = TaskContext.get(), encoder(path).encode
+        context, encode = TaskContext.get(), encoder(path).encode_many
         fs, base = common.open_filesystem(folder)
         name = f"shard-{context.partitionId():06d}-{context.taskAttemptId()}"
         docs = 0
@@ -149,12 +198,13 @@ def _write_task(path: str, folder: str, sequence: int, end_id: int):
                 if shard is None:
                     fs.create_dir(base, recursive=True)
                     sinks = [fs.open_output_stream(f"{base}/{name}.{x}") for x in ("arrow", "index")]
-                    shard, index = Shard(sinks[0], sequence), ipc.new_file(sinks[1], index_schema)
+                    shard, index = Shard(sinks[0], sequence, max(encoder(path).tokenizer.get_vocab_size(), end_id + 1)), ipc.new_file(sinks[1], index_schema)
                 starts, counts = [], []
-                for text in batch.column(1):
-                    starts.append(shard.written)
-                    shard.add(encode(text.as_py() or "") + end)
-                    counts.append(shard.written - starts[-1])
+                for texts in _groups(batch.column(1)):
+                    for raw in encode(texts):
+                        starts.append(shard.written)
+                        shard.add(raw + end)
+                        counts.append(shard.written - starts[-1])
                 docs += batch.num_rows
                 index.write_batch(pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())],
@@ -196,18 +246,19 @@ def _source(uri: str):
 
 
 def sequence(path: str, number: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and mask of one sequence of a shard on a local or mapped file, without copying."""
+    """Ids and mask (packed) of one sequence of a shard in a local, mapped file, without copying."""
     file = ipc.open_file(pa.memory_map(path))
     batch = file.get_batch(number // BATCH_SEQUENCES)
-    row = number % BATCH_SEQUENCES
-    length = batch.schema.field(0).type.list_size
-    return tuple(c.values.to_numpy(zero_copy_only=True)[(c.offset + row) * length:(c.offset + row + 1) * length]
-                 for c in batch.columns)
+    row, found = number % BATCH_SEQUENCES, []
+    for c in batch.columns:
+        length = c.type.list_size
+        found.append(c.values.to_numpy(zero_copy_only=True)[row * length:(row + 1) * length])
+    return tuple(found)
 
 
 def _read_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def documents(tokens, index, shard: int, before: int) -> Iterator[pa.RecordBatch]:
-        at, ids, number, base = 0, np.empty(0, np.uint32), 0, 0  # the batch in hand covers [base, base + len(ids))
+        at, ids, number, base = 0, (), 0, 0  # the batch in hand covers [base, base + len(ids))
         for k in range(index.num_record_batches):
             rows, sums = index.get_batch(k), []
             for n in rows.column(2).to_pylist():
@@ -218,7 +269,7 @@ def _read_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         number, base = number + 1, base + len(ids)
                         ids = batch.column(0).values.to_numpy(zero_copy_only=True)
                     part = ids[at - base:at - base + left]
-                    crc = zlib.crc32(part.astype("<u4", copy=False).data, crc)
+                    crc = zlib.crc32(part.astype("<u4").data, crc)
                     at, left = at + len(part), left - len(part)
                 sums.append(crc)
             start = pa.array(np.asarray(rows.column(1)) + before, pa.int64())
