@@ -72,7 +72,8 @@ class Encoder:
         line end, which is a token of its own there, between them."""
         joined = []
         for key, chunk in chunks.items():
-            if "\n" in chunk[1:] or chunk[:1] not in (" ", "\n") or len(chunk) < 2 or chunk[1] in _SPACES:
+            lead = chunk[0] in _SPACES
+            if "\n" in chunk[1:] or chunk[-1] in _SPACES or lead and (chunk[0] not in " \n" or chunk[1] in _SPACES):
                 known[key] = self._ids(chunk).tobytes()
             else:
                 joined.append(key)
@@ -86,34 +87,39 @@ class Encoder:
             for key, start, end in zip(joined, ends, ends[1:]):
                 known[key] = raw[start if chunks[key][0] == "\n" else start + 4:end]
 
-    def _learn(self, known: dict[str, bytes], lists: list[list[str]], chunk) -> None:
-        """Make sure that all parts of the lists are known."""
-        every = set().union(*lists)
-        new = every - known.keys()
+    def _found(self, known: dict[str, bytes], lists: list[list[str]], chunk) -> list[bytes]:
+        """The joined ids of each list of parts."""
+        got = [list(map(known.get, parts)) for parts in lists]
+        holes = [[i for i, g in enumerate(row) if g is None] if None in row else () for row in got]
+        new = {parts[i] for parts, at in zip(lists, holes) for i in at}
         if len(known) + len(new) > REMEMBERED:
             known.clear()
-            new = every
         self._remember(known, {p: chunk(p) for p in new})
+        for parts, row, at in zip(lists, got, holes):
+            for i in at:
+                row[i] = known[parts[i]]
+        return [b"".join(row) for row in got]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         direct: dict[int, bytes] = {}
-        parts: list[tuple[list[str], list[str]]] = []  # chunks, then words
+        chunks: list[list[str]] = []
+        rests: list[list[str]] = []
         for i, text in enumerate(texts):
+            cut: tuple[list[str], list[str]] = ([], [])
             if not text:
-                parts.append(([], []))
+                pass
             elif self.whole or any(a in text for a in self.added):
                 direct[i] = self._ids(text).tobytes()
-                parts.append(([], []))
             elif _RUN.search(text):
-                parts.append((_CHUNK.findall(text), []))
+                cut = (_CHUNK.findall(text), [])
             else:
                 first, *rest = text.replace("\n", " \n").split(" ")
-                parts.append(([first] if first else [], rest))
-        self._learn(self.chunks, [c for c, _ in parts], str)
-        self._learn(self.words, [w for _, w in parts], lambda p: p if p[:1] == "\n" else " " + p)
-        chunk, word = self.chunks.__getitem__, self.words.__getitem__
-        return [direct[i] if i in direct else b"".join(map(chunk, c)) + b"".join(map(word, w))
-                for i, (c, w) in enumerate(parts)]
+                cut = ([first] if first else [], rest)
+            chunks.append(cut[0])
+            rests.append(cut[1])
+        heads = self._found(self.chunks, chunks, str)
+        tails = self._found(self.words, rests, lambda p: p if p[:1] == "\n" else " " + p)
+        return [direct.get(i) or head + tail for i, (head, tail) in enumerate(zip(heads, tails))]
 
     def encode(self, text: str) -> bytes:
         return self.encode_many([text])[0]
