@@ -71,8 +71,8 @@ def duplicate_keys(df: DataFrame, key: str = "item_code") -> DataFrame:
 
 
 def orphan_lines(t: Tables) -> DataFrame:
-    """Sales lines whose item has no catalogue row (anti-join)."""
-    return t.sales.join(t.catalogue_prices.select("item_code"), "item_code", "left_anti")
+    """Sales lines with an item code that no catalogue row has (anti-join)."""
+    return t.sales.filter(F.col("item_code").isNotNull()).join(t.catalogue_prices.select("item_code"), "item_code", "left_anti")
 
 
 def orphan_item_count(t: Tables) -> DataFrame:
@@ -87,34 +87,38 @@ def orphan_customer_codes(t: Tables) -> DataFrame:
 
 
 def date_validation(t: Tables) -> DataFrame:
-    """NULL, malformed and out-of-range (before 2000 or after 2025) dates."""
+    """NULL, malformed and out-of-range (before 2000 or after 2025) dates, the number of
+    lines with any of these faults, and the range of dates among them."""
     d = F.col("invoice_date")
     year = F.substring(d, 1, 4).try_cast("int")
+    wrong = d.isNull() | ~d.like("____-__-__") | (year < 2000) | (year > 2025)
     return t.sales.agg(F.count(F.when(d.isNull(), 1)).alias("null_dates"),
                        F.count(F.when(d.isNotNull() & ~d.like("____-__-__"), 1)).alias("malformed_dates"),
                        F.count(F.when((year < 2000) | (year > 2025), 1)).alias("out_of_range_dates"),
-                       F.min(d).alias("min_date"), F.max(d).alias("max_date"))
+                       F.count(F.when(wrong, 1)).alias("invalid_dates"),
+                       F.min(F.when(wrong, d)).alias("min_date"), F.max(F.when(wrong, d)).alias("max_date"))
 
 
-def non_positive_values(t: Tables) -> DataFrame:
-    """Non-positive quantities, prices, catalogue tiers and costs."""
-    s = t.sales.agg(F.count(F.when(F.col("quantity") <= 0, 1)).alias("non_positive_quantity"),
+def non_positive_values(t) -> DataFrame:
+    """Non-positive quantities, prices, catalogue tiers and costs of the raw tables."""
+    s = t.sales_raw.agg(F.count(F.when(F.col("quantity") <= 0, 1)).alias("non_positive_quantity"),
                     F.count(F.when(F.col("unit_price") <= 0, 1)).alias("non_positive_price"))
     c = t.catalogue_prices.agg(*[F.count(F.when(F.col(k) <= 0, 1)).alias(f"non_positive_{k}")
-                                 for k in ("ie_trade", "ie_base", "ie_low")])
+                                 for k in ("ie_trade", "ie_high", "ie_mid")])
     lc = t.landed_costs.agg(F.count(F.when(F.col("landed_cost_euro") <= 0, 1)).alias("non_positive_cost"))
     return to_long(s).unionByName(to_long(c)).unionByName(to_long(lc))
 
 
-def line_total_inconsistencies(t: Tables) -> DataFrame:
-    """Lines where |line_total - quantity x price| > 0.01."""
-    return t.sales.agg(F.count(F.when(F.abs(F.col("line_total") - F.col("quantity") * F.col("unit_price")) > 0.01, 1))
+def line_total_inconsistencies(t) -> DataFrame:
+    """Raw lines where |line_total - quantity x price| > 0.01."""
+    return t.sales_raw.agg(F.count(F.when(F.abs(F.col("line_total") - F.col("quantity") * F.col("unit_price")) > 0.01, 1))
                        .alias("inconsistent_lines"))
 
 
 def name_variations_per_code(sales_raw: DataFrame) -> DataFrame:
     """Customer codes with more than one distinct name."""
-    return (sales_raw.groupBy("customer_code").agg(F.countDistinct("customer_name").alias("name_count"))
+    return (sales_raw.filter(F.col("customer_code").isNotNull())
+            .groupBy("customer_code").agg(F.countDistinct("customer_name").alias("name_count"))
             .filter(F.col("name_count") > 1))
 
 
@@ -146,19 +150,21 @@ def orphan_summary(t: Tables) -> DataFrame:
 def orphan_items(t: Tables, limit: int = 20) -> DataFrame:
     """The orphaned items with most lines."""
     g = orphan_lines(t).groupBy("item_code").agg(
-        F.max("item_description").alias("item_description"), F.count(F.lit(1)).alias("line_count"),
+        F.count(F.lit(1)).alias("line_count"),
         F.countDistinct("customer_code").alias("customer_count"), F.countDistinct("invoice_number").alias("invoice_count"),
         M.money_sum("quantity").alias("total_quantity"), M.money_sum("line_total").alias("total_revenue"),
+        F.try_divide(M.money_sum("unit_price"), F.count("unit_price")).alias("avg_unit_price"),
         F.min("invoice_date").alias("first_sale"), F.max("invoice_date").alias("last_sale"))
     return M.top(g, "line_count", "desc", limit, "item_code")
 
 
 def orphan_negative_revenue(t: Tables, limit: int = 20) -> DataFrame:
-    """Orphaned credit lines, most negative first."""
-    o = orphan_lines(t).filter(F.col("line_total") < 0).select(
-        "invoice_number", "invoice_date", "customer_code", "item_code", "quantity", "unit_price", "line_total")
-    return o.orderBy(F.col("line_total").asc(), "invoice_number", "item_code", "invoice_date", "customer_code",
-                     "quantity").limit(limit)
+    """Orphaned items by the revenue of their negative lines, the most negative first."""
+    g = orphan_lines(t).filter(F.col("line_total") < 0).groupBy("item_code").agg(
+        F.count(F.lit(1)).alias("line_count"), M.money_sum("quantity").alias("total_quantity"),
+        M.money_sum("line_total").alias("total_revenue"),
+        F.try_divide(M.money_sum("unit_price"), F.count("unit_price")).alias("avg_unit_price"))
+    return M.top(g, "total_revenue", "asc", limit, "item_code")
 
 
 def orphans_by_customer(t: Tables, limit: int = 20) -> DataFrame:
@@ -173,13 +179,15 @@ def orphans_by_month(t: Tables) -> DataFrame:
     """Orphaned lines and revenue per month."""
     o = orphan_lines(t).filter(F.col("invoice_date").isNotNull() & (F.col("invoice_date") != ""))
     return o.groupBy(F.substring("invoice_date", 1, 7).alias("month")).agg(
-        F.count(F.lit(1)).alias("orphaned_lines"), M.money_sum("line_total").alias("orphaned_revenue"))
+        F.countDistinct("item_code").alias("orphaned_items"), F.count(F.lit(1)).alias("orphaned_lines"),
+        M.money_sum("quantity").alias("total_quantity"), M.money_sum("line_total").alias("orphaned_revenue"))
 
 
-def catalogue_never_sold(t: Tables, limit: int = 50) -> DataFrame:
-    """Catalogue items without a sale."""
-    out = t.catalogue_prices.join(t.sales.select("item_code"), "item_code", "left_anti").select("item_code", "ie_trade")
-    return out.orderBy("item_code").limit(limit)
+def catalogue_never_sold(t: Tables, limit: int | None = None) -> DataFrame:
+    """Catalogue items without a sale, with their tiers."""
+    out = t.catalogue_prices.join(t.sales.select("item_code"), "item_code", "left_anti").select(
+        "item_code", "ie_trade", "ie_high", "ie_mid", "ie_low")
+    return out.orderBy("item_code").limit(limit) if limit else out
 
 
 def invoice_orphan_breakdown(t: Tables) -> DataFrame:

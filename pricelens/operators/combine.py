@@ -9,9 +9,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import shared_checkpoint_dir
+
+WIDE_MONEY = "decimal(38,6)"
+
 
 def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add every column of the single-row ``one_row`` to each row of ``df``."""
@@ -23,3 +28,30 @@ def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
 def side_by_side(first: DataFrame, *others: DataFrame) -> DataFrame:
     """``first`` (any number of rows) with the columns of the one-row ``others`` added."""
     return reduce(attach, others, first)
+
+
+def ranked(df: DataFrame, by: list[Column], rank: str = "rank", running: dict[str, Column] | None = None,
+           ties: bool = False) -> DataFrame:
+    """``df`` with its position in the total order ``by``, and running sums, without a single-task window.
+
+    Rows are range-partitioned in order and checkpointed (so the ranges can't change
+    between the two passes); each range is numbered and summed on its own and the
+    counts and sums of the ranges before it, one row a range, are added.  ``running``: new
+    column -> money to sum up to and including the row.  ``ties``: rows equal in ``by`` share the least position."""
+    running = running or {}
+    spark = df.sparkSession
+    shared_checkpoint_dir(spark)
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(ranges, *by).withColumn("_range", F.spark_partition_id()).checkpoint()
+    sums = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), *[
+        F.sum(v.cast(WIDE_MONEY)).alias(f"_{k}") for k, v in running.items()])
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select("_range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before")
+                                      for c in ("_n", *(f"_{k}" for k in running))])
+    inside = W.partitionBy("_range").orderBy(*by)
+    upto = inside.rowsBetween(W.unboundedPreceding, 0)
+    place = F.rank() if ties else F.row_number()
+    return rows.join(offsets, "_range").withColumns(
+        {rank: F.col("_n_before") + place.over(inside)}
+        | {k: (F.col(f"_{k}_before") + F.coalesce(F.sum(v.cast(WIDE_MONEY)).over(upto), F.lit(0))).cast("double")
+           for k, v in running.items()}).select(*df.columns, rank, *running)

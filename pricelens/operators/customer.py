@@ -1,17 +1,17 @@
 """Customer analysis (U1 lifetime value, U2 segmentation, U3 churn risk, U4 concentration).
 
-Each analysis ranks customers with B2 and keeps the reference's entity cap (top
-200 / 500) as a parameter; the ranked list is bounded by that cap, so the global
-windows below (thresholds, running shares) run over at most that many rows.
+Every analysis covers all customers of B2: thresholds, shares and summaries are taken
+over the whole population, and ``limit`` cuts the final listing only.  Positions and
+running sums come from ``combine.ranked``, range by range.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
+from .combine import ranked as total_order
 from .combine import side_by_side
 from .facts import Analysis, DateWindow, base_filter, customer_sales
 
@@ -24,16 +24,15 @@ def _purchase_dates(fact: DataFrame, window: DateWindow) -> DataFrame:
                                              F.max("invoice_date").alias("last_purchase_date"))
 
 
-def _ranked(df: DataFrame, order_col: str = "total_revenue") -> DataFrame:
-    w = W.orderBy(F.col(order_col).desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in _RANK])
-    return df.withColumn("rank", F.row_number().over(w))
+def _ranked(df: DataFrame, order_col: str = "total_revenue", rank: str = "rank", running=None) -> DataFrame:
+    by = [F.col(order_col).desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in _RANK]]
+    return total_order(df, by, rank, running)
 
 
-def lifetime_value(fact: DataFrame, window: DateWindow, limit: int = 20, customer_code: str | None = None) -> Analysis:
-    """Top customers by revenue with first/last purchase, age, AOV and purchase frequency."""
+def lifetime_value(fact: DataFrame, window: DateWindow, limit: int | None = None, customer_code: str | None = None) -> Analysis:
+    """Customers with first/last purchase, age, AOV and purchase frequency (the top ``limit`` by revenue)."""
     top = customer_sales(fact, window, include_returns=False, include_samples=False,
-                         customer_codes=[customer_code] if customer_code else None,
-                         sort_by="revenue", limit=1 if customer_code else limit)
+                         customer_codes=[customer_code] if customer_code else None)
     age = F.greatest(F.lit(1), F.coalesce(F.datediff(F.try_to_date("last_purchase_date"),
                                                      F.try_to_date("first_purchase_date")), F.lit(1)))
     items = (top.join(_purchase_dates(fact, window), "customer_code", "left")
@@ -49,6 +48,8 @@ def lifetime_value(fact: DataFrame, window: DateWindow, limit: int = 20, custome
                         F.coalesce(F.try_divide(M.js_sum("total_revenue"), F.count(F.lit(1))), F.lit(0.0))
                         .alias("avg_lifetime_value"),
                         M.js_sum("total_revenue").alias("total_revenue"))
+    if limit or customer_code:
+        items = M.top(items, "total_revenue", "desc", 1 if customer_code else limit, *_RANK)
     return Analysis(summary, items)
 
 
@@ -57,17 +58,13 @@ def _segment(value: str, high: str, mid: str) -> F.Column:
             .otherwise("low"))
 
 
-def segmentation(fact: DataFrame, window: DateWindow, limit: int = 20, population: int = 200) -> Analysis:
-    """Revenue and margin segments from the exact 33rd/67th positions of the top list."""
-    top = (customer_sales(fact, window, include_returns=False, include_samples=False,
-                          sort_by="revenue", limit=population)
+def segmentation(fact: DataFrame, window: DateWindow, limit: int = 20) -> Analysis:
+    """Revenue and margin segments from the exact 33rd/67th positions among all customers."""
+    top = (customer_sales(fact, window, include_returns=False, include_samples=False)
            .select(*_RANK, "total_revenue", (F.col("total_revenue") - F.col("total_cost")).alias("margin"),
                    M.margin_percent("total_revenue", "total_cost").alias("margin_percent")))
-    # Both orders run over the capped list (<= population rows).
-    ranked = (_ranked(top)
-              .withColumn("mrank", F.row_number().over(
-                  W.orderBy(F.col("margin_percent").desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in _RANK])))
-              .withColumn("n", F.count(F.lit(1)).over(W.partitionBy())))
+    ranked = _ranked(_ranked(top), "margin_percent", "mrank")
+    ranked = side_by_side(ranked, ranked.agg(F.count(F.lit(1)).alias("n")))
     hi_idx, lo_idx = F.floor(F.col("n") * 0.33) + 1, F.floor(F.col("n") * 0.67) + 1
 
     def at(rank_col, idx, value, alias):
@@ -93,10 +90,9 @@ def segmentation(fact: DataFrame, window: DateWindow, limit: int = 20, populatio
 
 
 def churn_risk(fact: DataFrame, window: DateWindow, inactivity_days: int = 90, high_value: float = 10000,
-               limit: int = 20, population: int = 200) -> Analysis:
-    """Top customers silent for more than ``inactivity_days``; high risk above ``high_value``."""
-    top = customer_sales(fact, window, include_returns=False, include_samples=False, sort_by="revenue",
-                         limit=population)
+               limit: int = 20) -> Analysis:
+    """Customers silent for more than ``inactivity_days``; high risk above ``high_value``."""
+    top = customer_sales(fact, window, include_returns=False, include_samples=False)
     last = F.coalesce(F.col("last_purchase_date"), F.lit("1970-01-01"))
     days = F.datediff(F.to_date(F.lit(window.as_of)), F.try_to_date(last))
     scored = (top.join(_purchase_dates(fact, window), "customer_code", "left")
@@ -121,14 +117,12 @@ def churn_risk(fact: DataFrame, window: DateWindow, inactivity_days: int = 90, h
     return Analysis(summary, items)
 
 
-def concentration(fact: DataFrame, window: DateWindow, limit: int = 20, population: int = 500) -> Analysis:
-    """U4: revenue share and running share of the top customers; customers needed for 80 %."""
-    top = customer_sales(fact, window, include_returns=False, include_samples=False, sort_by="revenue",
-                         limit=population).select(*_RANK, "total_revenue")
-    ranked = _ranked(top)
+def concentration(fact: DataFrame, window: DateWindow, limit: int = 20) -> Analysis:
+    """U4: revenue share and running share of all customers; customers needed for 80 %."""
+    top = customer_sales(fact, window, include_returns=False, include_samples=False).select(*_RANK, "total_revenue")
+    ranked = _ranked(top, running={"_running": F.col("total_revenue")})
     total = top.agg(M.js_sum("total_revenue").alias("_total"))
-    running = F.sum(F.col("total_revenue").cast(M.MONEY)).over(
-        W.orderBy("rank").rowsBetween(W.unboundedPreceding, 0)).cast("double")
+    running = F.col("_running")
     shares = (side_by_side(ranked, total)
               .withColumn("revenue_percent", F.try_divide(F.col("total_revenue"), F.col("_total")) * 100)
               .withColumn("cumulative_percent", F.try_divide(running, F.col("_total")) * 100))

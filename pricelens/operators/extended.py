@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
+from .combine import ranked as total_order
 from .combine import side_by_side
 from .facts import Analysis, DateWindow, base_filter, line_cost, newest, product_sales, customer_sales
 from . import customer as customer_ops
@@ -112,7 +113,7 @@ def price_position(fact: DataFrame, window: DateWindow, item_code=None) -> DataF
             .withColumn("price_spread", F.col("max_price") - F.col("min_price")))
 
 
-def lifetime_value_annual(fact: DataFrame, window: DateWindow, limit: int = 20) -> DataFrame:
+def lifetime_value_annual(fact: DataFrame, window: DateWindow, limit: int | None = None) -> DataFrame:
     """U1 plus ``estimated_annual_value`` = revenue / age days x 365."""
     items = customer_ops.lifetime_value(fact, window, limit=limit).items
     return items.withColumn("estimated_annual_value",
@@ -148,56 +149,42 @@ def churn_decline(fact: DataFrame, window: DateWindow, inactivity_days: int = 90
 
 
 def herfindahl(fact: DataFrame, window: DateWindow) -> DataFrame:
-    """Herfindahl index of customer revenue shares, sum(share^2) = sum(r^2) / (sum r)^2, in one pass."""
+    """Herfindahl index of customer revenue shares: shares first, so that no square of money can overflow."""
     per = customer_sales(fact, window, include_returns=False, include_samples=False)
-    r = F.col("total_revenue")
-    return per.agg(F.count(F.lit(1)).alias("total_customers"), M.js_sum(r).alias("total_revenue"),
-                   M.fine_sum(r * r).alias("_sq")).select(
-        "total_customers", "total_revenue",
-        F.try_divide(F.col("_sq"), F.col("total_revenue") * F.col("total_revenue")).alias("concentration_index"))
+    total = per.agg(F.count(F.lit(1)).alias("total_customers"), M.js_sum("total_revenue").alias("total_revenue"))
+    share = F.try_divide(F.col("total_revenue"), F.col("_total"))
+    squares = side_by_side(per.select("total_revenue"), total.select(F.col("total_revenue").alias("_total"))).agg(
+        F.sum((share * share).cast("decimal(38,18)")).cast("double").alias("concentration_index"))
+    return side_by_side(total, squares)
 
 
-def product_ranks(fact: DataFrame, window: DateWindow, limit: int = 100) -> DataFrame:
-    """M2 top products with revenue and margin ranks (ranks within the listed products)."""
-    top = product_performance(fact, window, sort_by="revenue", limit=limit)
-    return (top.withColumn("revenue_rank", F.rank().over(W.orderBy(F.col("revenue").desc_nulls_last())))
-               .withColumn("margin_rank", F.rank().over(W.orderBy(F.col("margin").desc_nulls_last()))))
+def product_ranks(fact: DataFrame, window: DateWindow) -> DataFrame:
+    """M2 products with their revenue and margin ranks among all products."""
+    out = product_performance(fact, window, limit=None)
+    out = total_order(out, [F.col("revenue").desc_nulls_last()], "revenue_rank", ties=True)
+    return total_order(out, [F.col("margin").desc_nulls_last()], "margin_rank", ties=True)
 
 
-def cannibalisation_switching(fact: DataFrame, window: DateWindow, min_shared_customers: int = 5,
-                              products: int = 100) -> DataFrame:
+def cannibalisation_switching(fact: DataFrame, window: DateWindow, min_shared_customers: int = 5) -> DataFrame:
     """D4 pairs with switching counts (A->B when the last A purchase precedes the first
     B purchase) and each product's revenue trend (second-half vs first-half growth %)."""
-    pairs = product_ops.cannibalisation(fact, window, min_shared_customers, limit=None, products=products).items
     lines = _lines(fact, window)
-    span = (lines.groupBy("customer_code", "item_code")
-            .agg(F.min("invoice_date").alias("first_d"), F.max("invoice_date").alias("last_d")))
-    a = span.select(F.col("customer_code"), F.col("item_code").alias("product_a_code"),
-                    F.col("first_d").alias("a_first"), F.col("last_d").alias("a_last"))
-    b = span.select(F.col("customer_code").alias("_c"), F.col("item_code").alias("_pb"),
-                    F.col("first_d").alias("b_first"), F.col("last_d").alias("b_last"))
-    keys = pairs.select("product_a_code", "product_b_code")
-    # Equi-join on (product B, customer): each (pair, customer) row meets exactly one span row.
-    sw = (keys.join(a, "product_a_code")
-          .join(b, (F.col("product_b_code") == F.col("_pb")) & F.col("customer_code").eqNullSafe(F.col("_c")))
-          .groupBy("product_a_code", "product_b_code")
-          .agg(F.count(F.when(F.col("a_last") < F.col("b_first"), 1)).alias("customers_switching_from_a_to_b"),
-               F.count(F.when(F.col("b_last") < F.col("a_first"), 1)).alias("customers_switching_from_b_to_a")))
+    pairs = product_ops.shared_customers(lines, min_shared_customers)
     lo, hi = window.bounds()
     mid = F.date_add(F.to_date(lo), (F.datediff(F.to_date(hi), F.to_date(lo)) / 2).cast("int")).cast("string")
     d = F.col("invoice_date")
     trend = (lines.groupBy("item_code")
              .agg(M.js_sum(F.when(d < mid, F.col("line_total"))).alias("_p"),
-                  M.js_sum(F.when(d >= mid, F.col("line_total"))).alias("_c2"))
-             .select("item_code", F.when(F.col("_p") > 0, (F.col("_c2") - F.col("_p")) / F.col("_p") * 100)
+                  M.js_sum(F.when(d >= mid, F.col("line_total"))).alias("_c2"),
+                  F.coalesce(newest("item_description"), F.lit("")).alias("desc"))
+             .select("item_code", "desc", F.when(F.col("_p") > 0, (F.col("_c2") - F.col("_p")) / F.col("_p") * 100)
                      .otherwise(F.lit(0.0)).alias("trend")))
-    ta = trend.select(F.col("item_code").alias("product_a_code"), F.col("trend").alias("product_a_revenue_trend"))
-    tb = trend.select(F.col("item_code").alias("product_b_code"), F.col("trend").alias("product_b_revenue_trend"))
-    return (pairs.select("product_a_code", "product_a_description", "product_b_code", "product_b_description",
-                         "shared_customers")
-            .join(sw, ["product_a_code", "product_b_code"], "left").join(ta, "product_a_code", "left")
-            .join(tb, "product_b_code", "left").fillna(0, ["customers_switching_from_a_to_b",
-                                                           "customers_switching_from_b_to_a"]))
+    ta, tb = (trend.select(F.col("item_code").alias(f"product_{x}_code"), F.col("desc").alias(f"product_{x}_description"),
+                           F.col("trend").alias(f"product_{x}_revenue_trend")) for x in "ab")
+    return pairs.join(ta, "product_a_code", "left").join(tb, "product_b_code", "left").select(
+        "product_a_code", "product_a_description", "product_b_code", "product_b_description", "shared_customers",
+        "customers_switching_from_a_to_b", "customers_switching_from_b_to_a", "product_a_revenue_trend",
+        "product_b_revenue_trend")
 
 
 def cross_sell_lift(fact: DataFrame, window: DateWindow, min_co_occurrence: int = 5) -> DataFrame:
@@ -322,18 +309,15 @@ def orphan_status(t, fact: DataFrame | None = None) -> DataFrame:
     return g.withColumn("issue_type", issue).filter(F.col("issue_type").isNotNull())
 
 
-def margin_contribution(fact: DataFrame, window: DateWindow, population: int = 500) -> DataFrame:
-    """Margin and revenue share of the top customers by margin, with cumulative margin %.
-
-    Shares are of the all-customer totals; the running sum covers the ``population`` cap."""
+def margin_contribution(fact: DataFrame, window: DateWindow) -> DataFrame:
+    """Margin and revenue share of all customers, with cumulative margin % from the largest margin down."""
     per = customer_sales(fact, window, include_returns=False, include_samples=False).withColumn(
         "margin_contribution", F.col("total_revenue") - F.col("total_cost"))
     tot = per.agg(M.js_sum("margin_contribution").alias("_tm"), M.js_sum("total_revenue").alias("_tr"))
-    top = M.top(per, "margin_contribution", "desc", population, "customer_code", "customer_name")
-    ranked = top.withColumn("_rank", F.row_number().over(
-        W.orderBy(F.col("margin_contribution").desc_nulls_last(), "customer_code", "customer_name")))
-    running = F.sum(F.col("margin_contribution").cast(M.MONEY)).over(
-        W.orderBy("_rank").rowsBetween(W.unboundedPreceding, 0)).cast("double")
+    by = [F.col("margin_contribution").desc_nulls_last(), F.col("customer_code").asc_nulls_last(),
+          F.col("customer_name").asc_nulls_last()]
+    ranked = total_order(per, by, "_rank", {"_running": F.col("margin_contribution")})
+    running = F.col("_running")
     return side_by_side(ranked, tot).select(
         "customer_code", "customer_name", "margin_contribution",
         (F.try_divide(F.col("margin_contribution"), F.col("_tm")) * 100).alias("margin_contribution_percent"),
@@ -429,7 +413,7 @@ def contribution_by_segment(fact: DataFrame, window: DateWindow, customers: Data
                     .alias("contribution_margin_ratio"))
 
 
-def ltv_prediction(fact: DataFrame, window: DateWindow, limit: int = 20) -> DataFrame:
+def ltv_prediction(fact: DataFrame, window: DateWindow, limit: int | None = None) -> DataFrame:
     """Next-12-month revenue = revenue / age x 365 x retention (low 1, medium 0.5,
     high 0.2 churn risk); margin at the historical rate; confidence = min(1, lines / 24)."""
     items = customer_ops.lifetime_value(fact, window, limit=limit).items

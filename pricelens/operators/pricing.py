@@ -12,12 +12,11 @@ from .facts import Analysis, DateWindow, base_filter, newest, product_sales
 TIERS = ("ie_trade", "ie_high", "ie_mid", "ie_low", "ie_base", "ie_edm", "ie_anew")
 
 
-def price_variance(fact: DataFrame, window: DateWindow, min_variance_percent: float = 5, limit: int = 20,
+def price_variance(fact: DataFrame, window: DateWindow, min_variance_percent: float = 5, limit: int | None = None,
                    price_tier: str = "ie_trade", item_code: str | None = None) -> Analysis:
-    """Top products by revenue vs their catalogue price (the chosen tier, K10)."""
+    """Products vs their catalogue price (the chosen tier, K10); ``limit`` lists the top by revenue."""
     products = product_sales(fact, window, include_returns=True, include_samples=False,
-                             item_codes=[item_code] if item_code else None, sort_by="revenue",
-                             limit=limit, price_tier=price_tier)
+                             item_codes=[item_code] if item_code else None, price_tier=price_tier)
     cat = F.col("catalogue_price")
     avg_price = M.average_price("total_revenue", "total_quantity")
     items = (products.filter(cat.isNotNull())
@@ -30,7 +29,7 @@ def price_variance(fact: DataFrame, window: DateWindow, min_variance_percent: fl
         products.agg(F.count(F.lit(1)).alias("total_products")),
         items.agg(F.count(F.lit(1)).alias("products_with_variance"),
                   F.coalesce(M.fine_mean(F.abs("variance_percent")), F.lit(0.0)).alias("avg_variance_percent")))
-    return Analysis(summary, items)
+    return Analysis(summary, M.top(items, "total_revenue", "desc", limit, "item_code") if limit else items)
 
 
 def price_consistency(fact: DataFrame, window: DateWindow, min_variance_percent: float = 5, limit: int | None = 20,
@@ -91,10 +90,10 @@ def catalogue_compliance(fact: DataFrame, window: DateWindow, tolerance: float =
     return Analysis(summary, M.top(per_item, "compliance_percent", "asc", limit, "item_code"))
 
 
-def tier_performance(fact: DataFrame, window: DateWindow, limit: int = 20, item_code: str | None = None) -> Analysis:
-    """Top products by revenue with catalogue price, actual price, revenue and margin."""
+def tier_performance(fact: DataFrame, window: DateWindow, limit: int | None = None, item_code: str | None = None) -> Analysis:
+    """Products with catalogue price, actual price, revenue and margin; ``limit`` lists the top by revenue."""
     products = product_sales(fact, window, include_returns=False, include_samples=False,
-                             item_codes=[item_code] if item_code else None, sort_by="revenue", limit=limit)
+                             item_codes=[item_code] if item_code else None)
     items = (products.filter(F.col("catalogue_price_trade").isNotNull())
              .select("item_code", "product_description", F.col("catalogue_price_trade").alias("catalogue_price"),
                      M.average_price("total_revenue", "total_quantity").alias("avg_actual_price"),
@@ -104,4 +103,4 @@ def tier_performance(fact: DataFrame, window: DateWindow, limit: int = 20, item_
         .withColumn("avg_margin_percent", F.when(F.col("total_revenue") > 0,
                                                  F.col("total_margin") / F.col("total_revenue") * 100)
                     .otherwise(F.lit(0.0)))
-    return Analysis(summary, items)
+    return Analysis(summary, M.top(items, "revenue", "desc", limit, "item_code") if limit else items)

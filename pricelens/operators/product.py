@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
+from .combine import ranked as total_order
 from .combine import side_by_side
 from .facts import Analysis, DateWindow, base_filter, newest, product_sales
 
@@ -16,13 +16,12 @@ def _lines(fact: DataFrame, window: DateWindow) -> DataFrame:
 
 
 def slow_movers(fact: DataFrame, window: DateWindow, max_units_per_month: float = 2, limit: int = 20,
-                population: int = 200, item_code: str | None = None) -> Analysis:
-    """The least-transacted products whose monthly units stay under the threshold."""
+                item_code: str | None = None) -> Analysis:
+    """All products whose monthly units stay under the threshold (K13), the least-transacted listed."""
     lo, hi = window.bounds()
     months = F.greatest(F.lit(1.0), F.datediff(F.to_date(hi), F.to_date(lo)) / 30.0)
     products = product_sales(fact, window, include_returns=False, include_samples=False,
-                             item_codes=[item_code] if item_code else None, sort_by="transactions",
-                             sort_order="asc", limit=population)
+                             item_codes=[item_code] if item_code else None)
     last = _lines(fact, window).groupBy("item_code").agg(F.max("invoice_date").alias("_last"))
     last_sale = F.coalesce(F.col("_last"), lo)
     scored = (products.join(last, "item_code", "left")
@@ -41,17 +40,14 @@ def slow_movers(fact: DataFrame, window: DateWindow, max_units_per_month: float
     return Analysis(summary, items)
 
 
-def product_mix(fact: DataFrame, window: DateWindow, limit: int = 20, population: int = 500) -> Analysis:
-    """ABC classes from the running revenue share of the top products (A <= 80 %, B <= 95 %)."""
-    products = product_sales(fact, window, include_returns=True, include_samples=False, sort_by="revenue",
-                             limit=population)
-    ranked = products.withColumn("rank", F.row_number().over(
-        W.orderBy(F.col("total_revenue").desc_nulls_last(), F.col("item_code").asc_nulls_last())))
+def product_mix(fact: DataFrame, window: DateWindow, limit: int = 20) -> Analysis:
+    """ABC classes from the running revenue share of all products (A <= 80 %, B <= 95 %)."""
+    products = product_sales(fact, window, include_returns=True, include_samples=False)
+    ranked = total_order(products, [F.col("total_revenue").desc_nulls_last(), F.col("item_code").asc_nulls_last()],
+                         running={"_running": F.col("total_revenue")})
     total = products.agg(M.js_sum("total_revenue").alias("_total"),
                          M.js_sum(F.col("total_revenue") - F.col("total_cost")).alias("_margin"))
-    running = F.sum(F.col("total_revenue").cast(M.MONEY)).over(
-        W.orderBy("rank").rowsBetween(W.unboundedPreceding, 0)).cast("double")
-    cum = F.try_divide(running, F.col("_total")) * 100
+    cum = F.try_divide(F.col("_running"), F.col("_total")) * 100
     analysed = (side_by_side(ranked, total)
                 .select("rank", "item_code", "product_description", F.col("total_revenue").alias("revenue"),
                         (F.try_divide(F.col("total_revenue"), F.col("_total")) * 100).alias("revenue_percent"),
@@ -139,31 +135,45 @@ def cross_sell_total_pairs(fact: DataFrame, window: DateWindow) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("total_pairs")))
 
 
-def cannibalisation(fact: DataFrame, window: DateWindow, min_shared_customers: int = 5, limit: int | None = 20,
-                    products: int = 100) -> Analysis:
-    """Pairs among the top-``products`` items by revenue that share customers.
-
-    The candidate set is capped by ``products`` (the reference compares its first
-    100 products), so the per-customer pairs are bounded by products^2 / 2.
-    """
+def shared_customers(lines: DataFrame, min_shared: int) -> DataFrame:
+    """Item pairs (a < b) with at least ``min_shared`` common customers, and of these how many
+    stopped buying one before they began with the other.
+
+    An item with fewer customers than that can't be in such a pair and is dropped before
+    the self-join (exact pruning); a customer with very many items is split by AQE's
+    skew-join handling, as both sides of the join are shuffled by customer."""
+    spans = lines.groupBy("customer_code", "item_code").agg(
+        F.min("invoice_date").alias("first"), F.max("invoice_date").alias("last"))
+    common = spans.groupBy("item_code").agg(F.count(F.lit(1)).alias("_customers")).filter(
+        F.col("_customers") >= min_shared).select("item_code")
+    spans = spans.join(common, "item_code")
+    a = spans.select("customer_code", F.col("item_code").alias("product_a_code"),
+                     F.col("first").alias("a_first"), F.col("last").alias("a_last"))
+    b = spans.select(F.col("customer_code").alias("_c"), F.col("item_code").alias("product_b_code"),
+                     F.col("first").alias("b_first"), F.col("last").alias("b_last"))
+    return (a.join(b, F.col("customer_code").eqNullSafe(F.col("_c"))
+                   & (F.col("product_a_code") < F.col("product_b_code")))
+            .groupBy("product_a_code", "product_b_code").agg(
+                F.count(F.lit(1)).alias("shared_customers"),
+                F.count(F.when(F.col("a_last") < F.col("b_first"), 1)).alias("customers_switching_from_a_to_b"),
+                F.count(F.when(F.col("b_last") < F.col("a_first"), 1)).alias("customers_switching_from_b_to_a"))
+            .filter(F.col("shared_customers") >= min_shared))
+
+
+def cannibalisation(fact: DataFrame, window: DateWindow, min_shared_customers: int = 5,
+                    limit: int | None = 20) -> Analysis:
+    """Pairs of all items that share customers, scored by how close their revenues are."""
     lines = _lines(fact, window)
     revenue = lines.groupBy("item_code").agg(M.js_sum("line_total").alias("revenue"),
                                              F.coalesce(newest("item_description"), F.lit("")).alias("desc"))
-    top = M.top(revenue, "revenue", "desc", products, "item_code")
-    cust_items = (lines.select("customer_code", "item_code").distinct()
-                  .join(top.select("item_code"), "item_code"))
-    a = cust_items.select("customer_code", F.col("item_code").alias("product_a_code"))
-    b = cust_items.select(F.col("customer_code").alias("_c"), F.col("item_code").alias("product_b_code"))
-    shared = (a.join(b, F.col("customer_code").eqNullSafe(F.col("_c"))
-                     & (F.col("product_a_code") < F.col("product_b_code")))
-              .groupBy("product_a_code", "product_b_code").agg(F.count(F.lit(1)).alias("shared_customers"))
-              .filter(F.col("shared_customers") >= min_shared_customers))
-    ra = top.select(F.col("item_code").alias("product_a_code"), F.col("revenue").alias("product_a_revenue"),
+    shared = shared_customers(lines, min_shared_customers).select(
+        "product_a_code", "product_b_code", "shared_customers")
+    ra = revenue.select(F.col("item_code").alias("product_a_code"), F.col("revenue").alias("product_a_revenue"),
                     F.col("desc").alias("product_a_description"))
-    rb = top.select(F.col("item_code").alias("product_b_code"), F.col("revenue").alias("product_b_revenue"),
+    rb = revenue.select(F.col("item_code").alias("product_b_code"), F.col("revenue").alias("product_b_revenue"),
                     F.col("desc").alias("product_b_description"))
     ra_, rb_ = F.col("product_a_revenue"), F.col("product_b_revenue")
-    score = F.col("shared_customers") / (1 + F.try_divide(F.abs(ra_ - rb_), F.greatest(ra_, rb_)))
+    score = F.try_divide(F.col("shared_customers"), 1 + F.try_divide(F.abs(ra_ - rb_), F.greatest(ra_, rb_)))
     scored = (shared.join(ra, "product_a_code").join(rb, "product_b_code")
               .select("product_a_code", "product_a_description", "product_b_code", "product_b_description",
                       "shared_customers", "product_a_revenue", "product_b_revenue", score.alias("competition_score")))

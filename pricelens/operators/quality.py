@@ -36,8 +36,9 @@ def anomalies(fact: DataFrame, window: DateWindow, limit: int | None = 50, min_l
     lc = F.coalesce(F.col("landed_cost_euro"), F.lit(0.0))
     cost = q * lc
     mp = M.margin_percent(lt, cost)
-    pdev = F.abs((p - F.col("_pa")) / F.col("_pa") * 100)
-    qdev = F.abs((q - F.col("_qa")) / F.col("_qa") * 100)
+    # an item's mean can be 0: its deviation is then unknown, and of the lowest severity
+    pdev = F.abs(F.try_divide(p - F.col("_pa"), F.col("_pa")) * 100)
+    qdev = F.abs(F.try_divide(q - F.col("_qa"), F.col("_qa")) * 100)
 
     def anomaly(kind, cond, expected, actual, deviation, severity):
         return F.when(cond, F.struct(F.lit(kind).alias("anomaly_type"), expected.cast("double").alias("expected_value"),

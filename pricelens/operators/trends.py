@@ -103,12 +103,13 @@ _METRICS = [("Revenue", "revenue"), ("Margin", "margin"), ("Transactions", "tran
 
 
 def growth(fact: DataFrame, window: DateWindow, comparison_type: str = "previous_period",
-           comparison_start: str | None = None, comparison_end: str | None = None) -> Analysis:
+           comparison_start: str | None = None, comparison_end: str | None = None,
+           include_returns: bool = False) -> Analysis:
     """T4: five metrics for the current window against the comparison window (one pass)."""
     lo, hi = window.bounds()
     clo, chi = comparison_window(window, comparison_type, comparison_start, comparison_end)
-    lines = base_filter(fact, DateWindow("0000-01-01", "9999-12-31", window.as_of), include_returns=True,
-                        include_samples=False)
+    lines = base_filter(fact, DateWindow("0000-01-01", "9999-12-31", window.as_of),
+                        include_returns=include_returns, include_samples=False)
     d = F.col("invoice_date")
     cur, cmp_ = d.between(lo, hi), d.between(clo, chi)
 
@@ -141,9 +142,9 @@ def growth(fact: DataFrame, window: DateWindow, comparison_type: str = "previous
 
 
 def forecast(fact: DataFrame, window: DateWindow, group_by: str = "month", periods: int = 3,
-             recent: int = 3) -> Analysis:
+             recent: int = 3, include_returns: bool = False) -> Analysis:
     """T5: flat forecast = mean per-period value x (mean of the last ``recent`` / mean of all)."""
-    lines = base_filter(fact, window, include_returns=True, include_samples=False)
+    lines = base_filter(fact, window, include_returns=include_returns, include_samples=False)
     per = (lines.groupBy(period_key("invoice_date", group_by).alias("period"))
            .agg(M.js_sum("line_total").alias("revenue"), M.js_sum(_cost()).alias("_cost"))
            .withColumn("margin", F.col("revenue") - F.col("_cost"))
@@ -169,19 +170,24 @@ def forecast(fact: DataFrame, window: DateWindow, group_by: str = "month", perio
     return Analysis(summary, items)
 
 
-def margin_trend(fact: DataFrame, window: DateWindow, group_by: str = "month", threshold: float = 2) -> Analysis:
+def margin_trend(fact: DataFrame, window: DateWindow, group_by: str = "month", threshold: float = 2,
+                 include_returns: bool = False) -> Analysis:
     """Margin % per period; improving / declining when last - first moves by > threshold points."""
-    lines = base_filter(fact, window, include_returns=True, include_samples=False)
+    lines = base_filter(fact, window, include_returns=include_returns, include_samples=False)
     per = (lines.groupBy(period_key("invoice_date", group_by).alias("period"))
            .agg(M.js_sum("line_total").alias("revenue"), M.js_sum(_cost()).alias("cost"),
                 F.count(F.lit(1)).alias("transaction_count")))
     periods = per.select("period", "revenue", "cost", (F.col("revenue") - F.col("cost")).alias("margin"),
                          M.margin_percent("revenue", "cost").alias("margin_percent"), "transaction_count")
     s = periods.agg(F.count(F.lit(1)).alias("period_count"),
+                    M.js_sum("revenue").alias("total_revenue"), M.js_sum("margin").alias("total_margin"),
                     F.min_by("margin_percent", "period").alias("first_margin_percent"),
                     F.max_by("margin_percent", "period").alias("last_margin_percent"))
     change = F.col("last_margin_percent") - F.col("first_margin_percent")
-    summary = s.select("period_count", "first_margin_percent", "last_margin_percent",
+    summary = s.select("period_count", "total_revenue", "total_margin",
+                       F.when(F.col("total_revenue") > 0, F.col("total_margin") / F.col("total_revenue") * 100)
+                       .otherwise(F.lit(0.0)).alias("avg_margin_percent"),
+                       "first_margin_percent", "last_margin_percent",
                        F.coalesce(change, F.lit(0.0)).alias("margin_change"),
                        F.when((F.col("period_count") >= 3) & (change > threshold), "improving")
                         .when((F.col("period_count") >= 3) & (change < -threshold), "declining")

@@ -73,10 +73,15 @@ def sales_by_customer(t: Tables) -> DataFrame:
 
 def sales_by_product(t: Tables) -> DataFrame:
     """V7: per cleaned item: lines, quantity, revenue, average unit price."""
-    return (t.sales.groupBy("item_code", "item_description")
-            .agg(F.count(F.lit(1)).alias("transaction_count"), M.money_sum("quantity").alias("total_quantity"),
-                 M.money_sum("line_total").alias("total_revenue"),
-                 F.try_divide(M.money_sum("unit_price"), F.count("unit_price")).alias("avg_unit_price")))
+    lines = (t.sales.groupBy("item_code")
+             .agg(F.count(F.lit(1)).alias("transaction_count"), M.money_sum("quantity").alias("total_quantity"),
+                  M.money_sum("line_total").alias("total_revenue"),
+                  F.try_divide(M.money_sum("unit_price"), F.count("unit_price")).alias("avg_unit_price")))
+    # text aggregates sort every line, so the name is taken over the distinct pairs
+    names = (t.sales.select(F.col("item_code").alias("_item"), "item_description").distinct()
+             .groupBy("_item").agg(F.max("item_description").alias("item_description")))
+    return lines.join(names, F.col("item_code").eqNullSafe(F.col("_item")), "left").select(
+        "item_code", "item_description", "transaction_count", "total_quantity", "total_revenue", "avg_unit_price")
 
 
 def monthly_sales(t: Tables) -> DataFrame:

@@ -166,7 +166,7 @@ def e5_inactive_high_value(e):
 # --- R1-R4 pricing --------------------------------------------------------------------
 
 _R1 = (b3("b", returns=True, samples=False, tier="ie_trade"),
-       f"""top AS (SELECT * FROM b ORDER BY total_revenue DESC NULLS LAST, item_code LIMIT 20),
+       f"""top AS (SELECT * FROM b),
 items AS (
   SELECT item_code, product_description, catalogue_price, avg_actual_price,
          avg_actual_price - catalogue_price AS price_variance,
@@ -254,7 +254,7 @@ _R4 = (b3("b", returns=False, samples=False),
   SELECT item_code, product_description, catalogue_price_trade AS catalogue_price,
          {r2(ratio0('total_revenue', 'total_quantity'))} AS avg_actual_price, transaction_count,
          total_revenue AS revenue, total_revenue - total_cost AS margin
-  FROM (SELECT * FROM b ORDER BY total_revenue DESC NULLS LAST, item_code LIMIT 20)
+  FROM b
   WHERE catalogue_price_trade IS NOT NULL)""")
 
 

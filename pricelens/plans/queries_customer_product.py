@@ -24,7 +24,7 @@ _U1 = (b2("b", returns=False, samples=False), _L, _DATES, f"""items AS (
          t.total_revenue / t.transaction_count AS avg_order_value,
          t.transaction_count / greatest(1, coalesce(date_diff('day', CAST(d.first_date AS DATE), CAST(d.last_date AS DATE)), 1)) * 30
            AS purchase_frequency_per_month
-  FROM (SELECT * FROM b ORDER BY {_RANK_C} LIMIT 20) t LEFT JOIN d ON t.customer_code = d.customer_code)""")
+  FROM b t LEFT JOIN d ON t.customer_code = d.customer_code)""")
 
 
 @register("u1_lifetime_value", _q(*_U1, select="SELECT * FROM items"))
@@ -43,7 +43,7 @@ def u1_lifetime_value_summary(e):
 _U2 = (b2("b", returns=False, samples=False), f"""top AS (
   SELECT customer_code, customer_name, total_revenue, total_revenue - total_cost AS margin,
          {margin_pct('total_revenue', 'total_cost')} AS margin_percent
-  FROM (SELECT * FROM b ORDER BY {_RANK_C} LIMIT 200)),
+  FROM b),
 r AS (SELECT *, row_number() OVER (ORDER BY {_RANK_C}) AS rank,
              row_number() OVER (ORDER BY margin_percent DESC NULLS LAST, customer_code, customer_name) AS mrank,
              count(*) OVER () AS n FROM top),
@@ -74,7 +74,7 @@ def u2_segmentation_summary(e):
 
 
 # --- U3 -------------------------------------------------------------------------------
-_U3 = (b2("b", returns=False, samples=False), _L, _DATES, f"""top AS (SELECT * FROM b ORDER BY {_RANK_C} LIMIT 200),
+_U3 = (b2("b", returns=False, samples=False), _L, _DATES, f"""top AS (SELECT * FROM b),
 sc AS (
   SELECT t.customer_code, t.customer_name, coalesce(d.last_date, '1970-01-01') AS last_purchase_date,
          date_diff('day', CAST(coalesce(d.last_date, '1970-01-01') AS DATE), DATE '2001-08-01') AS days_since_last_purchase,
@@ -108,10 +108,10 @@ def u3_churn_risk_summary(e):
 # --- U4 -------------------------------------------------------------------------------
 _U4 = (b2("b", returns=False, samples=False), f"""top AS (
   SELECT customer_code, customer_name, total_revenue, row_number() OVER (ORDER BY {_RANK_C}) AS rank
-  FROM (SELECT * FROM b ORDER BY {_RANK_C} LIMIT 500)),
+  FROM b),
 tot AS (SELECT coalesce({msum('total_revenue')}, 0e0) AS total FROM top),
 sh AS (SELECT top.*, tot.total, total_revenue / total * 100 AS revenue_percent,
-              CAST(SUM(CAST(total_revenue AS DECIMAL(18,6))) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE)
+              CAST(SUM(CAST(total_revenue AS DECIMAL(38,6))) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE)
                 / total * 100 AS cumulative_percent
        FROM top, tot)""")
 
@@ -138,7 +138,7 @@ def u4_concentration_summary(e):
 
 # --- D1 -------------------------------------------------------------------------------
 _MONTHS = "greatest(1e0, date_diff('day', DATE '1995-01-01', DATE '2001-08-01') / 30e0)"
-_D1 = (b3("b", returns=False, samples=False), _L, f"""top AS (SELECT * FROM b ORDER BY transaction_count ASC NULLS LAST, item_code LIMIT 200),
+_D1 = (b3("b", returns=False, samples=False), _L, f"""top AS (SELECT * FROM b),
 last AS (SELECT item_code, max(invoice_date) AS last_date FROM l GROUP BY item_code),
 sc AS (
   SELECT t.item_code, t.product_description, t.transaction_count, t.total_quantity AS total_quantity_sold,
@@ -164,13 +164,13 @@ def d1_slow_movers_summary(e):
 # --- D2 -------------------------------------------------------------------------------
 _D2 = (b3("b", returns=True, samples=False), f"""top AS (
   SELECT *, row_number() OVER (ORDER BY total_revenue DESC NULLS LAST, item_code) AS rank
-  FROM (SELECT * FROM b ORDER BY total_revenue DESC NULLS LAST, item_code LIMIT 500)),
+  FROM b),
 tot AS (SELECT coalesce({msum('total_revenue')}, 0e0) AS total,
                coalesce({msum('total_revenue - total_cost')}, 0e0) AS total_margin FROM top),
 an AS (
   SELECT rank, item_code, product_description, total_revenue AS revenue, total_revenue / total * 100 AS revenue_percent,
          total_revenue - total_cost AS margin, {margin_pct('total_revenue', 'total_cost')} AS margin_percent,
-         CAST(SUM(CAST(total_revenue AS DECIMAL(18,6))) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE)
+         CAST(SUM(CAST(total_revenue AS DECIMAL(38,6))) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE)
            / total * 100 AS cumulative_revenue_percent, total, total_margin
   FROM top, tot),
 an2 AS (SELECT *, CASE WHEN cumulative_revenue_percent <= 80 THEN 'A' WHEN cumulative_revenue_percent <= 95 THEN 'B'
@@ -235,7 +235,7 @@ def d3_cross_sell_total_pairs(e):
 _D4 = (_L, newest("item_description", "item_code", "l", "nd"), f"""rev AS (
   SELECT l.item_code, coalesce({msum('line_total')}, 0e0) AS revenue, coalesce(nd.newest_value, '') AS descr
   FROM l JOIN nd ON l.item_code IS NOT DISTINCT FROM nd.item_code GROUP BY l.item_code, nd.newest_value),
-top AS (SELECT * FROM rev ORDER BY revenue DESC NULLS LAST, item_code LIMIT 100),
+top AS (SELECT * FROM rev),
 ci AS (SELECT DISTINCT customer_code, item_code FROM l WHERE item_code IN (SELECT item_code FROM top)),
 sh AS (SELECT a.item_code AS product_a_code, b.item_code AS product_b_code, count(*) AS shared_customers
        FROM ci a JOIN ci b ON a.customer_code IS NOT DISTINCT FROM b.customer_code AND a.item_code < b.item_code

@@ -83,7 +83,7 @@ def g3_high_discounts_summary(e):
     return discount.high_discounts(e.fact, WHOLE).summary
 
 
-_G4 = (f"""l AS (SELECT * FROM fact WHERE {lines()} AND (document_type = 'INV' OR is_return = 1))""",
+_G4 = (f"""l AS (SELECT * FROM fact WHERE {lines(returns=True, samples=False)} AND (document_type = 'INV' OR is_return = 1))""",
        newest("item_description", "item_code", "l", "nd"), f"""g AS (
   SELECT l.item_code AS dimension_key, coalesce(nd.newest_value, '') AS dimension_name,
          coalesce({msum("CASE WHEN document_type = 'INV' THEN line_total END")}, 0e0) AS sales_revenue,
@@ -111,7 +111,7 @@ def g4_returns_summary(e):
     return discount.returns(e.fact, WHOLE, dim="product").summary
 
 
-_G5 = (f"""l AS (SELECT * FROM fact WHERE {lines()} AND (document_type = 'INV' OR (document_type = 'CRN' AND is_return = 0)))""",
+_G5 = (f"""l AS (SELECT * FROM fact WHERE {lines(returns=True, samples=False)} AND (document_type = 'INV' OR (document_type = 'CRN' AND is_return = 0)))""",
        newest("customer_name", "customer_code", "l", "nm"), f"""g AS (
   SELECT l.customer_code AS dimension_key, nm.newest_value AS dimension_name,
          abs(coalesce({msum("CASE WHEN document_type = 'CRN' THEN line_total END")}, 0e0)) AS rebates_given,
@@ -159,7 +159,7 @@ def g6_credit_notes(e):
 
 # --- the same analyses along the calendar dimension ------------------------------------
 
-_G4_MONTH = (f"""l AS (SELECT * FROM fact WHERE {lines()} AND (document_type = 'INV' OR is_return = 1))""", f"""g AS (
+_G4_MONTH = (f"""l AS (SELECT * FROM fact WHERE {lines(returns=True, samples=False)} AND (document_type = 'INV' OR is_return = 1))""", f"""g AS (
   SELECT substr(invoice_date, 1, 7) AS dimension_key, substr(invoice_date, 1, 7) AS dimension_name,
          coalesce({msum("CASE WHEN document_type = 'INV' THEN line_total END")}, 0e0) AS sales_revenue,
          abs(coalesce({msum('CASE WHEN is_return = 1 THEN line_total END')}, 0e0)) AS returns_value,
@@ -176,7 +176,7 @@ def g4_returns_by_month(e):
     return discount.returns(e.fact, WHOLE, dim="month").items
 
 
-_G5_OVERALL = (f"""l AS (SELECT * FROM fact WHERE {lines()} AND (document_type = 'INV' OR (document_type = 'CRN' AND is_return = 0)))""",)
+_G5_OVERALL = (f"""l AS (SELECT * FROM fact WHERE {lines(returns=True, samples=False)} AND (document_type = 'INV' OR (document_type = 'CRN' AND is_return = 0)))""",)
 
 
 @register("g5_rebates_overall", _q(*_G5_OVERALL, select=f"""

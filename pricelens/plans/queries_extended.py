@@ -74,8 +74,8 @@ def x4_price_position(e):
 
 @register("x7_herfindahl_index", _q(b2("b", returns=False, samples=False), select=f"""
 SELECT count(*) AS total_customers, coalesce({msum('total_revenue')}, 0e0) AS total_revenue,
-       CAST(SUM(CAST(total_revenue * total_revenue AS DECIMAL(28,10))) AS DOUBLE)
-         / (coalesce({msum('total_revenue')}, 0e0) * coalesce({msum('total_revenue')}, 0e0)) AS concentration_index FROM b"""))
+       CAST(SUM(CAST((total_revenue / tr) * (total_revenue / tr) AS DECIMAL(38,18))) AS DOUBLE) AS concentration_index
+FROM b, (SELECT coalesce({msum('total_revenue')}, 0e0) AS tr FROM b)"""))
 def x7_herfindahl_index(e):
     return X.herfindahl(e.fact, WHOLE)
 
@@ -159,10 +159,10 @@ def x16_orphan_status(e):
   SELECT customer_code, customer_name, total_revenue, total_revenue - total_cost AS margin_contribution FROM b),
 tot AS (SELECT coalesce({msum('margin_contribution')}, 0e0) AS tm, coalesce({msum('total_revenue')}, 0e0) AS tr FROM m),
 top AS (SELECT *, row_number() OVER (ORDER BY margin_contribution DESC NULLS LAST, customer_code, customer_name) AS rk
-        FROM (SELECT * FROM m ORDER BY margin_contribution DESC NULLS LAST, customer_code, customer_name LIMIT 500))""", select="""
+        FROM m)""", select="""
 SELECT customer_code, customer_name, margin_contribution, margin_contribution / tm * 100 AS margin_contribution_percent,
        total_revenue / tr * 100 AS revenue_contribution_percent, margin_contribution / total_revenue AS margin_to_revenue_ratio,
-       CAST(SUM(CAST(margin_contribution AS DECIMAL(18,6))) OVER (ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE)
+       CAST(SUM(CAST(margin_contribution AS DECIMAL(38,6))) OVER (ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE)
          / tm * 100 AS cumulative_margin_percent
 FROM top, tot"""))
 def x17_margin_contribution(e):
@@ -264,7 +264,7 @@ SELECT *, rank() OVER (ORDER BY revenue DESC NULLS LAST) AS revenue_rank, rank()
 FROM (SELECT item_code, product_description, total_quantity AS quantity_sold, total_revenue AS revenue, total_cost AS cost,
              {sql_margin('total_revenue', 'total_cost')} AS margin, {margin_pct('total_revenue', 'total_cost')} AS margin_percent,
              unique_customers, transaction_count, {r2(ratio0('total_quantity', 'CAST(transaction_count AS DOUBLE)'))} AS avg_order_quantity
-      FROM b ORDER BY total_revenue DESC NULLS LAST, item_code LIMIT 100)"""))
+      FROM b)"""))
 def x8_product_ranks(e):
     return X.product_ranks(e.fact, WHOLE)
 

@@ -96,7 +96,7 @@ def t3_seasonality_summary(e):
     return trends.seasonality(e.fact, WHOLE, "month").summary
 
 
-_T4 = (f"""l AS (SELECT * FROM fact WHERE document_type IN ('INV', 'CRN') AND is_sample = 0),
+_T4 = (f"""l AS (SELECT * FROM fact WHERE document_type IN ('INV', 'CRN') AND is_sample = 0 AND is_return = 0),
 b AS (SELECT DATE '2000-08-02' AS s, DATE '2001-08-01' AS e),
 w AS (SELECT CAST(s AS VARCHAR) AS lo, CAST(e AS VARCHAR) AS hi,
              CAST(s - INTERVAL (date_diff('day', s, e) + 1) DAY AS DATE)::VARCHAR AS clo,
@@ -140,7 +140,7 @@ def t4_growth_previous_period_summary(e):
 
 _T5 = (f"""per AS (
   SELECT {_MONTH} AS period, coalesce({msum('line_total')}, 0e0) AS revenue, coalesce({msum(_COST)}, 0e0) AS cost
-  FROM fact WHERE {lines(returns=True, samples=False)} GROUP BY 1),
+  FROM fact WHERE {lines(returns=False, samples=False)} GROUP BY 1),
 per2 AS (SELECT *, revenue - cost AS margin, row_number() OVER (ORDER BY period DESC) AS from_end FROM per),
 st AS (SELECT count(*) AS based_on_periods, max(period) AS last_period,
               coalesce({msum('revenue')}, 0e0) / greatest(1, count(*)) AS avg_revenue,
@@ -170,7 +170,7 @@ _T6 = (f"""periods AS (
   SELECT period, revenue, cost, revenue - cost AS margin, {margin_pct('revenue', 'cost')} AS margin_percent, transaction_count
   FROM (SELECT {_MONTH} AS period, coalesce({msum('line_total')}, 0e0) AS revenue, coalesce({msum(_COST)}, 0e0) AS cost,
                count(*) AS transaction_count
-        FROM fact WHERE {lines(returns=True, samples=False)} GROUP BY 1))""",)
+        FROM fact WHERE {lines(returns=False, samples=False)} GROUP BY 1))""",)
 
 
 @register("t6_margin_trend", _q(*_T6, select="SELECT * FROM periods"))
@@ -178,11 +178,14 @@ def t6_margin_trend(e):
     return trends.margin_trend(e.fact, WHOLE).items
 
 
-@register("t6_margin_trend_summary", _q(*_T6, select="""
-SELECT period_count, first_margin_percent, last_margin_percent, coalesce(last_margin_percent - first_margin_percent, 0e0) AS margin_change,
+@register("t6_margin_trend_summary", _q(*_T6, select=f"""
+SELECT period_count, total_revenue, total_margin,
+       CASE WHEN total_revenue > 0 THEN total_margin / total_revenue * 100 ELSE 0e0 END AS avg_margin_percent,
+       first_margin_percent, last_margin_percent, coalesce(last_margin_percent - first_margin_percent, 0e0) AS margin_change,
        CASE WHEN period_count >= 3 AND last_margin_percent - first_margin_percent > 2 THEN 'improving'
             WHEN period_count >= 3 AND last_margin_percent - first_margin_percent < -2 THEN 'declining' ELSE 'stable' END AS trend
-FROM (SELECT count(*) AS period_count, arg_min(margin_percent, period) AS first_margin_percent,
+FROM (SELECT count(*) AS period_count, coalesce({msum('revenue')}, 0e0) AS total_revenue,
+             coalesce({msum('margin')}, 0e0) AS total_margin, arg_min(margin_percent, period) AS first_margin_percent,
              arg_max(margin_percent, period) AS last_margin_percent FROM periods)"""))
 def t6_margin_trend_summary(e):
     return trends.margin_trend(e.fact, WHOLE).summary

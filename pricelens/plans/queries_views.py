@@ -149,9 +149,9 @@ def v6_sales_by_customer(e):
 
 
 @register("v7_sales_by_product", _q(select=f"""
-SELECT item_code, item_description, count(*) AS transaction_count, {msum('quantity')} AS total_quantity,
+SELECT item_code, max(item_description) AS item_description, count(*) AS transaction_count, {msum('quantity')} AS total_quantity,
        {msum('line_total')} AS total_revenue, {msum('unit_price')} / count(unit_price) AS avg_unit_price
-FROM sales GROUP BY item_code, item_description"""))
+FROM sales GROUP BY item_code"""))
 def v7_sales_by_product(e):
     return views.sales_by_product(e.tables)
 

@@ -13,13 +13,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 import os
-import tempfile
 import threading
 import uuid
 
 from ..engine import Engine
 from ..operators.facts import Tables, DateWindow
-from ..session import checkpoint_dir
+from ..session import shared_checkpoint_dir
 from ..sources import testdata
 from ..sources.sinks import read_bronze, write_bronze, write_silver
 
@@ -62,9 +61,7 @@ def silver_path(spark: SparkSession, sf_dir: str) -> str:
     with _LOCK:
         path = _SILVER.get(key)
         if path is None:
-            base = checkpoint_dir(spark)
-            if not base:  # only in tests / ad-hoc local sessions
-                base = tempfile.mkdtemp(prefix="pricelens-")
+            base = shared_checkpoint_dir(spark)
             path = f"{base.rstrip('/')}/pricelens-silver/{uuid.uuid4().hex}"
             raw = testdata.load(spark, sf_dir)
             write_bronze(raw, f"{path}/bronze")

@@ -29,12 +29,24 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                .config("spark.driver.memory", driver_memory))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    if not checkpoint_dir(spark):
-        # Local runs only: a scratch folder stands in for the cluster's shared one.
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pricelens-ckpt-"))
+    shared_checkpoint_dir(spark)
     return spark
 
 
+def shared_checkpoint_dir(spark: SparkSession) -> str:
+    """The checkpoint folder, set to a scratch folder where a local session has none.
+
+    On a cluster a missing ``spark.checkpoint.dir`` is an error: executors share no local
+    disk, so a folder on the driver's would be read back empty or in part."""
+    found = checkpoint_dir(spark)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pricelens-ckpt-"))
+        found = checkpoint_dir(spark)
+    return found
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 

@@ -13,8 +13,8 @@ def con():
 
 
 def _names():
-    import __spark_entry__ as E
-    return list(E.queries())
+    from pricelens.plans.registry import spark_queries
+    return list(spark_queries())
 
 
 @pytest.mark.parametrize("name", _names())
