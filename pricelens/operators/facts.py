@@ -97,6 +97,9 @@ def line_cost(fact_df: DataFrame | None = None) -> F.Column:
 def base_filter(fact: DataFrame, window: DateWindow, include_returns: bool = True, include_samples: bool = True,
                 document_types=("INV", "CRN")) -> DataFrame:
     df = fact.filter(F.col("document_type").isin(*document_types)).filter(window.predicate())
+    if "invoice_year" in fact.columns:  # the silver layer's folders: read only the window's years
+        lo, hi = window.bounds()
+        df = df.filter(F.col("invoice_year").cast("string").between(F.substring(lo, 1, 4), F.substring(hi, 1, 4)))
     if not include_samples:
         df = df.filter(F.col("is_sample") == 0)
     if not include_returns:
@@ -129,9 +132,10 @@ def sales_transactions(fact: DataFrame, window: DateWindow, include_returns: boo
     out = df.select(*TRANSACTION_COLUMNS, F.col("ie_base").alias("catalogue_price_base"),
                     F.col("ie_trade").alias("catalogue_price_trade"),
                     F.col("item_description").alias("product_description"))
-    out = out.orderBy(F.col("invoice_date").desc_nulls_last(), F.col("invoice_number").asc_nulls_last(),
-                      F.col("item_code").asc_nulls_last(), F.col("line_total").asc_nulls_last())
-    return out.limit(limit) if limit else out
+    if not limit:  # all matching lines: a set; sorting every line of the window is the caller's choice
+        return out
+    return out.orderBy(F.col("invoice_date").desc_nulls_last(), F.col("invoice_number").asc_nulls_last(),
+                       F.col("item_code").asc_nulls_last(), F.col("line_total").asc_nulls_last()).limit(limit)
 
 
 _SORT_COLUMNS = {"revenue": "total_revenue", "cost": "total_cost", "quantity": "total_quantity",

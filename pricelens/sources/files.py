@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import schemas
 
@@ -24,17 +23,33 @@ def parse_float(c: Column) -> Column:
 
 
 def _blank_to_null(c: Column) -> Column:
-    return F.when(F.trim(c) == "", F.lit(None).cast("string")).otherwise(c)
+    """Empty cells are NULL; cells of white space are kept as they are (K2)."""
+    return F.when(c == "", F.lit(None).cast("string")).otherwise(c)
+
+
+def iso_date(c: Column) -> Column:
+    """``DD/MM/YYYY`` -> ``YYYY-MM-DD``: shorter parts are padded to two digits, longer ones kept whole."""
+    parts = F.split(F.trim(c), "/")
+    padded = [F.when(F.length(p) < 2, F.lpad(p, 2, "0")).otherwise(p) for p in (parts[1], parts[0])]
+    return F.when(F.size(parts) == 3, F.concat_ws("-", parts[2], *padded))
 
 
 def read_csv(spark: SparkSession, path: str, headers: dict[str, str], numeric: set[str] = frozenset(),
              integer: set[str] = frozenset()) -> DataFrame:
-    """Header CSV -> table with the source->target column map."""
-    schema = T.StructType([T.StructField(h, T.StringType(), True) for h in headers])
-    raw = (spark.read.schema(schema).option("header", True).option("enforceSchema", False)
-           .option("mode", "PERMISSIVE").csv(path))
+    """Header CSV -> table with the source->target column map.
+
+    Columns are found by their header, in any order; further columns are ignored and a
+    missing one is NULL.  Cells follow RFC 4180: quotes are doubled inside quotes, and a
+    quoted cell may hold line ends (so a file is read by one task: split large exports
+    into files).  All files of one import must have the same header."""
+    raw = (spark.read.option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE")
+           .option("quote", '"').option("escape", '"').option("multiLine", True).csv(path))
     raw = raw.select("*", F.col("_metadata.file_path").alias("_file"),
                      F.col("_metadata.file_block_start").alias("_block"))
+    found = {c.lstrip("\ufeff").strip(): c for c in raw.columns}
+    raw = raw.select("_file", "_block", *[
+        (F.col(f"`{found[h.strip()]}`") if h.strip() in found else F.lit(None).cast("string")).alias(h)
+        for h in headers])
     nonblank = F.lit(False)
     for h in headers:
         nonblank = nonblank | F.coalesce(F.trim(F.col(f"`{h}`")) != "", F.lit(False))
@@ -64,8 +79,7 @@ def read_landed_costs(spark: SparkSession, path: str) -> DataFrame:
 def read_sales(spark: SparkSession, path: str) -> DataFrame:
     """Sales export; ``DD/MM/YYYY`` -> ``YYYY-MM-DD`` when it has exactly 3 parts."""
     df = read_csv(spark, path, schemas.SALES_HEADERS, numeric={"quantity", "unit_price"})
-    parts = F.split(F.trim(F.col("invoice_date")), "/")
-    iso = F.when(F.size(parts) == 3, F.concat_ws("-", parts[2], F.lpad(parts[1], 2, "0"), F.lpad(parts[0], 2, "0")))
+    iso = iso_date(F.col("invoice_date"))
     return (df.withColumn("invoice_date", iso)
               .withColumn("line_total", F.col("quantity") * F.col("unit_price"))
               .select(*[f.name for f in schemas.SALES_RAW.fields]))

@@ -55,5 +55,5 @@ def _write_dated(df: DataFrame, path: str, mode: str) -> None:
 def read_silver(spark: SparkSession, path: str) -> tuple[Tables, DataFrame]:
     """The cleaned tables and the enriched fact written by ``write_silver``."""
     sales = spark.read.parquet(f"{path}/sales").drop("invoice_year")
-    fact = spark.read.parquet(f"{path}/fact").drop("invoice_year")
+    fact = spark.read.parquet(f"{path}/fact")  # keeps invoice_year: date windows prune its folders
     return Tables(sales=sales, **{n: spark.read.parquet(f"{path}/{n}") for n in TABLES[1:]}), fact

@@ -6,26 +6,29 @@ silver sales table.  Progress and the file log live under the shared checkpoint
 folder, so a restarted or re-scheduled job resumes exactly where it stopped.
 
 Customer-name standardisation (P16) needs the whole history of a code, so each
-micro-batch also merges its per-(code, name) counts into a small counts table
-(one row per code and name); readers pick the standard name from those counts.
+micro-batch also writes its per-(code, name) counts; readers add them up and pick the
+standard name.  Lines and counts of a batch go to folders named by the batch id and
+replace what is there, so a batch that is retried changes nothing.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import cleaning
-from ..session import checkpoint_dir
+from ..session import shared_checkpoint_dir
 from ..sources import schemas
-from ..sources.files import parse_float
+from ..sources.files import iso_date, parse_float
 
 
 def _parse(stream: DataFrame) -> DataFrame:
     cols = []
     for h, target in schemas.SALES_HEADERS.items():
-        c = F.when(F.trim(F.col(f"`{h}`")) == "", F.lit(None).cast("string")).otherwise(F.col(f"`{h}`"))
+        c = F.when(F.col(f"`{h}`") == "", F.lit(None).cast("string")).otherwise(F.col(f"`{h}`"))
         if target in ("quantity", "unit_price"):
             c = parse_float(c)
         cols.append(c.alias(target))
@@ -33,9 +36,7 @@ def _parse(stream: DataFrame) -> DataFrame:
     for h in schemas.SALES_HEADERS:
         nonblank = nonblank | F.coalesce(F.trim(F.col(f"`{h}`")) != "", F.lit(False))
     df = stream.filter(nonblank).select(*cols)
-    parts = F.split(F.trim(F.col("invoice_date")), "/")
-    iso = F.when(F.size(parts) == 3, F.concat_ws("-", parts[2], F.lpad(parts[1], 2, "0"), F.lpad(parts[0], 2, "0")))
-    return (df.withColumn("invoice_date", iso)
+    return (df.withColumn("invoice_date", iso_date(F.col("invoice_date")))
               .withColumn("line_total", F.col("quantity") * F.col("unit_price")))
 
 
@@ -44,30 +45,23 @@ def start_sales_ingest(spark: SparkSession, landing: str, silver_sales: str, nam
     """Start the file-stream -> cleaned-sales job; returns the running query."""
     from pyspark.sql import types as T
     schema = T.StructType([T.StructField(h, T.StringType(), True) for h in schemas.SALES_HEADERS])
-    reader = spark.readStream.schema(schema).option("header", True)
+    # enforceSchema off: a file whose header has other or swapped columns fails the batch
+    reader = (spark.readStream.schema(schema).option("header", True).option("enforceSchema", False)
+              .option("quote", '"').option("escape", '"'))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     parsed = _parse(reader.csv(landing))
     ruled = cleaning.apply_business_rules(parsed)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        # Name counts are merged by re-aggregating old + new counts (small, one row per
-        # (code, name)); sales rows are appended with their raw name, standardised at read.
-        counts = cleaning.customer_name_counts(batch)
-        try:
-            old = batch.sparkSession.read.parquet(name_counts)
-            counts = (old.unionByName(counts).groupBy("customer_code", "customer_name")
-                      .agg(F.sum("cnt").alias("cnt")))
-            counts = counts.checkpoint()  # cut the lineage before overwriting the source path
-        except Exception:  # first batch: no counts yet
-            pass
-        counts.write.mode("overwrite").parquet(name_counts)
+        cleaning.customer_name_counts(batch).write.mode("overwrite").parquet(f"{name_counts}/batch_id={batch_id}")
         (batch.withColumn("invoice_year", F.substring("invoice_date", 1, 4))
-              .write.mode("append").partitionBy("invoice_year").parquet(silver_sales))
+              .write.mode("overwrite").partitionBy("invoice_year").parquet(f"{silver_sales}/batch_id={batch_id}"))
 
-    base = checkpoint_dir(spark)
+    # progress is kept per landing folder
+    name = hashlib.sha256(landing.encode()).hexdigest()[:16]
     writer = (ruled.writeStream.foreachBatch(write_batch)
-              .option("checkpointLocation", f"{base.rstrip('/')}/sales-ingest"))
+              .option("checkpointLocation", f"{shared_checkpoint_dir(spark).rstrip('/')}/sales-ingest-{name}"))
     writer = writer.trigger(availableNow=True) if trigger_once else writer.trigger(processingTime="1 minute")
     return writer.start()
 
@@ -77,6 +71,6 @@ def standardised_sales(spark: SparkSession, silver_sales: str, name_counts: str)
     counts = spark.read.parquet(name_counts).groupBy("customer_code", "customer_name").agg(F.sum("cnt").alias("cnt"))
     key = F.struct(-F.col("cnt"), F.col("customer_name").isNull(), F.col("customer_name"))
     names = counts.groupBy("customer_code").agg(F.min_by("customer_name", key).alias("standard_name"))
-    sales = spark.read.parquet(silver_sales).drop("invoice_year")
+    sales = spark.read.parquet(silver_sales).drop("invoice_year", "batch_id")
     return (sales.join(names, "customer_code", "left").withColumn("customer_name", F.col("standard_name"))
             .select(*cleaning.SALES_COLUMNS))

@@ -61,3 +61,45 @@ def test_no_python_in_query_plans(spark, name):
     for marker in ("PythonUDF", "BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas"):
         assert marker not in p
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_a_window_reads_only_its_years(spark):
+    from pricelens.operators.facts import DateWindow, customer_sales
+    from pricelens.plans.registry import engine_for
+    p = plan(customer_sales(engine_for(spark, SF).fact, DateWindow("1998-01-01", "1998-12-31")))
+    filters = [line for line in p.splitlines() if line.startswith("PartitionFilters")]
+    assert filters and "invoice_year" in filters[0] and "1998" in filters[0]
+
+
+def test_positions_over_a_whole_population_are_not_one_task(spark):
+    from pyspark.sql import functions as F
+    from pricelens.operators.combine import ranked
+    df = spark.range(3000).select((F.col("id") * 7919 % 1000).alias("v"), "id")
+    got = ranked(df, [F.col("v").desc(), F.col("id")], running={"sum": F.col("v").cast("double")})
+    order = sorted(((7919 * i % 1000, i) for i in range(3000)), key=lambda x: (-x[0], x[1]))
+    total, want = 0, {}
+    for k, (v, i) in enumerate(order):
+        total += v
+        want[i] = (k + 1, float(total))
+    assert {r["id"]: (r["rank"], r["sum"]) for r in got.collect()} == want
+    same = ranked(df, [F.col("v").desc()], ties=True).collect()
+    first = {}
+    for k, (v, _) in enumerate(order):
+        first.setdefault(v, k + 1)
+    assert all(r["rank"] == first[r["v"]] for r in same)
+
+
+def test_ordinary_data_does_not_abort(spark):
+    from pricelens.operators import customer, quality
+    from pricelens.operators.extended import herfindahl
+    from pricelens.operators.facts import DateWindow
+    w = DateWindow("2000-01-01", "2000-12-31")
+    cols = ("invoice_number string, invoice_date string, customer_code string, customer_name string, item_code string, "
+            "item_description string, quantity double, unit_price double, line_total double, discount_percent double, "
+            "document_type string, is_sample int, is_return int, is_rebate int, landed_cost_euro double, ie_trade double, ie_base double")
+    row = lambda n, c, q, p, t: (str(n), "2000-02-02", c, c, "I", "d", q, p, t, 0.0, "INV", 0, 0, 0, 1.0, 1.0, 1.0)
+    zero_mean = spark.createDataFrame([row(i, "A", 1.0, 0.5, 0.5) for i in range(20)] + [row(99, "A", 1.0, -10.0, -10.0)], cols)
+    quality.anomalies(zero_mean, w).items.collect()
+    huge = spark.createDataFrame([row(1, "A", 1.0, 2e12, 2e12), row(2, "B", 1.0, 2e12, 2e12)], cols)
+    assert abs(herfindahl(huge, w).first()["concentration_index"] - 0.5) < 1e-9
+    assert customer.concentration(huge, w).summary.first()["total_revenue"] == 4e12
