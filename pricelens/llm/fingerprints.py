@@ -6,19 +6,20 @@ so it does not depend on the order of paragraphs, and inserting or deleting one
 subtracts its vector (``add``, ``subtract``) without reading the text again.  The vector has two parts:
 
 * identity: ``IDENTITY`` lanes of 32 bits, the SHA-256 of the paragraph, summed modulo 2**32;
-* likeness: ``2 * WORDS`` x 32 lanes that count, modulo 2**32, the set bits of the 64-bit hashes of
-  the paragraph's runs of ``SHINGLE`` words.  Twice the count minus the runs is a random
-  projection of the multiset of runs, so the cosine of two fingerprints estimates how
-  much of the texts is shared.
+* likeness: ``LANES`` lanes that count, modulo 2**21, the set bits of a hash of each of the
+  paragraph's words (between spaces, of ``WORD`` characters at least: shorter ones are the same in
+  all texts of a language).  Twice the count minus the words is a random projection of the
+  multiset of words, so the cosine of two fingerprints estimates how much of the texts is shared.
 
 Equal texts, and texts with the same paragraphs in another order, have equal
 fingerprints.  Only DataFrame functions are used.  The sums are taken where the rows
 are read: grouping by the row's own key needs no shuffle of texts.
 
 Cases: a null text is an empty one: one empty paragraph; a paragraph without words
-counts in the identity part only; two fingerprints without any run of words are alike
+counts in the identity part only; two fingerprints without such words are alike
 when they are equal; equal doc_ids are ordered by a hash of their texts; null doc_ids
-come first; counts stay exact up to 2**31 runs a text; extra columns are ignored.
+come first; counts stay exact up to 2**21 words a text, and
+wrap around beyond; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,56 +27,64 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-IDENTITY, WORDS, SHINGLE = 8, 2, 3
+IDENTITY, LANES, WORD = 8, 126, 4
 #: Documents that are neighbours in order share a bucket of about so many rows.
 BUCKET_ROWS, MAX_BUCKETS = 4000, 1024
 
-_PAIR = (1 << 32) | 1  # two lanes of 32 bits in a long
-_LANES = [f"b{w}_{j}" for w in range(WORDS) for j in range(32)]
-_MARKS = [f"i{k}" for k in range(IDENTITY)]
-
-
-def _runs(paragraph: Column) -> Column:
-    """The paragraph's runs of SHINGLE words; of fewer words, but not none, there is one run."""
-    def runs(split):
-        starts = F.sequence(F.lit(1), F.greatest(F.size(split) - (SHINGLE - 1), F.lit(1)))
-        return F.when(F.size(split) > 0, F.transform(starts, lambda i: F.array_join(F.slice(split, i, SHINGLE), " ")))
-
-    # the words are bound to a variable: written out in the inner function they would be split for every run
-    split = F.filter(F.split(paragraph, r"\s+"), lambda w: w != "")
-    return F.element_at(F.transform(F.array(split), runs), 1)
-
-
-def sums(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """``keys``, ``fingerprint`` and ``n_runs`` of the rows; ``keys`` name a row."""
-    paragraphs = rows.select(*keys, F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("_p"))
-    paragraphs = paragraphs.select(*keys, F.sha2(F.col("_p").cast("binary"), 256).alias("_sha"), _runs(F.col("_p")).alias("_runs"))
-    runs = paragraphs.select(*keys, "_sha", F.posexplode_outer("_runs").alias("_at", "_run"))
-    hashed = [F.when(F.col("_run").isNotNull(), F.xxhash64("_run", F.lit(w))).otherwise(F.lit(0)).alias(f"_h{w}")
-              for w in range(WORDS)]
-    first = F.coalesce(F.col("_at"), F.lit(0)) == 0
-    runs = runs.select(*keys, F.when(first, F.col("_sha")).alias("_sha"), F.col("_run").isNotNull().cast("long").alias("_n"), *hashed)
-    lanes = [F.sum(F.shiftright(f"_h{w}", j).bitwiseAND(F.lit(_PAIR))).alias(f"b{w}_{j}")
-             for w in range(WORDS) for j in range(32)]
-    marks = [F.sum(F.conv(F.substring("_sha", 8 * k + 1, 8), 16, 10).cast("long")).alias(f"i{k}")
+# Three lanes of 21 bits share a long; each of the two 64-bit hashes of a word gives 21 longs.
+_BITS, _PER_LONG = 21, 3
+_MASK = (1 << _BITS) - 1
+_ONES = sum(1 << (_BITS * i) for i in range(_PER_LONG))
+_LONGS = LANES // _PER_LONG
+_SHA_PARTS = [(13 * i, min(13, 64 - 13 * i)) for i in range(5)]  # hex digits that fit a long
+
+
+def sums(rows: DataFrame, keys: list[str], text: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
+    """``keys``, which name a row, ``carry`` (whole numbers of the row), ``fingerprint``, ``lanes`` (centred) and ``n_words``."""
+    carry = carry or {}
+    paragraphs = rows.select(*keys, *[c.cast("long").alias(k) for k, c in carry.items()],
+                             F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("_p"))
+    own = [*keys, *carry]
+    words = paragraphs.select(*own, F.sha2(F.col("_p").cast("binary"), 256).alias("_sha"),
+                              F.posexplode(F.split("_p", " ")).alias("_at", "_word"))
+    counts = F.length("_word") >= WORD
+    words = words.where(counts | (F.col("_at") == 0)).select(
+        *own, F.when(F.col("_at") == 0, F.col("_sha")).alias("_sha"), counts.cast("long").alias("_n"),
+        *[F.when(counts, F.xxhash64("_word", F.lit(h))).otherwise(F.lit(0)).alias(f"_h{h}") for h in (0, 1)])
+    # modulo 2**21: only a text of over two million words needs it, and a sum of the lanes of one never overflows a long
+    lanes = [F.sum(F.shiftright(f"_h{i % 2}", i // 2).bitwiseAND(F.lit(_ONES))).alias(f"_b{i}") for i in range(_LONGS)]
+    marks = [F.sum(F.conv(F.substring("_sha", 8 * k + 1, 8), 16, 10).cast("long")).alias(f"_i{k}")
              for k in range(IDENTITY)]
-    total = runs.groupBy(*keys).agg(F.sum("_n").alias("n_runs"), *marks, *lanes)
-    parts = [F.lpad(F.hex(F.col(m).bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0") for m in _MARKS]
-    parts += [F.lpad(F.hex(c), 16, "0") for c in _LANES]
-    return total.select(*keys, "n_runs", F.lower(F.concat(*parts)).alias("fingerprint"))
+    total = words.groupBy(*keys).agg(F.sum("_n").alias("n_words"), *[F.max(k).alias(k) for k in carry], *marks, *lanes)
+    parts = [F.lpad(F.hex(F.col(f"_i{k}").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0") for k in range(IDENTITY)]
+    parts += [F.lpad(F.hex(F.col(f"_b{i}")), 16, "0") for i in range(_LONGS)]
+    centred = [(2 * F.shiftright(f"_b{i}", _BITS * j).bitwiseAND(F.lit(_MASK)) - F.col("n_words")).cast("double")
+               for i in range(_LONGS) for j in range(_PER_LONG)]
+    return total.select(*keys, *carry, "n_words", F.lower(F.concat(*parts)).alias("fingerprint"),
+                        F.array(*centred).alias("lanes"))
 
 
-def _lane_values(fingerprint: Column) -> Column:
-    """All 32-bit lanes of a fingerprint, as longs."""
-    lanes = IDENTITY + 2 * 32 * WORDS
-    return F.transform(F.sequence(F.lit(0), F.lit(lanes - 1)),
-                       lambda i: F.conv(F.substr(fingerprint, i * 8 + 1, F.lit(8)), 16, 10).cast("long"))
+def _fields(fingerprint: Column) -> Column:
+    """All fields of a fingerprint, as longs: the identity lanes, then the packed lanes."""
+    def field(at, length):
+        return F.conv(F.substr(fingerprint, F.lit(at + 1), F.lit(length)), 16, 10).cast("long")
+    return F.array(*[field(8 * k, 8) for k in range(IDENTITY)],
+                   *[field(8 * IDENTITY + 16 * i, 16) for i in range(_LONGS)])
 
 
 def _combined(a: Column, b: Column, sign: int) -> Column:
-    mask = F.lit(0xFFFFFFFF)
-    lanes = F.zip_with(_lane_values(a), _lane_values(b), lambda x, y: (x + sign * y).bitwiseAND(mask))
-    return F.array_join(F.transform(lanes, lambda v: F.lower(F.lpad(F.hex(v), 8, "0"))), "")
+    def field(i, x, y):
+        if i < IDENTITY:
+            return F.lower(F.lpad(F.hex((x + sign * y).bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
+        lane = None
+        for j in range(_PER_LONG):
+            one = [F.shiftright(v, _BITS * j).bitwiseAND(F.lit(_MASK)) for v in (x, y)]
+            placed = F.shiftleft((one[0] + sign * one[1]).bitwiseAND(F.lit(_MASK)), _BITS * j)
+            lane = placed if lane is None else lane.bitwiseOR(placed)
+        return F.lower(F.lpad(F.hex(lane), 16, "0"))
+
+    x, y = _fields(a), _fields(b)
+    return F.concat(*[field(i, x[i], y[i]) for i in range(IDENTITY + _LONGS)])
 
 
 def add(a: Column, b: Column) -> Column:
@@ -88,18 +97,13 @@ def subtract(a: Column, b: Column) -> Column:
     return _combined(a, b, -1)
 
 
-def likeness(a: Column, b: Column, runs_a: Column, runs_b: Column) -> Column:
-    """0 to 1: the cosine of the likeness lanes of two fingerprints, given their numbers of runs."""
-    def centred(fingerprint, runs):
-        lanes = F.slice(_lane_values(fingerprint), IDENTITY + 1, 2 * 32 * WORDS)
-        return F.transform(lanes, lambda v: (2 * v - runs).cast("double"))
-
+def likeness(a: Column, b: Column, lanes_a: Column, lanes_b: Column) -> Column:
+    """0 to 1: the cosine of the centred lanes of two fingerprints; 1 where they are equal."""
     def total(values):
         return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
 
-    x, y = centred(a, runs_a), centred(b, runs_b)
-    dot = total(F.zip_with(x, y, lambda p, q: p * q))
-    norm = F.sqrt(total(F.transform(x, lambda p: p * p))) * F.sqrt(total(F.transform(y, lambda p: p * p)))
+    dot = total(F.zip_with(lanes_a, lanes_b, lambda p, q: p * q))
+    norm = F.sqrt(total(F.transform(lanes_a, lambda p: p * p))) * F.sqrt(total(F.transform(lanes_b, lambda p: p * p)))
     cosine = F.when(norm > 0, dot / norm).otherwise(0.0)
     return F.when(a == b, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine)))
 
@@ -139,19 +143,23 @@ def edited(text: Column, following: Column) -> Column:
 def fingerprints(documents: DataFrame) -> DataFrame:
     """doc_id, n_chars, fingerprint, edited_sha256, edited_fingerprint, near_edited, near_next of every document."""
     rows = with_next(documents)
-    row = ["_bucket", "_row", "_ghost", "doc_id", "n_chars", "edited_sha256"]
-    changed = edited(F.col("text"), F.coalesce("next_text", F.lit("")))
-    rows = rows.withColumn("_edited", changed).withColumns({
-        "n_chars": F.length("text").cast("long"), "edited_sha256": F.sha2(F.col("_edited").cast("binary"), 256)})
-    both = rows.select(*row, F.posexplode(F.array("text", "_edited")).alias("_kind", "_text"))
-    found = sums(both, [*row, "_kind"], "_text")
+    rows = rows.withColumn("_edited", edited(F.col("text"), F.coalesce("next_text", F.lit(""))))
+    sha = F.sha2(F.col("_edited").cast("binary"), 256)
+    rows = rows.withColumns({"_sha_edited": sha, "_chars": F.length("text")})
+    both = rows.select("_bucket", "_row", "_ghost", "doc_id", "_chars", "_sha_edited",
+                       F.posexplode(F.array("text", "_edited")).alias("_kind", "_text"))
+    digits = {f"_d{i}": F.conv(F.substring("_sha_edited", at + 1, n), 16, 10) for i, (at, n) in enumerate(_SHA_PARTS)}
+    found = sums(both, ["_bucket", "_row", "_kind"], "_text",
+                 {"_id": F.col("doc_id"), "n_chars": F.col("_chars"), "_copy": F.col("_ghost"), **digits})
     # still in the buckets' partitions: an edited text's row follows its text's
     order = Window.partitionBy("_bucket").orderBy("_row", "_kind")
     found = found.withColumns({
-        "edited_fingerprint": F.lead("fingerprint").over(order), "_edited_runs": F.lead("n_runs").over(order),
-        "_next": F.lead("fingerprint", 2).over(order), "_next_runs": F.lead("n_runs", 2).over(order)})
-    found = found.where("_kind = 0 and _ghost = 0")
+        "edited_fingerprint": F.lead("fingerprint").over(order), "_edited_lanes": F.lead("lanes").over(order),
+        "_next": F.lead("fingerprint", 2).over(order), "_next_lanes": F.lead("lanes", 2).over(order)})
+    found = found.where("_kind = 0 and _copy = 0")
     return found.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint"), F.col("n_runs"), F.col("_edited_runs")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("_next"), F.col("n_runs"), F.col("_next_runs")).alias("near_next"))
+        F.col("_id").alias("doc_id"), "n_chars",
+        F.lower(F.concat(*[F.lpad(F.hex(f"_d{i}"), n, "0") for i, (_, n) in enumerate(_SHA_PARTS)])).alias("edited_sha256"),
+        "fingerprint", "edited_fingerprint",
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint"), F.col("lanes"), F.col("_edited_lanes")).alias("near_edited"),
+        likeness(F.col("fingerprint"), F.col("_next"), F.col("lanes"), F.col("_next_lanes")).alias("near_next"))
