@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import common
 
 GRAMS, BUCKETS, SLICE = (1, 2, 3), 1 << 15, 1 << 18
-SMOOTHING, EVIDENCE, MAX_LANGUAGES, UNKNOWN = 0.5, 60.0, 512, "und"
+SMOOTHING, EVIDENCE, MAX_LANGUAGES, UNKNOWN = 0.5, 60.0, 200, "und"
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _ASCII_LETTERS = bytes(c for c in range(256) if 97 <= c <= 122)
