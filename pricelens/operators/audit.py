@@ -7,6 +7,8 @@ LEFT JOIN ... IS NULL form.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,8 +24,8 @@ def catalogue_lookup(t: Tables, item_code: str) -> DataFrame:
 
 
 def customer_summary(t: Tables, customer_code: str) -> DataFrame:
-    """A2: lines, quantity and revenue of one customer."""
-    return (t.sales.filter(F.col("customer_code") == customer_code)
+    """A2: lines, quantity and revenue of one customer, by its code and name."""
+    return (t.sales.filter(F.col("customer_code") == customer_code).groupBy("customer_code", "customer_name")
             .agg(F.count(F.lit(1)).alias("transaction_count"), M.money_sum("quantity").alias("total_quantity"),
                  M.money_sum("line_total").alias("total_revenue")))
 
@@ -31,17 +33,17 @@ def customer_summary(t: Tables, customer_code: str) -> DataFrame:
 def top_selling_products(t: Tables, limit: int = 10) -> DataFrame:
     """A3: products by quantity sold."""
     g = t.sales.groupBy("item_code").agg(M.money_sum("quantity").alias("total_quantity"),
-                                         M.money_sum("line_total").alias("total_revenue"))
+                                         M.money_sum("line_total").alias("total_revenue"),
+                                         F.countDistinct("customer_code").alias("unique_customers"))
     return M.top(g, "total_quantity", "desc", limit, "item_code")
 
 
 def sales_with_pricing(t: Tables, item_code: str, limit: int = 100) -> DataFrame:
-    """A4: one item's lines with catalogue and cost columns, newest first."""
+    """A4: one item's lines, all columns, with catalogue and cost columns, newest first."""
     s = t.sales.filter(F.col("item_code") == item_code)
-    out = (s.join(t.catalogue_prices.select("item_code", "ie_trade", "ie_base"), "item_code", "left")
+    out = (s.join(t.catalogue_prices.select("item_code", "ie_trade", "ie_high"), "item_code", "left")
            .join(t.landed_costs.select("item_code", "landed_cost_euro"), "item_code", "left")
-           .select("invoice_number", "invoice_date", "customer_code", "item_code", "quantity", "unit_price",
-                   "line_total", "ie_trade", "ie_base", "landed_cost_euro"))
+           .select(*t.sales.columns, "ie_trade", "ie_high", "landed_cost_euro"))
     return out.orderBy(F.col("invoice_date").desc(), "invoice_number", "line_total", "customer_code").limit(limit)
 
 
@@ -53,9 +55,11 @@ def customers_for_product(t: Tables, item_code: str) -> DataFrame:
 
 
 def stats_by_month(t: Tables) -> DataFrame:
-    """Lines, revenue and average line per month."""
-    return (t.sales.groupBy(F.substring("invoice_date", 1, 7).alias("month"))
-            .agg(F.count(F.lit(1)).alias("transaction_count"), M.money_sum("line_total").alias("total_revenue"),
+    """Lines, quantity, revenue and average line per month of the dated lines."""
+    dated = t.sales.filter(F.col("invoice_date").isNotNull() & (F.col("invoice_date") != ""))
+    return (dated.groupBy(F.substring("invoice_date", 1, 7).alias("month"))
+            .agg(F.count(F.lit(1)).alias("transaction_count"), M.money_sum("quantity").alias("total_quantity"),
+                 M.money_sum("line_total").alias("total_revenue"),
                  F.try_divide(M.money_sum("line_total"), F.count("line_total")).alias("avg_line_value")))
 
 
@@ -65,6 +69,22 @@ def missing_value_profile(df: DataFrame, table: str) -> DataFrame:
     return to_long(wide, "column_name", "null_count").select(F.lit(table).alias("table_name"), "*")
 
 
+def missing_values(raw) -> DataFrame:
+    """The report over the three raw tables."""
+    checked = {"sales": raw.sales_raw.select("invoice_number", "invoice_date", "customer_code", "customer_name",
+                                             "item_code", "quantity", "unit_price", "line_total"),
+               "catalogue_prices": raw.catalogue_prices.select("item_code", "ie_trade", "ie_high"),
+               "landed_costs": raw.landed_costs.select("item_code", "landed_cost_euro")}
+    return reduce(DataFrame.unionByName, [missing_value_profile(df, name) for name, df in checked.items()])
+
+
+def duplicate_items(raw) -> DataFrame:
+    """Repeated item codes of the three raw dimension tables."""
+    checked = {"catalogue_prices": raw.catalogue_prices, "landed_costs": raw.landed_costs, "pallet_sizes": raw.pallet_sizes}
+    return reduce(DataFrame.unionByName, [
+        duplicate_keys(df).select(F.lit(name).alias("table_name"), "*") for name, df in checked.items()])
+
+
 def duplicate_keys(df: DataFrame, key: str = "item_code") -> DataFrame:
     """Keys that appear more than once."""
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("occurrences")).filter(F.col("occurrences") > 1)
@@ -80,6 +100,11 @@ def orphan_item_count(t: Tables) -> DataFrame:
     return orphan_lines(t).agg(F.countDistinct("item_code").alias("orphaned_item_codes"))
 
 
+def orphan_item_sample(t: Tables, limit: int = 10) -> DataFrame:
+    """The first orphaned item codes."""
+    return orphan_lines(t).select("item_code").distinct().orderBy("item_code").limit(limit)
+
+
 def orphan_customer_codes(t: Tables) -> DataFrame:
     """A10: sales customer codes missing from the customer master."""
     return (t.sales.filter(F.col("customer_code").isNotNull()).select("customer_code").distinct()
@@ -209,7 +234,7 @@ def invoice_lines_excluding_samples(t: Tables) -> DataFrame:
 
 def net_revenue_per_customer(t: Tables) -> DataFrame:
     """Revenue without returned lines."""
-    return t.sales.groupBy("customer_code").agg(
+    return t.sales.groupBy("customer_code", "customer_name").agg(
         M.js_sum(F.when(F.col("is_return") == 0, F.col("line_total")).otherwise(F.lit(0.0))).alias("net_revenue"))
 
 
@@ -242,6 +267,7 @@ def high_markup_products(t: Tables, min_markup: float = 20) -> DataFrame:
 def top_customers_by_revenue(t: Tables, limit: int = 10) -> DataFrame:
     """A31."""
     g = t.sales.filter(F.col("customer_code").isNotNull()).groupBy("customer_code", "customer_name").agg(
+        F.count(F.lit(1)).alias("transaction_count"), M.money_sum("quantity").alias("total_quantity"),
         M.money_sum("line_total").alias("total_revenue"))
     return M.top(g, "total_revenue", "desc", limit, "customer_code")
 
@@ -249,7 +275,7 @@ def top_customers_by_revenue(t: Tables, limit: int = 10) -> DataFrame:
 def month_over_month(t: Tables) -> DataFrame:
     """``LAG(total_revenue) OVER (ORDER BY month)`` over the monthly view (one row per month)."""
     m = t.sales.filter(F.col("invoice_date").isNotNull()).groupBy(F.substring("invoice_date", 1, 7).alias("month")).agg(
-        M.money_sum("line_total").alias("total_revenue"))
+        M.money_sum("quantity").alias("total_quantity"), M.money_sum("line_total").alias("total_revenue"))
     return m.withColumn("previous_revenue", F.lag("total_revenue").over(W.orderBy("month")))
 
 

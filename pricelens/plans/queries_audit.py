@@ -19,30 +19,36 @@ SPECS = [
     ("a1_catalogue_lookup", lambda e: audit.catalogue_lookup(e.tables, ITEM),
      _q(select=f"SELECT * FROM catalogue_prices WHERE item_code = '{ITEM}' ORDER BY item_code LIMIT 1")),
     ("a2_customer_summary", lambda e: audit.customer_summary(e.tables, CUSTOMER),
-     _q(select=f"SELECT count(*) AS transaction_count, {msum('quantity')} AS total_quantity, {msum('line_total')} AS total_revenue "
-               f"FROM sales WHERE customer_code = '{CUSTOMER}'")),
+     _q(select=f"SELECT customer_code, customer_name, count(*) AS transaction_count, {msum('quantity')} AS total_quantity, "
+               f"{msum('line_total')} AS total_revenue FROM sales WHERE customer_code = '{CUSTOMER}' GROUP BY 1, 2")),
     ("a3_top_selling_products", lambda e: audit.top_selling_products(e.tables),
-     _q(select=f"SELECT item_code, {msum('quantity')} AS total_quantity, {msum('line_total')} AS total_revenue FROM sales "
-               "GROUP BY item_code ORDER BY total_quantity DESC NULLS LAST, item_code LIMIT 10")),
+     _q(select=f"SELECT item_code, {msum('quantity')} AS total_quantity, {msum('line_total')} AS total_revenue, "
+               "count(DISTINCT customer_code) AS unique_customers FROM sales GROUP BY item_code ORDER BY total_quantity DESC NULLS LAST, item_code LIMIT 10")),
     ("a4_sales_with_pricing", lambda e: audit.sales_with_pricing(e.tables, ITEM),
-     _q(select=f"""SELECT s.invoice_number, s.invoice_date, s.customer_code, s.item_code, s.quantity, s.unit_price, s.line_total,
-       c.ie_trade, c.ie_base, l.landed_cost_euro FROM sales s LEFT JOIN catalogue_prices c ON s.item_code = c.item_code
+     _q(select=f"""SELECT s.*, c.ie_trade, c.ie_high, l.landed_cost_euro FROM sales s LEFT JOIN catalogue_prices c ON s.item_code = c.item_code
        LEFT JOIN landed_costs l ON s.item_code = l.item_code WHERE s.item_code = '{ITEM}'
        ORDER BY s.invoice_date DESC, s.invoice_number, s.line_total, s.customer_code LIMIT 100""")),
     ("a5_customers_for_product", lambda e: audit.customers_for_product(e.tables, ITEM),
      _q(select=f"SELECT customer_code, customer_name, count(*) AS purchase_count, {msum('quantity')} AS total_quantity, "
                f"{msum('line_total')} AS total_spent FROM sales WHERE item_code = '{ITEM}' GROUP BY customer_code, customer_name")),
     ("a6_stats_by_month", lambda e: audit.stats_by_month(e.tables),
-     _q(select=f"SELECT substr(invoice_date, 1, 7) AS month, count(*) AS transaction_count, {msum('line_total')} AS total_revenue, "
-               f"{msum('line_total')} / count(line_total) AS avg_line_value FROM sales GROUP BY 1")),
-    ("a7_missing_value_profile", lambda e: audit.missing_value_profile(e.tables.sales, "sales"),
-     _q(select="UNPIVOT (SELECT " + ", ".join(f"CAST(count(*) - count({c}) AS BIGINT) AS {c}" for c in
-        ["invoice_number", "invoice_date", "customer_code", "customer_name", "item_code", "item_description", "quantity",
-         "currency", "unit_price", "line_total", "document_type", "is_rebate", "is_return", "is_sample", "unit_type",
-         "data_quality_issue"]) + " FROM sales) ON COLUMNS(*) INTO NAME column_name VALUE null_count")
-     .replace("\nUNPIVOT", "\nSELECT 'sales' AS table_name, * FROM (UNPIVOT") + ")"),
-    ("a8_duplicate_catalogue_keys", lambda e: audit.duplicate_keys(e.raw.catalogue_prices),
-     _q(select="SELECT item_code, count(*) AS occurrences FROM catalogue_raw GROUP BY item_code HAVING count(*) > 1")),
+     _q(select=f"SELECT substr(invoice_date, 1, 7) AS month, count(*) AS transaction_count, {msum('quantity')} AS total_quantity, "
+               f"{msum('line_total')} AS total_revenue, {msum('line_total')} / count(line_total) AS avg_line_value FROM sales "
+               "WHERE invoice_date IS NOT NULL AND invoice_date <> '' GROUP BY 1")),
+    ("a7_missing_value_profile", lambda e: audit.missing_values(e.raw),
+     _q(select=" UNION ALL ".join(
+         f"SELECT '{t}' AS table_name, '{c}' AS column_name, CAST(count(*) - count({c}) AS BIGINT) AS null_count FROM {source}"
+         for t, source, columns in (
+             ("sales", "sales_raw2", ["invoice_number", "invoice_date", "customer_code", "customer_name", "item_code",
+                                      "quantity", "unit_price", "line_total"]),
+             ("catalogue_prices", "catalogue_raw", ["item_code", "ie_trade", "ie_high"]),
+             ("landed_costs", "landed_costs_raw2", ["item_code", "landed_cost_euro"])) for c in columns))),
+    ("a8_duplicate_keys", lambda e: audit.duplicate_items(e.raw),
+     _q(select=" UNION ALL ".join(
+         f"SELECT '{t}' AS table_name, item_code, count(*) AS occurrences FROM {source} GROUP BY item_code HAVING count(*) > 1"
+         for t, source in (("catalogue_prices", "catalogue_raw"), ("landed_costs", "landed_costs_raw2"), ("pallet_sizes", "pallet_raw"))))),
+    ("a9_orphan_item_sample", lambda e: audit.orphan_item_sample(e.tables),
+     _q(_ORPH, select="SELECT DISTINCT item_code FROM o ORDER BY item_code LIMIT 10")),
     ("a9_orphan_item_count", lambda e: audit.orphan_item_count(e.tables),
      _q(_ORPH, select="SELECT count(DISTINCT item_code) AS orphaned_item_codes FROM o")),
     ("a10_orphan_customer_codes", lambda e: audit.orphan_customer_codes(e.tables),
@@ -108,8 +114,8 @@ SPECS = [
     ("a25_invoice_lines_excluding_samples", lambda e: audit.invoice_lines_excluding_samples(e.tables),
      _q(select="SELECT * FROM sales WHERE document_type = 'INV' AND is_sample = 0")),
     ("a26_net_revenue_per_customer", lambda e: audit.net_revenue_per_customer(e.tables),
-     _q(select=f"SELECT customer_code, coalesce({msum('CASE WHEN is_return = 0 THEN line_total ELSE 0e0 END')}, 0e0) AS net_revenue "
-               "FROM sales GROUP BY customer_code")),
+     _q(select=f"SELECT customer_code, customer_name, coalesce({msum('CASE WHEN is_return = 0 THEN line_total ELSE 0e0 END')}, 0e0) AS net_revenue "
+               "FROM sales GROUP BY customer_code, customer_name")),
     ("a27_metre_sales", lambda e: audit.metre_sales(e.tables),
      _q(select="SELECT invoice_number, item_code, quantity, unit_type FROM sales WHERE unit_type = 'meter'")),
     ("a28_quality_issue_lines", lambda e: audit.quality_issue_lines(e.tables),
@@ -122,11 +128,12 @@ SPECS = [
        (c.ie_trade - l.landed_cost_euro) / l.landed_cost_euro * 100 AS markup_percent
        FROM catalogue_prices c JOIN landed_costs l ON c.item_code = l.item_code) WHERE markup_percent > 20""")),
     ("a31_top_customers_by_revenue", lambda e: audit.top_customers_by_revenue(e.tables),
-     _q(select=f"SELECT customer_code, customer_name, {msum('line_total')} AS total_revenue FROM sales WHERE customer_code IS NOT NULL "
+     _q(select=f"SELECT customer_code, customer_name, count(*) AS transaction_count, {msum('quantity')} AS total_quantity, "
+               f"{msum('line_total')} AS total_revenue FROM sales WHERE customer_code IS NOT NULL "
                "GROUP BY customer_code, customer_name ORDER BY total_revenue DESC NULLS LAST, customer_code LIMIT 10")),
     ("a32_month_over_month", lambda e: audit.month_over_month(e.tables),
-     _q(select=f"""SELECT month, total_revenue, lag(total_revenue) OVER (ORDER BY month) AS previous_revenue FROM (
-       SELECT substr(invoice_date, 1, 7) AS month, {msum('line_total')} AS total_revenue FROM sales
+     _q(select=f"""SELECT month, total_quantity, total_revenue, lag(total_revenue) OVER (ORDER BY month) AS previous_revenue FROM (
+       SELECT substr(invoice_date, 1, 7) AS month, {msum('quantity')} AS total_quantity, {msum('line_total')} AS total_revenue FROM sales
        WHERE invoice_date IS NOT NULL GROUP BY 1)""")),
 ]
 
