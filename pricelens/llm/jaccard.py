@@ -104,10 +104,10 @@ def _text_task(size: int):
     """Nodes with their sets, computed again from one text each."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [shingle_set(t, size) for t in common.utf8(batch.column(3))]
+            made = [shingle_set(t, size) for t in common.utf8(batch.column(4))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2),
-                 pa.array([s.tobytes() for s in made], pa.binary())], ["group", "node", "copies", "shingles"])
+                [batch.column(0), batch.column(1), batch.column(2), batch.column(3),
+                 pa.array([s.tobytes() for s in made], pa.binary())], ["group", "blocks", "node", "copies", "shingles"])
     return sets
 
 
@@ -242,13 +242,14 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD, shingle: int = S
     blocks = members.groupBy("component").agg(F.greatest(
         F.ceil(F.count(F.lit(1)) / block_nodes), F.ceil(F.sum("n_shingles") / block_shingles)).cast("int").alias("blocks"))
     # one text of each node that has a candidate; equal sets can come from different texts
-    chosen = members.select(F.col("component").alias("group"), "node", "copies", "least")
+    # the number of blocks is looked up before the texts are, so no group's texts come together
+    chosen = members.join(blocks, "component").select(
+        F.col("component").alias("group"), "blocks", "node", "copies", "least")
     texts = chosen.join(docs, chosen["least.doc_id"].eqNullSafe(docs["doc_id"])
                         & (chosen["least.text_hash"] == docs["text_hash"])) \
-        .select("group", "node", "copies", "text").mapInArrow(
-            _text_task(shingle), "group binary, node binary, copies long, shingles binary")
-    dealt = texts.join(blocks.withColumnRenamed("component", "group"), "group").withColumn(
-        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .select("group", "blocks", "node", "copies", "text").mapInArrow(
+            _text_task(shingle), "group binary, blocks int, node binary, copies long, shingles binary")
+    dealt = texts.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     tasks = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "group", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"),
         "block", "node", "copies", "shingles")
