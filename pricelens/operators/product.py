@@ -142,22 +142,28 @@ def shared_customers(lines: DataFrame, min_shared: int) -> DataFrame:
     An item with fewer customers than that can't be in such a pair and is dropped before
     the self-join (exact pruning); a customer with very many items is split by AQE's
     skew-join handling, as both sides of the join are shuffled by customer."""
-    spans = lines.groupBy("customer_code", "item_code").agg(
+    spans = lines.filter(F.col("item_code").isNotNull()).groupBy("customer_code", "item_code").agg(
         F.min("invoice_date").alias("first"), F.max("invoice_date").alias("last"))
     common = spans.groupBy("item_code").agg(F.count(F.lit(1)).alias("_customers")).filter(
         F.col("_customers") >= min_shared).select("item_code")
-    spans = spans.join(common, "item_code")
-    a = spans.select("customer_code", F.col("item_code").alias("product_a_code"),
-                     F.col("first").alias("a_first"), F.col("last").alias("a_last"))
-    b = spans.select(F.col("customer_code").alias("_c"), F.col("item_code").alias("product_b_code"),
+    # items as numbers in the order of their codes: a pair is one long, which the wide
+    # aggregation over all pairs hashes and shuffles much faster than two texts
+    ids = total_order(common, [F.col("item_code").asc()], "_item")
+    spans = spans.join(ids, "item_code").select("customer_code", "_item", "first", "last")
+    a = spans.select("customer_code", F.col("_item").alias("_a"), F.col("first").alias("a_first"), F.col("last").alias("a_last"))
+    b = spans.select(F.col("customer_code").alias("_c"), F.col("_item").alias("_b"),
                      F.col("first").alias("b_first"), F.col("last").alias("b_last"))
-    return (a.join(b, F.col("customer_code").eqNullSafe(F.col("_c"))
-                   & (F.col("product_a_code") < F.col("product_b_code")))
-            .groupBy("product_a_code", "product_b_code").agg(
-                F.count(F.lit(1)).alias("shared_customers"),
-                F.count(F.when(F.col("a_last") < F.col("b_first"), 1)).alias("customers_switching_from_a_to_b"),
-                F.count(F.when(F.col("b_last") < F.col("a_first"), 1)).alias("customers_switching_from_b_to_a"))
-            .filter(F.col("shared_customers") >= min_shared))
+    pairs = (a.join(b, F.col("customer_code").eqNullSafe(F.col("_c")) & (F.col("_a") < F.col("_b")))
+             .groupBy(F.shiftleft("_a", 32).bitwiseOR(F.col("_b")).alias("_pair")).agg(
+                 F.count(F.lit(1)).alias("shared_customers"),
+                 F.count(F.when(F.col("a_last") < F.col("b_first"), 1)).alias("customers_switching_from_a_to_b"),
+                 F.count(F.when(F.col("b_last") < F.col("a_first"), 1)).alias("customers_switching_from_b_to_a"))
+             .filter(F.col("shared_customers") >= min_shared))
+    code_a, code_b = (ids.select(F.col("_item").alias(f"_{x}"), F.col("item_code").alias(f"product_{x}_code")) for x in "ab")
+    return (pairs.withColumn("_a", F.shiftright("_pair", 32)).withColumn("_b", F.col("_pair").bitwiseAND(F.lit(0xFFFFFFFF)))
+            .join(code_a, "_a").join(code_b, "_b").select(
+                "product_a_code", "product_b_code", "shared_customers", "customers_switching_from_a_to_b",
+                "customers_switching_from_b_to_a"))
 
 
 def cannibalisation(fact: DataFrame, window: DateWindow, min_shared_customers: int = 5,
