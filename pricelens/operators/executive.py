@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from .combine import side_by_side
-from .facts import DateWindow, base_filter, customer_sales, line_cost
+from .facts import DateWindow, base_filter, customer_sales, line_cost, WHOLE_HISTORY
 from .margin import customer_profitability, product_performance
 
 
@@ -90,10 +90,10 @@ def inactive_high_value(fact: DataFrame, window: DateWindow, lifetime: DateWindo
                         inactive_days: int = 90, min_revenue: float = 10000, n: int = 10) -> DataFrame:
     """E5: customers silent for more than ``inactive_days`` with revenue above ``min_revenue``.
 
-    The reference's "lifetime" is its default 12-month window (K9); pass
-    ``lifetime`` to choose the history explicitly.
+    Revenue and the last purchase are those of all history (K9) unless ``lifetime`` gives a
+    window of its own.
     """
-    lifetime = lifetime or window
+    lifetime = lifetime or DateWindow(*WHOLE_HISTORY, window.as_of)
     revenue = customer_sales(fact, lifetime, include_returns=False, include_samples=False)
     last = (base_filter(fact, lifetime, include_returns=False, include_samples=False, document_types=("INV",))
             .groupBy("customer_code").agg(F.max("invoice_date").alias("last_date")))

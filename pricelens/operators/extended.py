@@ -429,23 +429,29 @@ def ltv_prediction(fact: DataFrame, window: DateWindow, limit: int | None = None
                     F.least(F.lit(1.0), F.col("total_transactions") / 24.0).alias("confidence")))
 
 
-def wider_quality_report(t) -> DataFrame:
-    """Nine data-quality counters of the cleaned sales as (metric, value)."""
-    from .cleaning import to_long
-    s = t.sales
-    c = F.col
-    wide = s.agg(F.count(F.lit(1)).alias("total_records"),
-                 F.count(F.when(c("document_type") == "INV", 1)).alias("invoices"),
-                 F.count(F.when(c("document_type") == "CRN", 1)).alias("credit_notes"),
+def wider_quality_report(t, sales_raw: DataFrame) -> DataFrame:
+    """Nine data-quality counters as (metric, value).  Names are counted on the raw sales:
+    after P16 every code has one name."""
+    from .cleaning import NEGATIVE_QTY_ISSUE, to_long
+    s, c = t.sales, F.col
+    wide = s.agg(F.count(F.lit(1)).alias("total_sales_records"),
+                 F.count("data_quality_issue").alias("records_with_dq_issues"),
+                 F.count(F.when(c("data_quality_issue") == NEGATIVE_QTY_ISSUE, 1))
+                 .alias("invoices_with_negative_qty_corrected"),
+                 F.count(F.when(c("is_sample") == 1, 1)).alias("samples_and_promos"),
                  F.count(F.when(c("is_return") == 1, 1)).alias("returns"),
-                 F.count(F.when(c("is_rebate") == 1, 1)).alias("rebates"),
-                 F.count(F.when(c("is_sample") == 1, 1)).alias("samples"),
-                 F.count(F.when(c("unit_type") == "meter", 1)).alias("meter_sales"),
-                 F.count(F.when(c("data_quality_issue").isNotNull(), 1)).alias("quality_issues"))
-    names = (s.filter(c("customer_code").isNotNull()).groupBy("customer_code")
+                 F.count(F.when(c("is_rebate") == 1, 1)).alias("rebates"))
+    items = s.filter(c("item_code").isNotNull()).select("item_code").distinct()
+    costed = t.landed_costs.filter(c("landed_cost_euro").isNotNull()).select("item_code")
+    missing = [items.join(have, "item_code", "left_anti").agg(F.count(F.lit(1)).alias(name)) for have, name in (
+        (costed, "products_missing_cost"), (t.catalogue_prices.select("item_code"), "products_missing_catalogue"))]
+    names = (sales_raw.filter(c("customer_code").isNotNull()).groupBy("customer_code")
              .agg(F.countDistinct("customer_name").alias("_n")).filter(c("_n") > 1)
              .agg(F.count(F.lit(1)).alias("customer_name_variations")))
-    return to_long(wide).unionByName(to_long(names))
+    out = to_long(wide)
+    for one in (*missing, names):
+        out = out.unionByName(to_long(one))
+    return out
 
 
 def dashboard_with_comparison(fact: DataFrame, window: DateWindow) -> DataFrame:

@@ -225,18 +225,21 @@ def x21_contribution_by_buying_group(e):
 
 
 @register("x23_wider_quality_report", _q(select="""
-SELECT 'total_records' AS metric, count(*) AS value FROM sales
-UNION ALL SELECT 'invoices', count(CASE WHEN document_type = 'INV' THEN 1 END) FROM sales
-UNION ALL SELECT 'credit_notes', count(CASE WHEN document_type = 'CRN' THEN 1 END) FROM sales
+SELECT 'total_sales_records' AS metric, count(*) AS value FROM sales
+UNION ALL SELECT 'records_with_dq_issues', count(data_quality_issue) FROM sales
+UNION ALL SELECT 'invoices_with_negative_qty_corrected',
+  count(CASE WHEN data_quality_issue = 'Negative quantity on invoice - converted to positive' THEN 1 END) FROM sales
+UNION ALL SELECT 'samples_and_promos', count(CASE WHEN is_sample = 1 THEN 1 END) FROM sales
 UNION ALL SELECT 'returns', count(CASE WHEN is_return = 1 THEN 1 END) FROM sales
 UNION ALL SELECT 'rebates', count(CASE WHEN is_rebate = 1 THEN 1 END) FROM sales
-UNION ALL SELECT 'samples', count(CASE WHEN is_sample = 1 THEN 1 END) FROM sales
-UNION ALL SELECT 'meter_sales', count(CASE WHEN unit_type = 'meter' THEN 1 END) FROM sales
-UNION ALL SELECT 'quality_issues', count(data_quality_issue) FROM sales
-UNION ALL SELECT 'customer_name_variations', count(*) FROM (SELECT customer_code FROM sales WHERE customer_code IS NOT NULL
+UNION ALL SELECT 'products_missing_cost', count(DISTINCT item_code) FROM sales s WHERE NOT EXISTS
+  (SELECT 1 FROM landed_costs l WHERE l.item_code = s.item_code AND l.landed_cost_euro IS NOT NULL)
+UNION ALL SELECT 'products_missing_catalogue', count(DISTINCT item_code) FROM sales s WHERE NOT EXISTS
+  (SELECT 1 FROM catalogue_prices c WHERE c.item_code = s.item_code)
+UNION ALL SELECT 'customer_name_variations', count(*) FROM (SELECT customer_code FROM sales_raw2 WHERE customer_code IS NOT NULL
   GROUP BY customer_code HAVING count(DISTINCT customer_name) > 1)"""))
 def x23_wider_quality_report(e):
-    return X.wider_quality_report(e.tables)
+    return X.wider_quality_report(e.tables, e.raw.sales_raw)
 
 
 from .queries_customer_product import _D1, _U1  # noqa: E402
