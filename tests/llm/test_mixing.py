@@ -1,6 +1,7 @@
 from collections import defaultdict
 from fractions import Fraction
 
+import pytest
 from pyspark.sql import functions as F
 
 from pricelens.llm import mixing
@@ -61,3 +62,25 @@ def test_same_mix_for_any_partitioning(spark):
     one = mixing.placed(docs.repartition(1)).select("doc_id", "mix_slot", "mix_before").collect()
     many = mixing.placed(docs.repartition(13)).select("doc_id", "mix_slot", "mix_before").collect()
     assert sorted(one) == sorted(many)
+
+
+@pytest.mark.parametrize("n", [3, 20, 200])
+def test_slots_stay_within_a_block_of_the_exact_weights(spark, monkeypatch, n):
+    monkeypatch.setattr(mixing, "RUN", 1000)  # several jobs
+    monkeypatch.setattr(mixing, "ROW_BLOCKS", 64)
+    weights = {f"s{i:03}": w for i, w in enumerate([n / 2, 0.0, *[1 + i / 7 for i in range(n - 2)]])}
+    total, slots = sum(map(Fraction, weights.values())), 2500
+    sources = [(s, w, int(Fraction(w) * slots / total) + 1) for s, w in weights.items()]
+    plan = mixing.block_slots(spark.createDataFrame(sources, "mix_source string, weight double, blocks long"), 100).collect()
+    found = defaultdict(list)
+    for r in sorted(plan, key=lambda r: (r["mix_source"], r["mix_row"])):
+        found[r["mix_source"]] += r["mix_slots"]
+    used = [t for own in found.values() for t in own]
+    assert len(used) == len(set(used)) and {s: len(own) for s, own in found.items()} == {s: k for s, _, k in sources}
+    for s, own in found.items():
+        assert own == sorted(own)
+        if weights[s]:
+            due = Fraction(weights[s]) / total
+            # just before and after each block, at the slots where the deviation is largest
+            assert all(abs(k - t * due) < 1 and abs(k + 1 - (t + 1) * due) < 1 for k, t in enumerate(own))
+    assert min(found["s001"]) > max(t for s, own in found.items() if s != "s001" for t in own)
