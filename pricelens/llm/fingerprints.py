@@ -6,7 +6,7 @@ so it does not depend on the order of paragraphs, and inserting or deleting one
 subtracts its vector (``add``, ``subtract``) without reading the text again.  The vector has two parts:
 
 * identity: ``IDENTITY`` lanes of 32 bits, the SHA-256 of the paragraph, summed modulo 2**32;
-* likeness: ``LANES`` lanes that count, modulo 2**21, the set bits of a hash of each of the
+* likeness: ``LANES`` lanes that count, modulo 2**31, the set bits of a hash of each of the
   paragraph's words (between spaces, of ``WORD`` characters at least: shorter ones are the same in
   all texts of a language).  Twice the count minus the words is a random projection of the
   multiset of words, so the cosine of two fingerprints estimates how much of the texts is shared.
@@ -18,8 +18,8 @@ are read: grouping by the row's own key needs no shuffle of texts.
 Cases: a null text is an empty one: one empty paragraph; a paragraph without words
 counts in the identity part only; two fingerprints without such words are alike
 when they are equal; equal doc_ids are ordered by a hash of their texts; null doc_ids
-come first; counts stay exact up to 2**21 words a text, and
-wrap around beyond; extra columns are ignored.
+come first; counts are exact for any text, as a string of under 2**31 bytes has fewer
+words, and only sums by ``add`` may wrap around; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,9 +31,9 @@ IDENTITY, LANES, WORD = 8, 126, 4
 #: Documents that are neighbours in order share a bucket of about so many rows.
 BUCKET_ROWS, MAX_BUCKETS = 4000, 1024
 
-# Three lanes of 21 bits share a long; each of the two 64-bit hashes of a word gives 21 longs.
-_BITS, _PER_LONG = 21, 3
-_MASK = (1 << _BITS) - 1
+# Two lanes of 31 bits, 32 apart, share a long; each of the two 64-bit hashes of a word gives up to 32 longs.
+_BITS, _PER_LONG = 32, 2
+_MASK = (1 << 31) - 1
 _ONES = sum(1 << (_BITS * i) for i in range(_PER_LONG))
 _LONGS = LANES // _PER_LONG
 _SHA_PARTS = [(13 * i, min(13, 64 - 13 * i)) for i in range(5)]  # hex digits that fit a long
@@ -51,7 +51,7 @@ def sums(rows: DataFrame, keys: list[str], text: str = "text", carry: dict[str,
     words = words.where(counts | (F.col("_at") == 0)).select(
         *own, F.when(F.col("_at") == 0, F.col("_sha")).alias("_sha"), counts.cast("long").alias("_n"),
         *[F.when(counts, F.xxhash64("_word", F.lit(h))).otherwise(F.lit(0)).alias(f"_h{h}") for h in (0, 1)])
-    # modulo 2**21: only a text of over two million words needs it, and a sum of the lanes of one never overflows a long
+    # a string has under 2**31 words, so neither lane of a long reaches the next one or the sign
     lanes = [F.sum(F.shiftright(f"_h{i % 2}", i // 2).bitwiseAND(F.lit(_ONES))).alias(f"_b{i}") for i in range(_LONGS)]
     marks = [F.sum(F.conv(F.substring("_sha", 8 * k + 1, 8), 16, 10).cast("long")).alias(f"_i{k}")
              for k in range(IDENTITY)]

@@ -50,6 +50,18 @@ def test_sums_are_homomorphic_and_free_of_order(spark):
     assert both == by[1]["fingerprint"] and left == by[2]["fingerprint"] and back == by[3]["fingerprint"]
 
 
+def test_counts_of_a_very_long_text_are_exact(spark):
+    n = 2**21 + 5
+    rows = spark.createDataFrame([(1, n), (2, 7)], "id int, n int").selectExpr("id", "trim(repeat('same ', n)) as text")
+    both = spark.createDataFrame([(3, n)], "id int, n int").selectExpr(
+        "id", "concat(trim(repeat('same ', n)), '\n', trim(repeat('same ', 7))) as text")
+    by = {r["id"]: r for r in fingerprints.sums(rows.union(both), ["id"]).collect()}
+    assert by[1]["n_words"] > 2**21 and {abs(x) for x in by[1]["lanes"]} == {by[1]["n_words"]}
+    pair = spark.createDataFrame([(by[1]["fingerprint"], by[2]["fingerprint"], by[3]["fingerprint"])], "a string, b string, c string")
+    total, left = pair.select(fingerprints.add(F.col("a"), F.col("b")), fingerprints.subtract(F.col("c"), F.col("b"))).first()
+    assert total == by[3]["fingerprint"] and left == by[1]["fingerprint"]
+
+
 def test_awkward_rows(spark):
     docs = documents(spark, AWKWARD)
     got = fingerprints.fingerprints(docs).collect()
