@@ -6,17 +6,19 @@ so it does not depend on the order of paragraphs, and inserting or deleting one
 subtracts its vector (``add``, ``subtract``) without reading the text again.  The vector has two parts:
 
 * identity: ``IDENTITY`` lanes of 32 bits, the SHA-256 of the paragraph, summed modulo 2**32;
-* likeness: ``LANES`` lanes that count, modulo 2**31, the set bits of a hash of each of the
-  paragraph's words (between spaces, of ``WORD`` characters at least: shorter ones are the same in
-  all texts of a language).  Twice the count minus the words is a random projection of the
-  multiset of words, so the cosine of two fingerprints estimates how much of the texts is shared.
+* likeness: ``LANES`` lanes that count, modulo 2**31, the set bits of a hash of each run of
+  ``RUN`` words of the paragraph (of all its words, if it has fewer).  Words are what white space
+  separates; a character of a script written without spaces, and each character of a word of over
+  ``LONG_WORD`` characters, is a word of its own, so runs there are character n-grams.  Twice the count
+  minus the runs is a random projection of the multiset of runs, so the cosine of two fingerprints
+  estimates how much of the texts is shared, order included.
 
 Equal texts, and texts with the same paragraphs in another order, have equal
 fingerprints.  Only DataFrame functions are used.  The sums are taken where the rows
 are read: grouping by the row's own key needs no shuffle of texts.
 
 Cases: a null text is an empty one: one empty paragraph; a paragraph without words
-counts in the identity part only; two fingerprints without such words are alike
+counts in the identity part only; two fingerprints without words are alike
 when they are equal; equal doc_ids are ordered by a hash of their texts; null doc_ids
 come first; counts are exact for any text, as a string of under 2**31 bytes has fewer
 words, and only sums by ``add`` may wrap around; extra columns are ignored.
@@ -27,11 +29,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-IDENTITY, LANES, WORD = 8, 126, 4
+IDENTITY, LANES, RUN, LONG_WORD = 8, 126, 3, 32
 #: Documents that are neighbours in order share a bucket of about so many rows.
 BUCKET_ROWS, MAX_BUCKETS = 4000, 1024
 
-# Two lanes of 31 bits, 32 apart, share a long; each of the two 64-bit hashes of a word gives up to 32 longs.
+# Two lanes of 31 bits, 32 apart, share a long; each of the two 64-bit hashes of a run gives up to 32 longs.
 _BITS, _PER_LONG = 32, 2
 _MASK = (1 << 31) - 1
 _ONES = sum(1 << (_BITS * i) for i in range(_PER_LONG))
@@ -39,19 +41,42 @@ _LONGS = LANES // _PER_LONG
 _SHA_PARTS = [(13 * i, min(13, 64 - 13 * i)) for i in range(5)]  # hex digits that fit a long
 
 
+#: White space of all scripts, and the scripts that put none between words.
+_SPACE = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_UNSPACED = "([" + "".join(rf"\p{{Is{s}}}" for s in (
+    "Han", "Hiragana", "Katakana", "Bopomofo", "Yi", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan", "Javanese")) + "])"
+
+
+def _words(paragraph: Column) -> Column:
+    """The words of a paragraph, in order; [''] where it has none."""
+    def split(text):
+        return F.split(text, F.lit(f"{_SPACE}+"))
+
+    wide = F.octet_length(paragraph) > F.length(paragraph)  # ASCII alone has none of these scripts
+    text = F.when(wide, F.regexp_replace(paragraph, _UNSPACED, " $1 ")).otherwise(paragraph)
+    plain = split(text)
+    cut = F.flatten(F.transform(plain, lambda w: F.when(F.length(w) > LONG_WORD, F.split(w, "")).otherwise(F.array(w))))
+    words = F.array_remove(F.when(F.rlike(paragraph, F.lit(f"[^ ]{{{LONG_WORD + 1}}}")), cut).otherwise(plain), "")
+    return F.when(F.trim(paragraph) == "", F.array(F.lit(""))).otherwise(words)
+
+
 def sums(rows: DataFrame, keys: list[str], text: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
-    """``keys``, which name a row, ``carry`` (whole numbers of the row), ``fingerprint``, ``lanes`` (centred) and ``n_words``."""
+    """``keys``, which name a row, ``carry`` (whole numbers of the row), ``fingerprint``, ``lanes`` (centred) and ``n_words``, the runs counted."""
     carry = carry or {}
     paragraphs = rows.select(*keys, *[c.cast("long").alias(k) for k, c in carry.items()],
                              F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("_p"))
     own = [*keys, *carry]
-    words = paragraphs.select(*own, F.sha2(F.col("_p").cast("binary"), 256).alias("_sha"),
-                              F.posexplode(F.split("_p", " ")).alias("_at", "_word"))
-    counts = F.length("_word") >= WORD
-    words = words.where(counts | (F.col("_at") == 0)).select(
+    words = paragraphs.select(*own, F.sha2(F.col("_p").cast("binary"), 256).alias("_sha"), _words(F.col("_p")).alias("_w"))
+    following = [F.slice("_w", j + 1, F.greatest(F.size("_w"), F.lit(1))).alias(f"w{j}") for j in range(1, RUN)]
+    runs = words.select(*own, "_sha", F.posexplode_outer(F.arrays_zip(F.col("_w").alias("w0"), *following)).alias("_at", "_run"))
+    runs = runs.select(*own, "_sha", F.coalesce("_at", F.lit(0)).alias("_at"), *[F.col(f"_run.w{j}").alias(f"_w{j}") for j in range(RUN)])
+    full = F.col(f"_w{RUN - 1}").isNotNull()
+    counts = full | ((F.col("_at") == 0) & (F.coalesce("_w0", F.lit("")) != ""))
+    words = runs.where(full | (F.col("_at") == 0)).select(
         *own, F.when(F.col("_at") == 0, F.col("_sha")).alias("_sha"), counts.cast("long").alias("_n"),
-        *[F.when(counts, F.xxhash64("_word", F.lit(h))).otherwise(F.lit(0)).alias(f"_h{h}") for h in (0, 1)])
-    # a string has under 2**31 words, so neither lane of a long reaches the next one or the sign
+        *[F.when(counts, F.xxhash64(*[f"_w{j}" for j in range(RUN)], F.lit(h))).otherwise(F.lit(0)).alias(f"_h{h}")
+          for h in (0, 1)])
+    # a string has under 2**31 runs, so neither lane of a long reaches the next one or the sign
     lanes = [F.sum(F.shiftright(f"_h{i % 2}", i // 2).bitwiseAND(F.lit(_ONES))).alias(f"_b{i}") for i in range(_LONGS)]
     marks = [F.sum(F.conv(F.substring("_sha", 8 * k + 1, 8), 16, 10).cast("long")).alias(f"_i{k}")
              for k in range(IDENTITY)]

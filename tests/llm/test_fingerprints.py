@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -62,6 +63,29 @@ def test_counts_of_a_very_long_text_are_exact(spark):
     assert total == by[3]["fingerprint"] and left == by[1]["fingerprint"]
 
 
+def test_words_of_any_length_and_script_and_their_order_count(spark):
+    rng = random.Random(3)
+    short = [x for i in range(100) for x in (str(rng.randrange(90)), f"a{rng.randrange(9)}")]
+    han = [chr(0x4E00 + rng.randrange(5000)) for _ in range(200)]
+    code = [rng.choice("abcdefghijklmnopqrstuvwxyz0123456789,;") for _ in range(300)]
+    half = lambda words: words[:len(words) // 2] + rng.sample(words, len(words) // 2)
+    pairs = {
+        "short": (" ".join(short), " ".join(half(short)), 0.3), "tabs": ("\t".join(short), "\u3000".join(short), 0.99),
+        "han": ("".join(han), "".join(half(han)), 0.3), "unspaced": ("".join(code), "".join(half(code)), 0.3)}
+    rows = [(k, t) for name, (a, b, _) in pairs.items() for k, t in ((f"{name}-a", a), (f"{name}-b", b))]
+    rows += [("short-shuffled", " ".join(rng.sample(short, len(short))))]
+    by = {r["id"]: r for r in fingerprints.sums(spark.createDataFrame(rows, "id string, text string"), ["id"]).collect()}
+
+    def like(a, b):
+        x, y = by[a]["lanes"], by[b]["lanes"]
+        return sum(p * q for p, q in zip(x, y)) / (sum(p * p for p in x) * sum(q * q for q in y)) ** 0.5
+
+    assert by["short-a"]["n_words"] == 198 and by["han-a"]["n_words"] == 198 and by["unspaced-a"]["n_words"] == 298
+    for name, (*_, least) in pairs.items():
+        assert like(f"{name}-a", f"{name}-b") >= least, name
+    assert like("short-a", "short-shuffled") < 0.6
+
+
 def test_awkward_rows(spark):
     docs = documents(spark, AWKWARD)
     got = fingerprints.fingerprints(docs).collect()
