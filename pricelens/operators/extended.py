@@ -121,20 +121,21 @@ def lifetime_value_annual(fact: DataFrame, window: DateWindow, limit: int | None
 
 
 def churn_decline(fact: DataFrame, window: DateWindow, inactivity_days: int = 90, decline_threshold: float = 30,
-                  high_value: float = 10000) -> DataFrame:
+                  high_value: float = 10000, history: DateWindow | None = None) -> DataFrame:
     """Revenue in the first vs second half of the window; decline % = (prev - curr) / prev x 100.
 
     Risk: high when inactive past ``inactivity_days`` with revenue above ``high_value``;
     medium when inactive or declining by at least ``decline_threshold`` %; low rows dropped.
+    Customers, last purchases and lifetime revenue come from ``history``, by default the window alone.
     """
     lo, hi = window.bounds()
     start, end = F.to_date(lo), F.to_date(hi)
     mid = F.date_add(start, (F.datediff(end, start) / 2).cast("int")).cast("string")
-    lines = _lines(fact, window).filter(F.col("customer_code").isNotNull())
+    lines = _lines(fact, history or window).filter(F.col("customer_code").isNotNull())
     d = F.col("invoice_date")
     g = lines.groupBy("customer_code", "customer_name").agg(
-        M.js_sum(F.when(d < mid, F.col("line_total"))).alias("previous_period_revenue"),
-        M.js_sum(F.when(d >= mid, F.col("line_total"))).alias("current_period_revenue"),
+        M.js_sum(F.when((d >= lo) & (d < mid), F.col("line_total"))).alias("previous_period_revenue"),
+        M.js_sum(F.when((d >= mid) & (d <= hi), F.col("line_total"))).alias("current_period_revenue"),
         M.js_sum("line_total").alias("lifetime_revenue"), F.max(d).alias("last_purchase_date"))
     prev, curr = F.col("previous_period_revenue"), F.col("current_period_revenue")
     days = F.datediff(F.to_date(F.lit(window.as_of)), F.try_to_date("last_purchase_date"))

@@ -304,6 +304,23 @@ def x6_churn_decline(e):
     return X.churn_decline(e.fact, LAST_YEAR)
 
 
+@register("x6_churn_decline_history", _q(f"""c AS (SELECT * FROM fact WHERE document_type IN ('INV', 'CRN') AND is_sample = 0 AND is_return = 0
+  AND invoice_date BETWEEN '1995-01-01' AND '2001-08-01' AND customer_code IS NOT NULL),
+g AS (SELECT customer_code, customer_name,
+             coalesce({msum("CASE WHEN invoice_date >= '2000-08-02' AND invoice_date < '2001-01-31' THEN line_total END")}, 0e0) AS previous_period_revenue,
+             coalesce({msum("CASE WHEN invoice_date >= '2001-01-31' THEN line_total END")}, 0e0) AS current_period_revenue,
+             coalesce({msum('line_total')}, 0e0) AS lifetime_revenue, max(invoice_date) AS last_purchase_date
+      FROM c GROUP BY customer_code, customer_name),
+g2 AS (SELECT *, date_diff('day', CAST(last_purchase_date AS DATE), DATE '2001-08-01') AS days_since_last_purchase,
+              CASE WHEN previous_period_revenue > 0 THEN (previous_period_revenue - current_period_revenue) / previous_period_revenue * 100
+                   ELSE 0e0 END AS revenue_decline_percent FROM g),
+g3 AS (SELECT *, CASE WHEN days_since_last_purchase > 90 AND lifetime_revenue > 10000 THEN 'high'
+                      WHEN days_since_last_purchase > 90 OR revenue_decline_percent >= 30 THEN 'medium' ELSE 'low' END AS risk_level FROM g2)""",
+                                 select="SELECT * FROM g3 WHERE risk_level <> 'low'"))
+def x6_churn_decline_history(e):
+    return X.churn_decline(e.fact, LAST_YEAR, history=WHOLE)
+
+
 from .queries_discount import g2_ctes  # noqa: E402
 
 
