@@ -296,3 +296,19 @@ def row_samples(t: Tables, item_code: str, customer_code: str, n: int = 5) -> di
         "e": t.sales.filter(F.col("customer_code") == customer_code).groupBy("customer_name")
               .agg(F.count(F.lit(1)).alias("occurrences")),
     }
+
+
+def raw_row_samples(raw, item_code: str, customer_code: str, n: int = 5) -> dict[str, DataFrame]:
+    """A16 on the raw tables, before cleaning removes duplicate catalogue rows, name variations
+    and blank codes; (a), (b) and (d) are the first ``n`` rows in a total order."""
+    sales = raw.sales_raw
+    order = [F.col(c).asc_nulls_last() for c in LINE_COLUMNS]
+    pallets = raw.pallet_sizes.filter(F.col("item_code").isNull() | (F.trim("item_code") == ""))
+    return {
+        "a": sales.filter(F.col("quantity") <= 0).select(*LINE_COLUMNS).orderBy(*order).limit(n),
+        "b": sales.filter(F.col("unit_price") <= 0).select(*LINE_COLUMNS).orderBy(*order).limit(n),
+        "c": raw.catalogue_prices.filter(F.col("item_code") == item_code),
+        "d": pallets.orderBy(*[F.col(c).asc_nulls_last() for c in pallets.columns]).limit(n),
+        "e": sales.filter(F.col("customer_code") == customer_code).groupBy("customer_name")
+                  .agg(F.count(F.lit(1)).alias("occurrences")),
+    }

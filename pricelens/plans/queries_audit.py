@@ -149,5 +149,18 @@ SPECS += [
      _q(select=f"SELECT customer_name, count(*) AS occurrences FROM sales WHERE customer_code = '{CUSTOMER}' GROUP BY customer_name")),
 ]
 
+SPECS += [
+    ("a16a_raw_non_positive_quantity_sample", lambda e: audit.raw_row_samples(e.raw, ITEM, CUSTOMER)["a"],
+     _q(select=f"SELECT {_LINE} FROM sales_raw2 WHERE quantity <= 0 ORDER BY {_LINE} LIMIT 5")),
+    ("a16b_raw_non_positive_price_sample", lambda e: audit.raw_row_samples(e.raw, ITEM, CUSTOMER)["b"],
+     _q(select=f"SELECT {_LINE} FROM sales_raw2 WHERE unit_price <= 0 ORDER BY {_LINE} LIMIT 5")),
+    ("a16c_raw_catalogue_rows_of_code", lambda e: audit.raw_row_samples(e.raw, ITEM, CUSTOMER)["c"],
+     _q(select=f"SELECT * FROM catalogue_raw WHERE item_code = '{ITEM}'")),
+    ("a16d_raw_blank_pallet_codes", lambda e: audit.raw_row_samples(e.raw, ITEM, CUSTOMER)["d"],
+     _q(select="SELECT * FROM pallet_raw WHERE item_code IS NULL OR trim(item_code) = '' ORDER BY ALL LIMIT 5")),
+    ("a16e_raw_name_counts_of_customer", lambda e: audit.raw_row_samples(e.raw, ITEM, CUSTOMER)["e"],
+     _q(select=f"SELECT customer_name, count(*) AS occurrences FROM sales_raw2 WHERE customer_code = '{CUSTOMER}' GROUP BY customer_name")),
+]
+
 for _name, _fn, _sql in SPECS:
     register(_name, _sql)(_fn)
