@@ -28,7 +28,7 @@ def test_group_revenue_sums_to_total(spark):
 
 def test_abc_running_share_ends_at_100(spark):
     e = _engine(spark)
-    mix = product.product_mix(e.fact, registry.WHOLE, limit=10_000, population=10_000).items
+    mix = product.product_mix(e.fact, registry.WHOLE, limit=10_000).items
     last = mix.orderBy(F.col("cumulative_revenue_percent").desc()).first()["cumulative_revenue_percent"]
     assert abs(last - 100) < 1e-9
 
