@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fingerprints, jaccard, langid, licenses, mixing, quality, spelling, tokens, warc
+from . import chat, decontam, embeddings, fingerprints, jaccard, langid, licenses, mixing, quality, spelling, tokens, warc
 from .common import read_table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,8 @@ def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = spelling.runs(read_table(spark, sf_dir, "documents"))
     words = written(spelling.vocabulary(runs.select(spelling.damaged(runs).alias("word"))), "spelling-words")
     return spelling.variants(words)
+
+
+@query("op12_embedding_near_dedup")
+def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings"))
