@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embeddings, fingerprints, jaccard, langid, licenses, mixing, quality, spelling, tokens, warc
+from . import chat, decontam, embeddings, fingerprints, jaccard, langid, licenses, mixing, quality, repair, spelling, tokens, warc
 from .common import read_table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,6 +162,11 @@ def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(words)
 
 
+@query("op11_conversation_repair")
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(read_table(spark, sf_dir, "conversations")), F.col("copies"))
+
+
 @query("op12_embedding_near_dedup")
 def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings"))
