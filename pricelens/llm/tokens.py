@@ -9,7 +9,7 @@ documents.  A manifest, written by Spark, names the files of the attempts that s
 files of lost or repeated attempts are never read.  The readers start from the manifest.
 
 Encoding: the byte-level pre-tokeniser never joins text across the start of a single
-space or line end, so such chunks are encoded on their own and remembered; texts with
+space or line end, so such chunks are encoded on their own, each once, and remembered; texts with
 runs of white space are cut by a pattern that keeps the runs whole.  What is remembered
 is bounded (``REMEMBERED`` chunks, then forgotten), and affects speed only.  A tokenizer of
 another kind, and a text that holds an added token, is encoded in one piece.
@@ -38,12 +38,14 @@ from pyspark.sql import functions as F
 from . import common
 
 SEQUENCE, BATCH_SEQUENCES, END_ID = 2048, 512, 2
-REMEMBERED, GROUP_CHARS = 1_000_000, 1 << 20
+REMEMBERED, GROUP_CHARS = 1_500_000, 1 << 16
 
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _SPACES = frozenset(map(chr, [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
                               0x205F, 0x3000]))
 _RUN = re.compile(f"[{_SPACE}][{_SPACE}]")
+_MARKS = frozenset(".,;:!?")
+_LETTERS = frozenset(c for c in map(chr, range(256)) if c.isalpha())
 _CHUNK = re.compile(f"[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]?[^{_SPACE}]+")
 
 
@@ -61,6 +63,10 @@ class Encoder:
                           and not kind.get("normalizer") and not kind.get("truncation") and not kind.get("padding"))
         self.added = [t["content"] for t in kind.get("added_tokens", [])]
         self.line_end = int(self._ids("\n")[0]) if not self.whole else -1
+        self.marks = {m: self._ids(m).tobytes() for m in _MARKS} if not self.whole else {}
+        names = self.tokenizer.get_vocab()
+        self.leads = np.zeros(max(names.values(), default=0) + 1, bool)  # tokens that begin with a space
+        self.leads[[i for name, i in names.items() if name[0] == "\u0120"]] = True
         self.words: dict[str, bytes] = {}   # by the text after a space, or from a line end on
         self.chunks: dict[str, bytes] = {}  # by the chunk itself
 
@@ -68,24 +74,36 @@ class Encoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _remember(self, known: dict[str, bytes], chunks: dict[str, str]) -> None:
-        """Encode new chunks (by their key); those without a line end inside go in one call, a
-        line end, which is a token of its own there, between them."""
-        joined = []
+        """Encode new chunks (by their key).  A mark after a letter is a token of its own, so only what
+        stands before it is encoded.  Chunks after a space go in one call, as just the first token of
+        each begins with a space; those without go in another, a line end between them."""
+        marked, spaced, lines = [], {}, {}
         for key, chunk in chunks.items():
-            lead = chunk[0] in _SPACES
-            if "\n" in chunk[1:] or chunk[-1] in _SPACES or lead and (chunk[0] not in " \n" or chunk[1] in _SPACES):
+            if chunk[-1] in _MARKS and len(chunk) > 2 and chunk[-2] in _LETTERS:
+                marked.append(key)
+                key, chunk = key[:-1], chunk[:-1]
+                if key in known:
+                    continue
+            if "\n" in chunk[1:] or chunk[-1] in _SPACES or chunk[0] in _SPACES and (chunk[0] not in " \n" or chunk[1] in _SPACES):
                 known[key] = self._ids(chunk).tobytes()
             else:
-                joined.append(key)
-        if joined:
-            text = "".join(c if c[0] == "\n" else "\n" + c for c in map(chunks.__getitem__, joined))
-            ids = self._ids(text)
-            ends = np.append(np.flatnonzero(ids == self.line_end), len(ids))
-            if len(ends) != len(joined) + 1:
-                raise ValueError("a chunk was not encoded on its own")
-            raw, ends = ids.tobytes(), (ends * 4).tolist()
-            for key, start, end in zip(joined, ends, ends[1:]):
-                known[key] = raw[start if chunks[key][0] == "\n" else start + 4:end]
+                (spaced if chunk[0] == " " else lines)[key] = chunk
+        if spaced:
+            ids = self._ids("".join(spaced.values()))
+            self._cut(known, list(spaced), ids, np.flatnonzero(self.leads[ids]), 0)
+        if lines:
+            ids = self._ids("".join(c if c[0] == "\n" else "\n" + c for c in lines.values()))
+            starts = np.flatnonzero(ids == self.line_end)
+            self._cut(known, list(lines), ids, starts, [c[0] != "\n" for c in lines.values()])
+        for key in marked:
+            known[key] = known[key[:-1]] + self.marks[key[-1]]
+
+    def _cut(self, known: dict[str, bytes], keys: list[str], ids: np.ndarray, starts: np.ndarray, skip) -> None:
+        if len(starts) != len(keys):
+            raise ValueError("a chunk was not encoded on its own")
+        raw = ids.tobytes()
+        for key, start, end in zip(keys, ((starts + skip) * 4).tolist(), [*(starts[1:] * 4).tolist(), len(raw)]):
+            known[key] = raw[start:end]
 
     def _found(self, known: dict[str, bytes], lists: list[list[str]], chunk) -> list[bytes]:
         """The joined ids of each list of parts."""
