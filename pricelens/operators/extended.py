@@ -166,11 +166,17 @@ def product_ranks(fact: DataFrame, window: DateWindow) -> DataFrame:
     return total_order(out, [F.col("margin").desc_nulls_last()], "margin_rank", ties=True)
 
 
-def cannibalisation_switching(fact: DataFrame, window: DateWindow, min_shared_customers: int = 5) -> DataFrame:
+def cannibalisation_switching(fact: DataFrame, window: DateWindow, min_shared_customers: int = 5,
+                              limit: int | None = None) -> DataFrame:
     """D4 pairs with switching counts (A->B when the last A purchase precedes the first
-    B purchase) and each product's revenue trend (second-half vs first-half growth %)."""
+    B purchase) and each product's revenue trend (second-half vs first-half growth %).
+
+    ``limit`` keeps the pairs with the most shared customers (ties by code); without it the report
+    holds every pair that shares at least ``min_shared_customers``."""
     lines = _lines(fact, window)
-    pairs = product_ops.shared_customers(lines, min_shared_customers)
+    pairs = product_ops.shared_customers(lines, min_shared_customers, switching=True)
+    if limit:
+        pairs = M.top(pairs, "shared_customers", "desc", limit, "product_a_code", "product_b_code")
     lo, hi = window.bounds()
     mid = F.date_add(F.to_date(lo), (F.datediff(F.to_date(hi), F.to_date(lo)) / 2).cast("int")).cast("string")
     d = F.col("invoice_date")
@@ -190,13 +196,17 @@ def cannibalisation_switching(fact: DataFrame, window: DateWindow, min_shared_cu
 
 def cross_sell_lift(fact: DataFrame, window: DateWindow, min_co_occurrence: int = 5) -> DataFrame:
     """D3 pairs with basket lift = count_ab x N / (n_a x n_b) and customer-based confidence."""
-    pairs = product_ops.cross_sell(fact, window, min_co_occurrence, limit=None).items
-    baskets = product_ops._basket_items(fact, window)
+    baskets = product_ops.basket_items(fact, window)
+    pairs = product_ops.scored_pairs(baskets, min_co_occurrence).drop("confidence_b_to_a")
     n = baskets.select("invoice_number", "customer_code").distinct().agg(F.count(F.lit(1)).alias("_baskets"))
     support = baskets.groupBy("item_code").agg(F.count(F.lit(1)).alias("_n"),
                                                M.js_distinct_count("customer_code").alias("_cust"))
-    sa = support.select(F.col("item_code").alias("product_a_code"), F.col("_n").alias("_na"), F.col("_cust").alias("_ca"))
-    sb = support.select(F.col("item_code").alias("product_b_code"), F.col("_n").alias("_nb"))
+    desc = _lines(fact, window).groupBy("item_code").agg(F.coalesce(newest("item_description"), F.lit("")).alias("desc"))
+    facts = support.join(desc, "item_code")
+    sa = facts.select(F.col("item_code").alias("product_a_code"), F.col("desc").alias("product_a_description"),
+                      F.col("_n").alias("_na"), F.col("_cust").alias("_ca"))
+    sb = facts.select(F.col("item_code").alias("product_b_code"), F.col("desc").alias("product_b_description"),
+                      F.col("_n").alias("_nb"))
     j = side_by_side(pairs.join(sa, "product_a_code").join(sb, "product_b_code"), n)
     return j.select("product_a_code", "product_a_description", "product_b_code", "product_b_description",
                     "co_occurrence_count", "customers_buying_both", "confidence",

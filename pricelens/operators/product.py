@@ -9,6 +9,7 @@ from ..functions import metrics as M
 from .combine import ranked as total_order
 from .combine import side_by_side
 from .facts import Analysis, DateWindow, base_filter, newest, product_sales
+from .pairs import Pairs, pair_counts, pair_sums
 
 
 def _lines(fact: DataFrame, window: DateWindow) -> DataFrame:
@@ -65,127 +66,100 @@ def product_mix(fact: DataFrame, window: DateWindow, limit: int = 20) -> Analysi
     return Analysis(summary, items)
 
 
-def _basket_items(fact: DataFrame, window: DateWindow) -> DataFrame:
-    """One row per item per basket (invoice, customer), with the item's line count in the
-    basket and its newest description key.  Every cross-sell input derives from this
-    one aggregate, so the lines are scanned and shuffled once."""
-    return (_lines(fact, window).groupBy("invoice_number", "customer_code", "item_code")
-            .agg(F.count(F.lit(1)).alias("_lines"),
-                 F.max(F.struct("invoice_date", "invoice_number", "item_description")).alias("_newest")))
+_BASKET = ["invoice_number", "customer_code"]
 
 
-def _item_stats(baskets: DataFrame) -> DataFrame:
-    """Per item: lines, baskets containing it (support) and the newest description."""
-    return baskets.groupBy("item_code").agg(
-        F.sum("_lines").alias("lines"), F.count(F.lit(1)).alias("support"),
-        F.coalesce(F.max("_newest")["item_description"], F.lit("")).alias("desc"))
+def basket_items(fact: DataFrame, window: DateWindow) -> DataFrame:
+    """One row per item per basket (invoice, customer) with its line count.  Every input of the
+    cross-sell analyses derives from this one aggregate."""
+    return _lines(fact, window).groupBy(*_BASKET, "item_code").agg(F.count(F.lit(1)).alias("_lines"))
 
 
-def _pairs(baskets: DataFrame, min_support: int | None, stats: DataFrame | None = None) -> DataFrame:
-    """Item pairs (a < b) that share a basket.
-
-    Items bought in fewer than ``min_support`` baskets cannot reach that many
-    co-occurrences, so they are dropped before the self-join (exact pruning).  The
-    join is an equi-join on the basket; a very large basket is split across tasks by
-    AQE's skew-join handling rather than landing whole in one task.
-    """
-    baskets = baskets.select("invoice_number", "customer_code", "item_code")
-    if min_support:
-        if stats is None:
-            stats = baskets.groupBy("item_code").agg(F.count(F.lit(1)).alias("support"))
-        baskets = baskets.join(stats.filter(F.col("support") >= min_support).select("item_code"), "item_code")
-    a = baskets.select("invoice_number", "customer_code", F.col("item_code").alias("product_a_code"))
-    b = baskets.select(F.col("invoice_number").alias("_inv"), F.col("customer_code").alias("_cust"),
-                       F.col("item_code").alias("product_b_code"))
-    cond = ((F.col("invoice_number") == F.col("_inv")) & F.col("customer_code").eqNullSafe(F.col("_cust"))
-            & (F.col("product_a_code") < F.col("product_b_code")))
-    return a.join(b, cond).select("invoice_number", "customer_code", "product_a_code", "product_b_code")
+def basket_pairs(baskets: DataFrame, min_co_occurrence: int, **options) -> Pairs:
+    """Item pairs that share at least so many baskets, with these and the customers who bought both."""
+    # the condition always holds; it keeps the line count in the plan, so the shuffle is the one of the item counts
+    return pair_counts(baskets.where("_lines > 0"), _BASKET, [
+        F.count(F.lit(1)).alias("co_occurrence_count"),
+        M.js_distinct_count("customer_code").alias("customers_buying_both")], min_co_occurrence, **options).where(
+        F.col("co_occurrence_count") >= min_co_occurrence)
 
 
 def cross_sell(fact: DataFrame, window: DateWindow, min_co_occurrence: int = 5, limit: int | None = 20) -> Analysis:
     """D3: products bought together in the same basket (invoice, customer)."""
-    baskets = _basket_items(fact, window)
-    per_item = _item_stats(baskets)
-    pairs = (_pairs(baskets, min_co_occurrence, per_item)
-             .groupBy("product_a_code", "product_b_code")
-             .agg(F.count(F.lit(1)).alias("co_occurrence_count"),
-                  M.js_distinct_count("customer_code").alias("customers_buying_both"))
-             .filter(F.col("co_occurrence_count") >= min_co_occurrence))
-    a = per_item.select(F.col("item_code").alias("product_a_code"), F.col("lines").alias("_la"),
-                        F.col("desc").alias("product_a_description"))
-    b = per_item.select(F.col("item_code").alias("product_b_code"), F.col("lines").alias("_lb"),
-                        F.col("desc").alias("product_b_description"))
-    scored = (pairs.join(a, "product_a_code").join(b, "product_b_code")
-              .select("product_a_code", "product_a_description", "product_b_code", "product_b_description",
-                      "co_occurrence_count", "customers_buying_both",
-                      (F.col("co_occurrence_count") / F.col("_la") * 100).alias("confidence"),
-                      (F.col("co_occurrence_count") / F.col("_lb") * 100).alias("confidence_b_to_a")))
+    baskets = basket_items(fact, window)
+    scored = scored_pairs(baskets, min_co_occurrence)
+    desc = _lines(fact, window).groupBy("item_code").agg(F.coalesce(newest("item_description"), F.lit("")).alias("desc"))
+    named = [desc.select(F.col("item_code").alias(f"product_{x}_code"), F.col("desc").alias(f"product_{x}_description"))
+             for x in "ab"]
     items = M.top(scored, "co_occurrence_count", "desc", limit, "product_a_code", "product_b_code")
+    items = items.join(named[0], "product_a_code").join(named[1], "product_b_code").select(
+        "product_a_code", "product_a_description", "product_b_code", "product_b_description",
+        "co_occurrence_count", "customers_buying_both", "confidence", "confidence_b_to_a")
+    if limit:  # the joins with the names don't keep the order
+        items = M.sort_by(items, "co_occurrence_count", "desc", "product_a_code", "product_b_code")
     summary = scored.agg(F.count(F.lit(1)).alias("qualifying_pairs"),
                          F.coalesce(M.fine_mean("confidence"), F.lit(0.0)).alias("avg_confidence"))
     return Analysis(summary, items)
 
 
+def scored_pairs(baskets: DataFrame, min_co_occurrence: int) -> DataFrame:
+    """D3's pairs with their confidence in both directions: co-occurrences to lines."""
+    pairs = basket_pairs(baskets, min_co_occurrence).named("product_a_code", "product_b_code")
+    lines = baskets.groupBy("item_code").agg(F.sum("_lines").alias("_lines"))
+    la, lb = (lines.select(F.col("item_code").alias(f"product_{x}_code"), F.col("_lines").alias(f"_l{x}")) for x in "ab")
+    return pairs.join(la, "product_a_code").join(lb, "product_b_code").select(
+        "product_a_code", "product_b_code", "co_occurrence_count", "customers_buying_both",
+        (F.col("co_occurrence_count") / F.col("_la") * 100).alias("confidence"),
+        (F.col("co_occurrence_count") / F.col("_lb") * 100).alias("confidence_b_to_a"))
+
+
 def cross_sell_total_pairs(fact: DataFrame, window: DateWindow) -> DataFrame:
     """D3 ``totalPairs``: distinct co-occurring pairs before the support filter.
 
-    This one needs every pair, so it is a separate, explicitly requested query.
-    """
-    return (_pairs(_basket_items(fact, window), None).select("product_a_code", "product_b_code").distinct()
-            .agg(F.count(F.lit(1)).alias("total_pairs")))
-
-
-def shared_customers(lines: DataFrame, min_shared: int) -> DataFrame:
-    """Item pairs (a < b) with at least ``min_shared`` common customers, and of these how many
-    stopped buying one before they began with the other.
-
-    An item with fewer customers than that can't be in such a pair and is dropped before
-    the self-join (exact pruning); a customer with very many items is split by AQE's
-    skew-join handling, as both sides of the join are shuffled by customer."""
-    spans = lines.filter(F.col("item_code").isNotNull()).groupBy("customer_code", "item_code").agg(
-        F.min("invoice_date").alias("first"), F.max("invoice_date").alias("last"))
-    common = spans.groupBy("item_code").agg(F.count(F.lit(1)).alias("_customers")).filter(
-        F.col("_customers") >= min_shared).select("item_code")
-    # items as numbers in the order of their codes: a pair is one long, which the wide
-    # aggregation over all pairs hashes and shuffles much faster than two texts
-    ids = total_order(common, [F.col("item_code").asc()], "_item")
-    spans = spans.join(ids, "item_code").select("customer_code", "_item", "first", "last")
-    a = spans.select("customer_code", F.col("_item").alias("_a"), F.col("first").alias("a_first"), F.col("last").alias("a_last"))
-    b = spans.select(F.col("customer_code").alias("_c"), F.col("_item").alias("_b"),
-                     F.col("first").alias("b_first"), F.col("last").alias("b_last"))
-    pairs = (a.join(b, F.col("customer_code").eqNullSafe(F.col("_c")) & (F.col("_a") < F.col("_b")))
-             .groupBy(F.shiftleft("_a", 32).bitwiseOR(F.col("_b")).alias("_pair")).agg(
-                 F.count(F.lit(1)).alias("shared_customers"),
-                 F.count(F.when(F.col("a_last") < F.col("b_first"), 1)).alias("customers_switching_from_a_to_b"),
-                 F.count(F.when(F.col("b_last") < F.col("a_first"), 1)).alias("customers_switching_from_b_to_a"))
-             .filter(F.col("shared_customers") >= min_shared))
-    code_a, code_b = (ids.select(F.col("_item").alias(f"_{x}"), F.col("item_code").alias(f"product_{x}_code")) for x in "ab")
-    return (pairs.withColumn("_a", F.shiftright("_pair", 32)).withColumn("_b", F.col("_pair").bitwiseAND(F.lit(0xFFFFFFFF)))
-            .join(code_a, "_a").join(code_b, "_b").select(
-                "product_a_code", "product_b_code", "shared_customers", "customers_switching_from_a_to_b",
-                "customers_switching_from_b_to_a"))
+    A pair's stripes meet in one task, so the pairs are told apart there and only their number leaves it."""
+    pairs = pair_counts(basket_items(fact, window).where("_lines > 0"), _BASKET, [F.count(F.lit(1)).alias("n")])
+    return pairs.counts.agg(F.count(F.lit(1)).alias("total_pairs"))
+
+
+def shared_customers(lines: DataFrame, min_shared: int, switching: bool = False, **options) -> DataFrame:
+    """Item pairs (a < b by code) with at least ``min_shared`` common customers, and if ``switching`` of these
+    how many stopped buying one before they began with the other."""
+    keys = ["customer_code", "item_code"]
+    if not switching:
+        spans, conditions, carry, swapped = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("_lines")), {}, [], {}
+    else:
+        day = F.unix_date(F.try_to_date("invoice_date"))  # numbers, so that the aggregate over the lines hashes
+        spans, carry = lines.groupBy(*keys).agg(F.min(day).alias("first"), F.max(day).alias("last")), ["first", "last"]
+        there, back = "customers_switching_from_a_to_b", "customers_switching_from_b_to_a"
+        conditions = {there: lambda a, b: F.col(f"{a}_last") < F.col(f"{b}_first"),
+                      back: lambda a, b: F.col(f"{b}_last") < F.col(f"{a}_first")}
+        swapped = {there: back}
+    pairs = pair_sums(spans, ["customer_code"], "shared_customers", conditions, min_shared, carry, **options)
+    return pairs.named("product_a_code", "product_b_code", swapped)
 
 
 def cannibalisation(fact: DataFrame, window: DateWindow, min_shared_customers: int = 5,
                     limit: int | None = 20) -> Analysis:
     """Pairs of all items that share customers, scored by how close their revenues are."""
     lines = _lines(fact, window)
-    revenue = lines.groupBy("item_code").agg(M.js_sum("line_total").alias("revenue"),
-                                             F.coalesce(newest("item_description"), F.lit("")).alias("desc"))
-    shared = shared_customers(lines, min_shared_customers).select(
-        "product_a_code", "product_b_code", "shared_customers")
-    ra = revenue.select(F.col("item_code").alias("product_a_code"), F.col("revenue").alias("product_a_revenue"),
-                    F.col("desc").alias("product_a_description"))
-    rb = revenue.select(F.col("item_code").alias("product_b_code"), F.col("revenue").alias("product_b_revenue"),
-                    F.col("desc").alias("product_b_description"))
+    revenue = lines.groupBy("item_code").agg(M.js_sum("line_total").alias("revenue"))
+    desc = lines.groupBy("item_code").agg(F.coalesce(newest("item_description"), F.lit("")).alias("desc"))
+    ra, rb = (revenue.select(F.col("item_code").alias(f"product_{x}_code"), F.col("revenue").alias(f"product_{x}_revenue"))
+              for x in "ab")
+    na, nb = (desc.select(F.col("item_code").alias(f"product_{x}_code"), F.col("desc").alias(f"product_{x}_description"))
+              for x in "ab")
     ra_, rb_ = F.col("product_a_revenue"), F.col("product_b_revenue")
     score = F.try_divide(F.col("shared_customers"), 1 + F.try_divide(F.abs(ra_ - rb_), F.greatest(ra_, rb_)))
-    scored = (shared.join(ra, "product_a_code").join(rb, "product_b_code")
-              .select("product_a_code", "product_a_description", "product_b_code", "product_b_description",
-                      "shared_customers", "product_a_revenue", "product_b_revenue", score.alias("competition_score")))
+    scored = (shared_customers(lines, min_shared_customers).join(ra, "product_a_code").join(rb, "product_b_code")
+              .withColumn("competition_score", score))
     items = M.top(scored, "competition_score", "desc", limit, "product_a_code", "product_b_code")
-    codes = (scored.select(F.col("product_a_code").alias("c"))
-             .unionByName(scored.select(F.col("product_b_code").alias("c"))).distinct())
-    summary = side_by_side(scored.agg(F.count(F.lit(1)).alias("total_pairs")),
-                           codes.agg(F.count(F.lit(1)).alias("products_at_risk")))
+    items = items.join(na, "product_a_code").join(nb, "product_b_code").select(
+        "product_a_code", "product_a_description", "product_b_code", "product_b_description",
+        "shared_customers", "product_a_revenue", "product_b_revenue", "competition_score")
+    if limit:  # the joins with the names don't keep the order
+        items = M.sort_by(items, "competition_score", "desc", "product_a_code", "product_b_code")
+    both = shared_customers(lines, min_shared_customers).select(
+        F.explode(F.array("product_a_code", "product_b_code")).alias("code"))  # every pair gives two rows
+    summary = both.agg((F.count(F.lit(1)) / 2).cast("long").alias("total_pairs"),
+                       F.countDistinct("code").alias("products_at_risk"))
     return Analysis(summary, items)
