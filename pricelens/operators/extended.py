@@ -408,7 +408,8 @@ def contribution_by_segment(fact: DataFrame, window: DateWindow, customers: Data
     lines = _lines(fact, window)
     if segment_by in ("customer_segment", "region"):
         col = "buying_group" if segment_by == "customer_segment" else "region"
-        seg = customers.select("customer_code", F.col(col).alias("segment"))
+        # one row a code, the least segment of a code that the master has twice, so no line counts twice
+        seg = customers.groupBy("customer_code").agg(F.min(col).alias("segment"))
         lines = lines.join(seg, "customer_code", "left")
         key = F.coalesce(F.col("segment"), F.lit("Unassigned"))
     elif segment_by == "product":

@@ -31,7 +31,8 @@ def anomalies(fact: DataFrame, window: DateWindow, limit: int | None = 50, min_l
              .agg(F.count(F.lit(1)).alias("_n"), M.exact_mean(p).alias("_pa"), M.exact_stddev_pop(p).alias("_ps"),
                   M.exact_mean(q).alias("_qa"), M.exact_stddev_pop(q).alias("_qs"))
              .filter(F.col("_n") >= min_lines))
-    j = lines.join(stats, "item_code")
+    # lines without an item are a group of their own
+    j = lines.join(stats.withColumnRenamed("item_code", "_item"), F.col("item_code").eqNullSafe(F.col("_item"))).drop("_item")
     lt = F.coalesce(F.col("line_total"), F.lit(0.0))
     lc = F.coalesce(F.col("landed_cost_euro"), F.lit(0.0))
     cost = q * lc

@@ -6,6 +6,8 @@ so the ordered windows over them (lag, last-n) run on small inputs.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -98,6 +100,16 @@ def comparison_window(window: DateWindow, comparison_type: str = "previous_perio
     return F.lit(comparison_start), F.lit(comparison_end)
 
 
+@dataclass(frozen=True)
+class _Both(DateWindow):
+    """A window and a second one: from the first to the last day of either, so only these years are read."""
+    other: tuple[F.Column, F.Column] = ()
+
+    def bounds(self) -> tuple[F.Column, F.Column]:
+        lo, hi = super().bounds()
+        return F.least(lo, self.other[0]), F.greatest(hi, self.other[1])
+
+
 _METRICS = [("Revenue", "revenue"), ("Margin", "margin"), ("Transactions", "transactions"),
             ("Unique Customers", "customers"), ("Average Order Value", "aov")]
 
@@ -108,7 +120,7 @@ def growth(fact: DataFrame, window: DateWindow, comparison_type: str = "previous
     """T4: five metrics for the current window against the comparison window (one pass)."""
     lo, hi = window.bounds()
     clo, chi = comparison_window(window, comparison_type, comparison_start, comparison_end)
-    lines = base_filter(fact, DateWindow("0000-01-01", "9999-12-31", window.as_of),
+    lines = base_filter(fact, _Both(window.start, window.end, window.as_of, (clo, chi)),
                         include_returns=include_returns, include_samples=False)
     d = F.col("invoice_date")
     cur, cmp_ = d.between(lo, hi), d.between(clo, chi)

@@ -224,7 +224,8 @@ def exact_mean(x: str) -> str:
 
 
 def exact_std(x: str) -> str:
-    s1 = f"CAST(SUM(CAST({x} AS DECIMAL(28,10))) AS DOUBLE)"
-    s2 = f"CAST(SUM(CAST(({x}) * ({x}) AS DECIMAL(28,10))) AS DOUBLE)"
-    n = f"CAST(COUNT({x}) AS DOUBLE)"
-    return f"sqrt(greatest(({s2} - ({s1} * {s1}) / {n}) / {n}, 0e0))"
+    m = f"CAST(floor(({x}) * 1000000 + 0.5e0) AS HUGEINT)"
+    s1, s2, n = f"SUM({m})", f"SUM({m} * {m})", f"COUNT({x})"
+    p = f"(({s1} - {s1} % {n}) // {n})"
+    rest = f"CAST({s1} % {n} AS DOUBLE) / {n}"
+    return f"sqrt(greatest(CAST({s2} - {p} * (2 * {s1} - {n} * {p}) AS DOUBLE) / {n} - {rest} * ({rest}), 0e0)) / 1000000"

@@ -219,7 +219,8 @@ SELECT segment, revenue, variable_costs, revenue - variable_costs AS contributio
        CASE WHEN revenue <> 0 THEN (revenue - variable_costs) / revenue ELSE 0e0 END AS contribution_margin_ratio
 FROM (SELECT coalesce(k.buying_group, 'Unassigned') AS segment, coalesce({msum('line_total')}, 0e0) AS revenue,
              coalesce({msum('line_cost')}, 0e0) AS variable_costs
-      FROM l LEFT JOIN customer_product_keys k ON l.customer_code = k.customer_code GROUP BY 1)"""))
+      FROM l LEFT JOIN (SELECT customer_code, min(buying_group) AS buying_group FROM customer_product_keys GROUP BY 1) k
+        ON l.customer_code = k.customer_code GROUP BY 1)"""))
 def x21_contribution_by_buying_group(e):
     return X.contribution_by_segment(e.fact, WHOLE, e.tables.customers, "customer_segment")
 

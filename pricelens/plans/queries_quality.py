@@ -18,7 +18,7 @@ st AS (SELECT item_code, count(*) AS n, {exact_mean('coalesce(unit_price, 0e0)')
        FROM l GROUP BY item_code HAVING count(*) >= 5),
 j AS (SELECT l.*, st.pa, st.ps, st.qa, st.qs, coalesce(unit_price, 0e0) AS p, coalesce(quantity, 0e0) AS q,
              coalesce(line_total, 0e0) AS lt, coalesce(landed_cost_euro, 0e0) AS lc
-      FROM l JOIN st ON l.item_code = st.item_code),
+      FROM l JOIN st ON l.item_code IS NOT DISTINCT FROM st.item_code),
 j2 AS (SELECT *, q * lc AS cost, {margin_pct('lt', 'q * lc')} AS mp FROM j),
 an AS (
   SELECT invoice_number, invoice_date, customer_code, customer_name, item_code, coalesce(item_description, '') AS product_description,
