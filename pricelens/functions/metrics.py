@@ -52,22 +52,32 @@ def exact_mean(c) -> Column:
     return F.try_divide(fine_sum(c), F.count(col(c)).cast("double"))
 
 
-def exact_stddev_pop(c) -> Column:
-    """Population standard deviation of values to the micro-unit, from whole-number moments.
-
-    With m the values in micro-units, S1 and S2 the sums of m and m^2 and p = S1 div n, the squares
-    about p are ``S2 - p (2 S1 - n p)``, and the variance is that over n less ((S1 - n p) / n)^2.  All but the last
-    step is exact, so nothing cancels and the order of the rows does not matter.  Where the squares
-    pass 38 digits (values of 2e9 on more than 10^7 rows) the ordinary double aggregate stands in."""
-    x = col(c)
-    m = F.floor(x * 1000000 + 0.5).cast("decimal(19,0)")
+def exact_covar_pop(a, b=None) -> Column:
+    """Population covariance (variance without ``b``) of values to the micro-unit, from whole-number moments.
+
+    With m and k the values in micro-units, S their sums, p = Sm div n and q = Sk div n, the products about
+    (p, q) are ``Smk - p Sk - q (Sm - n p)``, and the covariance is that over n less (Sm - n p)(Sk - n q) / n^2.
+    All but the last step is exact, so nothing cancels and the order of the rows does not matter.
+    Rows where either value is NULL are left out.  Where the products pass 38 digits (values of
+    2e9 on more than 10^7 rows) the ordinary double aggregate stands in."""
+    x, y = col(a), col(a if b is None else b)
+    if b is not None:
+        x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    m, k = (F.floor(v * 1000000 + 0.5).cast("decimal(19,0)") for v in (x, y))
     n = F.count(x).cast("decimal(19,0)")
-    s1, s2 = F.sum(m), F.try_sum(m * m)
-    p = F.try_divide(s1 - s1 % F.greatest(n, F.lit(1).cast("decimal(19,0)")), n).cast("decimal(19,0)")
-    squares = F.try_subtract(s2, F.try_multiply(p, 2 * s1 - n * p))
-    count, rest = n.cast("double"), (s1 - n * p).cast("double")
-    var = F.try_divide(squares.cast("double"), count) - F.try_divide(rest, count) * F.try_divide(rest, count)
-    return F.coalesce(F.sqrt(F.greatest(var, F.lit(0.0))) / 1000000, F.stddev_pop(x))
+    sm, sk, smk = F.sum(m), F.sum(k), F.try_sum(m * k)
+    p, q = (F.try_divide(s - s % F.greatest(n, F.lit(1).cast("decimal(19,0)")), n).cast("decimal(19,0)") for s in (sm, sk))
+    products = F.try_subtract(F.try_subtract(smk, F.try_multiply(p, sk)), F.try_multiply(q, sm - n * p))
+    count, rest = n.cast("double"), [(s - n * c).cast("double") for s, c in ((sm, p), (sk, q))]
+    low = products % 1000000000  # in two parts, each of which becomes a double without an engine's choice of rounding
+    double = F.try_divide(products - low, F.lit(1000000000)).cast("decimal(29,0)").cast("double") * 1e9 + low.cast("double")
+    exact = F.try_divide(double, count) - F.try_divide(rest[0], count) * F.try_divide(rest[1], count)
+    return F.coalesce(exact / 1000000 / 1000000, F.covar_pop(x, y))
+
+
+def exact_stddev_pop(c) -> Column:
+    """Population standard deviation, see ``exact_covar_pop``."""
+    return F.sqrt(F.greatest(exact_covar_pop(c), F.lit(0.0)))
 
 
 def js_sum(c) -> Column:

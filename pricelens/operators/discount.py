@@ -81,12 +81,13 @@ def high_discounts(fact: DataFrame, window: DateWindow, threshold: float = 20, l
     cost = F.when(F.coalesce(F.col("landed_cost_euro"), F.lit(0.0)) != 0, line_cost()).otherwise(F.lit(0.0))
     flagged = lines.select(
         "invoice_number", "invoice_date", "customer_code", "customer_name", "item_code",
-        F.coalesce("item_description", F.lit("")).alias("product_description"), "unit_price", "discount_percent",
+        F.coalesce("item_description", F.lit("")).alias("product_description"), "quantity", "unit_price", "discount_percent",
         "line_total", (F.col("line_total") - cost).alias("margin"),
         M.margin_percent(F.col("line_total"), cost).alias("margin_percent"))
     items = M.top(flagged, "discount_percent", "desc", limit, "invoice_date", "invoice_number", "item_code",
                   "line_total", "customer_code")
-    summary = flagged.agg(M.js_sum("line_total").alias("total_revenue_at_risk"),
+    summary = flagged.agg(F.count(F.lit(1)).alias("total_transactions"),  # the lines at the threshold, not cut by a limit
+                          M.js_sum("line_total").alias("total_revenue_at_risk"),
                           F.coalesce(M.fine_mean("discount_percent"), F.lit(0.0)).alias("avg_discount"),
                           F.count(F.lit(1)).alias("flagged_count"))
     return Analysis(summary, items)

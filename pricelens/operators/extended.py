@@ -273,12 +273,14 @@ def pallet_optimisation(fact: DataFrame, window: DateWindow, pallets: DataFrame)
             .withColumn("optimization_rate_percent", F.col("orders_matching_pallet") / F.col("total_orders") * 100))
 
 
-def order_efficiency(fact: DataFrame, window: DateWindow, pallets: DataFrame) -> DataFrame:
-    """Per customer: average order size, lines per order, pallet equivalents,
+def order_efficiency(fact: DataFrame, window: DateWindow, pallets: DataFrame, group_by: str = "customer") -> DataFrame:
+    """Per customer or product: average order size, lines per order, pallet equivalents,
     small (< 1 pallet) and optimal (whole multiple) orders, score = optimal / orders x 100."""
     o = _orders(fact, window, pallets)
     q, p = F.col("order_quantity"), F.col("pallet_quantity")
-    g = o.groupBy("customer_code").agg(
+    key, names = ("customer_code", None) if group_by == "customer" else ("item_code", _lines(fact, window).groupBy(
+        F.col("item_code").alias("dimension_key")).agg(F.coalesce(newest("item_description"), F.lit("")).alias("dimension_name")))
+    g = o.groupBy(F.col(key).alias("dimension_key")).agg(
         F.max("customer_name").alias("dimension_name"),
         F.try_divide(M.js_sum(q), F.count(F.lit(1))).alias("avg_order_size"),
         F.try_divide(F.sum("lines"), F.countDistinct("invoice_number")).alias("avg_line_items_per_order"),
@@ -286,8 +288,9 @@ def order_efficiency(fact: DataFrame, window: DateWindow, pallets: DataFrame) ->
         F.count(F.when(q < p, 1)).alias("small_orders_count"),
         F.count(F.when((q > 0) & (F.pmod(q, p) == 0), 1)).alias("optimal_orders_count"),
         F.count(F.lit(1)).alias("_orders"))
-    return (g.withColumnRenamed("customer_code", "dimension_key")
-            .withColumn("order_efficiency_score", F.col("optimal_orders_count") / F.col("_orders") * 100)
+    if names is not None:
+        g = g.drop("dimension_name").join(names, "dimension_key")
+    return (g.withColumn("order_efficiency_score", F.col("optimal_orders_count") / F.col("_orders") * 100)
             .drop("_orders"))
 
 
@@ -303,9 +306,10 @@ def tier_performance_by_tier(fact: DataFrame, window: DateWindow, tolerance: flo
 
 
 def orphan_status(t, fact: DataFrame | None = None) -> DataFrame:
-    """Per item code seen anywhere: in catalogue / sales / landed costs / pallets, and the issue.
+    """Per item code seen anywhere: description, in catalogue / sales / landed costs / pallets, and the issue.
 
-    A union of the four key sets grouped by item (no full outer joins)."""
+    A union of the four key sets grouped by item (no full outer joins).  Only sales lines carry a
+    description; the newest line's is shown, and none for an item that was never sold."""
     def flags(df, name):
         return df.filter(F.col("item_code").isNotNull()).select("item_code").distinct().withColumn(name, F.lit(1))
     cols = ["in_catalogue", "in_sales", "in_landed_costs", "has_pallet_data"]
@@ -317,7 +321,10 @@ def orphan_status(t, fact: DataFrame | None = None) -> DataFrame:
     g = u.groupBy("item_code").agg(*[(F.max(F.coalesce(F.col(c), F.lit(0))) == 1).alias(c) for c in cols])
     issue = (F.when(~F.col("in_sales"), "never_sold").when(~F.col("in_catalogue"), "missing_catalogue")
              .when(~F.col("in_landed_costs"), "missing_cost").when(~F.col("has_pallet_data"), "incomplete"))
-    return g.withColumn("issue_type", issue).filter(F.col("issue_type").isNotNull())
+    names = t.sales.filter(F.col("item_code").isNotNull()).groupBy("item_code").agg(
+        newest("item_description").alias("product_description"))
+    return g.withColumn("issue_type", issue).filter(F.col("issue_type").isNotNull()).join(names, "item_code", "left").withColumn(
+        "product_description", F.coalesce("product_description", F.lit("")))
 
 
 def margin_contribution(fact: DataFrame, window: DateWindow) -> DataFrame:
@@ -387,15 +394,15 @@ def price_elasticity(fact: DataFrame, window: DateWindow, item_code: str | None
         lines = lines.filter(F.col("item_code") == item_code)
     g = lines.groupBy("item_code").agg(
         F.coalesce(newest("item_description"), F.lit("")).alias("product_description"),
-        F.count(F.lit(1)).alias("_n"), F.avg("unit_price").alias("avg_price"),
-        F.stddev_pop("unit_price").alias("price_std_dev"), F.avg("quantity").alias("avg_volume"),
-        F.stddev_pop("quantity").alias("volume_std_dev"),
-        # corr / regr_slope written from population moments so a constant price or
-        # volume gives NULL instead of an ANSI division-by-zero error.
-        F.try_divide(F.covar_pop("unit_price", "quantity"),
-                     F.stddev_pop("unit_price") * F.stddev_pop("quantity")).alias("correlation"),
-        F.try_divide(F.covar_pop(F.log("quantity"), F.log("unit_price")),
-                     F.var_pop(F.log("unit_price"))).alias("estimated_elasticity"))
+        F.count(F.lit(1)).alias("_n"), M.exact_mean("unit_price").alias("avg_price"),
+        M.exact_stddev_pop("unit_price").alias("price_std_dev"), M.exact_mean("quantity").alias("avg_volume"),
+        M.exact_stddev_pop("quantity").alias("volume_std_dev"),
+        # from whole-number moments, logarithms to the millionth, so the order of the rows does not
+        # matter; a constant price or volume gives NULL
+        F.try_divide(M.exact_covar_pop("unit_price", "quantity"),
+                     M.exact_stddev_pop("unit_price") * M.exact_stddev_pop("quantity")).alias("correlation"),
+        F.try_divide(M.exact_covar_pop(F.log("quantity"), F.log("unit_price")),
+                     M.exact_covar_pop(F.log("unit_price"))).alias("estimated_elasticity"))
     e = F.abs(F.col("estimated_elasticity"))
     return (g.filter(F.col("_n") >= min_lines).drop("_n")
             .withColumn("elasticity_interpretation", F.when(e.isNull(), F.lit(None))

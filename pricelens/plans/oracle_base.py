@@ -223,9 +223,15 @@ def exact_mean(x: str) -> str:
     return f"(CAST(SUM(CAST({x} AS DECIMAL(28,10))) AS DOUBLE) / CAST(COUNT({x}) AS DOUBLE))"
 
 
+def exact_covar(x: str, y: str) -> str:
+    m, k = (f"CAST(floor(({v}) * 1000000 + 0.5e0) AS HUGEINT)" for v in (x, y))
+    sm, sk, n = f"SUM({m})", f"SUM({k})", f"COUNT({x})"
+    p, q = (f"(({s} - {s} % {n}) // {n})" for s in (sm, sk))
+    rest = [f"(CAST({s} % {n} AS DOUBLE) / {n})" for s in (sm, sk)]
+    c = f"(SUM({m} * {k}) - {p} * {sk} - {q} * ({sm} - {n} * {p}))"
+    double = f"(CAST(({c} - {c} % 1000000000) // 1000000000 AS DOUBLE) * 1e9 + CAST({c} % 1000000000 AS DOUBLE))"
+    return f"(({double} / {n} - {rest[0]} * {rest[1]}) / 1000000 / 1000000)"
+
+
 def exact_std(x: str) -> str:
-    m = f"CAST(floor(({x}) * 1000000 + 0.5e0) AS HUGEINT)"
-    s1, s2, n = f"SUM({m})", f"SUM({m} * {m})", f"COUNT({x})"
-    p = f"(({s1} - {s1} % {n}) // {n})"
-    rest = f"CAST({s1} % {n} AS DOUBLE) / {n}"
-    return f"sqrt(greatest(CAST({s2} - {p} * (2 * {s1} - {n} * {p}) AS DOUBLE) / {n} - {rest} * ({rest}), 0e0)) / 1000000"
+    return f"sqrt(greatest({exact_covar(x, x)}, 0e0))"

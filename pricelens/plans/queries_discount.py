@@ -64,7 +64,7 @@ def g2_discount_effectiveness_summary(e):
 
 _G3 = (f"""fl AS (
   SELECT invoice_number, invoice_date, customer_code, customer_name, item_code,
-         coalesce(item_description, '') AS product_description, unit_price, discount_percent, line_total,
+         coalesce(item_description, '') AS product_description, quantity, unit_price, discount_percent, line_total,
          line_total - ({_COST}) AS margin, {margin_pct('line_total', _COST)} AS margin_percent
   FROM fact WHERE {lines(returns=False, samples=False)} AND discount_percent >= 20)""",)
 
@@ -77,7 +77,7 @@ def g3_high_discounts(e):
 
 
 @register("g3_high_discounts_summary", _q(*_G3, select=f"""
-SELECT coalesce({msum('line_total')}, 0e0) AS total_revenue_at_risk,
+SELECT count(*) AS total_transactions, coalesce({msum('line_total')}, 0e0) AS total_revenue_at_risk,
        coalesce({fine_mean('discount_percent')}, 0e0) AS avg_discount, count(*) AS flagged_count FROM fl"""))
 def g3_high_discounts_summary(e):
     return discount.high_discounts(e.fact, WHOLE).summary

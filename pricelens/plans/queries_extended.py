@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators import extended as X
-from .oracle_base import fine_mean, lines, margin as sql_margin, margin_pct, msum, newest, r2, ratio0, with_base, b2, b3
+from .oracle_base import b2, b3, exact_covar, exact_mean, exact_std, fine_mean, lines, margin as sql_margin, margin_pct, msum, newest, r2, ratio0, with_base
 from .registry import WHOLE, register
 from .queries_trends import LAST_YEAR
 
@@ -114,8 +114,9 @@ def x13_pallet_optimisation(e):
     return X.pallet_optimisation(e.fact, WHOLE, e.tables.pallets)
 
 
-@register("x14_order_efficiency", _q(*_ORDERS, select=f"""
-SELECT customer_code AS dimension_key, max(customer_name) AS dimension_name,
+def _x14(key: str, name: str, source: str) -> str:
+    return f"""
+SELECT {key} AS dimension_key, {name} AS dimension_name,
        coalesce({msum('order_quantity')}, 0e0) / count(*) AS avg_order_size,
        sum(lines) / count(DISTINCT invoice_number) AS avg_line_items_per_order,
        CAST(SUM(CAST(order_quantity / pallet_quantity AS DECIMAL(28,10))) AS DOUBLE) AS total_pallets_equivalent,
@@ -124,7 +125,16 @@ SELECT customer_code AS dimension_key, max(customer_name) AS dimension_name,
              THEN 1 END) AS optimal_orders_count,
        count(CASE WHEN order_quantity > 0 AND order_quantity - pallet_quantity * floor(order_quantity / pallet_quantity) = 0
              THEN 1 END) / count(*) * 100 AS order_efficiency_score
-FROM o GROUP BY customer_code"""))
+FROM {source} GROUP BY {key}"""
+
+
+@register("x14_order_efficiency_by_product", _q(*_ORDERS, newest("item_description", "item_code", "l", "nd"), select=_x14(
+    "o.item_code", "coalesce(max(nd.newest_value), '')", "o JOIN nd ON o.item_code = nd.item_code")))
+def x14_order_efficiency_by_product(e):
+    return X.order_efficiency(e.fact, WHOLE, e.tables.pallets, "product")
+
+
+@register("x14_order_efficiency", _q(*_ORDERS, select=_x14("customer_code", "max(customer_name)", "o")))
 def x14_order_efficiency(e):
     return X.order_efficiency(e.fact, WHOLE, e.tables.pallets)
 
@@ -147,10 +157,10 @@ def x15_price_tier_performance(e):
   UNION ALL SELECT item_code, 0, 0, 1, 0 FROM landed_costs WHERE item_code IS NOT NULL
   UNION ALL SELECT item_code, 0, 0, 0, 1 FROM pallet_sizes WHERE item_code IS NOT NULL),
 g AS (SELECT item_code, max(c) = 1 AS in_catalogue, max(s) = 1 AS in_sales, max(l) = 1 AS in_landed_costs,
-             max(p) = 1 AS has_pallet_data FROM u GROUP BY item_code)""", select="""
-SELECT * FROM (SELECT *, CASE WHEN NOT in_sales THEN 'never_sold' WHEN NOT in_catalogue THEN 'missing_catalogue'
+             max(p) = 1 AS has_pallet_data FROM u GROUP BY item_code)""", newest("item_description", "item_code", "sales", "nd"), select="""
+SELECT * FROM (SELECT g.*, coalesce(nd.newest_value, '') AS product_description, CASE WHEN NOT in_sales THEN 'never_sold' WHEN NOT in_catalogue THEN 'missing_catalogue'
                               WHEN NOT in_landed_costs THEN 'missing_cost' WHEN NOT has_pallet_data THEN 'incomplete' END AS issue_type
-               FROM g) WHERE issue_type IS NOT NULL"""))
+               FROM g LEFT JOIN nd ON g.item_code = nd.item_code) WHERE issue_type IS NOT NULL"""))
 def x16_orphan_status(e):
     return X.orphan_status(e.tables)
 
@@ -201,13 +211,13 @@ def x19_waterfall(e):
 
 
 @register("x20_price_elasticity", _q(f"""p AS (SELECT * FROM fact WHERE {lines(returns=False, samples=False)} AND quantity > 0 AND unit_price > 0)""",
-                                     newest("item_description", "item_code", "p", "nd"), select="""
+                                     newest("item_description", "item_code", "p", "nd"), select=f"""
 SELECT * , CASE WHEN estimated_elasticity IS NULL THEN NULL WHEN abs(estimated_elasticity) > 1.05 THEN 'elastic'
                 WHEN abs(estimated_elasticity) < 0.95 THEN 'inelastic' ELSE 'unit_elastic' END AS elasticity_interpretation
-FROM (SELECT p.item_code, coalesce(nd.newest_value, '') AS product_description, avg(unit_price) AS avg_price,
-             stddev_pop(unit_price) AS price_std_dev, avg(quantity) AS avg_volume, stddev_pop(quantity) AS volume_std_dev,
-             covar_pop(unit_price, quantity) / NULLIF(stddev_pop(unit_price) * stddev_pop(quantity), 0) AS correlation,
-             covar_pop(ln(quantity), ln(unit_price)) / NULLIF(var_pop(ln(unit_price)), 0) AS estimated_elasticity
+FROM (SELECT p.item_code, coalesce(nd.newest_value, '') AS product_description, {exact_mean('unit_price')} AS avg_price,
+             {exact_std('unit_price')} AS price_std_dev, {exact_mean('quantity')} AS avg_volume, {exact_std('quantity')} AS volume_std_dev,
+             {exact_covar('unit_price', 'quantity')} / NULLIF({exact_std('unit_price')} * {exact_std('quantity')}, 0) AS correlation,
+             {exact_covar('ln(quantity)', 'ln(unit_price)')} / NULLIF({exact_covar('ln(unit_price)', 'ln(unit_price)')}, 0) AS estimated_elasticity
       FROM p JOIN nd ON p.item_code = nd.item_code GROUP BY p.item_code, nd.newest_value HAVING count(*) >= 3)"""))
 def x20_price_elasticity(e):
     return X.price_elasticity(e.fact, WHOLE)

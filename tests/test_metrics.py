@@ -31,3 +31,22 @@ def test_period_keys(spark):
                      period_key("d", "week", "reference").alias("r")).collect()
     assert keys[0]["w"] == "2001-W01" and keys[1]["w"] == "2000-W52" and keys[0]["q"] == "2001-Q1"
     assert keys[0]["r"] == "2001-W01" and keys[1]["r"] == "2000-W06"
+
+
+def test_deviations_neither_cancel_nor_overflow(spark):
+    from pricelens.functions import metrics as M
+    def one(values, other=None):
+        df = spark.createDataFrame([(float(v), float(o)) for v, o in zip(values, other or values)], "v double, o double")
+        return df.agg(M.exact_stddev_pop("v").alias("s"), M.exact_covar_pop("v", "o").alias("c")).first()
+    assert one([2e9, 2e9 + 1] * 50)["s"] == 0.5
+    assert abs(one([3e7, 3e7 + 0.1] * 500)["s"] - 0.05) < 1e-12
+    assert abs(one([-3e7, -3e7 - 0.1] * 500)["s"] - 0.05) < 1e-12
+    assert one([7.25] * 9)["s"] == 0.0 and one([-1.0, 1.0])["s"] == 1.0
+    assert one([1, 2, 3, 4], [8, 6, 4, 2])["c"] == -2.5
+    assert abs(one([9e12, -9e12] * 100)["s"] / 9e12 - 1) < 1e-9  # beyond 38 digits: the double aggregate
+
+
+def test_a_limit_of_zero_gives_no_rows(spark):
+    from pricelens.functions import metrics as M
+    df = spark.range(5)
+    assert M.top(df, "id", "desc", 0).count() == 0 and M.top(df, "id", "desc", None).count() == 5
