@@ -1,27 +1,28 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-A text's bytes are lower-cased (ASCII) and its runs of other ASCII characters than letters
-become one space; the n-grams of ``GRAMS`` bytes are hashed to ``BUCKETS`` features.  Training counts the
-features of each language and keeps smoothed log-probabilities; scoring gathers a
-text's features and multiplies the counts with the broadcast matrix
-(``BUCKETS`` x languages floats: 16 bytes a bucket and four languages, 2 MB).
+A text's ASCII letters are lower-cased and its runs of other ASCII characters become one space; the
+n-grams of ``GRAMS`` characters (code points) are hashed to ``BUCKETS`` features.  Training counts the features
+of each language in the tasks and sums the counts in the cluster.  The smoothed log-probabilities are a matrix
+(``BUCKETS`` x languages floats), kept in blocks of ``COLUMNS`` languages: the first block is broadcast with the tasks, the
+others are files in the shared folder which a task opens one at a time, so any number of languages is scored exactly and
+no task or driver holds more than a block (32 MB).
 
-Training counts all texts that may be learned from, in the tasks: one row of counts a
-language and task is shuffled.  Languages are labels, a handful; the table is refused
-beyond ``MAX_LANGUAGES`` rather than broadcast.
+Scoring takes texts in groups of about ``GROUP`` characters: the n-grams of a group are the entries of a sparse
+matrix (text x feature), whose product with a block is a gather of its rows and a sum over each text's segment.
 
-The score is the posterior of the chosen language with the evidence tempered to
-``EVIDENCE`` n-grams a text, since neighbouring n-grams are not independent.
+The language is the one of the largest posterior with all of the text's evidence.  The score is the posterior
+of that language with the evidence tempered to ``EVIDENCE`` n-grams, since neighbouring n-grams are not independent.
 
 Cases: a null text and a text without a letter are ``und`` with score 0; null languages are
 not learned; without anything learned every text is ``und``; ties go to the first
-language by name; long texts are read in slices of ``SLICE`` bytes; extra columns are ignored.
+language by name; long texts are read in slices of ``SLICE`` characters; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-GRAMS, BUCKETS, SLICE = (1, 2, 3), 1 << 15, 1 << 18
-SMOOTHING, EVIDENCE, MAX_LANGUAGES, UNKNOWN = 0.5, 60.0, 200, "und"
+GRAMS, BUCKETS, SLICE, GROUP = (1, 2, 3), 1 << 15, 1 << 18, 1 << 18
+SMOOTHING, EVIDENCE, COLUMNS, UNKNOWN = 0.5, 60.0, 256, "und"
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _ASCII_LETTERS = bytes(c for c in range(256) if 97 <= c <= 122)
@@ -40,26 +41,66 @@ _ASCII_LETTERS = bytes(c for c in range(256) if 97 <= c <= 122)
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
-    log_probability: np.ndarray  # [bucket, language], float32
-    prior: np.ndarray            # [language]
+    first: np.ndarray        # [bucket, language], float32: the log-probabilities of the first block
+    more: tuple[str, ...]    # files of the other blocks
+    prior: np.ndarray        # [language]
+
+    def blocks(self) -> Iterator[np.ndarray]:
+        yield self.first
+        for path in self.more:
+            yield _load(path)
+
+
+@lru_cache(maxsize=1)
+def _load(path: str) -> np.ndarray:
+    fs, name = common.open_filesystem(path)
+    with fs.open_input_file(name) as f:
+        return np.frombuffer(f.read(), np.float32).reshape(BUCKETS, -1)
+
+
+def _folded(text: bytes | None) -> str:
+    return " " + b" ".join((text or b"").translate(_LETTERS).split()).decode("utf-8", "replace") + " "
+
+
+def _hashed(pieces: list[tuple[int, str, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, bucket) of the n-grams of (text, characters, how many of them begin an n-gram of this piece), by text."""
+    sizes = np.array([len(p) for _, p, _ in pieces])
+    codes = np.frombuffer("".join(p for _, p, _ in pieces).encode("utf-32-le", "surrogatepass"), "<u4")
+    piece = np.repeat(np.arange(len(pieces)), sizes)
+    inside = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    begins = inside < np.repeat([n for _, _, n in pieces], sizes)
+    text = np.array([t for t, _, _ in pieces])[piece]
+    owners, buckets, code = [], [], np.zeros(len(codes), np.uint32)
+    for n in range(1, max(GRAMS) + 1):
+        if len(codes) < n:
+            break
+        code = code[:len(codes) - n + 1] * np.uint32(0x01000193) + codes[n - 1:]
+        if n in GRAMS:
+            whole = begins[:len(code)] & (piece[:len(code)] == piece[n - 1:])
+            mixed = (code[whole] + np.uint32(n)) * np.uint32(0x9E3779B1)
+            owners.append(text[:len(code)][whole])
+            buckets.append((mixed ^ (mixed >> np.uint32(15))) % np.uint32(BUCKETS))
+    return np.concatenate(owners), np.concatenate(buckets)
+
+
+def grams(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, bucket) of all n-grams with repetition, in groups of bounded size."""
+    held, size, reach = [], 0, max(GRAMS) - 1
+    for i, text in enumerate(texts):
+        folded = _folded(text)
+        for at in range(0, len(folded), SLICE):
+            held.append((i, folded[at:at + SLICE + reach], SLICE))
+            size += len(held[-1][1])
+            if size >= GROUP:
+                yield _hashed(held)
+                held, size = [], 0
+    if held:
+        yield _hashed(held)
 
 
 def features(text: bytes) -> np.ndarray:
     """Hashed n-grams of a text, with repetition."""
-    out = []
-    folded = b" " + b" ".join(text.translate(_LETTERS).split()) + b" "
-    reach = max(GRAMS) - 1
-    for at in range(0, len(folded), SLICE):
-        a = np.frombuffer(folded[at:at + SLICE + reach], np.uint8).astype(np.uint32)
-        last = at + SLICE >= len(folded)
-        code = np.zeros(len(a), np.uint32)
-        for n in range(1, max(GRAMS) + 1):
-            code = code[:len(a) - n + 1] * np.uint32(257) + a[n - 1:]
-            if n in GRAMS:
-                part = code if last else code[:SLICE]
-                mixed = (part + np.uint32(n)) * np.uint32(0x9E3779B1)
-                out.append((mixed ^ (mixed >> np.uint32(15))) % np.uint32(BUCKETS))
-    return np.concatenate(out) if out else np.empty(0, np.uint32)
+    return np.concatenate([b for _, b in grams([text])])
 
 
 def has_letter(text: bytes) -> bool:
@@ -73,20 +114,29 @@ def has_letter(text: bytes) -> bool:
 def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
     texts: dict[str, int] = {}
+
+    def made() -> pa.RecordBatch:
+        names = list(total)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.string()), pa.array([texts[x] for x in names], pa.int64()),
+             pa.array([total[x] for x in names], pa.list_(pa.int64()))], ["lang", "texts", "counts"])
+
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), common.utf8(batch.column(1))):
-            texts[lang] = texts.get(lang, 0) + 1
+        langs, raw = batch.column(0).to_pylist(), common.utf8(batch.column(1))
+        by: dict[str, list[int]] = {}
+        for i, lang in enumerate(langs):
+            by.setdefault(lang, []).append(i)
+        for lang, rows in by.items():
             if lang not in total:
+                if len(total) >= COLUMNS:
+                    yield made()
+                    total.clear()
+                    texts.clear()
                 total[lang] = np.zeros(BUCKETS, np.int64)
-            f = features(text or b"")
-            if len(f) < BUCKETS // 8:
-                np.add.at(total[lang], f, 1)
-            else:
-                total[lang] += np.bincount(f, minlength=BUCKETS)
-    names = list(total)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(names, pa.string()), pa.array([texts[x] for x in names], pa.int64()),
-         pa.array([total[x] for x in names], pa.list_(pa.int64()))], ["lang", "texts", "counts"])
+            texts[lang] = texts.get(lang, 0) + len(rows)
+            for _, buckets in grams([raw[i] for i in rows]):
+                total[lang] += np.bincount(buckets, minlength=BUCKETS)
+    yield made()
 
 
 def fit(documents: DataFrame, learn: Column | None = None) -> Model:
@@ -94,39 +144,59 @@ def fit(documents: DataFrame, learn: Column | None = None) -> Model:
     rows = documents if learn is None else documents.where(learn)
     rows = rows.select(rows["lang"], rows["text"]).where("lang is not null")
     parts = rows.mapInArrow(_count_task, "lang string, texts long, counts array<bigint>")
-    # summed by bucket in the cluster; the driver gets the non-zero cells of one matrix
+    # summed by bucket in the cluster
     cells = parts.select("lang", "texts", F.posexplode("counts").alias("bucket", "n")).where("n > 0 or bucket = 0")
-    cells = cells.groupBy("lang", "bucket").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
-    languages = cells.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    names = tuple(sorted(r[0] for r in languages))
-    at = {x: i for i, x in enumerate(names)}
-    counts, texts = np.full((BUCKETS, len(names)), SMOOTHING), np.zeros(len(names))
-    for lang, bucket, n, t in cells.collect():
-        counts[bucket, at[lang]] += n
-        if bucket == 0:
-            texts[at[lang]] = t
-    log = np.log(counts) - np.log(counts.sum(axis=0, keepdims=True)) if names else counts
-    prior = np.log((texts + 1) / (texts.sum() + len(names))) if names else texts
-    return Model(names, log.astype(np.float32), prior)
-
-
-def predict_one(model: Model, text: bytes | None) -> tuple[str, float]:
-    if not text or not model.languages or not has_letter(text):
-        return UNKNOWN, 0.0
-    buckets, counts = np.unique(features(text), return_counts=True)
-    total = counts.sum()
-    evidence = counts @ model.log_probability[buckets].astype(np.float64)
-    z = model.prior + evidence * (min(EVIDENCE, total) / total)
-    best = int(np.argmax(z))
-    return model.languages[best], float(1 / np.exp(np.minimum(z - z[best], 0.0)).sum())
+    cells = common.written(cells.groupBy("lang", "bucket").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")),
+                           "langid-cells")
+    texts = {r["lang"]: r["texts"] for r in cells.where("bucket = 0").select("lang", "texts").collect()}
+    names, blocks = tuple(sorted(texts)), []
+    for at in range(0, len(names), COLUMNS):  # the driver holds one block of the matrix at a time
+        column = {x: i for i, x in enumerate(names[at:at + COLUMNS])}
+        counts = np.full((BUCKETS, len(column)), SMOOTHING)
+        for lang, bucket, n in cells.where(F.col("lang").between(names[at], max(column))).select("lang", "bucket", "n").collect():
+            counts[bucket, column[lang]] += n
+        log = (np.log(counts) - np.log(counts.sum(axis=0, keepdims=True))).astype(np.float32)
+        if not at:
+            first = log
+            continue
+        path = common.shared_folder(documents.sparkSession, "langid-block")
+        fs, name = common.open_filesystem(path)
+        with fs.open_output_stream(name) as f:
+            f.write(log.tobytes())
+        blocks.append(path)
+    many = np.array([texts[x] for x in names], np.float64)
+    prior = np.log((many + 1) / (many.sum() + len(names))) if names else many
+    return Model(names, first if names else np.zeros((BUCKETS, 0), np.float32), tuple(blocks), prior)
+
+
+def predictions(model: Model, texts: list[bytes | None]) -> list[tuple[str, float]]:
+    """Language and score of every text."""
+    out = [(UNKNOWN, 0.0)] * len(texts)
+    asked = [i for i, t in enumerate(texts) if t and has_letter(t)] if model.languages else []
+    evidence, total = np.zeros((len(asked), len(model.languages))), np.zeros(len(asked))
+    for text, bucket in grams([texts[i] for i in asked]):
+        at = np.argsort(text, kind="stable")
+        text, bucket = text[at], bucket[at]
+        starts = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+        rows, column = text[starts], 0
+        total[rows] += np.diff(np.r_[starts, len(text)])
+        for block in model.blocks():
+            evidence[rows, column:column + block.shape[1]] += np.add.reduceat(block[bucket], starts, axis=0, dtype=np.float64)
+            column += block.shape[1]
+    best = np.argmax(model.prior + evidence, axis=1) if asked else []
+    for k, i in enumerate(asked):
+        z = model.prior + evidence[k] * (min(EVIDENCE, total[k]) / total[k])
+        top = z.max()
+        out[i] = model.languages[best[k]], float(np.exp(z[best[k]] - top) / np.exp(z - top).sum())
+    return out
 
 
 def _predict_task(model: Model):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = 512
         for batch in batches:
-            found = [predict_one(model, t) for t in common.utf8(batch.column(1))]
+            raw = common.utf8(batch.column(1))
+            found = [x for at in range(0, len(raw), step) for x in predictions(model, raw[at:at + step])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([f[0] for f in found], pa.string()),
                  pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
