@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from pricelens.llm import jaccard
@@ -81,8 +82,65 @@ def test_empty_table(spark):
     assert jaccard.classes(documents(spark, [])).count() == 0
 
 
-def test_prefix_is_shortened_until_the_recall_is_met():
-    depth = jaccard.prefix_depth(0.8, 0.9999)
-    assert 1 - (1 - 0.8 ** depth) ** jaccard.TREES >= 0.9999
-    assert 1 - (1 - 0.8 ** (depth + 1)) ** jaccard.TREES < 0.9999
-    assert jaccard.prefix_depth(0.8, 0.5) == jaccard.DEPTH
+def test_prefixes_are_shortened_by_the_measured_candidates_until_the_recall_is_met():
+    trees, depth = jaccard.TREES, jaccard.DEPTH
+    even = jaccard.shortened(0.8, 0.9999, {})
+    assert jaccard.expected_recall(0.8, even) >= 0.9999 and set(even) <= {4, 5, 6}
+    hot = {(t, d): 10 ** 9 if t < 3 and d < depth else d for t in range(trees) for d in range(1, depth + 1)}
+    depths = jaccard.shortened(0.8, 0.9999, hot)  # shorter prefixes are common in three trees: those stay whole
+    assert depths[:3] == [depth] * 3 and jaccard.expected_recall(0.8, depths) >= 0.9999
+    assert jaccard.shortened(0.8, 0.5, hot) == [depth] * trees  # whole labels are enough
+    longer = [d + (i == depths.index(min(depths))) for i, d in enumerate(depths)]
+    assert sum(longer) == sum(depths) + 1
+
+
+def test_ties_join_exactly_the_nodes_that_share_a_prefix(spark):
+    rng = np.random.default_rng(2)
+    width = 2 * jaccard.DEPTH
+    labels = rng.integers(0, 2, (300, jaccard.TREES * jaccard.DEPTH)).astype(">u2")
+    labels[100:200] = labels[0]  # a hot label
+    names = [i.to_bytes(2, "big") for i in range(300)]
+    nodes = spark.createDataFrame([(names[i], labels[i].tobytes()) for i in range(300)], "node binary, labels binary")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # runs are cut by many borders
+    try:
+        ties, depths = jaccard.forest(nodes, 0.8, 0.9999)
+        parent = {n: n for n in names}
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+        for r in ties.collect():
+            parent[root(bytes(r["u"]))] = root(bytes(r["v"]))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {n: n for n in names}
+
+    def top(x):
+        while want[x] != x:
+            x = want[x]
+        return x
+    for t, d in enumerate(depths):
+        first = {}
+        for i, n in enumerate(names):
+            key = labels[i].tobytes()[t * width:t * width + 2 * d]
+            want[top(n)] = top(first.setdefault(key, n))
+    groups = lambda f: sorted(map(sorted, {r: [n for n in names if f(n) == r] for r in map(f, names)}.values()))
+    assert groups(root) == groups(top)
+
+
+def test_recall_by_similarity(spark):
+    """Pairs just above the threshold and well above it, each pair on its own."""
+    rng = random.Random(21)
+    rows, bands = [], {}
+    for k in range(300):
+        base = [f"p{k}w{i}" for i in range(200)]
+        copy = list(base)
+        for at in rng.sample(range(0, 200, 12), rng.randrange(1, 5)):  # each changes five shingles
+            copy[at] = f"x{k}at{at}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        bands[k] = len(a & b) / len(a | b)
+    got = {r["doc_id"]: r["class_id"] for r in jaccard.classes(documents(spark, rows)).collect()}
+    linked = {k: got[2 * k] == got[2 * k + 1] for k in bands}
+    assert all(linked[k] == (s >= 0.8) for k, s in bands.items()) and sum(0.8 <= s < 0.85 for s in bands.values()) > 20
