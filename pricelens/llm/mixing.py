@@ -24,7 +24,7 @@ inside a bucket finish the offsets, so no task sees a whole source.
 Cases: a null source is a source of its own, named ''; null and empty texts take no space
 and follow their predecessor; equal doc_ids are ordered by the hash of their texts; a
 source without a given weight gets the least share; an empty table gives an empty
-mix; ``mixed`` keeps all columns, whatever their names, but those of ``PLACE``.
+mix; ``mixed`` keeps all columns, whatever their names; ``placed`` adds ``PLACE``, which its input may not have.
 """
 
 from __future__ import annotations
@@ -60,43 +60,6 @@ aggregate(sequence(1, {{runs}}),
     z -> named_struct('t', z.t, 'live', z.live, 'out', concat(all.out, array(z.out)))), 1))
 """
 
-# One period: state k holds the blocks placed so far of each source, slots the sources in order.
-_SCHEDULE = """
-aggregate(sequence(0, period - 1),
-  named_struct('k', transform(shares, x -> 0), 'slots', cast(array() as array<int>)),
-  (state, t) -> element_at(transform(array(array_min(filter(
-      transform(shares, (x, i) -> if(state.k[i] * period div x <= t,
-        named_struct('deadline', ((state.k[i] + 1) * period + x - 1) div x, 'source', i), null)),
-      y -> y is not null)).source),
-    p -> named_struct('k', transform(state.k, (n, i) -> n + if(i = p, 1, 0)),
-                      'slots', concat(state.slots, array(p)))), 1),
-  state -> state.slots)
-"""
-
-
-def schedule(sources: DataFrame, period: int = PERIOD) -> DataFrame:
-    """Shares and slots of one period that repeats, for ``sources`` (mix_source, weight); ``placed``
-    doesn't use it, as its shares are coarser than the weights.
-
-    Each source has one share of the period at least; the others go by weight, rounded to
-    the largest remainders.  A row a source comes together here, never a row of a document."""
-    one = sources.agg(F.sort_array(F.collect_list(F.struct("mix_source", "weight"))).alias("all"))
-    one = one.where(F.size("all") > 0).selectExpr(
-        "all", f"greatest({period}, 10 * size(all)) as period",
-        "aggregate(all, 0D, (a, x) -> a + x.weight) as total")
-    one = one.selectExpr("all", "period", """transform(all, x ->
-        (period - size(all)) * if(total > 0, x.weight / total, 1D / size(all))) as exact""")
-    one = one.selectExpr("all", "period", "exact", """period - size(all)
-        - aggregate(exact, 0, (a, x) -> a + cast(floor(x) as int)) as left""", """transform(
-        sort_array(transform(exact, (x, i) -> named_struct('r', floor(x) - x, 'i', i))), x -> x.i) as ranked""")
-    one = one.selectExpr("all", "period", """transform(exact, (x, i) -> 1 + cast(floor(x) as int)
-        + if(array_position(ranked, i) <= left, 1, 0)) as shares""")
-    one = one.selectExpr("all", "period", "shares", f"{_SCHEDULE} as slots")
-    rows = one.selectExpr("period", "slots", "posexplode(arrays_zip(all, shares)) as (i, s)")
-    return rows.selectExpr("s.all.mix_source as mix_source", "period as mix_period", "s.shares as mix_share",
-                           "filter(sequence(0, period - 1), t -> slots[t] = i) as mix_slots")
-
-
 def block_slots(sources: DataFrame, period: int = PERIOD) -> DataFrame:
     """Slots of all blocks of ``sources`` (mix_source, weight, blocks), ``ROW_BLOCKS`` blocks of a source a row:
     mix_source, mix_row, mix_slots, and its windows' mix_base, mix_whole and mix_part.
@@ -191,5 +154,7 @@ def positions(placed_docs: DataFrame, group_slots: int = 64) -> DataFrame:
 def mixed(documents: DataFrame, **options) -> DataFrame:
     """All rows and columns of ``documents``, sorted in the order of the mix: written as files,
     file after file and row after row is the mix."""
-    rows = placed(documents, **options).orderBy("mix_slot", "mix_before", "mix_order")
-    return rows.drop(*PLACE)
+    # the row's columns travel in one struct, so none can clash with an operator's own
+    row = F.struct(*[documents[c].alias(f"c{i}") for i, c in enumerate(documents.columns)]).alias("_row")
+    rows = placed(documents.select("doc_id", "source", "text", row), **options).orderBy("mix_slot", "mix_before", "mix_order")
+    return rows.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(documents.columns)])

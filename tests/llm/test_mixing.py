@@ -32,18 +32,14 @@ def test_blocks_lie_in_their_windows_and_no_source_drifts(spark, monkeypatch):
         assert slots.setdefault(r["mix_slot"], r["mix_source"]) == r["mix_source"]  # a slot is one source's
 
 
-def test_schedule_stays_within_a_block_of_the_shares(spark):
-    sources = spark.createDataFrame([(f"s{i}", float(w)) for i, w in enumerate([1, 2, 3.7, 40, 0.001, 11, 0])],
-                                    "mix_source string, weight double")
-    plan = mixing.schedule(sources, 240).collect()
-    period = plan[0]["mix_period"]
-    assert sum(r["mix_share"] for r in plan) == period and all(r["mix_share"] >= 1 for r in plan)
-    assert sorted(t for r in plan for t in r["mix_slots"]) == list(range(period))
-    for r in plan:
-        assert len(r["mix_slots"]) == r["mix_share"]
-        for t in range(period + 1):
-            due = Fraction(t * r["mix_share"], period)
-            assert abs(sum(s < t for s in r["mix_slots"]) - due) < 1
+def test_columns_named_as_the_operators_own_are_kept(spark):
+    names = ["mix_row", "_bucket", "_below", "mix_base", "mix_slots", "_row", "before", *mixing.PLACE]
+    docs = documents(spark, AWKWARD)
+    for i, n in enumerate(names):
+        docs = docs.withColumn(n, F.length("text") + i) if n not in docs.columns else docs
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
 
 
 def test_awkward_rows_are_all_mixed(spark):
