@@ -40,7 +40,9 @@ def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each document's ids stand in the token files, read back from them."""
     order = None
     try:
-        docs = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("_file"),
+        # part files by number: as text, part-100000 would stand before part-99999
+        number = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).try_cast("long")
+        docs = docs.select("doc_id", "text", F.struct(number.alias("number"), F.col("_metadata.file_name").alias("name")).alias("_file"),
                            F.col("_metadata.row_index").alias("_row"))
         order = [F.col("_file"), F.col("_row")]
     except AnalysisException:  # not read from files: there is no order to keep but doc_id's
