@@ -102,6 +102,7 @@ def churn_risk(fact: DataFrame, window: DateWindow, inactivity_days: int = 90, h
               .withColumn("risk_level", F.when(F.col("days_since_last_purchase") > inactivity_days,
                                                F.when(F.col("lifetime_revenue") > high_value, "high")
                                                .otherwise("medium")).otherwise("low"))
+              # fixed values: the texts of the reasons
               .withColumn("risk_reason", F.when(F.col("risk_level") == "high", F.format_string(
                   "High-value customer inactive for %d days", F.col("days_since_last_purchase")))
                   .when(F.col("risk_level") == "medium", F.format_string(
