@@ -96,7 +96,7 @@ def clean_sales(raw: DataFrame) -> DataFrame:
 def dedup_first(df: DataFrame, key: str = "item_code", order: str = "load_key") -> DataFrame:
     """Keep the first-loaded row per key; rows with a NULL key are all kept.
 
-    ``min_by`` over a struct is a hash aggregate with map-side combine, so a key
+    ``min_by`` over a struct is a sort-based aggregate, but combined before the shuffle, so a key
     with millions of duplicates never lands whole in one task.
     """
     cols = [c for c in df.columns if c != key]
