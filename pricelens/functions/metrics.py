@@ -96,6 +96,18 @@ def js_distinct_count(c) -> Column:
     return (F.countDistinct(c) + F.max(c.isNull().cast("int"))).cast("long")
 
 
+def first_day(c) -> Column:
+    """Least calendar date of a group's text dates, as text; texts that are no dates do not count.
+
+    Dates have fixed-width aggregation buffers, so the lines are hashed; text MIN / MAX would sort them."""
+    return F.min(F.try_to_date(col(c))).cast("string")
+
+
+def last_day(c) -> Column:
+    """Greatest calendar date of a group's text dates, see ``first_day``."""
+    return F.max(F.try_to_date(col(c))).cast("string")
+
+
 def js_le_zero(c) -> Column:
     """JS ``null <= 0`` is true."""
     return F.coalesce(col(c), F.lit(0.0)) <= 0

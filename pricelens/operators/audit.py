@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from .cleaning import to_long
+from .combine import aggregated
 from .facts import Tables
 
 
@@ -174,12 +175,14 @@ def orphan_summary(t: Tables) -> DataFrame:
 
 def orphan_items(t: Tables, limit: int = 20) -> DataFrame:
     """The orphaned items with most lines."""
-    g = orphan_lines(t).groupBy("item_code").agg(
-        F.count(F.lit(1)).alias("line_count"),
-        F.countDistinct("customer_code").alias("customer_count"), F.countDistinct("invoice_number").alias("invoice_count"),
-        M.money_sum("quantity").alias("total_quantity"), M.money_sum("line_total").alias("total_revenue"),
-        F.try_divide(M.money_sum("unit_price"), F.count("unit_price")).alias("avg_unit_price"),
-        F.min("invoice_date").alias("first_sale"), F.max("invoice_date").alias("last_sale"))
+    g = aggregated(
+        orphan_lines(t), [F.col("item_code")],
+        [F.count(F.lit(1)).alias("line_count"),
+         M.money_sum("quantity").alias("total_quantity"), M.money_sum("line_total").alias("total_revenue"),
+         F.try_divide(M.money_sum("unit_price"), F.count("unit_price")).alias("avg_unit_price"),
+         M.first_day("invoice_date").alias("first_sale"), M.last_day("invoice_date").alias("last_sale")],
+        [F.countDistinct("customer_code").alias("customer_count"),
+         F.countDistinct("invoice_number").alias("invoice_count")])
     return M.top(g, "line_count", "desc", limit, "item_code")
 
 

@@ -30,6 +30,20 @@ def side_by_side(first: DataFrame, *others: DataFrame) -> DataFrame:
     return reduce(attach, others, first)
 
 
+def aggregated(lines: DataFrame, keys: list[Column], aggregates: list[Column], distinct: list[Column]) -> DataFrame:
+    """``lines.groupBy(*keys).agg(*aggregates, *distinct)`` for several counts of distinct values.
+
+    In one aggregate several such counts would expand every line once a count, all summed columns
+    with it.  Here each further count is a pass over its own two columns, joined by the (null-safe) keys."""
+    out = lines.groupBy(*keys).agg(*aggregates, distinct[0])
+    names = lines.select(*keys).columns
+    for count in distinct[1:]:
+        own = lines.groupBy(*[k.alias(f"_key{i}") for i, k in enumerate(keys)]).agg(count)
+        same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_key{i}")) for i, n in enumerate(names)])
+        out = out.join(own, same).drop(*[f"_key{i}" for i in range(len(names))])
+    return out
+
+
 def ranked(df: DataFrame, by: list[Column], rank: str = "rank", running: dict[str, Column] | None = None,
            ties: bool = False) -> DataFrame:
     """``df`` with its position in the total order ``by``, and running sums, without a single-task window.

@@ -20,8 +20,8 @@ _RANK = ["customer_code", "customer_name"]
 
 def _purchase_dates(fact: DataFrame, window: DateWindow) -> DataFrame:
     lines = base_filter(fact, window, include_returns=False, include_samples=False)
-    return lines.groupBy("customer_code").agg(F.min("invoice_date").alias("first_purchase_date"),
-                                             F.max("invoice_date").alias("last_purchase_date"))
+    return lines.groupBy("customer_code").agg(M.first_day("invoice_date").alias("first_purchase_date"),
+                                             M.last_day("invoice_date").alias("last_purchase_date"))
 
 
 def _ranked(df: DataFrame, order_col: str = "total_revenue", rank: str = "rank", running=None) -> DataFrame:

@@ -12,12 +12,12 @@ from .margin import customer_profitability, product_performance
 
 
 def dashboard(fact: DataFrame, window: DateWindow, top_n: int = 10) -> DataFrame:
-    """13 KPIs in one row, from two passes over the non-sample lines.
+    """13 KPIs in one row, from three passes over the non-sample lines, none of which expands them.
 
-    The line pass computes the INV, non-return KPIs and the return rate (document type
-    CRN, K8) with conditional aggregates.  The customer pass aggregates each customer
-    once, with and without returns, and feeds both the top-10 share (returns off) and
-    the negative-margin KPIs (returns on, every such customer: no cap, K7).
+    The line pass computes the INV, non-return KPIs, the number of products and the return
+    rate (document type CRN, K8) with conditional aggregates.  The customer pass aggregates each
+    customer once, with and without returns, and feeds the top-10 share (returns off), the number
+    of customers and the negative-margin KPIs (returns on, every such customer: no cap, K7).
     """
     lines = base_filter(fact, window, include_returns=True, include_samples=False)
     ret = F.col("is_return") == 1
@@ -30,27 +30,29 @@ def dashboard(fact: DataFrame, window: DateWindow, top_n: int = 10) -> DataFrame
         M.js_sum(on_inv(F.col("line_total"))).alias("total_revenue"),
         M.js_sum(on_inv(line_cost())).alias("total_cost"),
         F.count(on_inv(F.lit(1))).alias("transaction_count"),
-        (F.countDistinct(on_inv(F.col("customer_code")))
-         + F.max(F.when(inv & F.col("customer_code").isNull(), 1).otherwise(0))).cast("long").alias("unique_customers"),
         (F.countDistinct(on_inv(F.col("item_code")))
-         + F.max(F.when(inv & F.col("item_code").isNull(), 1).otherwise(0))).cast("long").alias("unique_products"),
+         + F.coalesce(F.max(F.when(inv & F.col("item_code").isNull(), 1)), F.lit(0))).cast("long").alias("unique_products"),
         M.js_sum(on_inv(F.col("discount_percent"))).alias("_discount_sum"),
         M.js_sum(F.when(ret, F.abs("line_total"))).alias("_return_amount"),
         M.js_sum(F.when(~ret, F.col("line_total"))).alias("_sales_amount"))
 
-    per_customer = (lines.filter(F.col("customer_code").isNotNull())
-                    .groupBy("customer_code", "customer_name")
-                    .agg(M.money_sum("line_total").alias("rev_all"), M.money_sum(line_cost()).alias("cost_all"),
-                         M.money_sum(F.when(~ret, F.col("line_total"))).alias("rev_noret"),
-                         F.count(F.when(~ret, 1)).alias("n_noret")))
+    all_customers = (lines.groupBy("customer_code", "customer_name")
+                     .agg(M.money_sum("line_total").alias("rev_all"), M.money_sum(line_cost()).alias("cost_all"),
+                          M.money_sum(F.when(~ret, F.col("line_total"))).alias("rev_noret"),
+                          F.count(F.when(~ret, 1)).alias("n_noret"), F.count(on_inv(F.lit(1))).alias("n_inv")))
+    per_customer = all_customers.filter(F.col("customer_code").isNotNull())
     top = (M.top(per_customer.filter(F.col("n_noret") > 0), "rev_noret", "desc", top_n,
                  "customer_code", "customer_name")
            .agg(M.js_sum("rev_noret").alias("_top_revenue")))
-    negative = (per_customer.filter(M.margin_percent("rev_all", "cost_all") <= 0)
-                .agg(F.count(F.lit(1)).alias("negative_margin_customers_count"),
-                     M.js_sum(M.margin("rev_all", "cost_all")).alias("negative_margin_amount")))
-
-    return side_by_side(line_kpis, top, negative).select(
+    invoiced, code = F.col("n_inv") > 0, F.col("customer_code")
+    loss = code.isNotNull() & (M.margin_percent("rev_all", "cost_all") <= 0)
+    customers = all_customers.agg(
+        (F.countDistinct(F.when(invoiced, code))
+         + F.coalesce(F.max(F.when(invoiced & code.isNull(), 1)), F.lit(0))).cast("long").alias("unique_customers"),
+        F.count(F.when(loss, 1)).alias("negative_margin_customers_count"),
+        M.js_sum(F.when(loss, M.margin("rev_all", "cost_all"))).alias("negative_margin_amount"))
+
+    return side_by_side(line_kpis, top, customers).select(
         "total_revenue", "total_cost",
         M.margin("total_revenue", "total_cost").alias("gross_margin"),
         M.margin_percent("total_revenue", "total_cost").alias("gross_margin_percent"),
@@ -96,7 +98,7 @@ def inactive_high_value(fact: DataFrame, window: DateWindow, lifetime: DateWindo
     lifetime = lifetime or DateWindow(*WHOLE_HISTORY, window.as_of)
     revenue = customer_sales(fact, lifetime, include_returns=False, include_samples=False)
     last = (base_filter(fact, lifetime, include_returns=False, include_samples=False, document_types=("INV",))
-            .groupBy("customer_code").agg(F.max("invoice_date").alias("last_date")))
+            .groupBy("customer_code").agg(M.last_day("invoice_date").alias("last_date")))
     out = (revenue.join(last, "customer_code")
            .select("customer_code", "customer_name",
                    F.datediff(F.to_date(F.lit(window.as_of)), F.try_to_date("last_date")).alias("days_inactive"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from .combine import ranked as total_order
-from .combine import side_by_side
+from .combine import aggregated, side_by_side
 from .facts import Analysis, DateWindow, base_filter, line_cost, newest, product_sales, customer_sales
 from . import customer as customer_ops
 from . import discount as discount_ops
@@ -297,10 +297,12 @@ def order_efficiency(fact: DataFrame, window: DateWindow, pallets: DataFrame, gr
 def tier_performance_by_tier(fact: DataFrame, window: DateWindow, tolerance: float = 0.01) -> DataFrame:
     """Revenue, margin and distinct customers / products per matched price tier."""
     lines = _lines(fact, window).withColumn("price_tier", matched_tier(tolerance))
-    g = lines.groupBy("price_tier").agg(
-        F.count(F.lit(1)).alias("transaction_count"), M.js_sum("line_total").alias("revenue"),
-        M.js_sum(_cost()).alias("_cost"), M.js_distinct_count("customer_code").alias("unique_customers"),
-        M.js_distinct_count("item_code").alias("unique_products"))
+    g = aggregated(
+        lines, [F.col("price_tier")],
+        [F.count(F.lit(1)).alias("transaction_count"), M.js_sum("line_total").alias("revenue"),
+         M.js_sum(_cost()).alias("_cost")],
+        [M.js_distinct_count("customer_code").alias("unique_customers"),
+         M.js_distinct_count("item_code").alias("unique_products")])
     return g.select("price_tier", "transaction_count", "revenue", M.margin("revenue", "_cost").alias("margin"),
                     M.margin_percent("revenue", "_cost").alias("margin_percent"), "unique_customers", "unique_products")
 

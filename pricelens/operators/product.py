@@ -23,7 +23,7 @@ def slow_movers(fact: DataFrame, window: DateWindow, max_units_per_month: float
     months = F.greatest(F.lit(1.0), F.datediff(F.to_date(hi), F.to_date(lo)) / 30.0)
     products = product_sales(fact, window, include_returns=False, include_samples=False,
                              item_codes=[item_code] if item_code else None)
-    last = _lines(fact, window).groupBy("item_code").agg(F.max("invoice_date").alias("_last"))
+    last = _lines(fact, window).groupBy("item_code").agg(M.last_day("invoice_date").alias("_last"))
     last_sale = F.coalesce(F.col("_last"), lo)
     scored = (products.join(last, "item_code", "left")
               .select("item_code", "product_description", "transaction_count",

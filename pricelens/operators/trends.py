@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions.periods import period_key, season_key
-from .combine import side_by_side
+from .combine import aggregated, side_by_side
 from .facts import Analysis, DateWindow, base_filter
 
 def _cost() -> F.Column:
@@ -23,11 +23,12 @@ def _cost() -> F.Column:
 
 
 def _per_period(lines: DataFrame, group_by: str, week_mode: str = "iso") -> DataFrame:
-    return (lines.groupBy(period_key("invoice_date", group_by, week_mode).alias("period"))
-            .agg(M.js_sum("line_total").alias("revenue"), M.js_sum(_cost()).alias("cost"),
-                 F.count(F.lit(1)).alias("transaction_count"),
-                 M.js_distinct_count("customer_code").alias("unique_customers"),
-                 M.js_distinct_count("item_code").alias("unique_products")))
+    return aggregated(
+        lines.withColumn("period", period_key("invoice_date", group_by, week_mode)), [F.col("period")],
+        [M.js_sum("line_total").alias("revenue"), M.js_sum(_cost()).alias("cost"),
+         F.count(F.lit(1)).alias("transaction_count")],
+        [M.js_distinct_count("customer_code").alias("unique_customers"),
+         M.js_distinct_count("item_code").alias("unique_products")])
 
 
 def sales_trend(fact: DataFrame, window: DateWindow, group_by: str = "month", include_returns: bool = False,
@@ -117,7 +118,8 @@ _METRICS = [("Revenue", "revenue"), ("Margin", "margin"), ("Transactions", "tran
 def growth(fact: DataFrame, window: DateWindow, comparison_type: str = "previous_period",
            comparison_start: str | None = None, comparison_end: str | None = None,
            include_returns: bool = False) -> Analysis:
-    """T4: five metrics for the current window against the comparison window (one pass)."""
+    """T4: five metrics for the current window against the comparison window: a pass
+    for the sums, and one that marks each customer's windows for the customer counts."""
     lo, hi = window.bounds()
     clo, chi = comparison_window(window, comparison_type, comparison_start, comparison_end)
     lines = base_filter(fact, _Both(window.start, window.end, window.as_of, (clo, chi)),
@@ -128,10 +130,11 @@ def growth(fact: DataFrame, window: DateWindow, comparison_type: str = "previous
     def block(cond, p):
         return [M.js_sum(F.when(cond, F.col("line_total"))).alias(f"{p}_revenue"),
                 M.js_sum(F.when(cond, _cost())).alias(f"{p}_cost"),
-                F.count(F.when(cond, 1)).alias(f"{p}_transactions"),
-                (F.countDistinct(F.when(cond, F.col("customer_code")))
-                 + F.max(F.when(cond & F.col("customer_code").isNull(), 1).otherwise(0))).alias(f"{p}_customers")]
-    agg = lines.filter(cur | cmp_).agg(*block(cur, "cur"), *block(cmp_, "cmp"))
+                F.count(F.when(cond, 1)).alias(f"{p}_transactions")]
+    lines = lines.filter(cur | cmp_)
+    customers = lines.groupBy("customer_code").agg(F.max(cur).alias("_cur"), F.max(cmp_).alias("_cmp")).agg(
+        F.count(F.when(F.col("_cur"), 1)).alias("cur_customers"), F.count(F.when(F.col("_cmp"), 1)).alias("cmp_customers"))
+    agg = side_by_side(lines.agg(*block(cur, "cur"), *block(cmp_, "cmp")), customers)
     for p in ("cur", "cmp"):
         agg = (agg.withColumn(f"{p}_margin", F.col(f"{p}_revenue") - F.col(f"{p}_cost"))
                   .withColumn(f"{p}_aov", F.col(f"{p}_revenue") / F.greatest(F.lit(1), F.col(f"{p}_transactions"))))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
+from .combine import aggregated
 from .facts import Tables
 
 
@@ -24,35 +25,45 @@ def sales_by_customer_raw(sales_raw: DataFrame) -> DataFrame:
                  M.money_sum("quantity").alias("total_quantity"),
                  M.money_sum("line_total").alias("total_revenue"),
                  F.try_divide(M.money_sum("line_total"), F.count("line_total")).alias("avg_line_value"),
-                 F.min("invoice_date").alias("first_purchase_date"),
-                 F.max("invoice_date").alias("last_purchase_date")))
+                 M.first_day("invoice_date").alias("first_purchase_date"),
+                 M.last_day("invoice_date").alias("last_purchase_date")))
+
+
+def _greatest_names(sales: DataFrame) -> DataFrame:
+    """The greatest name of each item, over the distinct pairs: text aggregates sort every row."""
+    return (sales.select(F.col("item_code").alias("_item"), "item_description").distinct()
+            .groupBy("_item").agg(F.max("item_description").alias("item_description")))
 
 
 def sales_by_product_raw(sales_raw: DataFrame, catalogue: DataFrame, costs: DataFrame) -> DataFrame:
     """V3: per item: customers, invoices, quantity, revenue, average unit price, then the
     (deduplicated) catalogue and cost columns.  Aggregating before the join avoids the
-    fan-out of the raw view (K4)."""
-    agg = (sales_raw.groupBy("item_code")
-           .agg(F.max("item_description").alias("item_description"),
-                F.countDistinct("customer_code").alias("unique_customers"),
-                F.countDistinct("invoice_number").alias("total_invoices"),
-                M.money_sum("quantity").alias("total_quantity"),
-                M.money_sum("line_total").alias("total_revenue"),
-                F.try_divide(M.money_sum("unit_price"), F.count("unit_price")).alias("avg_unit_price")))
+    fan-out of the raw view (K4); the name is taken over the distinct (item, name) pairs."""
+    agg = aggregated(
+        sales_raw, [F.col("item_code")],
+        [M.money_sum("quantity").alias("total_quantity"), M.money_sum("line_total").alias("total_revenue"),
+         F.try_divide(M.money_sum("unit_price"), F.count("unit_price")).alias("avg_unit_price")],
+        [F.countDistinct("customer_code").alias("unique_customers"),
+         F.countDistinct("invoice_number").alias("total_invoices")])
+    names = _greatest_names(sales_raw)
+    agg = agg.join(names, F.col("item_code").eqNullSafe(F.col("_item")), "left").select(
+        "item_code", "item_description", "unique_customers", "total_invoices", "total_quantity", "total_revenue",
+        "avg_unit_price")
     return (agg.join(catalogue.select("item_code", "ie_trade", "ie_base"), "item_code", "left")
             .join(costs.select("item_code", "landed_cost_euro"), "item_code", "left"))
 
 
 def monthly_sales_raw(sales_raw: DataFrame) -> DataFrame:
     """V4: per ``yyyy-MM`` (dates not blank): customers, invoices, lines, quantity, revenue, average line."""
-    return (sales_raw.filter(F.col("invoice_date").isNotNull() & (F.col("invoice_date") != ""))
-            .groupBy(F.date_format(F.try_to_date("invoice_date"), "yyyy-MM").alias("month"))
-            .agg(F.countDistinct("customer_code").alias("unique_customers"),
-                 F.countDistinct("invoice_number").alias("total_invoices"),
-                 F.count(F.lit(1)).alias("total_line_items"),
-                 M.money_sum("quantity").alias("total_quantity"),
-                 M.money_sum("line_total").alias("total_revenue"),
-                 F.try_divide(M.money_sum("line_total"), F.count("line_total")).alias("avg_line_value")))
+    dated = (sales_raw.filter(F.col("invoice_date").isNotNull() & (F.col("invoice_date") != ""))
+             .withColumn("month", F.date_format(F.try_to_date("invoice_date"), "yyyy-MM")))
+    return aggregated(
+        dated, [F.col("month")],
+        [F.count(F.lit(1)).alias("total_line_items"), M.money_sum("quantity").alias("total_quantity"),
+         M.money_sum("line_total").alias("total_revenue"),
+         F.try_divide(M.money_sum("line_total"), F.count("line_total")).alias("avg_line_value")],
+        [F.countDistinct("customer_code").alias("unique_customers"),
+         F.countDistinct("invoice_number").alias("total_invoices")])
 
 
 def product_pricing(t: Tables) -> DataFrame:
@@ -77,10 +88,7 @@ def sales_by_product(t: Tables) -> DataFrame:
              .agg(F.count(F.lit(1)).alias("transaction_count"), M.money_sum("quantity").alias("total_quantity"),
                   M.money_sum("line_total").alias("total_revenue"),
                   F.try_divide(M.money_sum("unit_price"), F.count("unit_price")).alias("avg_unit_price")))
-    # text aggregates sort every line, so the name is taken over the distinct pairs
-    names = (t.sales.select(F.col("item_code").alias("_item"), "item_description").distinct()
-             .groupBy("_item").agg(F.max("item_description").alias("item_description")))
-    return lines.join(names, F.col("item_code").eqNullSafe(F.col("_item")), "left").select(
+    return lines.join(_greatest_names(t.sales), F.col("item_code").eqNullSafe(F.col("_item")), "left").select(
         "item_code", "item_description", "transaction_count", "total_quantity", "total_revenue", "avg_unit_price")
 
 

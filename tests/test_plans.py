@@ -71,6 +71,38 @@ def test_a_window_reads_only_its_years(spark):
     assert filters and "invoice_year" in filters[0] and "1998" in filters[0]
 
 
+@pytest.mark.parametrize("name", ["e1_executive_dashboard", "t2_sales_trend_monthly", "t4_growth_previous_period",
+                                  "v3_sales_by_product_raw", "v4_monthly_sales_raw", "a19_top_orphan_items",
+                                  "x15_price_tier_performance", "x24_dashboard_with_comparison"])
+def test_distinct_counts_do_not_expand_the_lines(spark, name):
+    import __spark_entry__ as E
+    assert "Expand" not in plan(E.queries()[name](spark, SF), mode="simple")
+
+
+@pytest.mark.parametrize("name", ["u1_lifetime_value", "u3_churn_risk", "e5_inactive_high_value", "v2_sales_by_customer_raw",
+                                  "x5_lifetime_value_annual", "x22_ltv_prediction", "a19_top_orphan_items"])
+def test_first_and_last_dates_are_hashed(spark, name):
+    import __spark_entry__ as E
+    assert "SortAggregate" not in plan(E.queries()[name](spark, SF), mode="simple")
+
+
+def test_several_distinct_counts_keep_null_keys(spark):
+    from pyspark.sql import functions as F
+    from pricelens.operators.combine import aggregated
+    rows = [(None, "a", "x"), (None, "b", "x"), (None, None, "y"), ("k", "a", None), ("k", "a", None), ("l", None, "z")]
+    df = spark.createDataFrame(rows, "key string, p string, q string")
+    got = aggregated(df, [F.col("key")], [F.count(F.lit(1)).alias("n")],
+                     [F.countDistinct("p").alias("p"), F.countDistinct("q").alias("q")])
+    assert sorted(map(tuple, got.collect()), key=str) == [("k", 2, 1, 0), ("l", 1, 0, 1), (None, 3, 2, 2)]
+    assert aggregated(df.limit(0), [F.col("key")], [], [F.countDistinct("p").alias("p"), F.countDistinct("q").alias("q")]).count() == 0
+
+
+def test_texts_that_are_no_dates_do_not_count(spark):
+    from pricelens.functions import metrics as M
+    df = spark.createDataFrame([("2000-02-01",), ("zzz",), (None,), ("1999-12-31",), ("",)], "d string")
+    assert tuple(df.agg(M.first_day("d"), M.last_day("d")).first()) == ("1999-12-31", "2000-02-01")
+
+
 def test_positions_over_a_whole_population_are_not_one_task(spark):
     from pyspark.sql import functions as F
     from pricelens.operators.combine import ranked
