@@ -87,7 +87,7 @@ def engine_for(spark: SparkSession, sf_dir: str) -> Engine:
 
 def _load_all() -> None:
     # Importing the modules registers their queries.
-    from . import queries_core, queries_customer_product, queries_discount, queries_trends, queries_quality, queries_views, queries_audit, queries_extended, queries_groupings  # noqa: F401
+    from . import queries_core, queries_helpers, queries_sources, queries_customer_product, queries_discount, queries_trends, queries_quality, queries_views, queries_audit, queries_extended, queries_groupings  # noqa: F401
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

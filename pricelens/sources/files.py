@@ -34,22 +34,36 @@ def iso_date(c: Column) -> Column:
     return F.when(F.size(parts) == 3, F.concat_ws("-", parts[2], *padded))
 
 
+def _cells(raw: DataFrame, headers: dict[str, str]) -> DataFrame:
+    """The wanted columns of a reader's rows, as text, with the file, the block and the row's place in it."""
+    raw = raw.select("*", F.col("_metadata.file_path").alias("_file"),
+                     F.col("_metadata.file_block_start").alias("_block"))
+    found = {c.lstrip("\ufeff").strip(): c for c in raw.columns}
+    return raw.select("_file", "_block", F.monotonically_increasing_id().alias("_row"), *[
+        (F.col(f"`{found[h.strip()]}`") if h.strip() in found else F.lit(None).cast("string")).alias(h)
+        for h in headers])
+
+
 def read_csv(spark: SparkSession, path: str, headers: dict[str, str], numeric: set[str] = frozenset(),
              integer: set[str] = frozenset()) -> DataFrame:
     """Header CSV -> table with the source->target column map.
 
     Columns are found by their header, in any order; further columns are ignored and a
     missing one is NULL.  Cells follow RFC 4180: quotes are doubled inside quotes, and a
-    quoted cell may hold line ends (so a file is read by one task: split large exports
-    into files).  All files of one import must have the same header."""
-    raw = (spark.read.option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE")
-           .option("quote", '"').option("escape", '"').option("multiLine", True).csv(path))
-    raw = raw.select("*", F.col("_metadata.file_path").alias("_file"),
-                     F.col("_metadata.file_block_start").alias("_block"))
-    found = {c.lstrip("\ufeff").strip(): c for c in raw.columns}
-    raw = raw.select("_file", "_block", *[
-        (F.col(f"`{found[h.strip()]}`") if h.strip() in found else F.lit(None).cast("string")).alias(h)
-        for h in headers])
+    quoted cell may hold line ends.  A first pass over the lines finds the files with such cells
+    (some line has an odd number of quotes); these are read whole, one task a file, and all
+    others are split into blocks like any text.  All files of one import must have the same header."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    broken = [r["_file"] for r in lines.filter(quotes % 2 == 1).select("_file").distinct().collect()]  # file names only
+    options = {"header": True, "enforceSchema": False, "mode": "PERMISSIVE", "quote": '"', "escape": '"'}
+    if not broken:
+        raw = _cells(spark.read.options(**options).csv(path), headers)
+    else:  # the header may itself hold a line end, so its columns come from the whole-file reader
+        whole = spark.read.options(**options, multiLine=True).csv(path)
+        split = spark.read.options(**options).schema(whole.schema).csv(path)
+        in_broken = F.col("_metadata.file_path").isin(broken)  # prunes the files before they are opened
+        raw = _cells(whole.filter(in_broken), headers).unionByName(_cells(split.filter(~in_broken), headers))
     nonblank = F.lit(False)
     for h in headers:
         nonblank = nonblank | F.coalesce(F.trim(F.col(f"`{h}`")) != "", F.lit(False))
@@ -61,7 +75,7 @@ def read_csv(spark: SparkSession, path: str, headers: dict[str, str], numeric: s
         elif target in integer:
             c = parse_float(c).try_cast("long")
         cols.append(c.alias(target))
-    load_key = F.struct(F.col("_file"), F.col("_block"), F.monotonically_increasing_id())
+    load_key = F.struct(F.col("_file"), F.col("_block"), F.col("_row"))
     return raw.filter(nonblank).select(load_key.alias("load_key"), *cols)
 
 
@@ -96,6 +110,15 @@ def read_pallets(spark: SparkSession, path: str) -> DataFrame:
                     integer={"pallet_quantity", "carton_quantity", "single_quantity"}).drop("load_key")
 
 
+def write_export(df: DataFrame, headers: dict[str, str], path: str, dates: tuple[str, ...] = ()) -> None:
+    """Append ``df`` to ``path`` as the source files look: their headers, RFC 4180 cells, ``DD/MM/YYYY`` dates."""
+    def cell(c: str) -> Column:
+        return F.date_format(F.to_date(c), "dd/MM/yyyy") if c in dates else F.col(c).cast("string")
+    (df.select(*[cell(c).alias(h) for h, c in headers.items()])
+     .write.mode("append").options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False,
+                                   ignoreTrailingWhiteSpace=False).csv(path))
+
+
 def write_table(df: DataFrame, path: str, reset: bool = False) -> None:
     """Append to an existing table, or replace it with ``reset``."""
     df.write.mode("overwrite" if reset else "append").parquet(path)

@@ -50,3 +50,17 @@ def test_a_limit_of_zero_gives_no_rows(spark):
     from pricelens.functions import metrics as M
     df = spark.range(5)
     assert M.top(df, "id", "desc", 0).count() == 0 and M.top(df, "id", "desc", None).count() == 5
+
+
+def test_list_helpers(spark):
+    df = spark.createDataFrame([(1, -2.0, 5, 30.0), (2, 0.0, 9, 20.0), (3, 4.0, 10, None)],
+                               "id int, margin double, transaction_count int, discount_percent double")
+    ids = lambda d: sorted(r["id"] for r in d.collect())
+    assert ids(M.filter_negative_margins(df)) == [1]
+    assert ids(M.filter_negative_margins(df.drop("margin"))) == []
+    assert ids(M.filter_high_discounts(df, 20)) == [1]
+    assert ids(M.filter_min_transactions(df, 9)) == [2, 3]
+    assert [r["id"] for r in M.paginate(df.orderBy("id"), 2, 2).collect()] == [3]
+    assert M.paginate(df.orderBy("id"), 3, 2).count() == 0
+    got = df.select(M.round_to("discount_percent", 0), M.round_to(F.lit(2.675))).collect()
+    assert [r[0] for r in got] == [30.0, 20.0, 0.0] and got[0][1] == 2.68

@@ -76,6 +76,31 @@ def test_columns_are_found_by_header_and_cells_follow_rfc_4180(spark):
     assert rows == {'12" pipe, red': 1.5, "two\nlines": 2.5, "   ": 3.5}
 
 
+def test_only_files_with_quoted_line_ends_are_read_whole(spark):
+    d = tempfile.mkdtemp()
+    head = "ITEM CODE,Landed cost Euro,Plus 5%\n"
+    _write(d, "a plain.csv", head + "".join(f'"I ""{i}""",{i}.5,\n' for i in range(20_000)))
+    _write(d, "b%20.csv", head + '"two\nlines",1,2\n' + ''.join(f"B{i},{i},\n" for i in range(100)) + '"x\n\ny",3,\n')
+    want = {f'I "{i}"': i + 0.5 for i in range(20_000)} | {f"B{i}": float(i) for i in range(100)} | {"two\nlines": 1.0, "x\n\ny": 3.0}
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        df = files.read_landed_costs(spark, d)
+        rows = df.collect()
+        assert df.rdd.getNumPartitions() > 4  # the plain file is split
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert len(rows) == len(want) and {r["item_code"]: r["landed_cost_euro"] for r in rows} == want
+    order = [r["item_code"] for r in sorted(rows, key=lambda r: tuple(r["load_key"]))]
+    plain = [c for c in order if c.startswith('I "')]
+    assert plain == [f'I "{i}"' for i in range(20_000)]  # the load order follows the file across its blocks
+
+
+def test_a_header_with_a_line_end(spark):
+    d = _write(tempfile.mkdtemp(), "a.csv", '"Other\ncolumn",ITEM CODE,Landed cost Euro\nx,I1,2\n')
+    assert [(r["item_code"], r["landed_cost_euro"]) for r in files.read_landed_costs(spark, d).collect()] == [("I1", 2.0)]
+
+
 def test_dates_keep_long_parts(spark):
     df = spark.createDataFrame([("1/2/2001",), ("001/02/2001",), ("1/2",), (None,)], "d string")
     assert [r[0] for r in df.select(files.iso_date(F.col("d"))).collect()] == ["2001-02-01", "2001-02-001", None, None]
