@@ -7,8 +7,10 @@ give the places that are counted; the further phrases only add labels.
 *Tags.* A second automaton finds identifier tags (``SPDX-License-Identifier:`` and the like)
 in the lower-cased text itself.  The rest of the tag's line is tokenised and a shunting-yard
 parser turns ``AND`` / ``OR`` / ``WITH`` and parentheses into an evaluated expression: the set of
-alternatives, each the set of licences that must be met together.  All named licences
-are labels; an expression that does not parse gives the licences up to the error.
+alternatives, each the set of licences that must be met together.  An expression whose alternatives
+would take over ``EXPANDED_NAMES`` names is told as it was parsed, in its factors, which says the same.
+All named licences are labels; an expression that does not parse gives the licences up to the
+error.  Tags are read as ASCII, without a full stop, colon or dash at the end of a name.
 
 The score is the share of evidence: tags count 1, further phrases 0.8, base places 0.5, combined
 as independent hints.
@@ -21,8 +23,10 @@ one pass whatever its length; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import ahocorasick
 import pyarrow as pa
@@ -59,10 +63,11 @@ FURTHER = {
 TAGS = ("spdx-license-identifier:", "license-identifier:", "license-expression:")
 WEIGHTS = {"tag": 1.0, "further": 0.8, "base": 0.5}
 
-_TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*")
+_TOKEN = re.compile(r"\(|\)|[A-Za-z0-9](?:[A-Za-z0-9.+:-]*[A-Za-z0-9+])?")  # no full stop at the end
 _LINE = re.compile(r"[^\r\n]*")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
-_MAX_ALTERNATIVES = 64
+_SYNTAX = frozenset(("(", ")", "and", "or"))
+EXPANDED_NAMES = 1024
 
 
 @lru_cache(maxsize=1)
@@ -79,46 +84,92 @@ def _automata():
     return notices, tags
 
 
-def evaluate(expression: str) -> frozenset[frozenset[str]]:
-    """The alternatives of a licence expression, each the licences that hold together.
+class Expression(NamedTuple):
+    """A parsed expression: its loosest operator (none for one licence), its tokens with the parentheses it
+    needs, and its alternatives, null where writing them out would take over ``EXPANDED_NAMES`` names."""
+    operator: str
+    tokens: deque
+    alternatives: frozenset[frozenset[str]] | None
+
+    @property
+    def names(self) -> set[str]:
+        return {t for t in self.tokens if t not in _SYNTAX}
+
+    def told(self) -> str:
+        if self.alternatives is None:
+            return " ".join(self.tokens).replace("( ", "(").replace(" )", ")")
+        return " or ".join(sorted(" and ".join(sorted(a)) for a in self.alternatives))
+
+
+def _small(alternatives: frozenset) -> frozenset | None:
+    return alternatives if sum(map(len, alternatives)) <= EXPANDED_NAMES else None
+
+
+def _combine(op: str, left: Expression, right: Expression) -> Expression:
+    if op == "with":
+        exception = "-".join(sorted(right.names))
+        name = lambda x: f"{x}-with-{exception}"
+        tokens = deque(t if t in _SYNTAX else name(t) for t in left.tokens)
+        known = left.alternatives
+        return Expression(left.operator, tokens, known and frozenset(frozenset(map(name, a)) for a in known))
+    for side in (left, right):
+        if op == "and" and side.operator == "or":
+            side.tokens.appendleft("(")
+            side.tokens.append(")")
+    if len(left.tokens) >= len(right.tokens):  # the shorter side moves, so long chains cost n log n
+        tokens = left.tokens
+        tokens.append(op)
+        tokens.extend(right.tokens)
+    else:
+        tokens = right.tokens
+        tokens.appendleft(op)
+        tokens.extendleft(reversed(left.tokens))
+    one, other = left.alternatives, right.alternatives
+    if one is None or other is None:
+        both = None
+    elif op == "or":
+        both = _small(one | other)
+    else:
+        large = sum(map(len, one)) * len(other) + sum(map(len, other)) * len(one) > 16 * EXPANDED_NAMES
+        both = None if large else _small(frozenset(a | b for a in one for b in other))
+    return Expression(op, tokens, both)
+
+
+def parse(expression: str) -> Expression | None:
+    """The licence expression, null if there is none.
 
     ``WITH`` binds an exception to its licence, ``AND`` binds tighter than ``OR``.  Reading
     stops at the first token that fits nowhere."""
-    output: list = []
+    output: list[Expression] = []
     operators: list[str] = []
+    opened = 0
 
     def apply(op: str) -> None:
         right, left = output.pop(), output.pop()
-        if op == "or":
-            output.append(left | right)
-        elif op == "and":
-            pairs = frozenset(a | b for a in left for b in right)
-            # beyond any sane licence file: keep the licences, give up telling alternatives apart
-            output.append(pairs if len(pairs) <= _MAX_ALTERNATIVES else frozenset([frozenset().union(*pairs)]))
-        else:
-            exception = "-".join(sorted(x for a in right for x in a))
-            output.append(frozenset(frozenset(f"{x}-with-{exception}" for x in a) for a in left))
+        output.append(_combine(op, left, right))
 
     operand_next = True
-    for token in _TOKEN.findall(expression):
-        word = token.lower()
+    for token in _TOKEN.finditer(expression):
+        word = token[0].lower()
         if operand_next:
             if word == "(":
                 operators.append(word)
-            elif word == ")" or word in _PRECEDENCE:
+                opened += 1
+            elif word in _SYNTAX or word in _PRECEDENCE:
                 break
             else:
-                output.append(frozenset([frozenset([word])]))
+                output.append(Expression("", deque([word]), frozenset([frozenset([word])])))
                 operand_next = False
         elif word in _PRECEDENCE:
             while operators and operators[-1] != "(" and _PRECEDENCE[operators[-1]] >= _PRECEDENCE[word]:
                 apply(operators.pop())
             operators.append(word)
             operand_next = True
-        elif word == ")" and "(" in operators:
+        elif word == ")" and opened:
             while operators[-1] != "(":
                 apply(operators.pop())
             operators.pop()
+            opened -= 1
         else:
             break
     if operand_next and operators:  # an operator without its right side
@@ -129,10 +180,19 @@ def evaluate(expression: str) -> frozenset[frozenset[str]]:
     for op in reversed(operators):
         if op != "(" and len(output) >= 2:
             apply(op)
-    return frozenset(a for alternatives in output for a in alternatives)
+    while len(output) >= 2:
+        apply("or")
+    return output[0] if output else None
+
+
+def evaluate(expression: str) -> frozenset[frozenset[str]] | None:
+    """The alternatives of a licence expression, each the licences that hold together; null where they are too
+    many to write out (``parse`` keeps the expression)."""
+    parsed = parse(expression)
+    return parsed.alternatives if parsed else frozenset()
 
 
-def _expressions(text: bytes) -> list[frozenset[frozenset[str]]]:
+def _expressions(text: bytes) -> list[Expression]:
     lowered = text.lower()
     if b"license-" not in lowered:
         return []
@@ -141,7 +201,7 @@ def _expressions(text: bytes) -> list[frozenset[frozenset[str]]]:
     found, after = [], -1
     for end, _ in tags.iter(lowered):
         if end > after:  # a longer tag may end where a shorter one does
-            found.append(evaluate(_LINE.match(plain, end + 1)[0]))
+            found.append(parse(_LINE.match(plain, end + 1)[0]))
             after = end
     return [f for f in found if f]
 
@@ -169,8 +229,8 @@ def scan_one(text: bytes | None) -> tuple:
     expressions = _expressions(text) if text else []
     for e in expressions:
         doubt *= 1 - WEIGHTS["tag"]
-        labels.update(x for alternative in e for x in alternative)
-    told = [" or ".join(sorted(" and ".join(sorted(a)) for a in e)) for e in expressions]
+        labels |= e.names
+    told = [e.told() for e in expressions]
     return (len(found), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), 1 - doubt, told)
 
 

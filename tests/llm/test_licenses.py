@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -48,3 +49,65 @@ def test_expressions(text, alternatives):
 def test_tags_add_labels():
     row = licenses.scan_one(b"x\n# SPDX-License-Identifier: (MIT OR ISC) AND Zlib\nall rights reserved")
     assert row[5] == "isc,mit,reserved,zlib" and row[7] == ["isc and zlib or mit and zlib"]
+
+
+@pytest.mark.parametrize("tag, label", [("MIT.", "mit"), ("GPL-2.0+.", "gpl-2.0+"), ("Apache-2.0,", "apache-2.0"), ("ISC:", "isc")])
+def test_marks_after_a_name_are_not_part_of_it(tag, label):
+    assert licenses.scan_one(f"SPDX-License-Identifier: {tag}\nx".encode())[5] == label
+
+
+def _meets(told, accepted):
+    """Whether a told expression is met by the accepted licences, by Python's own operators."""
+    return eval(re.sub(r"[^() ]+", lambda m: m[0] if m[0] in ("and", "or") else str(m[0] in accepted), told))  # noqa: S307
+
+
+def test_many_factors_keep_their_alternatives():
+    for n in (3, 7, 8, 30):
+        parsed = licenses.parse(" AND ".join(f"(A{i} OR B{i})" for i in range(n)))
+        assert parsed.names == {f"{x}{i}" for i in range(n) for x in "ab"}
+        assert (parsed.alternatives is None) == (n >= 8) and (n >= 8 or len(parsed.alternatives) == 2 ** n)
+        for rest in ([], ["a0"], ["b0"]):
+            accepted = {f"{'ab'[i % 2]}{i}" for i in range(1, n)} | set(rest)
+            assert _meets(parsed.told(), accepted) == bool(rest)
+
+
+def test_random_expressions_mean_what_they_say(monkeypatch):
+    rng = random.Random(8)
+
+    def made(depth):
+        if not depth or rng.random() < 0.2:
+            return rng.choice("uvwxyz")
+        op = rng.choice([" and ", " or "])
+        return "(" + op.join(made(depth - 1) for _ in range(rng.randrange(2, 4))) + ")"
+
+    for limit in (0, 1024):  # told by factors, and by alternatives
+        monkeypatch.setattr(licenses, "EXPANDED_NAMES", limit)
+        for _ in range(300):
+            text, accepted = made(4), set(rng.sample("uvwxyz", 3))
+            assert _meets(licenses.parse(text).told(), accepted) == _meets(text, accepted)
+
+
+def test_long_expressions_are_read_in_one_pass():
+    chain = licenses.parse(" OR ".join(f"L{i}" for i in range(30_000)))
+    assert len(chain.names) == 30_000
+    assert licenses.parse("(" * 20_000 + "MIT" + ")" * 20_000).told() == "mit"
+    nested = licenses.parse("".join(f"(A{i} OR (B{i} AND " for i in range(5_000)) + "C" + "))" * 5_000)
+    assert len(nested.names) == 10_001 and nested.alternatives is None
+
+
+def test_labels_and_score_equal_brute_force():
+    rng = random.Random(9)
+    phrases = {**licenses.BASE, **licenses.FURTHER}
+    pieces = [*phrases, *(w for p in phrases for w in p.split()), "SPDX-License-Identifier: Zlib\n", "other", "\n"]
+    for _ in range(500):
+        text = "".join(rng.choice(pieces) + rng.choice([" ", "\n", "-"]) for _ in range(rng.randrange(12)))
+        w, doubt, labels = words(text), 1.0, set()
+        for phrase, label in phrases.items():
+            n = sum(w[i:i + len(phrase.split())] == phrase.split() for i in range(len(w)))
+            labels |= {label} if n else set()
+            doubt *= (1 - licenses.WEIGHTS["base" if phrase in licenses.BASE else "further"]) ** n
+        if "SPDX-License-Identifier: Zlib\n" in text:
+            labels.add("zlib")
+            doubt = 0.0
+        got = licenses.scan_one(text.encode())
+        assert got[5] == ",".join(sorted(labels)) and abs(got[6] - (1 - doubt)) < 1e-9
