@@ -2,8 +2,10 @@
 
 *Layouts.* A record's fingerprint is the hash of its nested field paths (list elements are
 ``[]``), sorted.  It selects a declarative mapping (``LAYOUTS``) that turns prompt, instruction,
-message-list and one-row-per-turn records into canonical turns (role, text).  A record
-with an unknown fingerprint has the layout null and no turns; it is returned, not lost.
+message-list and one-row-per-turn records into canonical turns (role, text).  Where the whole
+fingerprint is unknown, that of the paths some layout knows decides, and the reason names the other
+fields.  A record without a layout (unknown, malformed or too deeply nested JSON, a null record) is one
+row with layout and role null, the record itself as text and a reason; it has no turns.
 
 *Template.* A turn is ``### Role: text</turn>`` and a line end.  ``</turn>``, ``### `` and the backslash
 inside texts are written as a backslash and a letter of their own, so no control string
@@ -16,7 +18,9 @@ a conversation.  Reading back streams over the parts in order.
 
 Cases: null texts and roles are empty; equal turn numbers go by role, then text; null
 turn numbers come first; repeated rows are repeated turns; rows with a null conv_id are one
-conversation; an empty table gives no conversation; extra columns are ignored.
+conversation; an empty table gives no conversation; extra columns are ignored.  An empty message
+list is a record without turns; the parts of a list as content are joined by an empty line; half a
+surrogate pair in a JSON text becomes U+FFFD.
 """
 
 from __future__ import annotations
@@ -40,7 +44,8 @@ SAME_ROLE = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "
 
 # Declarative mappings: the fields that make up a layout, and how turns come from them.
 # ``fields``: (role, paths joined by an empty line); ``each``: list path, role field, text field;
-# ``row``: a record that is one turn itself; ``optional`` fields may be absent.
+# ``row``: a record that is one turn itself; ``optional`` fields may be absent; ``parts``: the path of the
+# elements where a message's content may be a list of texts or of objects with type and text.
 LAYOUTS = [
     {"name": "turn_row", "paths": ["role", "text", "turn"], "row": ("role", "text")},
     {"name": "prompt", "paths": ["prompt", "response"], "optional": ["system"],
@@ -52,16 +57,16 @@ LAYOUTS = [
     {"name": "instruction", "paths": ["instruction", "output"], "optional": ["input", "system"],
      "fields": [("system", ["system"]), ("user", ["instruction", "input"]), ("assistant", ["output"])]},
     {"name": "messages", "paths": ["messages", "messages[].content", "messages[].role"], "optional": ["messages[].name"],
-     "each": ("messages", "role", "content")},
+     "parts": "messages[].content[]", "each": ("messages", "role", "content")},
     {"name": "conversations", "paths": ["conversations", "conversations[].from", "conversations[].value"],
      "optional": ["system"], "each": ("conversations", "from", "value"), "fields": [("system", ["system"])]},
     {"name": "nested_messages", "paths": ["data", "data.messages", "data.messages[].content", "data.messages[].role"],
-     "each": ("data.messages", "role", "content")},
+     "parts": "data.messages[].content[]", "each": ("data.messages", "role", "content")},
 ]
 
 
 def field_paths(value, at: str = "") -> set[str]:
-    """All nested field paths of a JSON value."""
+    """All nested field paths of a JSON value; list elements that are no objects are paths too."""
     found = set()
     if isinstance(value, dict):
         for k, v in value.items():
@@ -69,7 +74,7 @@ def field_paths(value, at: str = "") -> set[str]:
             found |= {path} | field_paths(v, path)
     elif isinstance(value, list):
         for v in value:
-            found |= field_paths(v, f"{at}[]")
+            found |= field_paths(v, f"{at}[]") if isinstance(v, (dict, list)) else {f"{at}[]"}
     return found
 
 
@@ -77,17 +82,24 @@ def fingerprint(paths) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
-def _registry() -> dict[str, dict]:
-    known = {}
+def _registry() -> tuple[dict[str, dict], set[str]]:
+    known, paths = {}, set()
     for layout in LAYOUTS:
         variants = [set(layout["paths"])]
         for extra in layout.get("optional", []):
             variants += [v | {extra} for v in variants]
+        if "parts" in layout:
+            part = layout["parts"]
+            objects = {f"{part}.type", f"{part}.text"}
+            variants += [v | more for v in variants for more in ({part}, objects, objects | {part})]
+        if "each" in layout:  # an empty list has no elements to show their fields
+            variants += [{p for p in v if not p.startswith(f"{layout['each'][0]}[]")} for v in variants]
         known |= {fingerprint(v): layout for v in variants}
-    return known
+        paths.update(*variants)
+    return known, paths
 
 
-REGISTRY = _registry()
+REGISTRY, KNOWN_PATHS = _registry()
 
 
 def _at(record, path: str):
@@ -96,18 +108,44 @@ def _at(record, path: str):
     return record
 
 
+_HALF = re.compile("[\ud800-\udfff]")
+
+
 def _text(value) -> str:
-    return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
+    told = value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
+    return _HALF.sub("\ufffd", told)
+
+
+def _content(value) -> str:
+    """A message's text; the parts of a list are joined by an empty line."""
+    if not isinstance(value, list):
+        return _text(value)
+    return "\n\n".join(_text(v["text"] if isinstance(v, dict) and isinstance(v.get("text"), str) else v) for v in value)
+
+
+def _layout(record) -> tuple[dict | None, str | None]:
+    paths = field_paths(record)
+    layout = REGISTRY.get(fingerprint(paths)) or REGISTRY.get(fingerprint(paths & KNOWN_PATHS))
+    if layout is not None and "each" in layout:
+        messages = _at(record, layout["each"][0])
+        if not (messages is None or isinstance(messages, list) and all(isinstance(m, dict) for m in messages)):
+            layout = None
+    if layout is None:
+        return None, "unknown layout"
+    other = paths - KNOWN_PATHS
+    return layout, "other fields: " + ", ".join(sorted(other)) if other else None
 
 
 def turns(record) -> tuple[str | None, list[tuple[str, str]]]:
     """Layout name (null if unknown) and canonical (role, text) turns of a record."""
-    layout = REGISTRY.get(fingerprint(field_paths(record)))
-    if layout is None:
-        return None, []
+    layout, _ = _layout(record)
+    return (None, []) if layout is None else (layout["name"], _turns(record, layout))
+
+
+def _turns(record, layout: dict) -> list[tuple[str, str]]:
     if "row" in layout:
         role, text = (_text(record[k]) for k in layout["row"])
-        return layout["name"], [(role, text)]
+        return [(role, text)]
     out = []
     for role, paths in layout.get("fields", []):
         parts = [_text(_at(record, p)) for p in paths if _at(record, p) not in (None, "")]
@@ -117,35 +155,54 @@ def turns(record) -> tuple[str | None, list[tuple[str, str]]]:
         path, role, text = layout["each"]
         for m in _at(record, path) or []:
             name = _text(m.get(role))
-            out.append((SAME_ROLE.get(name, name), _text(m.get(text))))
-    return layout["name"], out
+            out.append((SAME_ROLE.get(name, name), _content(m.get(text))))
+    return out
+
+
+def _read(record: str | None) -> tuple[str | None, list[tuple[str | None, str | None]], str | None]:
+    """Layout, turns and reason of a JSON record; without a layout the record is its own text, role null."""
+    try:
+        value = json.loads(record) if record else None
+        layout, reason = _layout(value)
+        if layout is not None:
+            return layout["name"], _turns(value, layout) or [(None, None)], reason
+        reason = reason if record else "no record"
+    except RecursionError:
+        reason = "nested too deeply"
+    except ValueError:
+        reason = "malformed JSON"
+    return None, [(None, record)], reason
 
 
 def _turn_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, order, sub, layouts, roles, texts = [], [], [], [], [], []
+        ids, order, sub, layouts, roles, texts, reasons = [], [], [], [], [], [], []
         for i, (turn, record) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-            layout, found = turns(json.loads(record) if record else None)
-            for k, (role, text) in enumerate(found or [(None, None)]):
+            layout, found, reason = _read(record)
+            for k, (role, text) in enumerate(found):
                 ids.append(i)
                 order.append(turn)
                 sub.append(k)
                 layouts.append(layout)
                 roles.append(role)
                 texts.append(text)
+                reasons.append(_HALF.sub("\ufffd", reason) if reason else None)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0).take(pa.array(ids, pa.int64())), pa.array(order, pa.int64()), pa.array(sub, pa.int64()),
-             pa.array(layouts, pa.string()), pa.array(roles, pa.string()), pa.array(texts, pa.string())],
-            ["conv_id", "turn", "sub", "layout", "role", "text"])
+             pa.array(layouts, pa.string()), pa.array(roles, pa.string()), pa.array(texts, pa.string()),
+             pa.array(reasons, pa.string())],
+            ["conv_id", "turn", "sub", "layout", "role", "text", "reason"])
 
 
 def canonical(records: DataFrame) -> DataFrame:
     """Turns of ``records`` (conv_id, turn: order of the records of a conversation, record: JSON).
 
-    Columns conv_id, turn, sub, layout, role, text; role null: a record without turns."""
+    Columns conv_id, turn, sub, layout, role, text, reason; role null: a record without turns; reason: why it
+    has no layout, or which of its fields the layout does not read."""
     rows = records.select(records["conv_id"], records["turn"].cast("long"), records["record"])
     kind = rows.schema["conv_id"].dataType.simpleString()
-    return rows.mapInArrow(_turn_task, f"conv_id {kind}, turn long, sub long, layout string, role string, text string")
+    return rows.mapInArrow(_turn_task, f"conv_id {kind}, turn long, sub long, layout string, role string, text string, "
+                           "reason string")
 
 
 _CONTROL = re.compile("|".join(re.escape(c) for c in ESCAPES))

@@ -58,3 +58,35 @@ def test_awkward_rows_and_parts(spark, monkeypatch):
         assert (g["n_turns"], g["turns_sha256"], g["loss_chars"], g["loss_sha256"]) == (
             len(own), hashlib.sha256(told.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert chat.read_back(chat.formatted(chat.canonical(chat.turn_records(df.limit(0))))).count() == 0
+
+
+def test_no_record_crashes_or_is_lost(spark):
+    one = {"role": "user", "content": "a"}
+    cases = [
+        ('{"prompt": "p", ', None, [(None, '{"prompt": "p", ')], "malformed JSON"),
+        (json.dumps({"messages": [one, "x"]}), None, [(None, None)], "unknown layout"),
+        (json.dumps({"messages": "text"}), None, [(None, None)], "unknown layout"),
+        (json.dumps({"messages": one}), None, [(None, None)], "unknown layout"),
+        (json.dumps({"messages": None}), "messages", [(None, None)], None),
+        (json.dumps({"messages": []}), "messages", [(None, None)], None),
+        (json.dumps({"prompt": "p", "response": "r", "id": 5, "meta": {"a": 1}}), "prompt",
+         [("user", "p"), ("assistant", "r")], "other fields: id, meta, meta.a"),
+        (json.dumps({"messages": [{**one, "tool_calls": []}]}), "messages", [("user", "a")], "other fields: messages[].tool_calls"),
+        (json.dumps({"messages": [{"role": "user", "content": ["a", {"type": "text", "text": "b"}]}, one]}), "messages",
+         [("user", "a\n\nb"), ("user", "a")], None),
+        (json.dumps({"messages": [{"role": "user", "content": [{"type": "image"}]}]}), None, [(None, None)], "unknown layout"),
+        ('{"prompt": "half \\ud800", "response": "\\ud83d\\ude00"}', "prompt",
+         [("user", "half \ufffd"), ("assistant", "\U0001F600")], None),
+        ("[" * 100_000 + "]" * 100_000, None, [(None, None)], "nested too deeply"),
+        (None, None, [(None, None)], "no record"), ("", None, [(None, "")], "no record"),
+        ("null", None, [(None, "null")], "unknown layout"), ("[1, 2]", None, [(None, "[1, 2]")], "unknown layout"),
+    ]
+    df = spark.createDataFrame([(i, None, r, "z") for i, (r, *_) in enumerate(cases)],
+                               "conv_id long, turn int, record string, reason string")
+    rows = chat.canonical(df).orderBy("conv_id", "sub").collect()
+    for i, (record, layout, turns, reason) in enumerate(cases):
+        got = [r for r in rows if r["conv_id"] == i]
+        kept = [(None, record)] if layout is None else turns
+        assert [(r["role"], r["text"]) for r in got] == kept, record
+        assert {r["layout"] for r in got} == {layout} and {r["reason"] for r in got} == {reason}, record
+    assert chat.formatted(chat.canonical(df)).count() == len(cases)
