@@ -129,6 +129,11 @@ def ratio_or_zero(num, den) -> Column:
     return F.when(d == 0, F.lit(0.0)).otherwise(F.try_divide(F.coalesce(num, F.lit(0.0)), d))
 
 
+def to_cents(c) -> Column:
+    """A sum or mean of money to two decimals, halves away from zero; NULL stays NULL."""
+    return F.round(col(c).cast(MONEY), 2).cast("double")
+
+
 # --- C1-C6: financial helpers --------------------------------------------------------
 
 def margin(revenue, cost) -> Column:

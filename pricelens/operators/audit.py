@@ -170,7 +170,7 @@ def orphan_summary(t: Tables) -> DataFrame:
     return orphan_lines(t).agg(F.countDistinct("item_code").alias("orphaned_items"),
                                F.count(F.lit(1)).alias("orphaned_lines"),
                                M.money_sum("quantity").alias("total_quantity"),
-                               M.money_sum("line_total").alias("total_revenue"))
+                               M.to_cents(M.money_sum("line_total")).alias("total_revenue"))
 
 
 def orphan_items(t: Tables, limit: int = 20) -> DataFrame:
@@ -178,8 +178,8 @@ def orphan_items(t: Tables, limit: int = 20) -> DataFrame:
     g = aggregated(
         orphan_lines(t), [F.col("item_code")],
         [F.count(F.lit(1)).alias("line_count"),
-         M.money_sum("quantity").alias("total_quantity"), M.money_sum("line_total").alias("total_revenue"),
-         F.try_divide(M.money_sum("unit_price"), F.count("unit_price")).alias("avg_unit_price"),
+         M.money_sum("quantity").alias("total_quantity"), M.to_cents(M.money_sum("line_total")).alias("total_revenue"),
+         M.to_cents(F.try_divide(M.money_sum("unit_price"), F.count("unit_price"))).alias("avg_unit_price"),
          M.first_day("invoice_date").alias("first_sale"), M.last_day("invoice_date").alias("last_sale")],
         [F.countDistinct("customer_code").alias("customer_count"),
          F.countDistinct("invoice_number").alias("invoice_count")])
@@ -190,8 +190,8 @@ def orphan_negative_revenue(t: Tables, limit: int = 20) -> DataFrame:
     """Orphaned items by the revenue of their negative lines, the most negative first."""
     g = orphan_lines(t).filter(F.col("line_total") < 0).groupBy("item_code").agg(
         F.count(F.lit(1)).alias("line_count"), M.money_sum("quantity").alias("total_quantity"),
-        M.money_sum("line_total").alias("total_revenue"),
-        F.try_divide(M.money_sum("unit_price"), F.count("unit_price")).alias("avg_unit_price"))
+        M.to_cents(M.money_sum("line_total")).alias("total_revenue"),
+        M.to_cents(F.try_divide(M.money_sum("unit_price"), F.count("unit_price"))).alias("avg_unit_price"))
     return M.top(g, "total_revenue", "asc", limit, "item_code")
 
 
@@ -199,7 +199,7 @@ def orphans_by_customer(t: Tables, limit: int = 20) -> DataFrame:
     """Customers with most orphaned lines."""
     g = orphan_lines(t).groupBy("customer_code", "customer_name").agg(
         F.count(F.lit(1)).alias("orphaned_lines"), F.countDistinct("item_code").alias("orphaned_items"),
-        M.money_sum("line_total").alias("orphaned_revenue"))
+        M.to_cents(M.money_sum("line_total")).alias("orphaned_revenue"))
     return M.top(g, "orphaned_lines", "desc", limit, "customer_code", "customer_name")
 
 
@@ -208,7 +208,7 @@ def orphans_by_month(t: Tables) -> DataFrame:
     o = orphan_lines(t).filter(F.col("invoice_date").isNotNull() & (F.col("invoice_date") != ""))
     return o.groupBy(F.substring("invoice_date", 1, 7).alias("month")).agg(
         F.countDistinct("item_code").alias("orphaned_items"), F.count(F.lit(1)).alias("orphaned_lines"),
-        M.money_sum("quantity").alias("total_quantity"), M.money_sum("line_total").alias("orphaned_revenue"))
+        M.money_sum("quantity").alias("total_quantity"), M.to_cents(M.money_sum("line_total")).alias("orphaned_revenue"))
 
 
 def catalogue_never_sold(t: Tables, limit: int | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ which is partially aggregated per task before any row is shuffled.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Fixed values of the business rules.
@@ -74,6 +75,22 @@ def name_variations(raw: DataFrame) -> DataFrame:
                     "occurrences"))
 
 
+def names_by_count(raw: DataFrame) -> DataFrame:
+    """Each name of the codes with more than one, with its rows, its place by rows and the chosen name.
+
+    A row a (code, name), so a code of very many names is split like any other; names that are
+    equally frequent share a place."""
+    counts = customer_name_counts(raw)
+    rows = counts.groupBy("customer_code", "cnt").agg(F.count(F.lit(1)).alias("_same"))
+    before = W.partitionBy("customer_code").orderBy(F.col("cnt").desc()).rowsBetween(W.unboundedPreceding, -1)
+    places = rows.select("customer_code", "cnt", (F.coalesce(F.sum("_same").over(before), F.lit(0)) + 1).alias("place"))
+    several = counts.groupBy("customer_code").agg(F.count(F.lit(1)).alias("n_names")).filter(F.col("n_names") > 1)
+    return (counts.join(several, "customer_code").join(places, ["customer_code", "cnt"])
+            .join(standard_names(raw), "customer_code")
+            .select("customer_code", F.col("customer_name").alias("original_name"), F.col("cnt").alias("occurrences"),
+                    "place", F.col("standard_name").alias("standardized_name")))
+
+
 SALES_COLUMNS = ["invoice_number", "invoice_date", "customer_code", "customer_name", "item_code",
                  "item_description", "quantity", "currency", "unit_price", "line_total", "document_type",
                  "is_rebate", "is_return", "is_sample", "unit_type", "data_quality_issue"]

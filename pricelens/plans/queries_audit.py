@@ -13,6 +13,10 @@ def _q(*ctes: str, select: str) -> str:
     return with_base("".join(", " + c for c in ctes) + "\n" + select)
 
 
+def _cents(x: str) -> str:
+    return f"CAST(ROUND(CAST({x} AS DECIMAL(18,6)), 2) AS DOUBLE)"
+
+
 _ORPH = "o AS (SELECT * FROM sales s WHERE item_code IS NOT NULL AND NOT EXISTS (SELECT 1 FROM catalogue_prices c WHERE c.item_code = s.item_code))"
 
 SPECS = [
@@ -84,23 +88,23 @@ SPECS = [
        UNION ALL SELECT 'customers', count(*) FROM customer_product_keys UNION ALL SELECT 'pallets', count(*) FROM pallet_sizes""")),
     ("a18_orphan_summary", lambda e: audit.orphan_summary(e.tables),
      _q(_ORPH, select=f"SELECT count(DISTINCT item_code) AS orphaned_items, count(*) AS orphaned_lines, "
-                      f"{msum('quantity')} AS total_quantity, {msum('line_total')} AS total_revenue FROM o")),
+                      f"{msum('quantity')} AS total_quantity, {_cents(msum('line_total'))} AS total_revenue FROM o")),
     ("a19_top_orphan_items", lambda e: audit.orphan_items(e.tables),
      _q(_ORPH, select=f"""SELECT item_code, count(*) AS line_count,
        count(DISTINCT customer_code) AS customer_count, count(DISTINCT invoice_number) AS invoice_count,
-       {msum('quantity')} AS total_quantity, {msum('line_total')} AS total_revenue, {msum('unit_price')} / count(unit_price) AS avg_unit_price, min(invoice_date) AS first_sale,
+       {msum('quantity')} AS total_quantity, {_cents(msum('line_total'))} AS total_revenue, {_cents(msum('unit_price') + ' / count(unit_price)')} AS avg_unit_price, min(invoice_date) AS first_sale,
        max(invoice_date) AS last_sale FROM o GROUP BY item_code ORDER BY line_count DESC, item_code LIMIT 20""")),
     ("a20_orphan_negative_revenue", lambda e: audit.orphan_negative_revenue(e.tables),
      _q(_ORPH, select=f"""SELECT item_code, count(*) AS line_count, {msum('quantity')} AS total_quantity,
-       {msum('line_total')} AS total_revenue, {msum('unit_price')} / count(unit_price) AS avg_unit_price FROM o
+       {_cents(msum('line_total'))} AS total_revenue, {_cents(msum('unit_price') + ' / count(unit_price)')} AS avg_unit_price FROM o
        WHERE line_total < 0 GROUP BY item_code ORDER BY total_revenue, item_code LIMIT 20""")),
     ("a21_orphans_by_customer", lambda e: audit.orphans_by_customer(e.tables),
      _q(_ORPH, select=f"""SELECT customer_code, customer_name, count(*) AS orphaned_lines, count(DISTINCT item_code) AS orphaned_items,
-       {msum('line_total')} AS orphaned_revenue FROM o GROUP BY customer_code, customer_name
+       {_cents(msum('line_total'))} AS orphaned_revenue FROM o GROUP BY customer_code, customer_name
        ORDER BY orphaned_lines DESC, customer_code NULLS LAST, customer_name NULLS LAST LIMIT 20""")),
     ("a22_orphans_by_month", lambda e: audit.orphans_by_month(e.tables),
      _q(_ORPH, select=f"SELECT substr(invoice_date, 1, 7) AS month, count(DISTINCT item_code) AS orphaned_items, count(*) AS orphaned_lines, "
-                      f"{msum('quantity')} AS total_quantity, {msum('line_total')} AS orphaned_revenue "
+                      f"{msum('quantity')} AS total_quantity, {_cents(msum('line_total'))} AS orphaned_revenue "
                       "FROM o WHERE invoice_date IS NOT NULL AND invoice_date <> '' GROUP BY 1")),
     ("a23_catalogue_never_sold", lambda e: audit.catalogue_never_sold(e.tables),
      _q(select="SELECT item_code, ie_trade, ie_high, ie_mid, ie_low FROM catalogue_prices c "

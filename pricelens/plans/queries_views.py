@@ -62,6 +62,15 @@ def p17_name_variations(e):
     return v.select("customer_code", "standardized_name", "occurrences", F.size("original_names").cast("long").alias("n_names"))
 
 
+@register("p17_names_by_count", _q(select="""
+SELECT customer_code, customer_name AS original_name, cnt AS occurrences,
+       rank() OVER (PARTITION BY customer_code ORDER BY cnt DESC) AS place, standard_name AS standardized_name
+FROM name_counts JOIN std_names USING (customer_code)
+QUALIFY count(*) OVER (PARTITION BY customer_code) > 1"""))
+def p17_names_by_count(e):
+    return cleaning.names_by_count(e.raw.sales_raw)
+
+
 _P19 = """
 SELECT 'sales_records' AS metric, count(*) AS value FROM ruled
 UNION ALL SELECT 'invoices', count(CASE WHEN document_type = 'INV' THEN 1 END) FROM ruled

@@ -35,3 +35,23 @@ def test_growth_reads_the_years_of_its_windows(spark):
     p = plan(trends.growth(fact, DateWindow("1998-01-01", "1998-12-31")).items)
     filters = [x for x in p.splitlines() if x.startswith("PartitionFilters")]
     assert filters and all("1998" in x and "1997" in x and "9999" not in x for x in filters)
+
+
+def test_catalogue_items_that_never_sold(spark):
+    from types import SimpleNamespace
+    from pricelens.operators import audit
+    catalogue = spark.createDataFrame([("A", 1.0), ("B", 2.0), (None, 3.0)], "item_code string, ie_trade double").selectExpr(
+        "*", "ie_trade AS ie_high", "ie_trade AS ie_mid", "ie_trade AS ie_low")
+    sales = spark.createDataFrame([("A",), ("A",), (None,), ("a",)], "item_code string")
+    t = SimpleNamespace(catalogue_prices=catalogue, sales=sales)
+    assert sorted((r["item_code"], r["ie_trade"]) for r in audit.catalogue_never_sold(t).collect() if r["item_code"]) == [("B", 2.0)]
+    assert audit.catalogue_never_sold(t).count() == 2  # a price without a code matches no sale
+    assert [r["item_code"] for r in audit.catalogue_never_sold(t, 1).collect()] == [None]
+
+
+def test_names_of_a_code_by_count(spark):
+    from pricelens.operators import cleaning
+    rows = [("C", "x")] * 3 + [("C", "y")] * 3 + [("C", None)] * 5 + [("D", "z")] * 2 + [(None, "n"), (None, "m")]
+    got = cleaning.names_by_count(spark.createDataFrame(rows, "customer_code string, customer_name string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(
+        [("C", None, 5, 1, None), ("C", "x", 3, 2, None), ("C", "y", 3, 2, None)], key=str)
