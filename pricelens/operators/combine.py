@@ -13,8 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import shared_checkpoint_dir
-
 WIDE_MONEY = "decimal(38,6)"
 
 
@@ -44,28 +42,75 @@ def aggregated(lines: DataFrame, keys: list[Column], aggregates: list[Column], d
     return out
 
 
-def ranked(df: DataFrame, by: list[Column], rank: str = "rank", running: dict[str, Column] | None = None,
-           ties: bool = False) -> DataFrame:
-    """``df`` with its position in the total order ``by``, and running sums, without a single-task window.
-
-    Rows are range-partitioned in order and checkpointed (so the ranges can't change
-    between the two passes); each range is numbered and summed on its own and the
-    counts and sums of the ranges before it, one row a range, are added.  ``running``: new
-    column -> money to sum up to and including the row.  ``ties``: rows equal in ``by`` share the least position."""
-    running = running or {}
-    spark = df.sparkSession
-    shared_checkpoint_dir(spark)
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.repartitionByRange(ranges, *by).withColumn("_range", F.spark_partition_id()).checkpoint()
-    sums = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), *[
-        F.sum(v.cast(WIDE_MONEY)).alias(f"_{k}") for k, v in running.items()])
-    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.select("_range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before")
-                                      for c in ("_n", *(f"_{k}" for k in running))])
-    inside = W.partitionBy("_range").orderBy(*by)
-    upto = inside.rowsBetween(W.unboundedPreceding, 0)
-    place = F.rank() if ties else F.row_number()
+def sort_key(largest: str, then: list[str] | None = None) -> Column:
+    """An ascending key of the order: the largest ``largest`` first, then ``then`` ascending, nulls last
+    (NaN after all numbers)."""
+    return F.struct(F.col(largest).isNull().alias("n"), (-F.col(largest)).alias("v"), *[
+        part for i, c in enumerate(then or []) for part in (F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"v{i}"))])
+
+
+def in_ranges(df: DataFrame, key: Column) -> DataFrame:
+    """``df`` with ``_key`` and ``_range``, the number of its range of keys: ranges follow the keys' order.
+
+    The borders are the keys that hash least, one a shuffle partition: an even sample that depends on
+    the keys alone, so each reading of a plan finds the same ranges and nothing has to be kept between
+    two of them.  They reach the rows as a scalar subquery; a row finds its range by halving."""
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.withColumn("_key", key)
+    sample = keyed.select("_key").orderBy(F.xxhash64("_key"), "_key").limit(ranges - 1)
+    borders = sample.agg(F.array_sort(F.collect_list("_key")).alias("_b")).scalar()
+    halves = F.array(*[F.lit(1 << b) for b in reversed(range(ranges.bit_length()))])
+    place = F.aggregate(halves, F.lit(0), lambda at, step: F.when(
+        F.get("_borders", at + step - 1) <= F.col("_key"), at + step).otherwise(at))
+    return keyed.withColumn("_borders", borders).withColumn("_range", place).drop("_borders")
+
+
+def ranked(df: DataFrame, largest: str, then: list[str] | None = None, rank: str = "rank",
+           running: dict[str, Column] | None = None, ties: bool = False) -> DataFrame:
+    """``df`` with its position in the order of ``sort_key``, and running sums, without a single-task window.
+
+    Each range of keys is numbered and summed on its own and the counts and sums of the ranges
+    before it, one row a range, are added; no job runs before the result is asked for.  ``running``:
+    new column -> money to sum up to and including the row.  ``ties``: rows equal in ``largest`` share
+    the least position (``then`` and ``running`` are not used); positions are those of the distinct values, counted before
+    the shuffle, so that a value of very many rows is no task of its own."""
+    if ties:
+        values = df.groupBy(F.col(largest).alias("_value")).agg(F.count(F.lit(1)).alias("_rows"))
+        placed = _running(values, sort_key("_value"), {"_upto": F.col("_rows").cast("long")}).select(
+            "_value", (F.col("_upto") - F.col("_rows") + 1).alias(rank))
+        return df.join(placed, F.col(largest).eqNullSafe(F.col("_value"))).select(*df.columns, rank)
+    sums = {rank: F.lit(1).cast("long")} | {k: v.cast(WIDE_MONEY) for k, v in (running or {}).items()}
+    out = _running(df, sort_key(largest, then), sums)
+    return out.select(*df.columns, rank, *[F.col(k).cast("double").alias(k) for k in running or {}])
+
+
+def _running(df: DataFrame, key: Column, sums: dict[str, Column]) -> DataFrame:
+    """``df`` with the sum of each of ``sums`` over the rows up to and including its own, in order of ``key``."""
+    rows = in_ranges(df, key)
+    whole = rows.groupBy("_range").agg(*[F.sum(v).alias(f"_{k}") for k, v in sums.items()])
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row a range
+    offsets = whole.select("_range", *[F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in sums])
+    upto = W.partitionBy("_range").orderBy("_key").rowsBetween(W.unboundedPreceding, 0)
     return rows.join(offsets, "_range").withColumns(
-        {rank: F.col("_n_before") + place.over(inside)}
-        | {k: (F.col(f"_{k}_before") + F.coalesce(F.sum(v.cast(WIDE_MONEY)).over(upto), F.lit(0))).cast("double")
-           for k, v in running.items()}).select(*df.columns, rank, *running)
+        {k: F.col(f"_{k}") + F.coalesce(F.sum(v).over(upto), F.lit(0)) for k, v in sums.items()}).drop(
+        "_range", "_key", *[f"_{k}" for k in sums])
+
+
+def order_statistics(df: DataFrame, largest: str, positions: dict[str, Column]) -> DataFrame:
+    """One row: the value of ``largest`` at each of ``positions`` (new column -> place from 1, in terms of the
+    row count ``n``) from the largest down, nulls last; NULL where there is no such row.
+
+    The rows of each value are counted before the shuffle; whole ranges of values are passed by their
+    counts and only the values of the ranges that hold a wanted place are numbered."""
+    values = df.groupBy(F.col(largest).alias("_value")).agg(F.count(F.lit(1)).alias("_rows"))
+    rows = in_ranges(values, sort_key("_value"))
+    whole = rows.groupBy("_range").agg(F.sum("_rows").alias("_in"))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row a range
+    whole = whole.withColumns({"_before": F.coalesce(F.sum("_in").over(before), F.lit(0)), "n": F.sum("_in").over(W.partitionBy())})
+    wanted = whole.withColumn("_at", F.array(*[p.cast("long") for p in positions.values()])).where(F.exists(
+        "_at", lambda p: (p > F.col("_before")) & (p <= F.col("_before") + F.col("_in"))))
+    inside = W.partitionBy("_range").orderBy("_key")
+    found = rows.join(wanted, "_range").withColumn(
+        "_last", F.col("_before") + F.sum("_rows").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    return found.agg(*[F.max(F.when((F.get("_at", F.lit(i)) <= F.col("_last")) & (F.get("_at", F.lit(i)) > F.col("_last") - F.col("_rows")),
+                                    F.col("_value"))).alias(name) for i, name in enumerate(positions)])

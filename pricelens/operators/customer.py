@@ -1,8 +1,8 @@
 """Customer analysis (U1 lifetime value, U2 segmentation, U3 churn risk, U4 concentration).
 
 Every analysis covers all customers of B2: thresholds, shares and summaries are taken
-over the whole population, and ``limit`` cuts the final listing only.  Positions and
-running sums come from ``combine.ranked``, range by range.
+over the whole population, and ``limit`` cuts the final listing only.  Positions,
+running sums and order statistics come from ``combine``, range by range.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
+from .combine import order_statistics, side_by_side
 from .combine import ranked as total_order
-from .combine import side_by_side
 from .facts import Analysis, DateWindow, base_filter, customer_sales
 
 _RANK = ["customer_code", "customer_name"]
@@ -24,11 +24,6 @@ def _purchase_dates(fact: DataFrame, window: DateWindow) -> DataFrame:
                                              M.last_day("invoice_date").alias("last_purchase_date"))
 
 
-def _ranked(df: DataFrame, order_col: str = "total_revenue", rank: str = "rank", running=None) -> DataFrame:
-    by = [F.col(order_col).desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in _RANK]]
-    return total_order(df, by, rank, running)
-
-
 def lifetime_value(fact: DataFrame, window: DateWindow, limit: int | None = None, customer_code: str | None = None) -> Analysis:
     """Customers with first/last purchase, age, AOV and purchase frequency (the top ``limit`` by revenue)."""
     top = customer_sales(fact, window, include_returns=False, include_samples=False,
@@ -63,23 +58,17 @@ def segmentation(fact: DataFrame, window: DateWindow, limit: int = 20) -> Analys
     top = (customer_sales(fact, window, include_returns=False, include_samples=False)
            .select(*_RANK, "total_revenue", (F.col("total_revenue") - F.col("total_cost")).alias("margin"),
                    M.margin_percent("total_revenue", "total_cost").alias("margin_percent")))
-    ranked = _ranked(_ranked(top), "margin_percent", "mrank")
-    ranked = side_by_side(ranked, ranked.agg(F.count(F.lit(1)).alias("n")))
-    hi_idx, lo_idx = F.floor(F.col("n") * 0.33) + 1, F.floor(F.col("n") * 0.67) + 1
-
-    def at(rank_col, idx, value, alias):
-        return F.coalesce(F.max(F.when(F.col(rank_col) == idx, F.col(value))), F.lit(0.0)).alias(alias)
-
-    thresholds = ranked.agg(at("rank", hi_idx, "total_revenue", "revenue_p67"),
-                            at("rank", lo_idx, "total_revenue", "revenue_p33"),
-                            at("mrank", hi_idx, "margin_percent", "margin_p67"),
-                            at("mrank", lo_idx, "margin_percent", "margin_p33"))
-    seg = (side_by_side(ranked, thresholds)
+    places = F.floor(F.col("n") * 0.33) + 1, F.floor(F.col("n") * 0.67) + 1
+    thresholds = side_by_side(*[
+        order_statistics(top, value, {f"{name}_p67": places[0], f"{name}_p33": places[1]})
+        .select(*[F.coalesce(f"{name}_{p}", F.lit(0.0)).alias(f"{name}_{p}") for p in ("p67", "p33")])
+        for value, name in (("total_revenue", "revenue"), ("margin_percent", "margin"))])
+    seg = (side_by_side(top, thresholds)
            .withColumn("revenue_segment", _segment("total_revenue", "revenue_p67", "revenue_p33"))
            .withColumn("margin_segment", _segment("margin_percent", "margin_p67", "margin_p33"))
            .withColumn("combined_segment", F.concat_ws("_", F.col("revenue_segment"), F.lit("revenue"),
                                                        F.col("margin_segment"), F.lit("margin"))))
-    items = (seg.filter(F.col("rank") <= limit)
+    items = (M.top(seg, "total_revenue", "desc", limit, *_RANK)
              .select(*_RANK, F.col("total_revenue").alias("revenue"), "margin", "margin_percent",
                      "revenue_segment", "margin_segment", "combined_segment"))
     summary = seg.agg(F.count(F.lit(1)).alias("total_customers"),
@@ -121,7 +110,7 @@ def churn_risk(fact: DataFrame, window: DateWindow, inactivity_days: int = 90, h
 def concentration(fact: DataFrame, window: DateWindow, limit: int = 20) -> Analysis:
     """U4: revenue share and running share of all customers; customers needed for 80 %."""
     top = customer_sales(fact, window, include_returns=False, include_samples=False).select(*_RANK, "total_revenue")
-    ranked = _ranked(top, running={"_running": F.col("total_revenue")})
+    ranked = total_order(top, "total_revenue", _RANK, running={"_running": F.col("total_revenue")})
     total = top.agg(M.js_sum("total_revenue").alias("_total"))
     running = F.col("_running")
     shares = (side_by_side(ranked, total)

@@ -162,8 +162,8 @@ def herfindahl(fact: DataFrame, window: DateWindow) -> DataFrame:
 def product_ranks(fact: DataFrame, window: DateWindow) -> DataFrame:
     """M2 products with their revenue and margin ranks among all products."""
     out = product_performance(fact, window, limit=None)
-    out = total_order(out, [F.col("revenue").desc_nulls_last()], "revenue_rank", ties=True)
-    return total_order(out, [F.col("margin").desc_nulls_last()], "margin_rank", ties=True)
+    out = total_order(out, "revenue", rank="revenue_rank", ties=True)
+    return total_order(out, "margin", rank="margin_rank", ties=True)
 
 
 def cannibalisation_switching(fact: DataFrame, window: DateWindow, min_shared_customers: int = 5,
@@ -334,9 +334,8 @@ def margin_contribution(fact: DataFrame, window: DateWindow) -> DataFrame:
     per = customer_sales(fact, window, include_returns=False, include_samples=False).withColumn(
         "margin_contribution", F.col("total_revenue") - F.col("total_cost"))
     tot = per.agg(M.js_sum("margin_contribution").alias("_tm"), M.js_sum("total_revenue").alias("_tr"))
-    by = [F.col("margin_contribution").desc_nulls_last(), F.col("customer_code").asc_nulls_last(),
-          F.col("customer_name").asc_nulls_last()]
-    ranked = total_order(per, by, "_rank", {"_running": F.col("margin_contribution")})
+    ranked = total_order(per, "margin_contribution", ["customer_code", "customer_name"], "_rank",
+                         {"_running": F.col("margin_contribution")})
     running = F.col("_running")
     return side_by_side(ranked, tot).select(
         "customer_code", "customer_name", "margin_contribution",

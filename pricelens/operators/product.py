@@ -44,8 +44,7 @@ def slow_movers(fact: DataFrame, window: DateWindow, max_units_per_month: float
 def product_mix(fact: DataFrame, window: DateWindow, limit: int = 20) -> Analysis:
     """ABC classes from the running revenue share of all products (A <= 80 %, B <= 95 %)."""
     products = product_sales(fact, window, include_returns=True, include_samples=False)
-    ranked = total_order(products, [F.col("total_revenue").desc_nulls_last(), F.col("item_code").asc_nulls_last()],
-                         running={"_running": F.col("total_revenue")})
+    ranked = total_order(products, "total_revenue", ["item_code"], running={"_running": F.col("total_revenue")})
     total = products.agg(M.js_sum("total_revenue").alias("_total"),
                          M.js_sum(F.col("total_revenue") - F.col("total_cost")).alias("_margin"))
     cum = F.try_divide(F.col("_running"), F.col("_total")) * 100

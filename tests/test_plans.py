@@ -107,20 +107,57 @@ def test_positions_over_a_whole_population_are_not_one_task(spark):
     from pyspark.sql import functions as F
     from pricelens.operators.combine import ranked
     df = spark.range(3000).select((F.col("id") * 7919 % 1000).alias("v"), "id")
-    got = ranked(df, [F.col("v").desc(), F.col("id")], running={"sum": F.col("v").cast("double")})
+    got = ranked(df, "v", ["id"], running={"sum": F.col("v").cast("double")})
     order = sorted(((7919 * i % 1000, i) for i in range(3000)), key=lambda x: (-x[0], x[1]))
     total, want = 0, {}
     for k, (v, i) in enumerate(order):
         total += v
         want[i] = (k + 1, float(total))
     assert {r["id"]: (r["rank"], r["sum"]) for r in got.collect()} == want
-    same = ranked(df, [F.col("v").desc()], ties=True).collect()
+    same = ranked(df, "v", ties=True).collect()
     first = {}
     for k, (v, _) in enumerate(order):
         first.setdefault(v, k + 1)
     assert all(r["rank"] == first[r["v"]] for r in same)
 
 
+@pytest.mark.parametrize("name", ["u2_segmentation", "u4_concentration", "d2_product_mix", "x8_product_ranks", "x17_margin_contribution"])
+def test_building_a_ranked_query_runs_no_job(spark, name):
+    import __spark_entry__ as E
+    from pricelens.plans.registry import engine_for
+    found = [q for q in E.queries() if q.startswith(name)]
+    assert found
+    engine_for(spark, SF)  # the silver layer, built once an application
+    for q in found:
+        spark.sparkContext.setJobGroup(f"build-{q}", q)
+        try:
+            E.queries()[q](spark, SF)
+            assert not spark.sparkContext.statusTracker().getJobIdsForGroup(f"build-{q}"), q
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_positions_and_order_statistics_with_one_value_in_half_of_the_rows(spark):
+    import random
+    from pyspark.sql import functions as F
+    from pricelens.operators.combine import order_statistics, ranked
+    draw = random.Random(5)
+    values = [0.0] * 500 + [round(draw.gauss(0, 50), 2) for _ in range(480)] + [None] * 20
+    draw.shuffle(values)
+    down = sorted((v for v in values if v is not None), reverse=True)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v double").repartition(5)
+    for r in ranked(df, "v", ties=True).collect():
+        assert r["rank"] == (len(down) + 1 if r["v"] is None else 1 + down.index(r["v"]))
+    assert sorted(r["rank"] for r in ranked(df, "v", ["id"]).collect()) == list(range(1, 1001))
+    places = {f"p{k}": F.lit(k) for k in (1, 2, 300, 700, 979, 980, 981, 1000, 1001)} | {"mid": F.floor(F.col("n") * 0.33) + 1}
+    got = order_statistics(df, "v", places).first().asDict()
+    want = {f"p{k}": (down + [None] * 100)[k - 1] for k in (1, 2, 300, 700, 979, 980, 981, 1000, 1001)} | {"mid": down[330]}
+    assert got == want
+    empty = df.limit(0)
+    assert ranked(empty, "v", ["id"]).count() == 0 and ranked(empty, "v", ties=True).count() == 0
+    assert order_statistics(empty, "v", {"a": F.lit(1)}).first()["a"] is None
+
+
 def test_ordinary_data_does_not_abort(spark):
     from pricelens.operators import customer, quality
     from pricelens.operators.extended import herfindahl
