@@ -157,6 +157,12 @@ def sums_before(counts: DataFrame, key: str, value: str, within: list[str] | Non
         "_high", "_inside", "_below")
 
 
+def place_among(borders: Column, key: Column) -> Column:
+    """How many of ``borders``, an ascending array or null, are at most ``key``: found by halving."""
+    halves = F.array(*[F.lit(1 << b) for b in reversed(range(30))])
+    return F.aggregate(halves, F.lit(0), lambda at, step: F.when(F.get(borders, at + step - 1) <= key, at + step).otherwise(at))
+
+
 # ---------------------------------------------------------------------------
 # connected components
 

@@ -7,13 +7,16 @@ member a record, and beside it a run: the records' index entries in the same ord
 Arrow file in blocks of ``BLOCK`` entries.  A table of blocks (run, block, first and last key) names
 the files of the attempts that succeeded; files of lost attempts are never read.
 
-*Merging.* Range borders come from the blocks' first keys.  A task takes one range of keys,
-opens the blocks of all runs that reach into it and merges the runs with a loser tree,
-a block of each run in memory at a time.  Keys are (URL key, time, page_id), so the
+*Merging.* Passes merge groups of at most ``FAN_IN`` runs into one run each, written like the first ones, until
+one group is left; its pass gives the index.  In every pass a group's keys are cut into ranges of about
+``RANGE_ENTRIES`` entries, whose borders are the first keys of an even sample of its blocks, drawn by their hash.  A task
+takes one range of a group, opens the blocks of the runs that reach into it and merges them with a
+loser tree, a block of each run in memory at a time.  Keys are (URL key, time, page_id), so the
 captures of one hot URL or host spread over ranges.  Range after range and entry after
-entry the result is in global order: the capture history of every URL.
+entry the result is in global order: the capture history of every URL.  Borders are a key for every
+``RANGE_ENTRIES`` entries, joined to the table of blocks (an entry for every ``BLOCK``); neither comes to the driver.
 
-*Reading.* Records are fetched by file, offset and length and parsed; a response's digest
+*Reading.* A task an archive fetches its records by offset and length and parses them; a response's digest
 and length are taken from its payload, a revisit's from its headers.
 
 Cases: a null html is an empty payload; a null or odd URL has a key of its own text; several
@@ -32,12 +35,12 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyarrow import ipc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-MIN_REVISIT, BLOCK, RANGE_ENTRIES, MAX_RANGES = 100, 512, 100_000, 1024
+MIN_REVISIT, BLOCK, RANGE_ENTRIES, FAN_IN = 100, 512, 100_000, 256
 _LAST = (1 << 63) - 1  # stands for a null page_id in keys
 
 _ENTRY = pa.schema([("url_key", pa.string()), ("captured", pa.int64()), ("page_id", pa.int64()),
@@ -105,47 +108,67 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block.partition(b"\r\n\r\n")[2]
 
 
-def _write_task(folder: str):
-    names = ["run", "block", "n", "first_url", "first_time", "first_page", "last_url", "last_time", "last_page"]
+_BLOCK_KINDS = {"run": pa.string(), "path": pa.string(), "block": pa.int64(), "n": pa.int64(),
+                "first_url": pa.string(), "first_time": pa.int64(), "first_page": pa.int64(),
+                "last_url": pa.string(), "last_time": pa.int64(), "last_page": pa.int64()}
+_BLOCK_SCHEMA = ", ".join(f"{k} {'string' if t == pa.string() else 'long'}" for k, t in _BLOCK_KINDS.items())
 
+
+class _RunWriter:
+    """Writes sorted entries to an Arrow file in blocks of ``size``; ``blocks`` are their rows of the table of blocks."""
+
+    def __init__(self, run: str, path: str, size: int):
+        fs, where = common.open_filesystem(path)
+        fs.create_dir(where.rpartition("/")[0], recursive=True)
+        self.run, self.path, self.size, self.blocks, self.entries = run, path, size, [], []
+        self.sink = fs.open_output_stream(where, compression=None)
+        self.file = ipc.new_file(self.sink, _ENTRY)
+
+    def add(self, entry: tuple) -> None:
+        self.entries.append(entry)
+        if len(self.entries) == self.size:
+            self._flush()
+
+    def _flush(self) -> None:
+        self.file.write_batch(pa.RecordBatch.from_arrays(
+            [pa.array(x, t) for x, t in zip(zip(*self.entries), _ENTRY.types)], schema=_ENTRY))
+        a, z = self.entries[0], self.entries[-1]
+        self.blocks.append((self.run, self.path, len(self.blocks), len(self.entries), *a[:3], *z[:3]))
+        self.entries = []
+
+    def close(self) -> list[tuple]:
+        if self.entries:
+            self._flush()
+        self.file.close()
+        self.sink.close()
+        return self.blocks
+
+
+def _block_rows(blocks: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*blocks)) or [()] * len(_BLOCK_KINDS)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _BLOCK_KINDS.values())], list(_BLOCK_KINDS))
+
+
+def _write_task(folder: str, size: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        fs, base = common.open_filesystem(folder)
         name = f"{context.partitionId():06d}-{context.taskAttemptId()}"
-        sinks, run, entries, blocks, offset = [], None, [], [], 0
-
-        def flush():
-            run.write_batch(pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(zip(*entries), _ENTRY.types)], schema=_ENTRY))
-            a, z = entries[0], entries[-1]
-            blocks.append((f"{folder}/run-{name}.arrow", len(blocks), len(entries), *a[:3], *z[:3]))
-            entries.clear()
-
+        archive, run, sink, offset = f"{folder}/pages-{name}.warc.gz", None, None, 0
         try:
             for batch in batches:
                 for page, url, key, captured, payload, digest, refers in zip(*(c.to_pylist() for c in batch.columns)):
                     if run is None:
-                        fs.create_dir(base, recursive=True)
-                        sinks = [fs.open_output_stream(f"{base}/{x}-{name}.{y}", compression=None)
-                                 for x, y in (("pages", "warc.gz"), ("run", "arrow"))]
-                        run = ipc.new_file(sinks[1], _ENTRY)
+                        run = _RunWriter(name, f"{folder}/run-{name}.arrow", size)
+                        fs, where = common.open_filesystem(archive)
+                        sink = fs.open_output_stream(where, compression=None)
                     member = gzip.compress(_record(page, url, captured, payload, digest, refers), 6, mtime=0)
-                    sinks[0].write(member)
-                    entries.append((key, captured, _LAST if page is None else page,
-                                    f"{folder}/pages-{name}.warc.gz", offset, len(member)))
+                    sink.write(member)
+                    run.add((key, captured, _LAST if page is None else page, archive, offset, len(member)))
                     offset += len(member)
-                    if len(entries) == BLOCK:
-                        flush()
-            if entries:
-                flush()
-            if run is not None:
-                run.close()
         finally:
-            for s in sinks:
-                s.close()
-        columns = list(zip(*blocks)) or [()] * len(names)
-        kinds = (pa.string(), *[pa.int64()] * 2, pa.string(), *[pa.int64()] * 2, pa.string(), *[pa.int64()] * 2)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+            if sink is not None:
+                sink.close()
+        yield _block_rows(run.close() if run is not None else [])
     return write
 
 
@@ -154,8 +177,7 @@ def write(page_records: DataFrame) -> DataFrame:
     folder = common.shared_folder(page_records.sparkSession, "warc")
     rows = page_records.sortWithinPartitions("url_key", "captured", F.col("page_id").asc_nulls_last())
     return common.written(rows.select("page_id", "url", "url_key", "captured", "payload", "digest", "refers_to").mapInArrow(
-        _write_task(folder), "run string, block long, n long, first_url string, first_time long, first_page long, "
-        "last_url string, last_time long, last_page long"), "warc-blocks")
+        _write_task(folder, BLOCK), _BLOCK_SCHEMA), "warc-blocks")
 
 
 class LoserTree:
@@ -192,73 +214,97 @@ class LoserTree:
             self._play(i)
 
 
-def _entries(run: str, blocks: list[int], low: tuple, high: tuple | None) -> Iterator[tuple]:
-    """The entries of a run's blocks with low <= key < high; one block is in memory at a time."""
-    fs, path = common.open_filesystem(run)
-    for block in blocks:
-        with fs.open_input_file(path) as source:
+def _entries(blocks: list[tuple[str, int]], low: tuple | None, high: tuple | None) -> Iterator[tuple]:
+    """The entries of a run's blocks (file, block) with low <= key < high; one block is in memory at a time."""
+    for path, block in blocks:
+        fs, where = common.open_filesystem(path)
+        with fs.open_input_file(where) as source:
             rows = ipc.open_file(source).get_batch(block).to_pylist()
         for r in rows:
             entry = tuple(r.values())
-            if entry[:3] >= low and (high is None or entry[:3] < high):
+            if (low is None or entry[:3] >= low) and (high is None or entry[:3] < high):
                 yield entry
 
 
-def _merge_task(borders: list[tuple]):
+def _merges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, LoserTree]]:
+    """(group, range, merged entries) of rows in order of group, range and run."""
+    now, low, high, runs = None, None, None, {}
+    for batch in batches:
+        for group, number, run, path, block, *keys in zip(*(c.to_pylist() for c in batch.columns)):
+            if now is not None and (group, number) != now:
+                yield *now, LoserTree([_entries(b, low, high) for b in runs.values()])
+                runs = {}
+            now = group, number
+            low, high = (tuple(k.values()) if k else None for k in keys)
+            runs.setdefault(run, []).append((path, block))
+    if now is not None:
+        yield *now, LoserTree([_entries(b, low, high) for b in runs.values()])
+
+
+def _merge_to_runs(folder: str, size: int):
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def merged(number: int, runs: dict[str, list[int]]):
-            low = borders[number - 1] if number else ("", -(1 << 63), -(1 << 63))
-            high = borders[number] if number < len(borders) else None
-            rows, at = [], 0
-            for entry in LoserTree([_entries(r, b, low, high) for r, b in runs.items()]):
-                rows.append(entry)
-                if len(rows) == 4096:
-                    yield out(number, at, rows)
-                    at, rows = at + len(rows), []
-            yield out(number, at, rows)
-
-        def out(number, at, rows):
-            columns = list(zip(*rows)) or [()] * len(_ENTRY)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([number] * len(rows), pa.int64()), pa.array(range(at, at + len(rows)), pa.int64()),
-                 *(pa.array(c, t) for c, t in zip(columns, _ENTRY.types))],
-                ["index_range", "index_row", *_ENTRY.names])
-
-        now, runs = None, {}
-        for batch in batches:
-            for number, run, block in zip(*(c.to_pylist() for c in batch.columns)):
-                if now is not None and number != now:
-                    yield from merged(now, runs)
-                    runs = {}
-                now = number
-                runs.setdefault(run, []).append(block)
-        if now is not None:
-            yield from merged(now, runs)
+        for group, number, merged in _merges(batches):
+            run = None
+            for entry in merged:
+                if run is None:
+                    run = _RunWriter(str(group), f"{folder}/run-{group}-{number}-{TaskContext.get().taskAttemptId()}.arrow", size)
+                run.add(entry)
+            yield _block_rows(run.close() if run is not None else [])
     return merge
 
 
-def merged_index(blocks: DataFrame, range_entries: int = RANGE_ENTRIES) -> DataFrame:
-    """All index entries in global order of (index_range, index_row)."""
-    total = blocks.agg(F.sum("n")).first()[0] or 0
-    ranges = max(1, min(MAX_RANGES, -(-total // range_entries)))
-    key = F.struct(F.col("first_url").alias("u"), F.col("first_time").alias("t"), F.col("first_page").alias("p"))
-    last = F.struct(F.col("last_url").alias("u"), F.col("last_time").alias("t"), F.col("last_page").alias("p"))
-    borders = []
-    if ranges > 1:  # a key for each range comes to the driver
-        cut = blocks.select(key.alias("k")).repartitionByRange(ranges, "k").groupBy(
-            F.spark_partition_id().alias("i")).agg(F.min("k").alias("k"))
-        borders = sorted(tuple(r["k"]) for r in cut.collect())[1:]
-    known = F.array(*[F.struct(F.lit(u).alias("u"), F.lit(t).cast("long").alias("t"), F.lit(p).cast("long").alias("p"))
-                      for u, t, p in borders]) if borders else None
-
-    def number(k: Column) -> Column:
-        return F.size(F.filter(known, lambda b: b <= k)) if borders else F.lit(0)
-
-    tasks = blocks.select(F.explode(F.sequence(number(key).cast("long"), number(last).cast("long"))).alias("number"), "run", "block")
-    # a table of few rows: the files hold the entries
-    return tasks.repartition(len(borders) + 1, "number").sortWithinPartitions("number", "run", "block").mapInArrow(
-        _merge_task(borders), "index_range long, index_row long, url_key string, captured long, page_id long, "
-        "path string, offset long, length long")
+def _merge_to_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def out(number, at, rows):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number] * len(rows), pa.int64()), pa.array(range(at, at + len(rows)), pa.int64()),
+             *(pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * len(_ENTRY), _ENTRY.types))],
+            ["index_range", "index_row", *_ENTRY.names])
+
+    for _, number, merged in _merges(batches):
+        rows, at = [], 0
+        for entry in merged:
+            rows.append(entry)
+            if len(rows) == 4096:
+                yield out(number, at, rows)
+                at, rows = at + len(rows), []
+        yield out(number, at, rows)
+
+
+def _ranges(blocks: DataFrame, range_entries: int, tasks: int) -> DataFrame:
+    """Blocks (with their ``group``) dealt to the ranges of keys of their group: a row for each range that a block reaches into."""
+    def key(end: str) -> Column:
+        return F.struct(F.col(f"{end}_url").alias("u"), F.col(f"{end}_time").alias("t"), F.col(f"{end}_page").alias("p"))
+
+    drawn = F.pmod(F.xxhash64("first_url", "first_time", "first_page"), F.lit(max(1, range_entries // BLOCK))) == 0
+    borders = blocks.where(drawn).groupBy("group").agg(F.array_sort(F.collect_set(key("first"))).alias("_borders"))
+    dealt = blocks.join(borders, "group", "left").select(
+        "group", "run", "path", "block", key("first").alias("first"), key("last").alias("last"), "_borders",
+        F.explode(F.sequence(common.place_among(F.col("_borders"), key("first")),
+                             common.place_among(F.col("_borders"), key("last")))).alias("number"))
+    return dealt.select("group", F.col("number").cast("long").alias("number"), "run", "path", "block",
+                        F.get("_borders", F.col("number") - 1).alias("low"), F.get("_borders", F.col("number")).alias("high"),
+                        "first", "last").repartition(tasks, "group", "number").sortWithinPartitions(
+        "group", "number", "run", "first", "last", "path", "block").drop("first", "last")
+
+
+def merged_index(blocks: DataFrame, range_entries: int = RANGE_ENTRIES, fan_in: int = FAN_IN) -> DataFrame:
+    """All index entries in global order of (index_range, index_row), as a table in the shared folder."""
+    spark = blocks.sparkSession
+    total, runs = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_distinct("run")).first()
+    tasks = max(1, -(-total // range_entries))
+    passes = 0
+    while runs > fan_in:
+        groups, passes = -(-runs // fan_in), passes + 1
+        order = Window.orderBy("run")  # a row a run
+        numbers = blocks.select("run").distinct().withColumn("group", F.floor((F.row_number().over(order) - 1) / fan_in))
+        folder = common.shared_folder(spark, f"warc-pass{passes}")
+        blocks = common.written(_ranges(blocks.join(numbers, "run"), range_entries, tasks + groups).mapInArrow(
+            _merge_to_runs(folder, BLOCK), _BLOCK_SCHEMA), f"warc-blocks{passes}")
+        runs = groups
+    last = _ranges(blocks.withColumn("group", F.lit(0).cast("long")), range_entries, tasks)
+    return common.written(last.mapInArrow(
+        _merge_to_index, "index_range long, index_row long, url_key string, captured long, page_id long, "
+        "path string, offset long, length long"), "warc-index")
 
 
 def _fetch_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +312,7 @@ def _fetch_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              "index_range", "index_row"]
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
     for batch in batches:
-        rows = sorted(zip(*(c.to_pylist() for c in batch.columns)), key=lambda r: (r[5], r[6]))  # along the files
+        rows = sorted(zip(*(c.to_pylist() for c in batch.columns)), key=lambda r: (r[5], r[6]))  # file by file, along each
         found, opened, now = [], None, None
         for number, row, key, captured, page, path, offset, length in rows:
             if path != now:
@@ -290,6 +336,7 @@ def _fetch_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read(index: DataFrame) -> DataFrame:
     """The archives' records in index entries: page_id, payload_bytes, payload_digest, record_type, refers_to, ..."""
-    return index.mapInArrow(
+    archives = max(1, index.agg(F.count_distinct("path")).first()[0])
+    return index.repartition(archives, "path").mapInArrow(
         _fetch_task, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, "
         "url_key string, captured long, index_range long, index_row long")

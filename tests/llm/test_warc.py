@@ -52,6 +52,45 @@ def test_archives_round_trip_in_index_order(spark, monkeypatch):
                   for r in got) == sorted(want)
 
 
+def test_more_runs_than_the_fan_in_are_merged_in_passes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK", 3)
+    rows, pages = _pages(spark)
+    blocks = warc.write(warc.records(pages).repartition(23))
+    assert blocks.select("run").distinct().count() == 23
+    one = warc.merged_index(blocks, range_entries=30, fan_in=1000)
+    many = warc.merged_index(blocks, range_entries=30, fan_in=3)  # 23, 8, 3 runs
+    columns = ["url_key", "captured", "page_id", "path", "offset", "length"]
+
+    def keys(index):
+        return [tuple(r[c] for c in columns) for r in index.orderBy("index_range", "index_row").collect()]
+
+    got = keys(many)
+    assert [k[:3] for k in got] == sorted(k[:3] for k in got) and len(got) == len(rows)
+    assert sorted(got) == sorted(keys(one))
+    assert warc.read(many).count() == len(rows)
+
+
+def test_blocks_are_dealt_to_the_ranges_they_reach(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK", 3)
+    _, pages = _pages(spark)
+    blocks = warc.write(warc.records(pages).repartition(9))
+    runs = blocks.select("run").distinct().withColumn("group", F.abs(F.hash("run")) % 2)
+    dealt = warc._ranges(blocks.join(runs, "run").withColumn("group", F.col("group").cast("long")), 30, 4).collect()
+    for r in dealt:  # every row's block reaches into its range, and no block is missing from one that it reaches
+        assert r["low"] is None or r["high"] is None or tuple(r["low"]) < tuple(r["high"])
+    reached = {(r["path"], r["block"]) for r in dealt}
+    assert reached == {(b["path"], b["block"]) for b in blocks.collect()}
+
+
+def test_one_key_in_very_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK", 4)
+    pages = spark.createDataFrame([(7, "http://a.b/hot", "x")] * 200 + [(i, "http://a.b/c", str(i)) for i in range(40)],
+                                  "page_id long, url string, html string").repartition(6)
+    index = warc.merged_index(warc.write(warc.records(pages).repartition(6)), range_entries=8, fan_in=2)
+    keys = [(r["url_key"], r["captured"], r["page_id"]) for r in index.orderBy("index_range", "index_row").collect()]
+    assert len(keys) == 240 and keys == sorted(keys)
+
+
 def test_records_are_standard_members(spark):
     _, pages = _pages(spark)
     blocks = warc.write(warc.records(pages.where("page_id = 1001")))
