@@ -29,9 +29,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import place_among
+
 IDENTITY, LANES, RUN, LONG_WORD = 8, 126, 3, 32
-#: Documents that are neighbours in order share a bucket of about so many rows.
-BUCKET_ROWS, MAX_BUCKETS = 4000, 1024
+#: Documents that are neighbours in order share a bucket of about so many rows; beyond so many buckets (8 bytes each reach
+#: the tasks) they grow, which costs no memory: a bucket is sorted, spilled and read in order.
+BUCKET_ROWS, MAX_BUCKETS = 4000, 1 << 16
+_OVERSAMPLE = 8  # sampled keys for each start of a bucket, so that buckets are alike
 
 # Two lanes of 31 bits, 32 apart, share a long; each of the two 64-bit hashes of a run gives up to 32 longs.
 _BITS, _PER_LONG = 32, 2
@@ -137,23 +141,25 @@ def with_next(documents: DataFrame) -> DataFrame:
     """doc_id, text, and ``next_text``, that of the next document in order of doc_id (of the
     first, after the last); the rows of a bucket are in one partition, in order ``_row``.
 
-    Buckets are ranges of doc_id between approximate quantiles.  A bucket's first rows are
-    also sent to the bucket before (``_ghost``), so one shuffle of the texts is enough."""
+    Buckets are ranges of doc_id; every ``_OVERSAMPLE``-th of the keys drawn by their hash begins one.  A bucket's first
+    rows are also sent to the bucket before (``_ghost``), so one shuffle of the texts is enough."""
     docs = documents.select(documents["doc_id"], F.coalesce(documents["text"], F.lit("")).alias("text"))
-    docs = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
-    rows, least = docs.agg(F.count(F.lit(1)), F.min("_key")).first()
-    n = max(1, min(MAX_BUCKETS, rows // BUCKET_ROWS))
-    cuts = docs.agg(F.percentile_approx("_key", [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] if n > 1 else None
-    starts = sorted({least if least is not None else 0, *(cuts or [])})  # each is some row's key
-    first, last = 0, len(starts) - 1
-    known = F.array(*[F.lit(s).cast("long") for s in starts])
-    bucket = F.size(F.filter(known, lambda s: s <= F.col("_key"))) - 1
-    before = F.when(F.col("_b") == first, F.lit(last)).otherwise(F.col("_b") - 1)
-    heads = F.array_contains(known, F.col("_key"))
-    copies = F.when(heads, F.array(F.struct(F.col("_b").alias("bucket"), F.lit(0).alias("ghost")),
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    keys = docs.select(key.alias("_key"))
+    rows = keys.count()
+    drawn = F.pmod(F.xxhash64("_key"), F.lit(max(BUCKET_ROWS, -(-rows // MAX_BUCKETS)) // _OVERSAMPLE or 1)) == 0
+    sample = F.filter(F.array_sort(F.collect_set(F.when(drawn, F.col("_key")))), lambda k, i: i % _OVERSAMPLE == 0)
+    least = F.coalesce(F.min("_key"), F.lit(0).cast("long"))
+    starts = keys.agg(F.array_sort(F.array_union(F.array(least), sample)).alias("starts")).scalar()  # each is some row's key
+    # read once and before the key is a column, the starts stay the subquery's one array: no row carries a copy
+    own = F.get(F.transform(F.array("_starts"), lambda s: F.transform(F.array(place_among(s, key) - 1), lambda b: F.struct(
+        b.alias("bucket"), (F.get(s, b) == key).alias("head"), (F.size(s) - 1).alias("last")))[0]), F.lit(0))
+    docs = docs.withColumn("_starts", starts).withColumn("_own", own).drop("_starts").withColumns({"_b": F.col("_own.bucket"), "_last": F.col("_own.last"), "_head": F.col("_own.head"), "_key": key})
+    before = F.when(F.col("_b") == 0, F.col("_last")).otherwise(F.col("_b") - 1)
+    copies = F.when(F.col("_head"), F.array(F.struct(F.col("_b").alias("bucket"), F.lit(0).alias("ghost")),
                                    F.struct(before.alias("bucket"), F.lit(1).alias("ghost")))) \
         .otherwise(F.array(F.struct(F.col("_b").alias("bucket"), F.lit(0).alias("ghost"))))
-    dealt = docs.withColumn("_b", bucket).withColumn("_copy", F.explode(copies)).select(
+    dealt = docs.withColumn("_copy", F.explode(copies)).select(
         "doc_id", "text", "_key", F.col("_copy.bucket").alias("_bucket"), F.col("_copy.ghost").alias("_ghost"))
     order = Window.partitionBy("_bucket").orderBy("_ghost", "_key", F.xxhash64("text"))
     return dealt.withColumns({"_row": F.row_number().over(order), "next_text": F.lead("text").over(order)})

@@ -271,19 +271,23 @@ def _merge_to_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _ranges(blocks: DataFrame, range_entries: int, tasks: int) -> DataFrame:
-    """Blocks (with their ``group``) dealt to the ranges of keys of their group: a row for each range that a block reaches into."""
+    """Blocks dealt to the ranges of keys of their ``group`` (without that column, of all): a row for each range that a block reaches into."""
     def key(end: str) -> Column:
         return F.struct(F.col(f"{end}_url").alias("u"), F.col(f"{end}_time").alias("t"), F.col(f"{end}_page").alias("p"))
 
-    drawn = F.pmod(F.xxhash64("first_url", "first_time", "first_page"), F.lit(max(1, range_entries // BLOCK))) == 0
-    borders = blocks.where(drawn).groupBy("group").agg(F.array_sort(F.collect_set(key("first"))).alias("_borders"))
-    dealt = blocks.join(borders, "group", "left").select(
-        "group", "run", "path", "block", key("first").alias("first"), key("last").alias("last"), "_borders",
-        F.explode(F.sequence(common.place_among(F.col("_borders"), key("first")),
-                             common.place_among(F.col("_borders"), key("last")))).alias("number"))
-    return dealt.select("group", F.col("number").cast("long").alias("number"), "run", "path", "block",
-                        F.get("_borders", F.col("number") - 1).alias("low"), F.get("_borders", F.col("number")).alias("high"),
-                        "first", "last").repartition(tasks, "group", "number").sortWithinPartitions(
+    drawn = blocks.where(F.pmod(F.xxhash64("first_url", "first_time", "first_page"), F.lit(max(1, range_entries // BLOCK))) == 0)
+    sample = F.array_sort(F.collect_set(key("first"))).alias("_borders")
+    if "group" in blocks.columns:
+        blocks = blocks.join(drawn.groupBy("group").agg(sample), "group", "left")
+    else:  # read once below, the borders stay the subquery's one array: no row carries a copy
+        blocks = blocks.withColumns({"group": F.lit(0).cast("long"), "_borders": drawn.agg(sample).scalar()})
+    reached = F.get(F.transform(F.array("_borders"), lambda b: F.transform(
+        F.sequence(common.place_among(b, key("first")), common.place_among(b, key("last"))),
+        lambda i: F.struct(i.cast("long").alias("number"), F.get(b, i - 1).alias("low"), F.get(b, i).alias("high")))), F.lit(0))
+    dealt = blocks.select("group", "run", "path", "block", key("first").alias("first"), key("last").alias("last"),
+                          reached.alias("_reached")).withColumn("to", F.explode("_reached"))
+    return dealt.select("group", F.col("to.number").alias("number"), "run", "path", "block", F.col("to.low").alias("low"),
+                        F.col("to.high").alias("high"), "first", "last").repartition(tasks, "group", "number").sortWithinPartitions(
         "group", "number", "run", "first", "last", "path", "block").drop("first", "last")
 
 
@@ -301,7 +305,7 @@ def merged_index(blocks: DataFrame, range_entries: int = RANGE_ENTRIES, fan_in:
         blocks = common.written(_ranges(blocks.join(numbers, "run"), range_entries, tasks + groups).mapInArrow(
             _merge_to_runs(folder, BLOCK), _BLOCK_SCHEMA), f"warc-blocks{passes}")
         runs = groups
-    last = _ranges(blocks.withColumn("group", F.lit(0).cast("long")), range_entries, tasks)
+    last = _ranges(blocks, range_entries, tasks)
     return common.written(last.mapInArrow(
         _merge_to_index, "index_range long, index_row long, url_key string, captured long, page_id long, "
         "path string, offset long, length long"), "warc-index")
