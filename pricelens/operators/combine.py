@@ -56,13 +56,13 @@ def in_ranges(df: DataFrame, key: Column) -> DataFrame:
     the keys alone, so each reading of a plan finds the same ranges and nothing has to be kept between
     two of them.  They reach the rows as a scalar subquery; a row finds its range by halving."""
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.withColumn("_key", key)
-    sample = keyed.select("_key").orderBy(F.xxhash64("_key"), "_key").limit(ranges - 1)
+    sample = df.select(key.alias("_key")).orderBy(F.xxhash64("_key"), "_key").limit(ranges - 1)
     borders = sample.agg(F.array_sort(F.collect_list("_key")).alias("_b")).scalar()
     halves = F.array(*[F.lit(1 << b) for b in reversed(range(ranges.bit_length()))])
-    place = F.aggregate(halves, F.lit(0), lambda at, step: F.when(
-        F.get("_borders", at + step - 1) <= F.col("_key"), at + step).otherwise(at))
-    return keyed.withColumn("_borders", borders).withColumn("_range", place).drop("_borders")
+    # read once and before the key is a column, the borders stay the subquery's own array in most plans, without a copy a row
+    places = F.transform(F.array("_borders"), lambda b: F.aggregate(halves, F.lit(0), lambda at, step: F.when(
+        F.get(b, at + step - 1) <= key, at + step).otherwise(at)))
+    return df.withColumn("_borders", borders).withColumn("_range", F.get(places, F.lit(0))).drop("_borders").withColumn("_key", key)
 
 
 def ranked(df: DataFrame, largest: str, then: list[str] | None = None, rank: str = "rank",
