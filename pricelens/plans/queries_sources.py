@@ -9,9 +9,12 @@ from weakref import WeakKeyDictionary
 from pyspark.sql import functions as F
 
 from ..session import shared_checkpoint_dir
+from ..operators import cleaning, margin
 from ..sources import files, schemas
+from ..streaming import merge
 from .oracle_base import with_base
-from .registry import register
+from .queries_core import _q, b2, m1
+from .registry import WHOLE, register
 
 _EXPORTS: WeakKeyDictionary = WeakKeyDictionary()
 
@@ -92,3 +95,14 @@ def s7_reset_then_append(e):
     f"SELECT '{name}' AS table_name, count(*) AS row_count FROM ({sql})" for name, sql in _TABLES.items())))
 def s8_import_summary(e):
     return files.import_summary(_imports(e))
+
+
+@register("s9_margin_of_merged_batches", _q(b2("b", returns=False, samples=False), m1("m", "b"), select="SELECT * FROM m"))
+def s9_margin_of_merged_batches(e):
+    """M1 over all customers of a layer that got its sales in two batches, which cut every customer's lines."""
+    spark, path = e.tables.sales.sparkSession, f"{shared_checkpoint_dir(e.tables.sales.sparkSession).rstrip('/')}/pricelens-merged/{uuid.uuid4().hex}"
+    merge.start(e.tables, path)
+    second = F.pmod(F.xxhash64("invoice_number", "item_code"), F.lit(3)) == 0
+    for version, batch in enumerate((e.raw.sales_raw.where(~second), e.raw.sales_raw.where(second)), 1):
+        merge.merge_sales(spark, path, cleaning.apply_business_rules(batch), version)
+    return margin.customer_profitability(merge.engine(spark, path).fact, WHOLE, limit=None)
