@@ -75,15 +75,20 @@ def ranked(df: DataFrame, largest: str, then: list[str] | None = None, rank: str
     the least position (``then`` and ``running`` are not used); positions are those of the distinct values, counted before
     the shuffle, so that a value of very many rows is no task of its own."""
     if ties:
-        values = df.groupBy(F.col(largest).alias("_value")).agg(F.count(F.lit(1)).alias("_rows"))
-        placed = _running(values, sort_key("_value"), {"_upto": F.col("_rows").cast("long")}).select(
-            "_value", (F.col("_upto") - F.col("_rows") + 1).alias(rank))
-        return df.join(placed, F.col(largest).eqNullSafe(F.col("_value"))).select(*df.columns, rank)
+        return with_places(df, df, largest, rank)
     sums = {rank: F.lit(1).cast("long")} | {k: v.cast(WIDE_MONEY) for k, v in (running or {}).items()}
     out = _running(df, sort_key(largest, then), sums)
     return out.select(*df.columns, rank, *[F.col(k).cast("double").alias(k) for k in running or {}])
 
 
+def with_places(df: DataFrame, population: DataFrame, largest: str, rank: str) -> DataFrame:
+    """``df`` with the least position of its value of ``largest`` in ``population``, the largest first, nulls last."""
+    values = population.groupBy(F.col(largest).alias("_value")).agg(F.count(F.lit(1)).alias("_rows"))
+    placed = _running(values, sort_key("_value"), {"_upto": F.col("_rows").cast("long")}).select(
+        "_value", (F.col("_upto") - F.col("_rows") + 1).alias(rank))
+    return df.join(placed, F.col(largest).eqNullSafe(F.col("_value"))).select(*df.columns, rank)
+
+
 def _running(df: DataFrame, key: Column, sums: dict[str, Column]) -> DataFrame:
     """``df`` with the sum of each of ``sums`` over the rows up to and including its own, in order of ``key``."""
     rows = in_ranges(df, key)

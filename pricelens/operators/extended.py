@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
-from .combine import ranked as total_order
+from .combine import ranked as total_order, with_places
 from .combine import aggregated, side_by_side
 from .facts import Analysis, DateWindow, base_filter, line_cost, newest, product_sales, customer_sales
 from . import customer as customer_ops
@@ -161,9 +161,9 @@ def herfindahl(fact: DataFrame, window: DateWindow) -> DataFrame:
 
 def product_ranks(fact: DataFrame, window: DateWindow) -> DataFrame:
     """M2 products with their revenue and margin ranks among all products."""
-    out = product_performance(fact, window, limit=None)
-    out = total_order(out, "revenue", rank="revenue_rank", ties=True)
-    return total_order(out, "margin", rank="margin_rank", ties=True)
+    products = product_performance(fact, window, limit=None)
+    # both ranks from the products, not one from the other's result, which would be computed anew for each reading
+    return with_places(with_places(products, products, "revenue", "revenue_rank"), products, "margin", "margin_rank")
 
 
 def cannibalisation_switching(fact: DataFrame, window: DateWindow, min_shared_customers: int = 5,
