@@ -29,7 +29,7 @@ def main() -> None:
 
     spark = local_session(cpus, shuffle_partitions=int(cpus), driver_memory="16g")
     t0 = time.time()
-    registry.silver_path(spark, sf_dir)
+    registry.engine_for(spark, sf_dir)
     clean = time.time() - t0
 
     timings: dict[str, float] = {}

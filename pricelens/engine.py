@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .operators.facts import Tables, DateWindow, enrich
 from .sources import testdata
+from .sources.sinks import Silver, read_silver
 
 
 class Engine:
@@ -36,13 +37,12 @@ class Engine:
 
     @classmethod
     def from_silver(cls, spark: SparkSession, path: str, as_of: str = "2001-08-01", raw=None) -> "Engine":
-        from .sources.sinks import read_silver
         tables, fact = read_silver(spark, path)
         return cls(tables, as_of, raw, fact)
 
     @cached_property
     def fact(self) -> DataFrame:
-        return enrich(self.tables)
+        return self.tables.fact if isinstance(self.tables, Silver) else enrich(self.tables)
 
     def window(self, start: str | None = None, end: str | None = None) -> DateWindow:
         return DateWindow(start, end, self.as_of)

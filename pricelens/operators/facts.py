@@ -33,14 +33,19 @@ class Tables:
 
     @classmethod
     def from_raw(cls, raw: RawTables) -> "Tables":
-        return cls(
-            sales=cleaning.clean_sales(raw.sales_raw),
-            landed_costs=cleaning.dedup_first(raw.landed_costs).drop("load_key"),
-            catalogue_prices=cleaning.dedup_first(raw.catalogue_prices).drop("load_key"),
-            customers=raw.customer_product_keys,
-            pallets=cleaning.drop_empty_pallets(raw.pallet_sizes),
-            raw=raw,
-        )
+        names = ("sales", "landed_costs", "catalogue_prices", "customers", "pallets")
+        return cls(**{n: cls.cleaned(n, raw) for n in names}, raw=raw)
+
+    @staticmethod
+    def cleaned(name: str, raw: RawTables) -> DataFrame:
+        """One of the tables; only the raw table that it comes from is looked at."""
+        if name == "sales":
+            return cleaning.clean_sales(raw.sales_raw)
+        if name == "customers":
+            return raw.customer_product_keys
+        if name == "pallets":
+            return cleaning.drop_empty_pallets(raw.pallet_sizes)
+        return cleaning.dedup_first(getattr(raw, name)).drop("load_key")
 
 
 @dataclass(frozen=True)

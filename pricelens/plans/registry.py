@@ -17,10 +17,10 @@ import threading
 import uuid
 
 from ..engine import Engine
-from ..operators.facts import Tables, DateWindow
+from ..operators.facts import DateWindow
 from ..session import shared_checkpoint_dir
 from ..sources import testdata
-from ..sources.sinks import read_bronze, write_bronze, write_silver
+from ..sources.sinks import RAW_TABLES, TABLES, Bronze, Silver
 
 AS_OF = "2001-08-01"
 START, END = "1995-01-01", "2001-08-01"
@@ -44,45 +44,34 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-_SILVER: dict[tuple[str, str], str] = {}
 _LOCK = threading.Lock()
+_ENGINES: dict[tuple[str, str], Engine] = {}
 
 
-def silver_path(spark: SparkSession, sf_dir: str) -> str:
-    """Import the fixture tables once per application (bronze: the raw rows as
-    loaded, like the reference's raw database), clean them into the silver layer,
-    and keep both as Parquet.
+def lazy_engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """One engine per (application, tables), over the fixture tables imported once per application (bronze:
+    the raw rows as loaded, like the reference's raw database) and cleaned into the silver layer, both as Parquet.
 
-    The silver copy lives under the cluster's shared ``spark.checkpoint.dir``, so
-    it survives executor loss, and it cuts the lineage of the adapter and the
-    cleaning rules out of every query plan.
+    A table of either layer is written when a query first asks for it, so a query pays only for those it reads.
+    They live under the cluster's shared ``spark.checkpoint.dir``, so they survive executor loss, and cut the
+    lineage of the adapter and the cleaning rules out of every query plan.
     """
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     with _LOCK:
-        path = _SILVER.get(key)
-        if path is None:
-            base = shared_checkpoint_dir(spark)
-            path = f"{base.rstrip('/')}/pricelens-silver/{uuid.uuid4().hex}"
-            raw = testdata.load(spark, sf_dir)
-            write_bronze(raw, f"{path}/bronze")
-            write_silver(Tables.from_raw(read_bronze(spark, f"{path}/bronze")), path)
-            _SILVER[key] = path
-    return path
-
-
-_ENGINES: dict[tuple[str, str], Engine] = {}
+        if key not in _ENGINES:
+            path = f"{shared_checkpoint_dir(spark).rstrip('/')}/pricelens-silver/{uuid.uuid4().hex}"
+            raw = Bronze(testdata.load(spark, sf_dir), spark, f"{path}/bronze")
+            _ENGINES[key] = Engine(Silver(raw, spark, path), AS_OF)
+        return _ENGINES[key]
 
 
 def engine_for(spark: SparkSession, sf_dir: str) -> Engine:
-    """One engine per (application, tables): its DataFrames are lazy and immutable,
-    so every query shares the same scans of the silver layer."""
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
-    path = silver_path(spark, sf_dir)
-    with _LOCK:
-        if key not in _ENGINES:
-            _ENGINES[key] = Engine.from_silver(spark, path, as_of=AS_OF,
-                                               raw=lambda: read_bronze(spark, f"{path}/bronze"))
-        return _ENGINES[key]
+    """The engine with all tables of both layers written."""
+    e = lazy_engine(spark, sf_dir)
+    for layer, names in ((e.raw, RAW_TABLES), (e.tables, (*TABLES, "fact"))):
+        for name in names:
+            getattr(layer, name)
+    return e
 
 
 def _load_all() -> None:
@@ -92,7 +81,7 @@ def _load_all() -> None:
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     _load_all()
-    return {n: (lambda q: (lambda spark, sf_dir: q.build(engine_for(spark, sf_dir))))(q)
+    return {n: (lambda q: (lambda spark, sf_dir: q.build(lazy_engine(spark, sf_dir))))(q)
             for n, q in QUERIES.items()}
 
 

@@ -1,59 +1,112 @@
-"""Persist the cleaned tables as Parquet ("silver") and read them back."""
+"""Persist the raw tables ("bronze") and the cleaned ones ("silver") as Parquet and read them back."""
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.cleaning import SALES_COLUMNS
 from ..operators.facts import Tables, enrich
 from .testdata import RawTables
 
 RAW_TABLES = ("sales_raw", "landed_costs", "catalogue_prices", "customer_product_keys", "pallet_sizes")
+TABLES = ("sales", "landed_costs", "catalogue_prices", "customers", "pallets")
+
+
+def _write(df: DataFrame, path: str, mode: str) -> None:
+    df.write.mode(mode).option("compression", "zstd").parquet(path)
 
 
 def write_bronze(raw: RawTables, path: str, mode: str = "overwrite") -> None:
     """Persist the imported, not yet cleaned tables (the raw database of the reference)."""
     for name in RAW_TABLES:
-        getattr(raw, name).write.mode(mode).parquet(f"{path}/{name}")
+        _write(getattr(raw, name), f"{path}/{name}", mode)
 
 
 def read_bronze(spark: SparkSession, path: str) -> RawTables:
     return RawTables(**{n: spark.read.parquet(f"{path}/{n}") for n in RAW_TABLES})
 
-TABLES = ("sales", "landed_costs", "catalogue_prices", "customers", "pallets")
-
 
 def write_silver(t: Tables, path: str, mode: str = "overwrite") -> None:
     """Write every cleaned table under ``path``.
 
-    Sales are partitioned by invoice year so date-window queries prune whole
-    directories; within files rows are sorted by date for row-group skipping.
+    Sales are written once, already joined with their dimensions, which hold a row an item: every analysis
+    reads this enriched fact, so the join runs once per load, not per query, and the sales table is its first columns.
     ``overwrite`` replaces a table atomically per job commit.
     """
     for name in TABLES[1:]:
-        getattr(t, name).write.mode(mode).parquet(f"{path}/{name}")
-    # Sales are written already joined with their (deduplicated) dimensions: every
-    # analysis reads this enriched fact, so the join runs once per load, not per query.
-    dims = Tables(sales=t.sales, **{n: _read(t, path, n) for n in TABLES[1:]})
-    _write_dated(t.sales, f"{path}/sales", mode)
-    _write_dated(enrich(dims), f"{path}/fact", mode)
+        _write(getattr(t, name), f"{path}/{name}", mode)
+    spark = t.sales.sparkSession
+    _write_fact(Tables(sales=t.sales, **{n: spark.read.parquet(f"{path}/{n}") for n in TABLES[1:]}), path, mode)
 
 
-def _read(t: Tables, path: str, name: str) -> DataFrame:
-    return t.sales.sparkSession.read.parquet(f"{path}/{name}")
+def _write_fact(t: Tables, path: str, mode: str = "overwrite") -> None:
+    # Partitioned by invoice year, so date windows prune whole folders; sorted by date for row-group skipping.
+    # The tasks of the last join write the years they hold (AQE merges small tasks and splits a hot item's): a shuffle
+    # by year before would move the widest rows of the load once more.
+    (enrich(t).withColumn("invoice_year", F.substring("invoice_date", 1, 4))
+     .sortWithinPartitions("invoice_year", "invoice_date")
+     .write.mode(mode).option("compression", "zstd").partitionBy("invoice_year").parquet(f"{path}/fact"))
 
 
-def _write_dated(df: DataFrame, path: str, mode: str) -> None:
-    # REBALANCE lets AQE cut the shuffle into advisory-size partitions: a year holding a
-    # third of all rows is split across many tasks, small years are merged, so files
-    # stay near spark.sql.adaptive.advisoryPartitionSizeInBytes at any data volume.
-    (df.withColumn("invoice_year", F.substring("invoice_date", 1, 4))
-       .hint("rebalance", "invoice_year").sortWithinPartitions("invoice_date")
-       .write.mode(mode).partitionBy("invoice_year").parquet(path))
+def _sales(fact: DataFrame) -> DataFrame:
+    return fact.select(*SALES_COLUMNS)
 
 
 def read_silver(spark: SparkSession, path: str) -> tuple[Tables, DataFrame]:
     """The cleaned tables and the enriched fact written by ``write_silver``."""
-    sales = spark.read.parquet(f"{path}/sales").drop("invoice_year")
     fact = spark.read.parquet(f"{path}/fact")  # keeps invoice_year: date windows prune its folders
-    return Tables(sales=sales, **{n: spark.read.parquet(f"{path}/{n}") for n in TABLES[1:]}), fact
+    return Tables(sales=_sales(fact), **{n: spark.read.parquet(f"{path}/{n}") for n in TABLES[1:]}), fact
+
+
+class _Written:
+    """Tables as attributes, each written under ``path`` when it is first asked for, and read back."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._spark, self._path, self._lock = spark, path, threading.RLock()
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_"):
+            raise AttributeError(name)
+        with self._lock:
+            if name not in self.__dict__:
+                self.__dict__[name] = self._made(name)
+            return self.__dict__[name]
+
+    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+        _write(df, f"{self._path}/{name}", "overwrite")
+        return self._spark.read.parquet(f"{self._path}/{name}")
+
+
+class Bronze(_Written):
+    """The tables of ``RawTables``."""
+
+    def __init__(self, source: RawTables, spark: SparkSession, path: str):
+        super().__init__(spark, path)
+        self._source = source
+
+    def _made(self, name: str) -> DataFrame:
+        if name not in RAW_TABLES:
+            raise AttributeError(name)
+        return self._kept(getattr(self._source, name), name)
+
+
+class Silver(_Written):
+    """The tables of ``Tables`` and the enriched ``fact``, cleaned from the bronze tables that each of them needs."""
+
+    def __init__(self, raw: Bronze, spark: SparkSession, path: str):
+        super().__init__(spark, path)
+        self.raw = raw
+
+    def _made(self, name: str) -> DataFrame:
+        if name == "sales":
+            return _sales(self.fact)
+        if name == "fact":
+            sales = Tables.cleaned("sales", self.raw)
+            _write_fact(Tables(sales, *[getattr(self, n) for n in TABLES[1:3]], None, None), self._path)
+            return self._spark.read.parquet(f"{self._path}/fact")
+        if name not in TABLES:
+            raise AttributeError(name)
+        return self._kept(Tables.cleaned(name, self.raw), name)

@@ -45,28 +45,28 @@ def _copies(part: DataFrame) -> DataFrame:
 
 
 def sales_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The lines are shuffled twice, by part while they are narrow and by order; the orders get their customers first.
+    b = (F.col("l_orderkey") + F.col("l_linenumber")) % BUCKETS
+    q = F.col("l_quantity")
+    px = F.floor(F.try_divide(F.col("l_extendedprice") * (1 - F.col("l_discount")), q) * 100.0) / 100.0
+    quantity = (F.when(b.isin(0, 1, 2, 7), -q).when(b == 6, q + 0.5)
+                 .when(b == 8, F.lit(None).cast("double")).otherwise(q))
+    unit_price = (F.when(b.isin(3, 7), -px).when(b == 4, F.lit(0.0))
+                   .when(b == 5, F.lit(0.05)).otherwise(px))
     li = _read(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
-    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+        "l_orderkey", "l_partkey", "l_linenumber", quantity.alias("quantity"), unit_price.alias("unit_price"))
+    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("o_orderdate"))
     # nation (25 rows) and region (5 rows) are fixed-size: broadcasting them is safe at any scale.
     geo = (_read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
            .join(F.broadcast(_read(spark, sf_dir, "region").select("r_regionkey", "r_name")),
                  F.col("n_regionkey") == F.col("r_regionkey")))
     cust = (_read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
-            .join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey")))
+            .join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_name", "r_name"))
     part = _read(spark, sf_dir, "part").select("p_partkey", "p_name")
 
-    j = (li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-           .join(cust, F.col("o_custkey") == F.col("c_custkey"))
-           .join(part, F.col("l_partkey") == F.col("p_partkey")))
-
-    b = (F.col("l_orderkey") + F.col("l_linenumber")) % BUCKETS
-    q = F.col("l_quantity")
-    px = F.floor(F.try_divide(F.col("l_extendedprice") * (1 - F.col("l_discount")), q) * 100.0) / 100.0
-    quantity = (F.when(b.isin(0, 1, 2, 7), -q).when(b == 6, q + 0.5)
-                 .when(b == 8, F.lit(None).cast("double")).otherwise(q))
-    unit_price = (F.when(b.isin(3, 7), -px).when(b == 4, F.lit(0.0))
-                   .when(b == 5, F.lit(0.05)).otherwise(px))
+    placed = orders.join(cust, F.col("o_custkey") == F.col("c_custkey")).drop("c_custkey")
+    j = (li.join(part, F.col("l_partkey") == F.col("p_partkey")).drop("p_partkey")
+           .join(placed, F.col("l_orderkey") == F.col("o_orderkey")))
     return j.select(
         F.when(b == 9, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("C"), F.col("o_custkey").cast("string"))).alias("customer_code"),
@@ -74,14 +74,14 @@ def sales_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("r_name").alias("region"),
         F.col("l_orderkey").cast("string").alias("invoice_number"),
         F.lit(None).cast("string").alias("document_type"),
-        F.to_date("o_orderdate").cast("string").alias("invoice_date"),
+        F.col("o_orderdate").cast("string").alias("invoice_date"),
         F.when(b == 10, F.concat(_item(F.col("l_partkey")), F.lit(" ")))
          .otherwise(_item(F.col("l_partkey"))).alias("item_code"),
         F.when(b == 11, F.lit(None).cast("string")).otherwise(F.col("p_name")).alias("item_description"),
-        quantity.alias("quantity"),
+        "quantity",
         F.when(F.col("r_name") == "EUROPE", "GBP").when(F.col("r_name") == "ASIA", "Eur")
          .otherwise("EUR").alias("currency"),
-        unit_price.alias("unit_price"),
+        "unit_price",
     ).withColumn("line_total", F.col("quantity") * F.col("unit_price"))
 
 
