@@ -2,7 +2,9 @@
 
 import os
 
+from pricelens.engine import Engine
 from pricelens.operators.facts import Tables
+from pricelens.plans import queries_sources as S
 from pricelens.sources import testdata
 from pricelens.sources.sinks import Bronze, Silver
 
@@ -34,3 +36,13 @@ def test_sales_are_the_lines_of_the_fact(spark, tmp_path):
     assert _folders(path) == ["bronze", "catalogue_prices", "fact", "landed_costs"]  # the lines are in one table
     years = {f.split("=")[1] for f in _folders(f"{path}/fact") if "=" in f}
     assert years == {r[0] for r in sales.selectExpr("substr(invoice_date, 1, 4)").distinct().collect()}
+
+
+def test_an_import_exports_its_own_table_only(spark, tmp_path):
+    path = str(tmp_path / "layer")
+    e = Engine(_silver(spark, path))
+    assert S.s5_customer_import(e).count() == e.raw.customer_product_keys.count() > 0
+    assert set(S._EXPORTS[e]) == {"customer_product_keys"}
+    assert "sales_raw" not in _folders(f"{path}/bronze")
+    assert S.s4_sales_import(e).exceptAll(S.s4_sales_import(e)).isEmpty()
+    assert set(S._EXPORTS[e]) == {"customer_product_keys", "sales"}
