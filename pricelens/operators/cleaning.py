@@ -96,18 +96,21 @@ SALES_COLUMNS = ["invoice_number", "invoice_date", "customer_code", "customer_na
                  "is_rebate", "is_return", "is_sample", "unit_type", "data_quality_issue"]
 
 
+def with_standard_names(lines: DataFrame, names: DataFrame) -> DataFrame:
+    """``lines`` with the standard name of their code; a code without one, or none, has a null name."""
+    return (lines.join(names, "customer_code", "left").withColumn("customer_name", F.col("standard_name"))
+                 .drop("standard_name"))
+
+
 def clean_sales(raw: DataFrame) -> DataFrame:
     """The cleaned ``sales`` table.
 
     The name table has one row per customer code; Spark broadcasts it when its
     measured size is under ``spark.sql.autoBroadcastJoinThreshold`` and otherwise
-    sort-merge joins it (AQE splits a hot customer's partition).
+    sort-merge joins it (AQE splits a hot customer's partition).  The rules come after the
+    join, so that no column made by them is shuffled.
     """
-    ruled = apply_business_rules(raw)
-    names = standard_names(raw)
-    return (ruled.join(names, "customer_code", "left")
-                 .withColumn("customer_name", F.col("standard_name"))
-                 .select(*SALES_COLUMNS))
+    return apply_business_rules(with_standard_names(raw, standard_names(raw))).select(*SALES_COLUMNS)
 
 
 def dedup_first(df: DataFrame, key: str = "item_code", order: str = "load_key") -> DataFrame:

@@ -83,15 +83,31 @@ def enrich(t: Tables) -> DataFrame:
     their measured size is under the broadcast threshold and falls back to a
     sort-merge join otherwise.
     """
+    return _with_discount(_with_prices(t.sales, t))
+
+
+def enriched(named: DataFrame, t: Tables) -> DataFrame:
+    """``enrich`` of the sales cleaned from ``named``, raw lines with standard names; the rules come after the joins,
+    so that the raw columns only are shuffled.  Of ``t`` the costs and the catalogue are read."""
+    lines = _with_prices(named, t)
+    added = lines.columns[len(named.columns):]
+    sales = [c for c in cleaning.SALES_COLUMNS if c != "item_code"]
+    return _with_discount(cleaning.apply_business_rules(lines).select("item_code", *sales, *added))
+
+
+def _with_prices(lines: DataFrame, t: Tables) -> DataFrame:
     costs = t.landed_costs.select("item_code", "landed_cost_euro")
     cat = t.catalogue_prices.select("item_code", "ie_base", "ie_trade", "ie_high", "ie_mid", "ie_low",
                                     "ie_edm", "ie_anew")
+    return lines.join(costs, "item_code", "left").join(cat, "item_code", "left")
+
+
+def _with_discount(lines: DataFrame) -> DataFrame:
     q, base = F.col("quantity"), F.col("ie_base")
     discount = (F.when(base.isNotNull() & (base > 0) & (q != 0),
                        F.try_divide(q * base - F.col("line_total"), q * base) * 100)
                  .otherwise(F.lit(0.0)))
-    return (t.sales.join(costs, "item_code", "left").join(cat, "item_code", "left")
-            .withColumn("discount_percent", discount))
+    return lines.withColumn("discount_percent", discount)
 
 
 def line_cost(fact_df: DataFrame | None = None) -> F.Column:

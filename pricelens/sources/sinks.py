@@ -7,8 +7,8 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.cleaning import SALES_COLUMNS
-from ..operators.facts import Tables, enrich
+from ..operators.cleaning import SALES_COLUMNS, standard_names, with_standard_names
+from ..operators.facts import Tables, enrich, enriched
 from .testdata import RawTables
 
 RAW_TABLES = ("sales_raw", "landed_costs", "catalogue_prices", "customer_product_keys", "pallet_sizes")
@@ -39,14 +39,14 @@ def write_silver(t: Tables, path: str, mode: str = "overwrite") -> None:
     for name in TABLES[1:]:
         _write(getattr(t, name), f"{path}/{name}", mode)
     spark = t.sales.sparkSession
-    _write_fact(Tables(sales=t.sales, **{n: spark.read.parquet(f"{path}/{n}") for n in TABLES[1:]}), path, mode)
+    _write_fact(enrich(Tables(sales=t.sales, **{n: spark.read.parquet(f"{path}/{n}") for n in TABLES[1:]})), path, mode)
 
 
-def _write_fact(t: Tables, path: str, mode: str = "overwrite") -> None:
+def _write_fact(fact: DataFrame, path: str, mode: str = "overwrite") -> None:
     # Partitioned by invoice year, so date windows prune whole folders; sorted by date for row-group skipping.
     # The tasks of the last join write the years they hold (AQE merges small tasks and splits a hot item's): a shuffle
     # by year before would move the widest rows of the load once more.
-    (enrich(t).withColumn("invoice_year", F.substring("invoice_date", 1, 4))
+    (fact.withColumn("invoice_year", F.substring("invoice_date", 1, 4))
      .sortWithinPartitions("invoice_year", "invoice_date")
      .write.mode(mode).option("compression", "zstd").partitionBy("invoice_year").parquet(f"{path}/fact"))
 
@@ -104,8 +104,8 @@ class Silver(_Written):
         if name == "sales":
             return _sales(self.fact)
         if name == "fact":
-            sales = Tables.cleaned("sales", self.raw)
-            _write_fact(Tables(sales, *[getattr(self, n) for n in TABLES[1:3]], None, None), self._path)
+            sales = self.raw.sales_raw
+            _write_fact(enriched(with_standard_names(sales, standard_names(sales)), self), self._path)
             return self._spark.read.parquet(f"{self._path}/fact")
         if name not in TABLES:
             raise AttributeError(name)

@@ -3,7 +3,7 @@
 import os
 
 from pricelens.engine import Engine
-from pricelens.operators.facts import Tables
+from pricelens.operators.facts import Tables, enrich
 from pricelens.plans import queries_sources as S
 from pricelens.sources import testdata
 from pricelens.sources.sinks import Bronze, Silver
@@ -34,6 +34,8 @@ def test_sales_are_the_lines_of_the_fact(spark, tmp_path):
     assert got.columns == sales.columns and got.dtypes == sales.dtypes
     assert got.count() == sales.count() and not got.exceptAll(sales).count()
     assert _folders(path) == ["bronze", "catalogue_prices", "fact", "landed_costs"]  # the lines are in one table
+    fact = enrich(want)
+    assert silver.fact.drop("invoice_year").columns == fact.columns and not silver.fact.drop("invoice_year").exceptAll(fact).count()
     years = {f.split("=")[1] for f in _folders(f"{path}/fact") if "=" in f}
     assert years == {r[0] for r in sales.selectExpr("substr(invoice_date, 1, 4)").distinct().collect()}
 
