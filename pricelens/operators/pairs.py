@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 BLOCK, STRIPES = 1024, 50_000
 _BUCKETS, _NUMBERS = 1 << 12, 1 << 32
+_SHIFT = (1 << 31) + 1  # numbers (1 to 2**32) less this are ints
 
 
 def numbered(items: DataFrame, key: str, name: str) -> DataFrame:
@@ -97,11 +98,22 @@ def _unfolded(kept: DataFrame, group: list[str], carry: list[str], block: int) -
         *group, "_x", F.when(F.col("_block") == F.col("_other"), after).otherwise(F.col("_ys")).alias("_later"))
     dealt = alone.unionByName(meet).where(F.size("_later") > 0).withColumn(
         "_split", F.explode(F.sequence(F.lit(0), F.col("_x._splits") - 1)))
-    pairs = dealt.select(F.col("_x._id").alias("_a"), "_split", "_x", "_later", *group).repartition("_a", "_split").select(
-        "_a", "_split", "_x", F.explode("_later").alias("_y"), *group)
-    return pairs.where(F.floor(F.col("_y._id") * F.col("_x._splits") / _NUMBERS) == F.col("_split")).select(
-        "_a", "_split", F.col("_y._id").alias("_b"), *group,
-        *[F.col(f"_{side}.{c}").alias(f"{name}_{c}") for side, name in (("x", "a"), ("y", "b")) for c in carry])
+    # what is shuffled are flat columns and arrays of numbers; four times the usual partitions, which are not merged by
+    # their bytes, as a stripe unfolds to many times its size
+    fields = ["_id", *carry]
+    stripes = dealt.select(F.col("_x._id").alias("_a"), "_split", F.col("_x._splits").alias("_splits"), *group,
+                           F.transform("_later._id", lambda i: (i - _SHIFT).cast("int")).alias("_y__id"),
+                           *[F.col(f"_later.{c}").alias(f"_y_{c}") for c in carry],
+                           *[F.col(f"_x.{c}").alias(f"a_{c}") for c in carry])
+    dealers = 4 * int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept_columns = ["_a", "_split", "_splits", *group, *[f"a_{c}" for c in carry]]
+    pairs = stripes.repartition(dealers, "_a", "_split").select(
+        *kept_columns, F.arrays_zip(*[f"_y_{c}" for c in fields]).alias("_later")).select(
+        *kept_columns, F.explode("_later").alias("_y"))
+    second = F.col("_y._y__id") + F.lit(_SHIFT)
+    return pairs.where(F.floor(second * F.col("_splits") / _NUMBERS) == F.col("_split")).select(
+        "_a", "_split", second.alias("_b"), *group, *[f"a_{c}" for c in carry],
+        *[F.col(f"_y._y_{c}").alias(f"b_{c}") for c in carry])
 
 
 def pair_counts(rows: DataFrame, group: list[str], aggregates: list[Column], min_support: int = 1,

@@ -87,3 +87,14 @@ def test_switching_limit_keeps_the_most_shared(spark):
     key = lambda r: (-r["shared_customers"], r["product_a_code"], r["product_b_code"])
     assert sorted(map(key, top)) == sorted(map(key, whole))[:7]
     assert product.shared_customers(product._lines(e.fact, registry.WHOLE), 2, block=3).count() == len(whole)
+
+
+def test_stripes_are_shuffled_as_arrays_of_numbers_in_partitions_that_are_not_merged(spark):
+    rows = spark.createDataFrame([(g, f"i{i}", 1) for g in range(9) for i in range(12)], "g int, item_code string, day int")
+    found = pair_sums(rows, ["g"], "n", {"same": lambda a, b: F.col(f"{a}_day") == F.col(f"{b}_day")}, 2, ["day"])
+    assert sorted(map(tuple, found.named("a", "b").collect())) == sorted(
+        (*sorted((f"i{i}", f"i{j}")), 9, 9) for i in range(12) for j in range(i))
+    text = found.counts._jdf.queryExecution().executedPlan().toString()
+    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert f", {n}), REPARTITION_BY_NUM" in text
+    assert found.counts.schema["_b"].dataType.simpleString() == "bigint"
