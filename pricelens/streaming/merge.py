@@ -96,17 +96,17 @@ def merge_sales(spark: SparkSession, path: str, ruled: DataFrame, version: int)
     counts.write.mode("overwrite").parquet(f"{path}/name_counts/version={version}")
     names = _names(spark.read.parquet(f"{path}/name_counts/version={version}"))
 
-    named = ruled.join(names, "customer_code", "left").withColumn("customer_name", F.col("standard_name"))
+    named = cleaning.with_standard_names(ruled, names)
     year = F.coalesce(F.nullif(F.substring("invoice_date", 1, 4), F.lit("")), F.lit(_NO_YEAR))
     out = enrich(_tables(spark, path, named.select(*cleaning.SALES_COLUMNS))).withColumn("invoice_year", year)
     rewritten = _years_to_rewrite(spark, path, folders, earlier, names)
     if rewritten:
         old = _lines(spark, path, [f for f in folders if f[0] in rewritten]).drop("version")
-        renamed = old.join(names, "customer_code", "left").withColumn("customer_name", F.col("standard_name"))
-        out = out.unionByName(renamed.drop("standard_name"))
+        out = out.unionByName(cleaning.with_standard_names(old, names))
     written = f"{path}/fact_versions/version={version}"
-    (out.hint("rebalance", "invoice_year").sortWithinPartitions("invoice_date")
-     .write.mode("overwrite").partitionBy("invoice_year").parquet(written))
+    # by the tasks of the last join: a shuffle by year would move all written lines once more
+    (out.sortWithinPartitions("invoice_year", "invoice_date")
+     .write.mode("overwrite").option("compression", "zstd").partitionBy("invoice_year").parquet(written))
     new = _written_years(spark, path, version)
     kept = [f for f in folders if f[0] not in rewritten] + [(y, version) for y in new]
     # an empty layer is a version too: its manifest has one row without a year
