@@ -44,5 +44,9 @@ class Engine:
     def fact(self) -> DataFrame:
         return self.tables.fact if isinstance(self.tables, Silver) else enrich(self.tables)
 
+    def lines(self, *columns: str) -> DataFrame:
+        """Columns of the fact, for analyses that read few of them: see ``Silver.lines``."""
+        return self.tables.lines(*columns) if isinstance(self.tables, Silver) else self.fact.select(*columns)
+
     def window(self, start: str | None = None, end: str | None = None) -> DateWindow:
         return DateWindow(start, end, self.as_of)

@@ -95,10 +95,28 @@ def enriched(named: DataFrame, t: Tables) -> DataFrame:
     return _with_discount(cleaning.apply_business_rules(lines).select("item_code", *sales, *added))
 
 
+CATALOGUE_COLUMNS = ("ie_base", "ie_trade", "ie_high", "ie_mid", "ie_low", "ie_edm", "ie_anew")
+
+
+def lines_of(sales_raw: DataFrame, t: Tables, columns) -> DataFrame:
+    """The named columns of ``enrich``, from the raw lines.  Names, costs and catalogue hold a row a key, so one that
+    no column comes from is not joined, as that neither loses nor repeats a line.  The rules come before the joins,
+    so that only the columns asked for are shuffled.  Of ``t`` the costs and the catalogue are read, if needed."""
+    lines = cleaning.apply_business_rules(sales_raw)
+    if "customer_name" in columns:
+        lines = cleaning.with_standard_names(lines, cleaning.standard_names(sales_raw))
+    if "landed_cost_euro" in columns:
+        lines = lines.join(t.landed_costs.select("item_code", "landed_cost_euro"), "item_code", "left")
+    discount = "discount_percent" in columns
+    tiers = [c for c in CATALOGUE_COLUMNS if c in columns or (discount and c == "ie_base")]
+    if tiers:
+        lines = lines.join(t.catalogue_prices.select("item_code", *tiers), "item_code", "left")
+    return (_with_discount(lines) if discount else lines).select(*columns)
+
+
 def _with_prices(lines: DataFrame, t: Tables) -> DataFrame:
     costs = t.landed_costs.select("item_code", "landed_cost_euro")
-    cat = t.catalogue_prices.select("item_code", "ie_base", "ie_trade", "ie_high", "ie_mid", "ie_low",
-                                    "ie_edm", "ie_anew")
+    cat = t.catalogue_prices.select("item_code", *CATALOGUE_COLUMNS)
     return lines.join(costs, "item_code", "left").join(cat, "item_code", "left")
 
 
@@ -115,6 +133,9 @@ def line_cost(fact_df: DataFrame | None = None) -> F.Column:
     return F.col("quantity") * F.coalesce(F.col("landed_cost_euro"), F.lit(0.0))
 
 
+LINE_COLUMNS = ("invoice_date", "document_type", "is_sample", "is_return")  # what ``base_filter`` reads
+
+
 def base_filter(fact: DataFrame, window: DateWindow, include_returns: bool = True, include_samples: bool = True,
                 document_types=("INV", "CRN")) -> DataFrame:
     df = fact.filter(F.col("document_type").isin(*document_types)).filter(window.predicate())

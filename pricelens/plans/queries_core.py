@@ -233,10 +233,13 @@ _R3 = (f"""l AS (SELECT * FROM fact WHERE {lines(returns=False, samples=False)})
     GROUP BY l.item_code, nd.newest_value, ie_trade))""")
 
 
+_R3_COLUMNS = (*facts.LINE_COLUMNS, "invoice_number", "item_code", "item_description", "unit_price", "ie_trade")
+
+
 @register("r3_catalogue_compliance", _q(*_R3, select="""
 SELECT * FROM per_item ORDER BY compliance_percent ASC NULLS LAST, item_code LIMIT 20"""))
 def r3_catalogue_compliance(e):
-    return pricing.catalogue_compliance(e.fact, WHOLE).items
+    return pricing.catalogue_compliance(e.lines(*_R3_COLUMNS), WHOLE).items
 
 
 @register("r3_catalogue_compliance_summary", _q(*_R3, select="""
@@ -246,7 +249,7 @@ SELECT t.total_transactions, c.compliant_transactions,
 FROM (SELECT count(*) AS total_transactions FROM l) t,
      (SELECT CAST(coalesce(sum(compliant_count), 0) AS BIGINT) AS compliant_transactions FROM per_item) c"""))
 def r3_catalogue_compliance_summary(e):
-    return pricing.catalogue_compliance(e.fact, WHOLE).summary
+    return pricing.catalogue_compliance(e.lines(*_R3_COLUMNS), WHOLE).summary
 
 
 _R4 = (b3("b", returns=False, samples=False),

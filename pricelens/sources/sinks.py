@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.cleaning import SALES_COLUMNS, standard_names, with_standard_names
-from ..operators.facts import Tables, enrich, enriched
+from ..operators.facts import Tables, enrich, enriched, lines_of
 from .testdata import RawTables
 
 RAW_TABLES = ("sales_raw", "landed_costs", "catalogue_prices", "customer_product_keys", "pallet_sizes")
@@ -100,6 +100,15 @@ class Silver(_Written):
         super().__init__(spark, path)
         self.raw = raw
 
+    def lines(self, *columns: str) -> DataFrame:
+        """Columns of the fact.  Asking for few of them does not write it: while it is not there, they come from the
+        bronze lines, joined with the tables of these columns only."""
+        with self._lock:
+            written = "fact" in self.__dict__
+        if written:
+            return self.fact.select(*columns, "invoice_year")
+        return lines_of(self.raw.sales_raw, self, columns)
+
     def _made(self, name: str) -> DataFrame:
         if name == "sales":
             return _sales(self.fact)

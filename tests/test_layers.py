@@ -48,3 +48,33 @@ def test_an_import_exports_its_own_table_only(spark, tmp_path):
     assert "sales_raw" not in _folders(f"{path}/bronze")
     assert S.s4_sales_import(e).exceptAll(S.s4_sales_import(e)).isEmpty()
     assert set(S._EXPORTS[e]) == {"customer_product_keys", "sales"}
+
+
+def test_columns_of_the_fact_join_their_own_tables_only(spark, tmp_path):
+    path = str(tmp_path / "layer")
+    silver, want = _silver(spark, path), enrich(Tables.from_raw(testdata.load(spark, SF)))
+    asked = {("invoice_number", "quantity", "data_quality_issue"): [], ("customer_code", "customer_name"): [],
+             ("line_total", "landed_cost_euro"): ["landed_costs"], ("item_code", "ie_trade", "discount_percent"): ["catalogue_prices"],
+             tuple(want.columns): []}
+    made = {"bronze"}
+    for columns, tables in asked.items():
+        got, lines = silver.lines(*columns), want.select(*columns)
+        made |= set(tables)
+        assert got.dtypes == lines.dtypes and got.count() == lines.count() and not got.exceptAll(lines).count()
+        assert set(_folders(path)) == made  # no fact, and no table that the columns do not come from
+    assert silver.fact and silver.lines("quantity").columns == ["quantity", "invoice_year"]
+
+
+def _without_the_fact(spark, path, *names):
+    """The results of queries that come first, and again once the fact is written."""
+    from pricelens.plans.registry import QUERIES, spark_queries
+    spark_queries()
+    e = Engine(_silver(spark, path))
+    first = {n: sorted(map(str, QUERIES[n].build(e).collect())) for n in names}
+    assert "fact" not in _folders(path)
+    assert e.fact and first == {n: sorted(map(str, QUERIES[n].build(e).collect())) for n in names}
+    return first
+
+
+def test_catalogue_compliance_does_not_write_the_fact(spark, tmp_path):
+    assert all(_without_the_fact(spark, str(tmp_path), "r3_catalogue_compliance", "r3_catalogue_compliance_summary").values())
