@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators.facts import Tables, DateWindow, enrich
+from .operators.facts import DateWindow, SomeSales, Tables, enrich
 from .sources import testdata
 from .sources.sinks import Silver, read_silver
 
@@ -48,5 +48,9 @@ class Engine:
         """Columns of the fact, for analyses that read few of them: see ``Silver.lines``."""
         return self.tables.lines(*columns) if isinstance(self.tables, Silver) else self.fact.select(*columns)
 
+    def with_sales(self, *columns: str) -> SomeSales:
+        """The tables, with only these columns of the sales: see ``Silver.lines``."""
+        return SomeSales(self.tables, self.lines(*columns))
+
     def window(self, start: str | None = None, end: str | None = None) -> DateWindow:
         return DateWindow(start, end, self.as_of)

@@ -48,6 +48,16 @@ class Tables:
         return cleaning.dedup_first(getattr(raw, name)).drop("load_key")
 
 
+class SomeSales:
+    """The tables of ``tables``, with ``sales`` of fewer columns; the others are asked for when they are read."""
+
+    def __init__(self, tables: Tables, sales: DataFrame):
+        self._tables, self.sales = tables, sales
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return getattr(self._tables, name)
+
+
 @dataclass(frozen=True)
 class DateWindow:
     """Inclusive date window on the text ``invoice_date``.

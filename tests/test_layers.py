@@ -78,3 +78,8 @@ def _without_the_fact(spark, path, *names):
 
 def test_catalogue_compliance_does_not_write_the_fact(spark, tmp_path):
     assert all(_without_the_fact(spark, str(tmp_path), "r3_catalogue_compliance", "r3_catalogue_compliance_summary").values())
+
+
+def test_lines_with_issues_do_not_write_the_fact(spark, tmp_path):
+    found = _without_the_fact(spark, str(tmp_path), "a28_quality_issue_lines", "a27_metre_sales")
+    assert all(found.values()) and _folders(str(tmp_path)) == ["bronze", "catalogue_prices", "fact", "landed_costs"]
