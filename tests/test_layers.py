@@ -83,3 +83,9 @@ def test_catalogue_compliance_does_not_write_the_fact(spark, tmp_path):
 def test_lines_with_issues_do_not_write_the_fact(spark, tmp_path):
     found = _without_the_fact(spark, str(tmp_path), "a28_quality_issue_lines", "a27_metre_sales")
     assert all(found.values()) and _folders(str(tmp_path)) == ["bronze", "catalogue_prices", "fact", "landed_costs"]
+
+
+def test_codes_and_orphans_of_the_sales_do_not_write_the_fact(spark, tmp_path):
+    _without_the_fact(spark, str(tmp_path), "a3_top_selling_products", "a6_stats_by_month", "a9_orphan_item_count", "a9_orphan_item_sample",
+                      "a10_orphan_customer_codes", "a11_date_validation", "a18_orphan_summary", "a20_orphan_negative_revenue",
+                      "a22_orphans_by_month", "a23_catalogue_never_sold", "a24_invoice_orphan_breakdown", "a32_month_over_month")
