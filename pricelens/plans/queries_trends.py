@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators import trends
-from ..operators.facts import DateWindow
+from ..operators.facts import LINE_COLUMNS, DateWindow
 from .oracle_base import exact_std, lines, margin_pct, msum, with_base
 from .registry import AS_OF, WHOLE, register
 
@@ -173,9 +173,12 @@ _T6 = (f"""periods AS (
         FROM fact WHERE {lines(returns=False, samples=False)} GROUP BY 1))""",)
 
 
+T6_COLUMNS = (*LINE_COLUMNS, "quantity", "line_total", "landed_cost_euro")
+
+
 @register("t6_margin_trend", _q(*_T6, select="SELECT * FROM periods"))
 def t6_margin_trend(e):
-    return trends.margin_trend(e.fact, WHOLE).items
+    return trends.margin_trend(e.lines(*T6_COLUMNS), WHOLE).items
 
 
 @register("t6_margin_trend_summary", _q(*_T6, select=f"""
@@ -188,4 +191,4 @@ FROM (SELECT count(*) AS period_count, coalesce({msum('revenue')}, 0e0) AS total
              coalesce({msum('margin')}, 0e0) AS total_margin, arg_min(margin_percent, period) AS first_margin_percent,
              arg_max(margin_percent, period) AS last_margin_percent FROM periods)"""))
 def t6_margin_trend_summary(e):
-    return trends.margin_trend(e.fact, WHOLE).summary
+    return trends.margin_trend(e.lines(*T6_COLUMNS), WHOLE).summary

@@ -89,3 +89,7 @@ def test_codes_and_orphans_of_the_sales_do_not_write_the_fact(spark, tmp_path):
     _without_the_fact(spark, str(tmp_path), "a3_top_selling_products", "a6_stats_by_month", "a9_orphan_item_count", "a9_orphan_item_sample",
                       "a10_orphan_customer_codes", "a11_date_validation", "a18_orphan_summary", "a20_orphan_negative_revenue",
                       "a22_orphans_by_month", "a23_catalogue_never_sold", "a24_invoice_orphan_breakdown", "a32_month_over_month")
+
+
+def test_margin_trend_does_not_write_the_fact(spark, tmp_path):
+    assert all(_without_the_fact(spark, str(tmp_path), "t6_margin_trend", "t6_margin_trend_summary", "t6_margin_trend_with_returns").values())
