@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..operators import discount, pricing, trends
 from .oracle_base import fine_mean, lines, msum, newest, with_base
 from .queries_discount import _COST, _G1
-from .queries_trends import LAST_YEAR, _T3, _T4, _T5, _T6, _t2
+from .queries_trends import LAST_YEAR, T6_COLUMNS, _T3, _T4, _T5, _T6, _t2
 from .registry import WHOLE, register
 
 
@@ -79,7 +79,7 @@ def t5_forecast_with_returns(e):
 
 @register("t6_margin_trend_with_returns", _q(*_with_returns(_T6), select="SELECT * FROM periods"))
 def t6_margin_trend_with_returns(e):
-    return trends.margin_trend(e.fact, WHOLE, include_returns=True).items
+    return trends.margin_trend(e.lines(*T6_COLUMNS), WHOLE, include_returns=True).items
 
 
 # --- G2, G4, G5: every dimension ---------------------------------------------------------------
