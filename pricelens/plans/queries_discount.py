@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..operators import discount
+from ..operators.facts import LINE_COLUMNS
 from .oracle_base import fine_mean, lines, margin_pct, msum, newest, with_base
 from .registry import WHOLE, register
 
@@ -45,12 +46,15 @@ items AS (
 
 
 _G2 = g2_ctes()
+_G2_LINES = (*LINE_COLUMNS, "item_code", "quantity", "unit_price", "line_total", "landed_cost_euro", "ie_base")
+G2_COLUMNS = {"customer": (*_G2_LINES, "invoice_number", "customer_code", "customer_name"),
+              "product": (*_G2_LINES, "invoice_number", "item_description"), "month": _G2_LINES, "overall": _G2_LINES}
 
 
 @register("g2_discount_effectiveness", _q(*_G2, select="""
 SELECT * FROM items ORDER BY abs(margin_erosion_percent) DESC NULLS LAST, dimension_key LIMIT 20"""))
 def g2_discount_effectiveness(e):
-    return discount.discount_effectiveness(e.fact, WHOLE, dim="customer").items
+    return discount.discount_effectiveness(e.lines(*G2_COLUMNS["customer"]), WHOLE, dim="customer").items
 
 
 @register("g2_discount_effectiveness_summary", _q(*_G2, select=f"""
@@ -59,7 +63,7 @@ SELECT coalesce({msum('revenue_with_discount')}, 0e0) AS total_revenue,
        coalesce({fine_mean('avg_discount_percent')}, 0e0) AS avg_discount_percent,
        coalesce({msum('margin_without_discount - margin_with_discount')}, 0e0) AS margin_impact FROM items"""))
 def g2_discount_effectiveness_summary(e):
-    return discount.discount_effectiveness(e.fact, WHOLE, dim="customer").summary
+    return discount.discount_effectiveness(e.lines(*G2_COLUMNS["customer"]), WHOLE, dim="customer").summary
 
 
 _G3 = (f"""fl AS (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..operators import discount, pricing, trends
 from .oracle_base import fine_mean, lines, msum, newest, with_base
-from .queries_discount import _COST, _G1
+from .queries_discount import G2_COLUMNS, _COST, _G1
 from .queries_trends import LAST_YEAR, T6_COLUMNS, _T3, _T4, _T5, _T6, _t2
 from .registry import WHOLE, register
 
@@ -116,7 +116,7 @@ FROM g WHERE transaction_count >= 5""")
 
 for _dim in ("product", "month", "overall"):
     register(f"g2_discount_effectiveness_by_{_dim}", _g2(_dim))(
-        lambda e, dim=_dim: discount.discount_effectiveness(e.fact, WHOLE, dim=dim, limit=None).items)
+        lambda e, dim=_dim: discount.discount_effectiveness(e.lines(*G2_COLUMNS[dim]), WHOLE, dim=dim, limit=None).items)
 
 
 def _g4(dim: str) -> str:

@@ -93,3 +93,9 @@ def test_codes_and_orphans_of_the_sales_do_not_write_the_fact(spark, tmp_path):
 
 def test_margin_trend_does_not_write_the_fact(spark, tmp_path):
     assert all(_without_the_fact(spark, str(tmp_path), "t6_margin_trend", "t6_margin_trend_summary", "t6_margin_trend_with_returns").values())
+
+
+def test_discount_effectiveness_does_not_write_the_fact(spark, tmp_path):
+    assert all(_without_the_fact(spark, str(tmp_path), "g2_discount_effectiveness", "g2_discount_effectiveness_summary",
+                                  "g2_discount_effectiveness_by_product", "g2_discount_effectiveness_by_month",
+                                  "g2_discount_effectiveness_by_overall").values())
