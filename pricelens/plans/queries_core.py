@@ -202,11 +202,14 @@ g2 AS (SELECT *, max_price - min_price AS price_range,
        FROM g)""")
 
 
+_R2_COLUMNS = (*facts.LINE_COLUMNS, "invoice_number", "item_code", "item_description", "unit_price")
+
+
 @register("r2_price_consistency", _q(*_R2, select="""
 SELECT * FROM g2 WHERE variation_percent >= 5 AND transaction_count >= 3
 ORDER BY variation_percent DESC NULLS LAST, item_code LIMIT 20"""))
 def r2_price_consistency(e):
-    return pricing.price_consistency(e.fact, WHOLE).items
+    return pricing.price_consistency(e.lines(*_R2_COLUMNS), WHOLE).items
 
 
 @register("r2_price_consistency_summary", _q(*_R2, select=f"""
@@ -216,7 +219,7 @@ SELECT count(*) AS total_products,
                 0e0) AS avg_price_variation
 FROM g2"""))
 def r2_price_consistency_summary(e):
-    return pricing.price_consistency(e.fact, WHOLE).summary
+    return pricing.price_consistency(e.lines(*_R2_COLUMNS), WHOLE).summary
 
 
 _R3 = (f"""l AS (SELECT * FROM fact WHERE {lines(returns=False, samples=False)})""",
@@ -233,7 +236,7 @@ _R3 = (f"""l AS (SELECT * FROM fact WHERE {lines(returns=False, samples=False)})
     GROUP BY l.item_code, nd.newest_value, ie_trade))""")
 
 
-_R3_COLUMNS = (*facts.LINE_COLUMNS, "invoice_number", "item_code", "item_description", "unit_price", "ie_trade")
+_R3_COLUMNS = (*_R2_COLUMNS, "ie_trade")
 
 
 @register("r3_catalogue_compliance", _q(*_R3, select="""

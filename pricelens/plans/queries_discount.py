@@ -19,9 +19,12 @@ _G1 = (f"l AS (SELECT * FROM fact WHERE {lines(returns=True, samples=False)})",
        WHERE (ie_base IS NULL OR ie_base <= 0) AND quantity > 0 AND unit_price > 0 GROUP BY item_code)""")
 
 
+G1_COLUMNS = (*LINE_COLUMNS, "item_code", "quantity", "unit_price", "ie_base")
+
+
 @register("g1_derived_catalogue_prices", _q(*_G1, select="SELECT * FROM dp"))
 def g1_derived_catalogue_prices(e):
-    lines_ = discount.base_filter(e.fact, WHOLE, include_returns=True, include_samples=False)
+    lines_ = discount.base_filter(e.lines(*G1_COLUMNS), WHOLE, include_returns=True, include_samples=False)
     return discount.derived_catalogue_prices(lines_)
 
 
@@ -46,7 +49,7 @@ items AS (
 
 
 _G2 = g2_ctes()
-_G2_LINES = (*LINE_COLUMNS, "item_code", "quantity", "unit_price", "line_total", "landed_cost_euro", "ie_base")
+_G2_LINES = (*G1_COLUMNS, "line_total", "landed_cost_euro")
 G2_COLUMNS = {"customer": (*_G2_LINES, "invoice_number", "customer_code", "customer_name"),
               "product": (*_G2_LINES, "invoice_number", "item_description"), "month": _G2_LINES, "overall": _G2_LINES}
 
@@ -99,10 +102,13 @@ items AS (SELECT *, CASE WHEN sales_revenue > 0 THEN returns_value / sales_reven
                  sales_revenue - returns_value AS net_revenue FROM g WHERE sales_count > 0)""")
 
 
+G4_COLUMNS = (*LINE_COLUMNS, "invoice_number", "item_code", "item_description", "line_total")
+
+
 @register("g4_returns", _q(*_G4, select="""
 SELECT * FROM items ORDER BY return_rate_percent DESC NULLS LAST, dimension_key LIMIT 20"""))
 def g4_returns(e):
-    return discount.returns(e.fact, WHOLE, dim="product").items
+    return discount.returns(e.lines(*G4_COLUMNS), WHOLE, dim="product").items
 
 
 @register("g4_returns_summary", _q(*_G4, select=f"""
@@ -112,7 +118,7 @@ SELECT total_sales_revenue, total_returns_value,
 FROM (SELECT coalesce({msum('sales_revenue')}, 0e0) AS total_sales_revenue,
              coalesce({msum('returns_value')}, 0e0) AS total_returns_value FROM items)"""))
 def g4_returns_summary(e):
-    return discount.returns(e.fact, WHOLE, dim="product").summary
+    return discount.returns(e.lines(*G4_COLUMNS), WHOLE, dim="product").summary
 
 
 _G5 = (f"""l AS (SELECT * FROM fact WHERE {lines(returns=True, samples=False)} AND (document_type = 'INV' OR (document_type = 'CRN' AND is_return = 0)))""",
@@ -158,7 +164,7 @@ FROM (SELECT count(CASE WHEN document_type = 'INV' AND is_return = 0 THEN 1 END)
              abs(coalesce({msum("CASE WHEN document_type = 'CRN' AND is_return = 0 THEN line_total END")}, 0e0)) AS rebates_value
       FROM l)"""))
 def g6_credit_notes(e):
-    return discount.credit_notes(e.fact, WHOLE)
+    return discount.credit_notes(e.lines(*LINE_COLUMNS, "line_total"), WHOLE)
 
 
 # --- the same analyses along the calendar dimension ------------------------------------
@@ -177,7 +183,7 @@ items AS (SELECT *, CASE WHEN sales_revenue > 0 THEN returns_value / sales_reven
 @register("g4_returns_by_month", _q(*_G4_MONTH, select="""
 SELECT * FROM items ORDER BY return_rate_percent DESC NULLS LAST, dimension_key LIMIT 20"""))
 def g4_returns_by_month(e):
-    return discount.returns(e.fact, WHOLE, dim="month").items
+    return discount.returns(e.lines(*G4_COLUMNS), WHOLE, dim="month").items
 
 
 _G5_OVERALL = (f"""l AS (SELECT * FROM fact WHERE {lines(returns=True, samples=False)} AND (document_type = 'INV' OR (document_type = 'CRN' AND is_return = 0)))""",)

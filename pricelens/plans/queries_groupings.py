@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..operators import discount, pricing, trends
 from .oracle_base import fine_mean, lines, msum, newest, with_base
 from .queries_discount import G2_COLUMNS, _COST, _G1
-from .queries_trends import LAST_YEAR, T6_COLUMNS, _T3, _T4, _T5, _T6, _t2
+from .queries_trends import LAST_YEAR, T3_COLUMNS, T6_COLUMNS, _T3, _T4, _T5, _T6, _t2
 from .registry import WHOLE, register
 
 
@@ -34,7 +34,7 @@ SELECT period_key, avg_revenue, min_revenue, max_revenue, std_deviation, transac
        seasonality_index_ref,
        CASE WHEN seasonality_index > 1.2 THEN 'High Season' WHEN seasonality_index < 0.8 THEN 'Low Season'
             ELSE 'Average' END AS interpretation FROM pat"""))(
-        lambda e, by=_by: trends.seasonality(e.fact, WHOLE, by).items)
+        lambda e, by=_by: trends.seasonality(e.lines(*T3_COLUMNS), WHOLE, by).items)
 
 # --- T4: other comparison windows, and returns counted ----------------------------------------
 _GROWTH = """
@@ -74,7 +74,7 @@ def t4_growth_with_returns(e):
 SELECT based_on_periods AS historical_periods, 3 AS forecast_periods, avg_revenue AS avg_historical_revenue,
        avg_revenue * growth_factor * 3 AS total_forecasted_revenue FROM st2"""))
 def t5_forecast_with_returns(e):
-    return trends.forecast(e.fact, WHOLE, include_returns=True).summary
+    return trends.forecast(e.lines(*T6_COLUMNS), WHOLE, include_returns=True).summary
 
 
 @register("t6_margin_trend_with_returns", _q(*_with_returns(_T6), select="SELECT * FROM periods"))

@@ -7,6 +7,9 @@ from ..operators.facts import LINE_COLUMNS, DateWindow
 from .oracle_base import exact_std, lines, margin_pct, msum, with_base
 from .registry import AS_OF, WHOLE, register
 
+T3_COLUMNS = (*LINE_COLUMNS, "line_total")
+T6_COLUMNS = (*T3_COLUMNS, "quantity", "landed_cost_euro")  # of T5, too
+
 LAST_YEAR = DateWindow("2000-08-02", "2001-08-01", AS_OF)
 
 
@@ -86,14 +89,14 @@ SELECT period_key, avg_revenue, min_revenue, max_revenue, std_deviation, transac
        CASE WHEN seasonality_index > 1.2 THEN 'High Season' WHEN seasonality_index < 0.8 THEN 'Low Season'
             ELSE 'Average' END AS interpretation FROM pat"""))
 def t3_seasonality(e):
-    return trends.seasonality(e.fact, WHOLE, "month").items
+    return trends.seasonality(e.lines(*T3_COLUMNS), WHOLE, "month").items
 
 
 @register("t3_seasonality_summary", _q(*_T3, select="""
 SELECT count(*) AS total_periods, first(avg_overall) AS avg_revenue, max(seasonality_index) AS highest_seasonality_index,
        min(seasonality_index) AS lowest_seasonality_index FROM pat"""))
 def t3_seasonality_summary(e):
-    return trends.seasonality(e.fact, WHOLE, "month").summary
+    return trends.seasonality(e.lines(*T3_COLUMNS), WHOLE, "month").summary
 
 
 _T4 = (f"""l AS (SELECT * FROM fact WHERE document_type IN ('INV', 'CRN') AND is_sample = 0 AND is_return = 0),
@@ -156,14 +159,14 @@ SELECT coalesce(last_period, '') || '+' || CAST(i AS VARCHAR) AS period, avg_rev
        CASE WHEN i > 2 THEN 'low' WHEN i > 1 THEN 'medium' ELSE 'high' END AS confidence_level, based_on_periods
 FROM st2, range(1, 4) t(i)"""))
 def t5_forecast(e):
-    return trends.forecast(e.fact, WHOLE).items
+    return trends.forecast(e.lines(*T6_COLUMNS), WHOLE).items
 
 
 @register("t5_forecast_summary", _q(*_T5, select="""
 SELECT based_on_periods AS historical_periods, 3 AS forecast_periods, avg_revenue AS avg_historical_revenue,
        avg_revenue * growth_factor * 3 AS total_forecasted_revenue FROM st2"""))
 def t5_forecast_summary(e):
-    return trends.forecast(e.fact, WHOLE).summary
+    return trends.forecast(e.lines(*T6_COLUMNS), WHOLE).summary
 
 
 _T6 = (f"""periods AS (
@@ -173,9 +176,6 @@ _T6 = (f"""periods AS (
         FROM fact WHERE {lines(returns=False, samples=False)} GROUP BY 1))""",)
 
 
-T6_COLUMNS = (*LINE_COLUMNS, "quantity", "line_total", "landed_cost_euro")
-
-
 @register("t6_margin_trend", _q(*_T6, select="SELECT * FROM periods"))
 def t6_margin_trend(e):
     return trends.margin_trend(e.lines(*T6_COLUMNS), WHOLE).items
