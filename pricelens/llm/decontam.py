@@ -146,7 +146,7 @@ def _count_task(marks: np.ndarray, sizes: tuple[int, ...]):
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(marks), np.int64)
-        for batch in batches:
+        for batch in common.slices(batches):
             for text in common.utf8(batch.column(0)):
                 h = common.word_hashes(text)
                 for k in sizes:
@@ -172,7 +172,7 @@ def _length(edges: list[int]) -> int:
 
 def _scan_task(index: Index, shingle: int, every: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             found = [_judge(index, shingle, t) for t in common.utf8(batch.column(2))]
             keep = [i for i, f in enumerate(found) if every or f[1]]
             at = pa.array(keep, pa.int64())
@@ -264,7 +264,7 @@ def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shing
 
 def _clean_task(index: Index, shingle: int, at: int, words_per_hit: int):
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             judged = (_judge(index, shingle, t) for t in common.utf8(batch.column(at)))
             yield batch.filter(pa.array([not _contaminated(_length(e), n, words_per_hit) for n, e, _ in judged],
                                         pa.bool_()))

@@ -114,7 +114,7 @@ def _prefixes(signatures: np.ndarray, depths: list[int]) -> np.ndarray:
 
 def _set_task(size: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             node, count, labels = [], [], []
             for text in common.utf8(batch.column(2)):
                 s = shingle_set(text, size)
@@ -209,7 +209,7 @@ def forest(nodes: DataFrame, threshold: float, recall: float) -> tuple[DataFrame
 def _text_task(size: int):
     """Nodes with their sets, computed again from one text each."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             made = [shingle_set(t, size) for t in common.utf8(batch.column(4))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(2), batch.column(3),

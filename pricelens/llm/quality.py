@@ -159,7 +159,7 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column | None = None,
 def _score_task(model: Model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in batches:
+        for batch in common.slices(batches):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([scorer.score(t) for t in common.utf8(batch.column(1))], pa.float64())],
                 ["doc_id", "score"])
@@ -175,7 +175,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 def _keep_task(model: Model, at: int, threshold: float):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in batches:
+        for batch in common.slices(batches):
             yield batch.filter(pa.array([scorer.score(t) >= threshold for t in common.utf8(batch.column(at))],
                                         pa.bool_()))
     return keep

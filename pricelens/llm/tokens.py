@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from . import common
 
 SEQUENCE, BATCH_SEQUENCES, END_ID = 2048, 512, 2
-REMEMBERED, GROUP_CHARS = 1_500_000, 1 << 16
+REMEMBERED, LONGEST, GROUP_CHARS = 400_000, 64, 1 << 16
 
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _SPACES = frozenset(map(chr, [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
@@ -46,15 +46,35 @@ _SPACES = frozenset(map(chr, [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(
 _RUN = re.compile(f"[{_SPACE}][{_SPACE}]")
 _MARKS = frozenset(".,;:!?")
 _LETTERS = frozenset(c for c in map(chr, range(256)) if c.isalpha())
+_WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[0-9]+")
+_LEAD = "\u0120"  # a space, as the byte-level vocabulary writes it
 _CHUNK = re.compile(f"[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]?[^{_SPACE}]+")
 
 
+class Remembered:
+    """Ids by chunk in two generations: when the new one is full, it becomes the old one and the old one goes."""
+
+    def __init__(self):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def make_room(self, chunks: int) -> None:
+        if len(self.new) + chunks > REMEMBERED:
+            self.new, self.old = {}, self.new
+
+    def renew(self, chunk: str) -> bool:
+        """Whether the ids are known; they are in the new generation then."""
+        if chunk not in self.new and chunk in self.old:
+            self.new[chunk] = self.old[chunk]
+        return chunk in self.new
+
+
 class Encoder:
     """Ids of a text, as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
@@ -66,28 +86,38 @@ class Encoder:
         self.marks = {m: self._ids(m).tobytes() for m in _MARKS} if not self.whole else {}
         names = self.tokenizer.get_vocab()
         self.leads = np.zeros(max(names.values(), default=0) + 1, bool)  # tokens that begin with a space
-        self.leads[[i for name, i in names.items() if name[0] == "\u0120"]] = True
-        self.words: dict[str, bytes] = {}   # by the text after a space, or from a line end on
-        self.chunks: dict[str, bytes] = {}  # by the chunk itself
+        self.leads[[i for name, i in names.items() if name[0] == _LEAD]] = True
+        self.uncut = Tokenizer(self.tokenizer.model)  # the same vocabulary, for words that the pre-tokeniser leaves whole
+        written = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.alphabet = {ord(c): written(c)[0][0] for c in _LETTERS if not c.isascii()}
+        self.words = Remembered()   # by the text after a space, or from a line end on
+        self.chunks = Remembered()  # by the chunk itself
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _remember(self, known: dict[str, bytes], chunks: dict[str, str]) -> None:
+    def _remember(self, memory: Remembered, chunks: dict[str, str]) -> None:
         """Encode new chunks (by their key).  A mark after a letter is a token of its own, so only what
         stands before it is encoded.  Chunks after a space go in one call, as just the first token of
-        each begins with a space; those without go in another, a line end between them."""
-        marked, spaced, lines = [], {}, {}
+        each begins with a space, and of these words of letters or of digits in one that cuts no words;
+        those without go in another, a line end between them."""
+        known, marked, words, spaced, lines = memory.new, [], {}, {}, {}
         for key, chunk in chunks.items():
             if chunk[-1] in _MARKS and len(chunk) > 2 and chunk[-2] in _LETTERS:
                 marked.append(key)
                 key, chunk = key[:-1], chunk[:-1]
-                if key in known:
+                if memory.renew(key):
                     continue
             if "\n" in chunk[1:] or chunk[-1] in _SPACES or chunk[0] in _SPACES and (chunk[0] not in " \n" or chunk[1] in _SPACES):
                 known[key] = self._ids(chunk).tobytes()
+            elif chunk[0] == " ":
+                (words if _WORD.fullmatch(chunk, 1) else spaced)[key] = chunk
             else:
-                (spaced if chunk[0] == " " else lines)[key] = chunk
+                lines[key] = chunk
+        if words:
+            whole = [_LEAD + (w[1:] if w.isascii() else w[1:].translate(self.alphabet)) for w in words.values()]
+            ids = np.array(self.uncut.encode_batch_fast([whole], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+            self._cut(known, list(words), ids, np.flatnonzero(self.leads[ids]), 0)
         if spaced:
             ids = self._ids("".join(spaced.values()))
             self._cut(known, list(spaced), ids, np.flatnonzero(self.leads[ids]), 0)
@@ -105,17 +135,20 @@ class Encoder:
         for key, start, end in zip(keys, ((starts + skip) * 4).tolist(), [*(starts[1:] * 4).tolist(), len(raw)]):
             known[key] = raw[start:end]
 
-    def _found(self, known: dict[str, bytes], lists: list[list[str]], chunk) -> list[bytes]:
+    def _found(self, memory: Remembered, lists: list[list[str]], chunk) -> list[bytes]:
         """The joined ids of each list of parts."""
-        got = [list(map(known.get, parts)) for parts in lists]
+        got = [list(map(memory.new.get, parts)) for parts in lists]
         holes = [[i for i, g in enumerate(row) if g is None] if None in row else () for row in got]
         new = {parts[i] for parts, at in zip(lists, holes) for i in at}
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-        self._remember(known, {p: chunk(p) for p in new})
+        memory.make_room(len(new))
+        self._remember(memory, {p: chunk(p) for p in new if p not in memory.old or not memory.renew(p)})
         for parts, row, at in zip(lists, got, holes):
             for i in at:
-                row[i] = known[parts[i]]
+                row[i] = memory.new[parts[i]]
+        for p in new:
+            if len(p) > LONGEST:
+                memory.new.pop(p, None)
+                memory.new.pop(p[:-1], None)  # a mark's chunk
         return [b"".join(row) for row in got]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:

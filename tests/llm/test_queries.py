@@ -1,7 +1,9 @@
 """The registered queries on the smallest tables, and the pipeline stage by stage."""
 
+import pyarrow as pa
 import pytest
 
+from pricelens.llm import decontam, jaccard, quality
 from tests.oracle_compare import compare, duck
 from .helpers import AWKWARD, SF, documents
 
@@ -65,3 +67,13 @@ def test_stages_keep_the_columns_of_their_rows(spark):
     assert stage is corpus_pipeline.source_mix
     name, last = corpus_pipeline.STAGES[-1]
     assert last(spark, docs, SF).count() == len(AWKWARD)
+
+
+def test_tasks_give_small_batches():
+    rows = pa.table({"doc_id": range(5000), "text_hash": range(5000), "text": [f"some words of text {i}" for i in range(5000)]})
+    batch = rows.combine_chunks().to_batches()[0]
+    index = decontam.build_index([("a", b"not in any of them")], {})
+    for task in (quality._keep_task(quality.train([]), 2, 0.3), jaccard._set_task(5),
+                 decontam._clean_task(index, 3, 2, 20), decontam._scan_task(index, 3, True)):
+        sizes = [b.num_rows for b in task(iter([batch]))]
+        assert sum(sizes) == 5000 and max(sizes) <= 512

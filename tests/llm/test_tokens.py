@@ -81,3 +81,30 @@ def test_forgetting_chunks_changes_nothing(monkeypatch):
     e = tokens.Encoder(PATH)
     for text in ("one two three four five six", "six one seven\n\n eight  nine", LONG[:3000]):
         assert np.frombuffer(e.encode(text), "<u4").tolist() == whole([text])[0]
+
+
+def test_words_are_encoded_like_the_whole_text():
+    texts = ["größe Ñandú été 2024 straße 12ab ÿÀ×÷ xª yµ don't 東京 ok.", " ".join(f"w{i}é{i % 7} Ça{i % 11}" for i in range(500))]
+    got = tokens.Encoder(PATH).encode_many(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == whole(texts)
+
+
+def test_common_chunks_stay_while_rare_ones_are_forgotten(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 1000)
+    e, asked = tokens.Encoder(PATH), []
+    remember = e._remember
+    monkeypatch.setattr(e, "_remember", lambda known, chunks: (asked.extend(chunks), remember(known, chunks)))
+    for k in range(40):
+        e.encode("first common " + " ".join(f"w{k}q{i}" for i in range(300)))
+    assert asked.count("common") == 1
+    assert len(e.words.new) <= 1000 and len(e.words.old) <= 1000
+
+
+def test_what_a_worker_remembers_is_bounded():
+    e = tokens.Encoder(PATH)
+    for k in range(0, 1_000_000, 5000):
+        e.encode("first " + " ".join(f"{i:x}" for i in range(k, k + 5000)))
+    e.encode("z" * 100_000 + " " + "y" * 100_000 + ".")
+    held = [d for m in (e.words, e.chunks) for d in (m.new, m.old)]
+    assert sum(map(len, held)) <= 800_000
+    assert max(len(x) for d in held for x in d) <= tokens.LONGEST
