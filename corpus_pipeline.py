@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from pricelens.llm import common, decontam, jaccard, mixing, quality, queries, tokens
 
+#: Chunks that a worker's encoder keeps of a generation: the stages before have left memory of theirs in it.
+REMEMBERED = 400_000
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject; it learns from the labels outside fold 0."""
@@ -47,7 +50,7 @@ def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         order = [F.col("_file"), F.col("_row")]
     except AnalysisException:  # not read from files: there is no order to keep but doc_id's
         pass
-    manifest = tokens.write(docs, queries.tokenizer_path(), order)
+    manifest = tokens.write(docs, queries.tokenizer_path(), order, remembered=REMEMBERED)
     return tokens.read(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

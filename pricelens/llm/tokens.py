@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from . import common
 
 SEQUENCE, BATCH_SEQUENCES, END_ID = 2048, 512, 2
-REMEMBERED, LONGEST, GROUP_CHARS = 400_000, 64, 1 << 16
+REMEMBERED, LONGEST, GROUP_CHARS = 750_000, 64, 1 << 16
 
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _SPACES = frozenset(map(chr, [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
@@ -54,12 +54,13 @@ _CHUNK = re.compile(f"[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]?[^{_SPACE}]+")
 class Remembered:
     """Ids by chunk in two generations: when the new one is full, it becomes the old one and the old one goes."""
 
-    def __init__(self):
+    def __init__(self, limit: int):
+        self.limit = limit
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def make_room(self, chunks: int) -> None:
-        if len(self.new) + chunks > REMEMBERED:
+        if len(self.new) + chunks > self.limit:
             self.new, self.old = {}, self.new
 
     def renew(self, chunk: str) -> bool:
@@ -72,7 +73,7 @@ class Remembered:
 class Encoder:
     """Ids of a text, as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
@@ -90,8 +91,9 @@ class Encoder:
         self.uncut = Tokenizer(self.tokenizer.model)  # the same vocabulary, for words that the pre-tokeniser leaves whole
         written = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.alphabet = {ord(c): written(c)[0][0] for c in _LETTERS if not c.isascii()}
-        self.words = Remembered()   # by the text after a space, or from a line end on
-        self.chunks = Remembered()  # by the chunk itself
+        limit = REMEMBERED if remembered is None else remembered
+        self.words = Remembered(limit)   # by the text after a space, or from a line end on
+        self.chunks = Remembered(limit)  # by the chunk itself
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -176,14 +178,16 @@ class Encoder:
         return self.encode_many([text])[0]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int | None], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder a worker process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, remembered: int | None = None) -> Encoder:
+    """One encoder a worker process; that of another limit goes."""
+    if (path, remembered) not in _encoders:
+        for other in [k for k in _encoders if k[0] == path]:
+            del _encoders[other]
+        _encoders[path, remembered] = Encoder(path, remembered)
+    return _encoders[path, remembered]
 
 
 def _schema(sequence: int, kind: pa.DataType) -> pa.Schema:
@@ -238,12 +242,12 @@ def _groups(column: pa.Array) -> Iterator[list[str]]:
         yield group
 
 
-def _write_task(path: str, folder: str, sequence: int, end_id: int):
+def _write_task(path: str, folder: str, sequence: int, end_id: int, remembered: int | None):
     end = np.array([end_id], "<u4").tobytes()
     index_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context, encode = TaskContext.get(), encoder(path).encode_many
+        context, encode = TaskContext.get(), encoder(path, remembered).encode_many
         fs, base = common.open_filesystem(folder)
         name = f"shard-{context.partitionId():06d}-{context.taskAttemptId()}"
         docs = 0
@@ -255,7 +259,7 @@ def _write_task(path: str, folder: str, sequence: int, end_id: int):
                 if shard is None:
                     fs.create_dir(base, recursive=True)
                     sinks = [fs.open_output_stream(f"{base}/{name}.{x}") for x in ("arrow", "index")]
-                    shard, index = Shard(sinks[0], sequence, max(encoder(path).tokenizer.get_vocab_size(), end_id + 1)), ipc.new_file(sinks[1], index_schema)
+                    shard, index = Shard(sinks[0], sequence, max(encoder(path, remembered).tokenizer.get_vocab_size(), end_id + 1)), ipc.new_file(sinks[1], index_schema)
                 starts, counts = [], []
                 for texts in _groups(batch.column(1)):
                     for raw in encode(texts):
@@ -281,15 +285,16 @@ def _write_task(path: str, folder: str, sequence: int, end_id: int):
 
 
 def write(documents: DataFrame, tokenizer: str, order: list | None = None, sequence: int = SEQUENCE,
-          end_id: int = END_ID) -> DataFrame:
+          end_id: int = END_ID, remembered: int | None = None) -> DataFrame:
     """Write shards to the shared folder; returns the manifest, with the ids before each shard.
 
-    ``order``: columns to sort by, without it doc_id and a hash of the text."""
+    ``order``: columns to sort by, without it doc_id and a hash of the text.  ``remembered``: chunks of a
+    generation, fewer where workers also hold other stages' memory."""
     folder = common.shared_folder(documents.sparkSession, "tokens")
     by = order or [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     docs = documents.orderBy(*by).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shards = common.written(docs.mapInArrow(
-        _write_task(tokenizer, folder, sequence, end_id),
+        _write_task(tokenizer, folder, sequence, end_id, remembered),
         "shard long, tokens_path string, index_path string, n_docs long, n_tokens long"), "tokens-manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
     return shards.withColumn("shard_start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))

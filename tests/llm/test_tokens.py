@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyarrow import ipc
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from pricelens.llm import queries, tokens
 from .helpers import AWKWARD, LONG, documents
 
@@ -100,8 +101,8 @@ def test_common_chunks_stay_while_rare_ones_are_forgotten(monkeypatch):
     assert len(e.words.new) <= 1000 and len(e.words.old) <= 1000
 
 
-def test_what_a_worker_remembers_is_bounded():
-    e = tokens.Encoder(PATH)
+def test_what_a_worker_of_the_pipeline_remembers_is_bounded():
+    e = tokens.Encoder(PATH, corpus_pipeline.REMEMBERED)
     for k in range(0, 1_000_000, 5000):
         e.encode("first " + " ".join(f"{i:x}" for i in range(k, k + 5000)))
     e.encode("z" * 100_000 + " " + "y" * 100_000 + ".")
