@@ -20,6 +20,7 @@ from . import discount as discount_ops
 from . import executive as executive_ops
 from . import product as product_ops
 from .margin import product_performance
+from .pairs import group_sizes
 from .trends import growth
 
 TIERS = ("ie_trade", "ie_high", "ie_mid", "ie_low", "ie_base", "ie_edm", "ie_anew")
@@ -196,20 +197,26 @@ def cannibalisation_switching(fact: DataFrame, window: DateWindow, min_shared_cu
 
 def cross_sell_lift(fact: DataFrame, window: DateWindow, min_co_occurrence: int = 5) -> DataFrame:
     """D3 pairs with basket lift = count_ab x N / (n_a x n_b) and customer-based confidence."""
-    baskets = product_ops.basket_items(fact, window)
-    pairs = product_ops.scored_pairs(baskets, min_co_occurrence).drop("confidence_b_to_a")
-    n = baskets.select("invoice_number", "customer_code").distinct().agg(F.count(F.lit(1)).alias("_baskets"))
-    support = baskets.groupBy("item_code").agg(F.count(F.lit(1)).alias("_n"),
-                                               M.js_distinct_count("customer_code").alias("_cust"))
-    desc = _lines(fact, window).groupBy("item_code").agg(F.coalesce(newest("item_description"), F.lit("")).alias("desc"))
-    facts = support.join(desc, "item_code")
-    sa = facts.select(F.col("item_code").alias("product_a_code"), F.col("desc").alias("product_a_description"),
-                      F.col("_n").alias("_na"), F.col("_cust").alias("_ca"))
-    sb = facts.select(F.col("item_code").alias("product_b_code"), F.col("desc").alias("product_b_description"),
-                      F.col("_n").alias("_nb"))
-    j = side_by_side(pairs.join(sa, "product_a_code").join(sb, "product_b_code"), n)
+    # the conditions on counts always hold and the joins are null-safe: otherwise columns that one reading leaves out and
+    # filters on the item would make shuffles of their own from the same baskets
+    baskets = product_ops.basket_items(fact, window).where("_lines > 0")
+    sizes = group_sizes(_lines(fact, window), product_ops.BASKET)  # of the lines, as those of a basket lie together
+    support = baskets.groupBy("item_code").agg(F.count("item_code").alias("_n"), F.sum("_lines").alias("_lines"),
+                                               M.js_distinct_count("customer_code").alias("_cust")).where("_cust > 0 and _lines > 0")
+    pairs = product_ops.basket_pairs(baskets, min_co_occurrence, sizes=sizes, support=support.select(
+        "item_code", F.col("_n").alias("_support"))).named("product_a_code", "product_b_code")
+    n = sizes.where("_n > 0").agg(F.count(F.lit(1)).alias("_baskets"))
+    desc = _lines(fact, window).groupBy(F.col("item_code").alias("_item")).agg(
+        F.coalesce(newest("item_description"), F.lit("")).alias("desc"))
+    facts = support.join(desc, F.col("item_code").eqNullSafe(F.col("_item")))
+    sa = facts.select(F.col("item_code").alias("_a"), F.col("desc").alias("product_a_description"),
+                      F.col("_n").alias("_na"), F.col("_cust").alias("_ca"), F.col("_lines").alias("_la"))
+    sb = facts.select(F.col("item_code").alias("_b"), F.col("desc").alias("product_b_description"), F.col("_n").alias("_nb"))
+    j = pairs.join(sa, F.col("product_a_code").eqNullSafe(F.col("_a"))).join(sb, F.col("product_b_code").eqNullSafe(F.col("_b")))
+    j = side_by_side(j, n)
     return j.select("product_a_code", "product_a_description", "product_b_code", "product_b_description",
-                    "co_occurrence_count", "customers_buying_both", "confidence",
+                    "co_occurrence_count", "customers_buying_both",
+                    (F.col("co_occurrence_count") / F.col("_la") * 100).alias("confidence"),
                     (F.col("customers_buying_both") / F.col("_ca") * 100).alias("customer_confidence"),
                     (F.col("co_occurrence_count") * F.col("_baskets") / (F.col("_na") * F.col("_nb"))).alias("lift"))
 

@@ -6,7 +6,8 @@ is made and counted in one stage and is never shuffled itself.
 
 * Items below the support can't be in a pair that reaches it and go first (exact).
 * A group of many items is cut into blocks of about ``BLOCK`` items by ranges of their numbers;
-  every two blocks of it meet in a row of their own, so no row or task holds a whole group.
+  every two blocks of it meet in a row of their own, so no row or task holds a whole group.  An item is sent
+  to all meetings of its block at once, so that groups of any size are shuffled once.
 * The stripes of an item in more than ``STRIPES`` groups are dealt by ranges of the second
   item's number, so a hot item is many tasks and each pair is still counted in one.
 
@@ -64,73 +65,87 @@ class Pairs:
         return found.select(F.least("_code_a", "_code_b").alias(a), F.greatest("_code_a", "_code_b").alias(b), *others)
 
 
-def _kept(rows: DataFrame, group: list[str], min_support: int, carry: list[str], stripes: int) -> tuple[DataFrame, DataFrame]:
+def group_sizes(rows: DataFrame, group: list[str]) -> DataFrame:
+    """How many of the rows each group has, as ``_n``."""
+    return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _kept(rows: DataFrame, group: list[str], min_support: int, carry: list[str], stripes: int,
+          support: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The rows of supported items as (group, _x: number, splits and carried columns), and the items' numbers."""
-    support = rows.where("item_code is not null").groupBy("item_code").agg(F.count(F.lit(1)).alias("_support"))
-    numbers = numbered(support.where(F.col("_support") >= min_support), "item_code", "_id")
-    return rows.join(numbers, "item_code").select(
+    # null items are counted as none and compared null-safely: a filter on them would reach the rows' own shuffle, which
+    # then differs from that of the other readings and is made twice
+    if support is None:
+        support = rows.groupBy("item_code").agg(F.count("item_code").alias("_support"))
+    numbers = numbered(support.where(F.col("_support") >= max(min_support, 1)), "item_code", "_id")
+    return rows.join(numbers, rows["item_code"].eqNullSafe(numbers["item_code"])).select(
         *group, F.struct("_id", F.ceil(F.col("_support") / stripes).cast("int").alias("_splits"), *carry).alias("_x")), numbers
 
 
-def _sizes(kept: DataFrame, group: list[str], block: int) -> DataFrame:
-    """Groups of more than ``block`` items and how many they have."""
-    return kept.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block).select(
-        *[F.col(c).alias(f"_{c}") for c in group], "_n")
+def _over(sizes: DataFrame, group: list[str], block: int) -> DataFrame:
+    """Groups of more than ``block`` rows and how many they have."""
+    return sizes.where(F.col("_n") > block).select(*[F.col(c).alias(f"_{c}") for c in group], "_n")
 
 
-def _unfolded(kept: DataFrame, group: list[str], carry: list[str], block: int) -> DataFrame:
-    """A row for each pair in each group, made where the pair's stripes are: _a, _split, _b, the group and carried columns."""
-    big = _sizes(kept, group, block)
-    blocks = F.coalesce(F.ceil(F.col("_n") / block), F.lit(1))
+def _unfolded(kept: DataFrame, sizes: DataFrame, group: list[str], carry: list[str], block: int,
+              relate: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """A row for each pair in each group, made where the pair's stripes are: _a, _split, _b, the group and carried columns,
+    or with ``relate`` its number as _related instead of the carried columns."""
+    big = _over(sizes, group, block)
+    blocks = F.coalesce(F.ceil(F.col("_n") / block), F.lit(1)).cast("int")
     kept = kept.join(big, _same(kept, big, group), "left").select(*group, "_x", blocks.alias("_blocks"))
     part = F.floor(F.col("_x._id") * F.col("_blocks") / _NUMBERS).cast("int")
-    # the number of blocks is an aggregate, not a key, so that the filters below don't split the shuffle above them
-    cut = kept.groupBy(*group, part.alias("_block")).agg(
-        F.max("_blocks").alias("_blocks"), F.sort_array(F.collect_list("_x")).alias("_xs"))
-    after = F.slice("_ys", F.col("_at") + 2, F.size("_ys"))
-    alone = cut.where("_blocks = 1").select(*group, F.col("_xs").alias("_ys"), F.posexplode("_xs").alias("_at", "_x")).select(
-        *group, "_x", after.alias("_later"))
-    several = cut.where("_blocks > 1")
-    left = several.withColumn("_other", F.explode(F.sequence(F.col("_block"), (F.col("_blocks") - 1).cast("int"))))
-    right = several.select(*[F.col(c).alias(f"_{c}") for c in group], F.col("_block").alias("_right"), F.col("_xs").alias("_ys"))
-    meet = left.join(right, _same(left, right, group) & (left["_other"] == right["_right"]))
-    meet = meet.select(*group, "_block", "_other", "_ys", F.posexplode("_xs").alias("_at", "_x")).select(
-        *group, "_x", F.when(F.col("_block") == F.col("_other"), after).otherwise(F.col("_ys")).alias("_later"))
-    dealt = alone.unionByName(meet).where(F.size("_later") > 0).withColumn(
+    # an item goes to every meeting of its block, with itself and with each other one: one shuffle, whatever the size
+    met = kept.withColumn("_block", part).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
+        *group, F.least("_block", "_other").alias("_one"), F.greatest("_block", "_other").alias("_two"), "_block", "_x")
+    of_block = lambda c: F.sort_array(F.collect_list(F.when(c, F.col("_x"))))
+    met = met.groupBy(*group, "_one", "_two").agg(of_block(F.col("_block") == F.col("_one")).alias("_xs"),
+                                                  of_block(F.col("_block") != F.col("_one")).alias("_ys"))
+    after = F.slice("_xs", F.col("_at") + 2, F.size("_xs"))
+    later = met.select(*group, "_one", "_two", "_xs", "_ys", F.posexplode("_xs").alias("_at", "_x")).select(
+        *group, "_x", F.when(F.col("_one") == F.col("_two"), after).otherwise(F.col("_ys")).alias("_later"))
+    dealt = later.where(F.size("_later") > 0).withColumn(
         "_split", F.explode(F.sequence(F.lit(0), F.col("_x._splits") - 1)))
     # what is shuffled are flat columns and arrays of numbers; four times the usual partitions, which are not merged by
     # their bytes, as a stripe unfolds to many times its size
-    fields = ["_id", *carry]
-    stripes = dealt.select(F.col("_x._id").alias("_a"), "_split", F.col("_x._splits").alias("_splits"), *group,
+    if relate:
+        own, others = [], {"_related": F.transform("_later", lambda y: relate(F.col("_x"), y).cast("byte"))}
+    else:
+        own, others = [F.col(f"_x.{c}").alias(f"a_{c}") for c in carry], {f"b_{c}": F.col(f"_later.{c}") for c in carry}
+    stripes = dealt.select(F.col("_x._id").alias("_a"), "_split", F.col("_x._splits").alias("_splits"), *group, *own,
                            F.transform("_later._id", lambda i: (i - _SHIFT).cast("int")).alias("_y__id"),
-                           *[F.col(f"_later.{c}").alias(f"_y_{c}") for c in carry],
-                           *[F.col(f"_x.{c}").alias(f"a_{c}") for c in carry])
+                           *[c.alias(f"_y_{n}") for n, c in others.items()])
     dealers = 4 * int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kept_columns = ["_a", "_split", "_splits", *group, *[f"a_{c}" for c in carry]]
+    kept_columns = ["_a", "_split", "_splits", *group, *([] if relate else [f"a_{c}" for c in carry])]
     pairs = stripes.repartition(dealers, "_a", "_split").select(
-        *kept_columns, F.arrays_zip(*[f"_y_{c}" for c in fields]).alias("_later")).select(
+        *kept_columns, F.arrays_zip(*[f"_y_{n}" for n in ("_id", *others)]).alias("_later")).select(
         *kept_columns, F.explode("_later").alias("_y"))
     second = F.col("_y._y__id") + F.lit(_SHIFT)
     return pairs.where(F.floor(second * F.col("_splits") / _NUMBERS) == F.col("_split")).select(
-        "_a", "_split", second.alias("_b"), *group, *[f"a_{c}" for c in carry],
-        *[F.col(f"_y._y_{c}").alias(f"b_{c}") for c in carry])
+        *[c for c in kept_columns if c != "_splits"], second.alias("_b"), *[F.col(f"_y._y_{n}").alias(n) for n in others])
 
 
 def pair_counts(rows: DataFrame, group: list[str], aggregates: list[Column], min_support: int = 1,
-                block: int = BLOCK, stripes: int = STRIPES) -> Pairs:
+                block: int = BLOCK, stripes: int = STRIPES, sizes: DataFrame | None = None,
+                support: DataFrame | None = None) -> Pairs:
     """Aggregates over the groups of every pair of items that share a group (they see the group's columns).
 
-    ``rows``: distinct (group, item_code).  Pairs that share fewer than ``min_support`` groups may be missing."""
-    kept, numbers = _kept(rows, group, min_support, [], stripes)
-    pairs = _unfolded(kept, group, [], block)
+    ``rows``: distinct (group, item_code).  Pairs that share fewer than ``min_support`` groups may be missing.  A caller that
+    has them gives ``sizes``, ``group_sizes`` of these or more rows, and ``support``, the rows of each item as ``_support``
+    (0 for the null item), so that they are not counted again."""
+    kept, numbers = _kept(rows, group, min_support, [], stripes, support)
+    pairs = _unfolded(kept, group_sizes(rows, group) if sizes is None else sizes, group, [], block)
     return Pairs(pairs.groupBy("_a", "_split", "_b").agg(*aggregates).drop("_split"), numbers)
 
 
-def pair_sums(rows: DataFrame, group: list[str], count: str, conditions: dict[str, Callable[[str, str], Column]],
-              min_count: int, carry: list[str] | None = None, block: int = BLOCK, stripes: int = STRIPES) -> Pairs:
+def pair_sums(rows: DataFrame, group: list[str], count: str, conditions: dict[str, Callable[[str, str], Column] | int],
+              min_count: int, carry: list[str] | None = None, block: int = BLOCK, stripes: int = STRIPES,
+              relate: Callable[[Column, Column], Column] | None = None) -> Pairs:
     """Pairs that share at least ``min_count`` groups: in how many they do (``count``), and in how many of these
     each condition holds.  ``rows``: distinct (group, item_code) with the columns ``carry``; a condition is
-    made from the prefixes of the first and the second item's carried columns.
+    made from the prefixes of the first and the second item's carried columns.  With ``relate``, which makes a number
+    (0 to 127) of the structs of both items, a condition is the number it holds for: the numbers are
+    made before the stripes are shuffled, a byte a pair, and the carried columns stay behind.
 
     The largest groups, fewer than half of ``min_count``, are not unfolded if they exceed a block: each of the h of
     them adds at most one to a pair's count, so only pairs that reach ``min_count`` - h elsewhere can qualify, and
@@ -138,14 +153,20 @@ def pair_sums(rows: DataFrame, group: list[str], count: str, conditions: dict[st
     so costs its items, not their pairs, and the counts stay exact."""
     carry = carry or []
     hottest = (min_count - 1) // 2
+    sizes = group_sizes(rows, group)
     kept, numbers = _kept(rows, group, min_count, carry, stripes)
     if hottest:
-        hot = _sizes(kept, group, block).orderBy(F.col("_n").desc(), *[f"_{c}" for c in group]).limit(hottest)
+        hot = _over(sizes, group, block).orderBy(F.col("_n").desc(), *[f"_{c}" for c in group]).limit(hottest)
         hot = hot.withColumn("_hot", F.row_number().over(Window.orderBy(F.col("_n").desc(), *[f"_{c}" for c in group])))
         marked = kept.join(hot.drop("_n"), _same(kept, hot, group), "left").select(*group, "_x", "_hot")
         kept = marked.where("_hot is null").select(*group, "_x")
-    counted = [F.count(F.lit(1)).alias(count)] + [F.count(F.when(c("a", "b"), 1)).alias(n) for n, c in conditions.items()]
-    counts = _unfolded(kept, group, carry, block).groupBy("_a", "_split", "_b").agg(*counted).drop("_split")
+    holds = conditions
+    if relate:
+        struct = lambda x: F.struct(*[F.col(f"{x}_{c}").alias(c) for c in carry])
+        holds = {n: lambda a, b, number=number: relate(struct(a), struct(b)) == number for n, number in conditions.items()}
+    found = {n: F.col("_related") == c if relate else c("a", "b") for n, c in conditions.items()}
+    counted = [F.count(F.lit(1)).alias(count)] + [F.count(F.when(c, 1)).alias(n) for n, c in found.items()]
+    counts = _unfolded(kept, sizes, group, carry, block, relate).groupBy("_a", "_split", "_b").agg(*counted).drop("_split")
     if hottest:
         least = F.lit(min_count) - hot.agg(F.count(F.lit(1))).scalar()
         counts = counts.where(F.col(count) >= least)
@@ -157,7 +178,7 @@ def pair_sums(rows: DataFrame, group: list[str], count: str, conditions: dict[st
             own = members.select(F.col("_item").alias(f"_{side}"),
                                  *[F.col(c).alias(f"{side}{c}") for c in members.columns if c != "_item"])
             counts = counts.join(own, f"_{side}", "left")
-        totals = {count: lambda a, b: F.lit(True), **conditions}
+        totals = {count: lambda a, b: F.lit(True), **holds}
         for name, condition in totals.items():
             more = [F.when(F.col(f"ah{k}_").isNotNull() & F.col(f"bh{k}_").isNotNull() & condition(f"ah{k}", f"bh{k}"), 1)
                     .otherwise(0) for k in range(1, hottest + 1)]

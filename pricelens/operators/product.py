@@ -65,19 +65,19 @@ def product_mix(fact: DataFrame, window: DateWindow, limit: int = 20) -> Analysi
     return Analysis(summary, items)
 
 
-_BASKET = ["invoice_number", "customer_code"]
+BASKET = ["invoice_number", "customer_code"]
 
 
 def basket_items(fact: DataFrame, window: DateWindow) -> DataFrame:
     """One row per item per basket (invoice, customer) with its line count.  Every input of the
     cross-sell analyses derives from this one aggregate."""
-    return _lines(fact, window).groupBy(*_BASKET, "item_code").agg(F.count(F.lit(1)).alias("_lines"))
+    return _lines(fact, window).groupBy(*BASKET, "item_code").agg(F.count(F.lit(1)).alias("_lines"))
 
 
 def basket_pairs(baskets: DataFrame, min_co_occurrence: int, **options) -> Pairs:
     """Item pairs that share at least so many baskets, with these and the customers who bought both."""
     # the condition always holds; it keeps the line count in the plan, so the shuffle is the one of the item counts
-    return pair_counts(baskets.where("_lines > 0"), _BASKET, [
+    return pair_counts(baskets.where("_lines > 0"), BASKET, [
         F.count(F.lit(1)).alias("co_occurrence_count"),
         M.js_distinct_count("customer_code").alias("customers_buying_both")], min_co_occurrence, **options).where(
         F.col("co_occurrence_count") >= min_co_occurrence)
@@ -116,7 +116,7 @@ def cross_sell_total_pairs(fact: DataFrame, window: DateWindow) -> DataFrame:
     """D3 ``totalPairs``: distinct co-occurring pairs before the support filter.
 
     A pair's stripes meet in one task, so the pairs are told apart there and only their number leaves it."""
-    pairs = pair_counts(basket_items(fact, window).where("_lines > 0"), _BASKET, [F.count(F.lit(1)).alias("n")])
+    pairs = pair_counts(basket_items(fact, window).where("_lines > 0"), BASKET, [F.count(F.lit(1)).alias("n")])
     return pairs.counts.agg(F.count(F.lit(1)).alias("total_pairs"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..operators import extended as X
+from ..operators.facts import LINE_COLUMNS
 from .oracle_base import b2, b3, exact_covar, exact_mean, exact_std, fine_mean, lines, margin as sql_margin, margin_pct, msum, newest, r2, ratio0, with_base
 from .registry import WHOLE, register
 from .queries_trends import LAST_YEAR
@@ -285,6 +286,8 @@ def x8_product_ranks(e):
 
 from .queries_customer_product import _D3  # noqa: E402
 
+_X10_COLUMNS = (*LINE_COLUMNS, "invoice_number", "customer_code", "item_code", "item_description")
+
 
 @register("x10_cross_sell_lift", _q(*_D3, """sup AS (
   SELECT item_code, count(*) AS na, count(DISTINCT customer_code) + max(CASE WHEN customer_code IS NULL THEN 1 ELSE 0 END) AS ca
@@ -295,7 +298,7 @@ SELECT sc.product_a_code, product_a_description, sc.product_b_code, product_b_de
        co_occurrence_count * nb.baskets / (a.na * b.na) AS lift
 FROM sc JOIN sup a ON sc.product_a_code = a.item_code JOIN sup b ON sc.product_b_code = b.item_code, nb"""))
 def x10_cross_sell_lift(e):
-    return X.cross_sell_lift(e.fact, WHOLE, min_co_occurrence=2)
+    return X.cross_sell_lift(e.lines(*_X10_COLUMNS), WHOLE, min_co_occurrence=2)
 
 
 @register("x6_churn_decline", _q(f"""c AS (SELECT * FROM fact WHERE document_type IN ('INV', 'CRN') AND is_sample = 0 AND is_return = 0

@@ -105,3 +105,7 @@ def test_other_queries_of_few_columns_do_not_write_the_fact(spark, tmp_path):
     _without_the_fact(spark, str(tmp_path), "r2_price_consistency", "r2_price_consistency_summary", "t3_seasonality", "t3_seasonality_summary",
                       "t5_forecast", "t5_forecast_summary", "t5_forecast_with_returns", "g1_derived_catalogue_prices", "g4_returns",
                       "g4_returns_summary", "g4_returns_by_month", "g6_credit_notes", "t3_seasonality_by_quarter")
+
+
+def test_pairs_of_items_do_not_write_the_fact(spark, tmp_path):
+    _without_the_fact(spark, str(tmp_path), "x10_cross_sell_lift")

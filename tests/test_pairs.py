@@ -1,6 +1,7 @@
 """Pair counting by stripes against plain loops: hot groups, hot items, blocks, null groups."""
 
 import random
+import re
 from collections import Counter
 from itertools import combinations
 
@@ -98,3 +99,52 @@ def test_stripes_are_shuffled_as_arrays_of_numbers_in_partitions_that_are_not_me
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert f", {n}), REPARTITION_BY_NUM" in text
     assert found.counts.schema["_b"].dataType.simpleString() == "bigint"
+
+
+def test_groups_of_any_size_are_collected_by_one_shuffle(spark):
+    rows, _ = _table(spark, _groups())
+    text = plan(pair_counts(rows, ["shop"], [F.count(F.lit(1)).alias("n")], block=8, stripes=5).counts, "simple")
+    assert "Union" not in text and text.count("Exchange hashpartitioning(shop") == 2  # the sizes, and the meetings of blocks
+
+
+def _made(df, keys):
+    """Shuffles by ``keys`` that were made, not reused, when ``df`` was collected."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    by = ", ".join(f"{k}#\\d+" for k in keys)
+    return sum(bool(re.search(rf"\+- Exchange hashpartitioning\({by}, \d+\)", line)) and "ShuffleQueryStage" in before
+               for before, line in zip(lines, lines[1:]))
+
+
+def _small_fact(spark):
+    rng = random.Random(3)
+    rows = [(f"n{rng.randrange(60)}", f"2000-0{rng.randrange(1, 9)}-11", rng.choice([None, "c1", "c2", "c3"]),
+             rng.choice([None, *[f"i{k}" for k in range(9)]]), rng.choice([None, "d", "e"]), 2.5) for _ in range(400)]
+    return rows, spark.createDataFrame(
+        [(*r, "INV", 0, 0) for r in rows], "invoice_number string, invoice_date string, customer_code string, item_code string, "
+        "item_description string, line_total double, document_type string, is_sample int, is_return int")
+
+
+def test_lift_of_null_items_and_customers_with_one_shuffle_of_the_baskets(spark):
+    from pricelens.operators import extended
+    from pricelens.plans.registry import WHOLE
+    rows, fact = _small_fact(spark)
+    baskets, lines = {}, Counter(r[3] for r in rows)
+    for r in rows:
+        baskets.setdefault((r[0], r[2]), set()).add(r[3])
+    both, n, buyers = {}, Counter(), {}
+    for basket, items in baskets.items():
+        for i in items:
+            n[i] += 1
+            buyers.setdefault(i, set()).add(basket[1])
+        for p in combinations(sorted(i for i in items if i), 2):
+            both.setdefault(p, []).append(basket[1])
+    want = {(a, b): (len(c), len(set(c)), len(c) / lines[a] * 100, len(set(c)) / len(buyers[a]) * 100,
+                     len(c) * len(baskets) / (n[a] * n[b])) for (a, b), c in both.items() if len(c) >= 3}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = extended.cross_sell_lift(fact, WHOLE, 3)
+        got = {(r[0], r[2]): tuple(r)[4:] for r in found.collect()}
+        assert want and got == want
+        assert _made(found, ["invoice_number", "customer_code", "item_code"]) == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
