@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
+from ..session import written_once
 from .combine import ranked as total_order, with_places
 from .combine import aggregated, side_by_side
 from .facts import Analysis, DateWindow, base_filter, line_cost, newest, product_sales, customer_sales
@@ -23,6 +24,7 @@ from .margin import product_performance
 from .pairs import group_sizes
 from .trends import growth
 
+FEW = 100_000  # items that may be sent to every task
 TIERS = ("ie_trade", "ie_high", "ie_mid", "ie_low", "ie_base", "ie_edm", "ie_anew")
 
 
@@ -173,11 +175,18 @@ def cannibalisation_switching(fact: DataFrame, window: DateWindow, min_shared_cu
     B purchase) and each product's revenue trend (second-half vs first-half growth %).
 
     ``limit`` keeps the pairs with the most shared customers (ties by code); without it the report
-    holds every pair that shares at least ``min_shared_customers``."""
+    holds every pair that shares at least ``min_shared_customers``.
+
+    The pairs are written as a table first: where they hold at most ``FEW`` items, the lines of these only are
+    shuffled for the trends."""
     lines = _lines(fact, window)
     pairs = product_ops.shared_customers(lines, min_shared_customers, switching=True)
     if limit:
         pairs = M.top(pairs, "shared_customers", "desc", limit, "product_a_code", "product_b_code")
+    pairs = written_once(pairs, "pairs")
+    items = pairs.select(F.explode(F.array("product_a_code", "product_b_code")).alias("item_code")).distinct()
+    if items.limit(FEW + 1).count() <= FEW:
+        lines = lines.join(F.broadcast(items), "item_code", "left_semi")
     lo, hi = window.bounds()
     mid = F.date_add(F.to_date(lo), (F.datediff(F.to_date(hi), F.to_date(lo)) / 2).cast("int")).cast("string")
     d = F.col("invoice_date")

@@ -125,15 +125,16 @@ def shared_customers(lines: DataFrame, min_shared: int, switching: bool = False,
     how many stopped buying one before they began with the other."""
     keys = ["customer_code", "item_code"]
     if not switching:
-        spans, conditions, carry, swapped = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("_lines")), {}, [], {}
+        spans, conditions, carry, swapped, relate = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("_lines")), {}, [], {}, None
     else:
         day = F.unix_date(F.try_to_date("invoice_date"))  # numbers, so that the aggregate over the lines hashes
-        spans, carry = lines.groupBy(*keys).agg(F.min(day).alias("first"), F.max(day).alias("last")), ["first", "last"]
+        # the condition always holds; it keeps the days in the plan, so that the lines are shuffled once for all of it
+        spans = lines.groupBy(*keys).agg(F.min(day).alias("first"), F.max(day).alias("last")).where("coalesce(first <= last, true)")
+        carry = ["first", "last"]
         there, back = "customers_switching_from_a_to_b", "customers_switching_from_b_to_a"
-        conditions = {there: lambda a, b: F.col(f"{a}_last") < F.col(f"{b}_first"),
-                      back: lambda a, b: F.col(f"{b}_last") < F.col(f"{a}_first")}
-        swapped = {there: back}
-    pairs = pair_sums(spans, ["customer_code"], "shared_customers", conditions, min_shared, carry, **options)
+        conditions, swapped = {there: 1, back: 2}, {there: back}
+        relate = lambda a, b: F.when(a["last"] < b["first"], 1).when(b["last"] < a["first"], 2).otherwise(0)
+    pairs = pair_sums(spans, ["customer_code"], "shared_customers", conditions, min_shared, carry, relate=relate, **options)
     return pairs.named("product_a_code", "product_b_code", swapped)
 
 

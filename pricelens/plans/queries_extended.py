@@ -377,6 +377,7 @@ def x22_ltv_prediction(e):
 
 from .queries_customer_product import _D4  # noqa: E402
 
+_X9_COLUMNS = (*_X10_COLUMNS, "line_total")
 _MID = "1998-04-17"  # midpoint of 1995-01-01..2001-08-01 (start + floor(days / 2))
 
 
@@ -397,7 +398,7 @@ SELECT sc.product_a_code, sc.product_a_description, sc.product_b_code, sc.produc
 FROM sc LEFT JOIN sw ON sc.product_a_code = sw.product_a_code AND sc.product_b_code = sw.product_b_code
 LEFT JOIN tr ta ON sc.product_a_code = ta.item_code LEFT JOIN tr tb ON sc.product_b_code = tb.item_code"""))
 def x9_cannibalisation_switching(e):
-    return X.cannibalisation_switching(e.fact, WHOLE)
+    return X.cannibalisation_switching(e.lines(*_X9_COLUMNS), WHOLE)
 
 
 from .queries_core import E1_PARTS  # noqa: E402

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Defaults a cluster deployment would normally put in spark-defaults.conf.  They are
 # applied only by ``local_session`` (tests, bench); library code never overrides a
@@ -57,3 +58,10 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     if d:
         return d
     return spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+
+
+def written_once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table under the shared checkpoint folder, written now: several readings don't compute it again."""
+    path = f"{shared_checkpoint_dir(df.sparkSession).rstrip('/')}/pricelens-{name}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -109,3 +109,7 @@ def test_other_queries_of_few_columns_do_not_write_the_fact(spark, tmp_path):
 
 def test_pairs_of_items_do_not_write_the_fact(spark, tmp_path):
     _without_the_fact(spark, str(tmp_path), "x10_cross_sell_lift")
+
+
+def test_switching_between_items_does_not_write_the_fact(spark, tmp_path):
+    _without_the_fact(spark, str(tmp_path), "x9_cannibalisation_switching")

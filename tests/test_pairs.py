@@ -148,3 +148,35 @@ def test_lift_of_null_items_and_customers_with_one_shuffle_of_the_baskets(spark)
         assert _made(found, ["invoice_number", "customer_code", "item_code"]) == 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("block, stripes", [(1024, 50_000), (8, 5), (40, 5)])
+def test_related_numbers_are_shuffled_instead_of_the_carried_columns(spark, block, stripes):
+    rows, day = _table(spark, _groups())
+    least = 3
+    conditions = {"up": lambda a, b: F.col(f"{a}_day") < F.col(f"{b}_day"), "down": lambda a, b: F.col(f"{b}_day") < F.col(f"{a}_day")}
+    want = pair_sums(rows, ["shop"], "n", conditions, least, ["day"], block, stripes).named("a", "b", {"up": "down"})
+    relate = lambda a, b: F.when(a["day"] < b["day"], 1).when(b["day"] < a["day"], 2).otherwise(0)
+    found = pair_sums(rows, ["shop"], "n", {"up": 1, "down": 2}, least, ["day"], block, stripes, relate)
+    assert sorted(map(tuple, found.named("a", "b", {"up": "down"}).collect())) == sorted(map(tuple, want.collect())) != []
+    assert "_y__related" in plan(found.counts, "simple") and "_y_day" not in plan(found.counts, "simple")
+
+
+def test_switching_reads_lines_of_the_pairs_for_trends_and_shuffles_customers_once(spark, monkeypatch):
+    from pricelens.operators import extended
+    from pricelens.plans.registry import WHOLE
+    _, fact = _small_fact(spark)
+    made = []
+    kept = extended.written_once
+    monkeypatch.setattr(extended, "written_once", lambda df, name: (made.append(df), kept(df, name))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = extended.cannibalisation_switching(fact, WHOLE, 3)
+        assert "LeftSemi" in plan(found, "simple") and (rows := sorted(map(str, found.collect())))
+        made[0].collect()
+        assert _made(made[0], ["customer_code", "item_code"]) == 1
+        monkeypatch.setattr(extended, "FEW", 0)  # more items than may be sent to every task: all lines are read
+        whole = extended.cannibalisation_switching(fact, WHOLE, 3)
+        assert "LeftSemi" not in plan(whole, "simple") and sorted(map(str, whole.collect())) == rows
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
