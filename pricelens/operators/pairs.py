@@ -9,8 +9,10 @@ is made and counted in one stage and is never shuffled itself.
   every two blocks of it meet in a row of their own, so no row or task holds a whole group.  An item is sent
   to all meetings of its block at once, so that groups of any size are shuffled once.
 * The stripes of an item in more than ``STRIPES`` groups are dealt by ranges of the second
-  item's number, so a hot item is many tasks and each pair is still counted in one.
-
+  item's number, so a hot item is many tasks and each pair is still counted in one.  A stripe is cut to
+  the items of each range that it has any of.
+* Where a count alone decides (``pair_sums``), the second items of an item's stripes are sorted, and what is not
+  repeated often enough goes before it is a row: a task holds its stripes, not its pairs.
 * A few groups that hold very many items are looked up instead of unfolded (``pair_sums``).
 
 The work that remains is that of looking at the other groups' pairs of supported items once.
@@ -23,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, STRIPES = 1024, 50_000
+BLOCK, STRIPES = 1024, 4096
 _BUCKETS, _NUMBERS = 1 << 12, 1 << 32
 _SHIFT = (1 << 31) + 1  # numbers (1 to 2**32) less this are ints
 
@@ -88,9 +90,10 @@ def _over(sizes: DataFrame, group: list[str], block: int) -> DataFrame:
 
 
 def _unfolded(kept: DataFrame, sizes: DataFrame, group: list[str], carry: list[str], block: int,
-              relate: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+              relate: Callable[[Column, Column], Column] | None = None, least: int = 1) -> DataFrame:
     """A row for each pair in each group, made where the pair's stripes are: _a, _split, _b, the group and carried columns,
-    or with ``relate`` its number as _related instead of the carried columns."""
+    or with ``relate`` its number as _related instead of the carried columns.  Pairs that share fewer than ``least``
+    groups may be missing, and with that the group."""
     big = _over(sizes, group, block)
     blocks = F.coalesce(F.ceil(F.col("_n") / block), F.lit(1)).cast("int")
     kept = kept.join(big, _same(kept, big, group), "left").select(*group, "_x", blocks.alias("_blocks"))
@@ -104,25 +107,49 @@ def _unfolded(kept: DataFrame, sizes: DataFrame, group: list[str], carry: list[s
     after = F.slice("_xs", F.col("_at") + 2, F.size("_xs"))
     later = met.select(*group, "_one", "_two", "_xs", "_ys", F.posexplode("_xs").alias("_at", "_x")).select(
         *group, "_x", F.when(F.col("_one") == F.col("_two"), after).otherwise(F.col("_ys")).alias("_later"))
-    dealt = later.where(F.size("_later") > 0).withColumn(
-        "_split", F.explode(F.sequence(F.lit(0), F.col("_x._splits") - 1)))
+    # the stripes of a hot item are cut by ranges of their items; a stripe goes to the ranges that it has items of
+    range_of = lambda y: F.floor(y["_id"] * F.col("_x._splits") / _NUMBERS).cast("int")
+    whole = F.col("_x._splits") == 1
+    dealt = later.where(F.size("_later") > 0).withColumn("_split", F.explode(
+        F.when(whole, F.array(F.lit(0))).otherwise(F.array_distinct(F.transform("_later", range_of))))).withColumn(
+        "_later", F.when(whole, F.col("_later")).otherwise(F.filter("_later", lambda y: range_of(y) == F.col("_split"))))
     # what is shuffled are flat columns and arrays of numbers; four times the usual partitions, which are not merged by
     # their bytes, as a stripe unfolds to many times its size
     if relate:
         own, others = [], {"_related": F.transform("_later", lambda y: relate(F.col("_x"), y).cast("byte"))}
     else:
         own, others = [F.col(f"_x.{c}").alias(f"a_{c}") for c in carry], {f"b_{c}": F.col(f"_later.{c}") for c in carry}
-    stripes = dealt.select(F.col("_x._id").alias("_a"), "_split", F.col("_x._splits").alias("_splits"), *group, *own,
+    stripes = dealt.select(F.col("_x._id").alias("_a"), "_split", *group, *own,
                            F.transform("_later._id", lambda i: (i - _SHIFT).cast("int")).alias("_y__id"),
                            *[c.alias(f"_y_{n}") for n, c in others.items()])
     dealers = 4 * int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kept_columns = ["_a", "_split", "_splits", *group, *([] if relate else [f"a_{c}" for c in carry])]
-    pairs = stripes.repartition(dealers, "_a", "_split").select(
+    stripes = stripes.repartition(dealers, "_a", "_split")
+    if least > 1 and (relate or not carry):
+        return _repeated(stripes, least, bool(relate))
+    kept_columns = ["_a", "_split", *group, *([] if relate else [f"a_{c}" for c in carry])]
+    pairs = stripes.select(
         *kept_columns, F.arrays_zip(*[f"_y_{n}" for n in ("_id", *others)]).alias("_later")).select(
         *kept_columns, F.explode("_later").alias("_y"))
-    second = F.col("_y._y__id") + F.lit(_SHIFT)
-    return pairs.where(F.floor(second * F.col("_splits") / _NUMBERS) == F.col("_split")).select(
-        *[c for c in kept_columns if c != "_splits"], second.alias("_b"), *[F.col(f"_y._y_{n}").alias(n) for n in others])
+    return pairs.select(*kept_columns, (F.col("_y._y__id") + F.lit(_SHIFT)).alias("_b"),
+                        *[F.col(f"_y._y_{n}").alias(n) for n in others])
+
+
+def _repeated(stripes: DataFrame, least: int, related: bool) -> DataFrame:
+    """A row (_a, _split, _b, _related) for each pair in each group that shares ``least`` groups or more; of others some.
+
+    The second items of all stripes of an item are sorted in an array.  One that is there ``least`` times has itself
+    ``least`` // 2 places before or after it, wherever in its run it stands; the rest go before they become rows, so
+    that what a task holds is its stripes and not its pairs."""
+    place = lambda y: (y + F.lit(_SHIFT)) * 128
+    entries = (F.zip_with("_y__id", "_y__related", lambda y, r: place(y) + r) if related
+               else F.transform("_y__id", place))
+    sorted_ = stripes.select("_a", "_split", entries.alias("_entries")).groupBy("_a", "_split").agg(
+        F.sort_array(F.flatten(F.collect_list("_entries"))).alias("_sorted"))
+    item = lambda e: F.shiftright(e, 7)
+    step = least // 2
+    again = F.filter("_sorted", lambda e, i: (item(F.get("_sorted", i + step)) == item(e)) | (item(F.get("_sorted", i - step)) == item(e)))
+    return sorted_.select("_a", "_split", F.explode(again).alias("_e")).select(
+        "_a", "_split", item(F.col("_e")).alias("_b"), F.col("_e").bitwiseAND(F.lit(127).cast("long")).alias("_related"))
 
 
 def pair_counts(rows: DataFrame, group: list[str], aggregates: list[Column], min_support: int = 1,
@@ -166,7 +193,8 @@ def pair_sums(rows: DataFrame, group: list[str], count: str, conditions: dict[st
         holds = {n: lambda a, b, number=number: relate(struct(a), struct(b)) == number for n, number in conditions.items()}
     found = {n: F.col("_related") == c if relate else c("a", "b") for n, c in conditions.items()}
     counted = [F.count(F.lit(1)).alias(count)] + [F.count(F.when(c, 1)).alias(n) for n, c in found.items()]
-    counts = _unfolded(kept, sizes, group, carry, block, relate).groupBy("_a", "_split", "_b").agg(*counted).drop("_split")
+    pairs = _unfolded(kept, sizes, group, carry, block, relate, min_count - hottest)
+    counts = pairs.groupBy("_a", "_split", "_b").agg(*counted).drop("_split")
     if hottest:
         least = F.lit(min_count) - hot.agg(F.count(F.lit(1))).scalar()
         counts = counts.where(F.col(count) >= least)

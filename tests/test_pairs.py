@@ -180,3 +180,43 @@ def test_switching_reads_lines_of_the_pairs_for_trends_and_shuffles_customers_on
         assert "LeftSemi" not in plan(whole, "simple") and sorted(map(str, whole.collect())) == rows
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("least", [2, 3, 4, 5, 8])
+def test_pairs_that_are_not_repeated_enough_do_not_become_rows(spark, least):
+    from pricelens.operators.pairs import _SHIFT, _repeated
+    rng = random.Random(least)
+    rows = [(a, 0, [y - _SHIFT for y in sorted(rng.sample([1, 2, 3, 2**31, 2**32 - 2, 2**32, *range(100, 130)], 6))],
+             [rng.randrange(3) for _ in range(6)]) for a in (5, 2**32) for _ in range(8 * least)]
+    there = Counter((a, y + _SHIFT) for a, _, ys, _ in rows for y in ys)
+    with_numbers = Counter((a, y + _SHIFT, r) for a, _, ys, rs in rows for y, r in zip(ys, rs))
+    stripes = spark.createDataFrame(rows, "_a bigint, _split int, _y__id array<int>, _y__related array<tinyint>")
+    got = Counter((r["_a"], r["_b"], r["_related"]) for r in _repeated(stripes, least, True).collect())
+    enough = {p for p, n in there.items() if n >= least}
+    assert enough and {k: n for k, n in got.items() if k[:2] in enough} == {k: n for k, n in with_numbers.items() if k[:2] in enough}
+    assert all(there[k[:2]] > least // 2 for k in got)
+    plain = Counter((r["_a"], r["_b"]) for r in _repeated(stripes, least, False).collect())
+    assert {p: plain[p] for p in enough} == {p: there[p] for p in enough}
+
+
+def test_stripes_of_a_hot_item_go_to_the_ranges_of_their_items_only(spark):
+    rows = spark.range(60).select(F.col("id").alias("shop"), F.explode(F.array(
+        F.lit("hot"), F.format_string("i%d", "id"), F.format_string("j%d", F.col("id") % 7))).alias("item_code"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = pair_counts(rows, ["shop"], [F.count(F.lit(1)).alias("n")], stripes=2)  # "hot" has 30 ranges
+        want = Counter(p for k in range(60) for p in combinations(sorted(["hot", f"i{k}", f"j{k % 7}"]), 2))
+        assert {(r[0], r[1]): r[2] for r in found.named("a", "b").collect()} == want
+        found.counts.collect()
+        plans, sent = [found.counts._jdf.queryExecution().executedPlan()], []
+        while plans:  # the rows that the shuffle of the stripes wrote
+            p = plans.pop()
+            if p.nodeName() == "Exchange" and "REPARTITION_BY_NUM" in p.simpleString(1000):
+                sent.append(p.metrics().apply("shuffleRecordsWritten").value())
+            for child in ("executedPlan", "plan"):
+                if p.nodeName() == "AdaptiveSparkPlan" and child == "executedPlan" or "QueryStage" in p.nodeName() and child == "plan":
+                    plans.append(getattr(p, child)())
+            plans += [p.children().apply(i) for i in range(p.children().size())]
+        assert len(sent) == 1 and sent[0] <= 60 * 3  # a pair is sent at most once
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
